@@ -7,8 +7,8 @@ The classifier is fitted on at most SAMPLE labelled documents of each class, tak
 binary, so grades of severity come from how much toxic evidence a toxic document holds: 0 is not toxic; toxic
 documents are graded 1 to 3 by the terciles of their hits on features that tell the classes apart. A feature counts as
 evidence if it is in at least MIN_DOCS sampled toxic documents and its smoothed log odds are at least MIN_LOG_ODDS;
-the regression weighs these features only, so long clean documents gather no noise. Every prediction reads the whole
-text.
+the regression weighs these features only, so long clean documents gather no noise. A text is judged toxic if its
+evidence x.w reaches the cut that separates the sampled classes best. Every prediction reads the whole text.
 
 Defined cases: a null or empty text has no features, so it gets the severity of the bare thresholds; without toxic
 or without clean labelled documents the model is empty: severity 0, nothing toxic; labels that repeat or clash
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import small_batches
 
-SAMPLE, MIN_DOCS, MIN_LOG_ODDS, PREFIXES = 4000, 8, 3.0, (4, 5)
+SAMPLE, MIN_DOCS, MIN_LOG_ODDS, PREFIXES = 4000, 8, 3.0, (4, 5, 6, 7, 8)
 FEATURES_KEPT = 1 << 14
 _WORD = re.compile(r"\w+")
 #: Bounds a worker's cache of words.
@@ -54,8 +54,6 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
     raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     theta = np.concatenate([w, raw])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    hits = np.maximum(np.bincount(grades, minlength=n_grades), 1)
-    weight = (n / (n_grades * hits))[grades]  # classes count alike
     for step in range(1, steps + 1):
         w, raw = theta[:n_features], theta[n_features:]
         cuts = np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))])
@@ -64,7 +62,7 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
         with np.errstate(invalid="ignore", over="ignore"):
             hi, lo = sigmoid(edges[grades + 1] - eta), sigmoid(edges[grades] - eta)
         p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = weight * hi * (1 - hi) / p, weight * lo * (1 - lo) / p
+        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
         g_w = np.bincount(cols, values * (d_hi - d_lo)[rows], minlength=n_features) / n + l2 * w
         g_cut = -np.array([d_hi[grades == k].sum() - d_lo[grades == k + 1].sum() for k in range(n_grades - 1)]) / n
         g_raw = np.concatenate([[g_cut.sum()], [g_cut[k:].sum() * np.exp(raw[k]) for k in range(1, n_grades - 1)]])
@@ -76,10 +74,10 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 class SeverityModel:
-    """Weights by feature, and thresholds."""
+    """Weights by feature, ordered thresholds, and the evidence from which a text counts as toxic."""
 
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: dict[str, float], thresholds: np.ndarray, cut: float = np.inf):
+        self.weights, self.thresholds, self.cut = weights, thresholds, cut
         self._cache: dict[str, tuple[str, ...]] = {}
 
     def evidence(self, text: str | None) -> dict[str, int]:
@@ -100,10 +98,10 @@ class SeverityModel:
             return 0.0, 0, 0.0, False
         eta = math.fsum(self.weights[f] * (1 + math.log(n)) for f, n in self.evidence(text).items())
         above = 1 - sigmoid(self.thresholds - eta)
-        return float(above.sum()), int((above >= 0.5).sum()), float(above[0]), bool(above[0] >= 0.5)
+        return float(above.sum()), int((above >= 0.5).sum()), float(above[0]), bool(eta >= self.cut)
 
     def __getstate__(self):
-        return self.weights, self.thresholds
+        return self.weights, self.thresholds, self.cut
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -133,50 +131,70 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
 
 def fit_from_words(labelled: Iterator[tuple[int, list[str]]]) -> SeverityModel:
     """labelled: toxic, and 'count word' for each word of a document."""
-    number: dict[str, int] = {}
-    held, seen = [], {0: Counter(), 1: Counter()}
-    sizes = Counter()
-    for toxic, words in labelled:
-        own: dict[int, int] = {}
-        for x in words:
+    words: dict[str, int] = {}
+    features: dict[str, int] = {}
+    of_word: list[list[int]] = []
+    held, toxic = [], []
+    for label, bag in labelled:
+        ids, counts = np.zeros(len(bag), np.int32), np.zeros(len(bag), np.int32)
+        for k, x in enumerate(bag):
             n, word = x.split(" ", 1)
-            for f in features_of(word):
-                k = number.setdefault(f, len(number))
-                own[k] = own.get(k, 0) + int(n)
-        toxic = int(bool(toxic))
-        seen[toxic].update(own.keys())
-        sizes[toxic] += 1
-        held.append((toxic, np.fromiter(own.keys(), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))))
+            if word not in words:
+                words[word] = len(words)
+                of_word.append([features.setdefault(f, len(features)) for f in features_of(word)])
+            ids[k], counts[k] = words[word], int(n)
+        held.append((ids, counts))
+        toxic.append(int(bool(label)))
+    toxic = np.array(toxic, np.int64)
+    sizes = np.bincount(toxic, minlength=2)
     if not sizes[0] or not sizes[1]:
         return SeverityModel({}, np.zeros(0))
-    a, b = (np.zeros(len(number)) for _ in range(2))
-    for out, counts in ((a, seen[1]), (b, seen[0])):
-        out[list(counts.keys())] = list(counts.values())
+    none = len(features)
+    width = 1 + len(PREFIXES)
+    table = np.full((len(words), width), none, np.int32)
+    for k, own in enumerate(of_word):
+        table[k, : len(own)] = own
+    seen = np.zeros((2, none + 1))
+    for label, (ids, _) in zip(toxic, held):
+        seen[label, np.unique(table[ids])] += 1
+    b, a = seen[:, :none]
     odds = np.log((a + 0.5) / (sizes[1] - a + 0.5)) - np.log((b + 0.5) / (sizes[0] - b + 0.5))
     kept = np.flatnonzero((a >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
     kept = kept[np.argsort(-a[kept], kind="stable")][:FEATURES_KEPT]
     if not len(kept):
         return SeverityModel({}, np.zeros(0))
-    column = np.full(len(number), -1)
+    column = np.full(none + 1, -1)
     column[kept] = np.arange(len(kept))
-    rows, cols, values, toxic = [], [], [], np.array([h[0] for h in held])
-    for r, (_, ids, counts) in enumerate(held):
-        on = column[ids] >= 0
-        rows.append(np.full(on.sum(), r))
-        cols.append(column[ids[on]])
-        values.append(1 + np.log(counts[on]))
-    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    parts = []
+    for r, (ids, counts) in enumerate(held):
+        own = column[table[ids]]
+        on = own >= 0
+        n = np.bincount(own[on], np.broadcast_to(counts[:, None], own.shape)[on], minlength=len(kept)) if on.any() else np.zeros(0)
+        hit = np.flatnonzero(n)
+        parts.append((np.full(len(hit), r), hit, 1 + np.log(n[hit])))
+    rows, cols, values = (np.concatenate(x) for x in zip(*parts))
     mass = np.bincount(rows, values, minlength=len(held))
     cuts = np.unique(np.quantile(mass[toxic == 1], [1 / 3, 2 / 3]))
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, "left"), 0)
-    n_grades = int(grades.max()) + 1
-    w, thresholds = fit_cumulative_link(rows, cols, values, grades, len(kept), n_grades)
-    names = {k: f for f, k in number.items()}
-    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds)
+    w, thresholds = fit_cumulative_link(rows, cols, values, grades, len(kept), int(grades.max()) + 1)
+    names = {k: f for f, k in features.items()}
+    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds, best_cut(np.bincount(rows, values * w[cols], minlength=len(held)), toxic))
+
+
+def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:
+    """The lowest evidence that counts as toxic: it maximises true less false positive rate over the sample. No evidence (0) is never toxic."""
+    order = np.argsort(-eta, kind="stable")
+    gain = np.cumsum(np.where(toxic[order] == 1, 1 / max(1, toxic.sum()), -1 / max(1, (toxic == 0).sum())))
+    at = np.flatnonzero((eta[order] > 0) & (np.append(eta[order][1:], -np.inf) < eta[order]))
+    if not len(at):
+        return np.inf
+    best = at[np.argmax(gain[at])]
+    below = eta[order][best + 1] if best + 1 < len(eta) else 0.0
+    return float((eta[order][best] + max(0.0, below)) / 2)
 
 
 def severity(model: SeverityModel, text: Column) -> Column:
-    """A struct of RESULT: expected grade, most certain grade reached, P(grade >= 1), and whether that is at least a half."""
+    """A struct of RESULT: expected grade, most certain grade reached, P(grade >= 1), and whether the evidence reaches the model's cut."""
     spark_model = model
 
     @F.arrow_udf(RESULT)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, langid, media, tokens, toxicity
+from . import decontamination, langid, media, mixing, tokens, toxicity
 from .common import small_batches, table
 
 
@@ -36,6 +36,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", media.media_features(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each whole text."""
     small_batches(spark)
@@ -45,8 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE_SQL}

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, langid, media, mixing, sharding, tokens, toxicity
+from . import decontamination, langid, media, mixing, neardup, sharding, tokens, toxicity
 from .common import small_batches, table
 
 
@@ -42,6 +42,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-duplicates of each document, on four-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op6_sharding, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

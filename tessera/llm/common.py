@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,8 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once."""
+    """Bounds what a Python worker holds at once, and sends this package to the executors, once for each context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    context = spark.sparkContext
+    if getattr(context, "_tessera_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = f"{tempfile.mkdtemp()}/{package.name}_package.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tessera_sent = True
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BROADCAST_KEYS, materialise, utf8
+from .common import BROADCAST_KEYS, materialise, small_batches, utf8
 
 SHARDS, BUCKET_GROUPS, FAN_IN, SLOT_ROWS = 16, 20_000, 512, 50_000
 
@@ -108,6 +108,7 @@ def _next_round(nodes: DataFrame, buckets: int, shards: int) -> DataFrame:
 
 def assign_groups(groups: DataFrame, shards: int = SHARDS, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
     """groups: g1, g2 (a group's key, both long) and bytes. Returns g1, g2 and shard."""
+    small_batches(groups.sparkSession)
     groups = materialise(groups, "shard-groups")
     buckets = max(1, -(-groups.count() // bucket_groups))
     placed = materialise(_first_round(groups, buckets, shards), "shard-nodes")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, langid, media, mixing, neardup, sharding, tokens, toxicity
+from . import decontamination, langid, media, mixing, neardup, sharding, tokens, toxicity, urlfilter
 from .common import small_batches, table
 
 
@@ -47,6 +47,11 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page's URL."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op8_url_filter, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, langid, media, mixing, neardup, sharding, tokens, toxicity, urlfilter
+from . import decontamination, langid, media, mixing, neardup, pii, sharding, tokens, toxicity, urlfilter
 from .common import small_batches, table
 
 
@@ -20,6 +20,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge_documents(docs, table(spark, sf_dir, "benchmark"), "r").select("doc_id", "r.*")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document; profiles are learned from the documents that are not held out."""
     small_batches(spark)
@@ -66,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op8_url_filter, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op8_url_filter, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows in an Arrow batch. Texts may be long, so a batch holds few rows.
 BATCH_ROWS = 256
+#: Bytes in an Arrow batch, besides its last row.
+BATCH_BYTES = 4 << 20
 #: Rows that may be broadcast as bare long keys (16 bytes each); beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
 
@@ -21,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once, and sends this package to the executors, once for each context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_tessera_sent", False):
         return
@@ -51,7 +54,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

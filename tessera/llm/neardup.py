@@ -34,7 +34,7 @@ from .graph import components
 
 SHINGLE, PERCENT, BANDS, ROWS, BITS, BLOCK = 5, 80, 36, 5, 512, 512
 LEAST_ESTIMATE = 0.6
-_CACHE = 400_000
+_CACHE = 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.Generator(np.random.PCG64(7))
 _MULTIPLIERS = (_SEEDS.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]

@@ -31,7 +31,7 @@ SAMPLE, MIN_DOCS, MIN_LOG_ODDS, PREFIXES = 4000, 8, 3.0, (4, 5, 6, 7, 8)
 FEATURES_KEPT = 1 << 14
 _WORD = re.compile(r"\w+")
 #: Bounds a worker's cache of words.
-CACHE = 400_000
+CACHE = 100_000
 RESULT = "expected_severity double, grade int, p_toxic double, toxic boolean"
 
 

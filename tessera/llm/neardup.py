@@ -9,12 +9,15 @@ sequence is one). Two documents are linked if 100 * intersection >= PERCENT * un
 * An odd sketch holds the parity of all samples folded into BITS bits. The population count c of two sketches' XOR
   estimates the similarity as 1 + BITS / (4 k) * ln(1 - 2 c / BITS), k = BANDS * ROWS. A candidate passes at an estimate of
   0.6 or more, over four standard deviations below 0.8.
-* Round 'star' tries each node of a bucket against the bucket's smallest node. Buckets whose nodes are then all
-  connected are done. In the others, nodes of different components are compared sketch by sketch in blocks of BLOCK
-  nodes against BLOCK; round 'best' tries the likeliest partner in each other component, round 'all' every one that passes
-  and is still in another component. So no round emits the pairs of a group of copies, and no link that could join two
-  components is left untried.
-* What passes is confirmed on the full sets, made again from the texts of the nodes concerned.
+* Candidates are the pairs of a bucket that pass. They are never listed: each node of a bucket is tried against the
+  bucket's lead (the node whose buckets are largest, so the original of a group of altered copies), and where that leaves a
+  bucket in several components its nodes are compared sketch by sketch in blocks of BLOCK against BLOCK, and each block
+  sends a spanning forest of what passes. So clusters, the components of all candidates, are found whole.
+* Pairs with a lead are confirmed on the full sets, made again from the texts of the clusters' nodes. A cluster that
+  falls into several components is then compared set by set: the nodes outside its largest component against all
+  others, again in blocks (of BLOCK nodes and SET_BYTES at most, about), each sending a spanning forest of its links.
+
+So no step emits the pairs of a group, and no link between two components goes untried.
 
 Defined cases: null texts and texts without words have empty sets and are linked with nothing; rows that repeat an
 id and text are copies of each other; a null id is never the smallest of a group that has other ids; an empty table
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import BROADCAST_KEYS, key_join, materialise, small_batches, utf8
 from .graph import components
 
-SHINGLE, PERCENT, BANDS, ROWS, BITS, BLOCK = 5, 80, 36, 5, 512, 512
+SHINGLE, PERCENT, BANDS, ROWS, BITS, BLOCK, SET_BYTES = 5, 80, 36, 5, 512, 512, 2 << 20
 LEAST_ESTIMATE = 0.6
 _CACHE = 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -131,12 +134,16 @@ def _linked(left: Column, right: Column, percent: int) -> Column:
     return judge(left, right)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. pairs is materialised; only documents of its nodes are read again."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = materialise(nodes.join(used, "node", "left_semi").select(F.col("first_id").alias("doc_id")), "near-ids")
+def _full_sets(docs: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
+    """node, members of the nodes of clusters (node, first_id); only their documents are read again."""
+    ids = materialise(clusters.select(F.col("first_id").alias("doc_id")).distinct(), "near-ids")
     texts = key_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
-    sets = materialise(texts.select(_sets(F.col("text"), shingle).alias("s")).select("s.*"), "near-sets")
+    made = texts.select(_sets(F.col("text"), shingle).alias("s")).select("s.*")
+    return materialise(made.join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     return both.where(_linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
@@ -147,45 +154,87 @@ def _passes(percent: int) -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart <= most_bits())
 
 
-def _cross_pairs(rows: DataFrame, mode: str, percent: int) -> DataFrame:
-    """rows: bucket, node, label, n, odd, blocks (of the bucket). Candidate pairs of different labels that pass the sketch.
-
-    Each block of a bucket meets each other block and itself; only passing pairs leave. mode 'best': for each node and
-    other label the partner with the fewest differing bits.
+def spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of edges between labels x[k] and y[k], the numbers k of a spanning forest."""
+    labels, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    edge = np.full((len(labels), len(labels)), -1)
+    edge[x, y] = edge[y, x] = np.arange(len(x))
+    seen, kept = np.zeros(len(labels), bool), []
+    for root in range(len(labels)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        todo = [root]
+        while todo:
+            u = todo.pop()
+            near = np.flatnonzero((edge[u] >= 0) & ~seen)
+            seen[near] = True
+            kept.append(edge[u, near])
+            todo.extend(near.tolist())
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def similar_sketches(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """Whether pairs of two sides (sizes n, sketches as rows of 64-bit words) pass."""
+    apart = np.zeros((len(a[0]), len(b[0])), np.int64)
+    for k in range(BITS // 64):
+        apart += np.bitwise_count(a[1][:, k, None] ^ b[1][None, :, k])
+    n, m = a[0][:, None], b[0][None, :]
+    return (apart <= most_bits()) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+
+
+def similar_sets(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Whether pairs of two sides' sets are links. Hashes that only one set has are left out, the others multiplied as 0/1 matrices in slices."""
+    sets = [np.frombuffer(x, np.uint64) for x in (*a, *b)]
+    n = np.array([len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = held[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    both = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (first, first + 4096))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[row[lo:hi], column[lo:hi] - first] = 1
+        both += x[: len(a)] @ x[len(a) :].T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (n[: len(a), None] + n[None, len(a) :] - both)
+
+
+def _compared(dealt: DataFrame, payload: str, percent: int) -> DataFrame:
+    """dealt: k, i, j (a block pair), own (the row's block), node, label, and n, odd or members by payload.
+
+    Pairs a, b: for each block pair a spanning forest, over labels, of the pairs of different labels that are similar.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("bucket", "m.i", "m.j", "own", "node", "label", "n", "odd")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    limit = most_bits()
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch | None:
-            i, j = held[0][1], held[0][2]
-            sides = [[r for r in held if r[3] == i], [r for r in held if r[3] == j]]
-            if not sides[0] or not sides[1]:
+            _, i, j = held[0][:3]
+            left = [r for r in held if r[3] == i]
+            right = left if i == j else [r for r in held if r[3] == j]
+            if not left or not right:
                 return None
-            a, b = ((np.array([r[4] for r in s]), np.array([r[5] for r in s]), np.array([r[6] for r in s]), np.array([r[7] for r in s], np.int64).view(np.uint64)) for s in sides)
-            apart = np.zeros((len(a[0]), len(b[0])), np.int64)
-            for k in range(BITS // 64):
-                apart += np.bitwise_count(a[3][:, k, None] ^ b[3][None, :, k])
-            ok = (apart <= limit) & (a[1][:, None] != b[1][None, :])
-            ok &= np.minimum(a[2][:, None], b[2][None, :]) * 100 >= np.maximum(a[2][:, None], b[2][None, :]) * percent
-            x, y = np.nonzero(ok)
+            nodes = [np.array([r[4] for r in side], np.int64) for side in (left, right)]
+            labels = [np.array([r[5] for r in side], np.int64) for side in (left, right)]
+            differ = labels[0][:, None] != labels[1][None, :]
+            if not differ.any():
+                return None
+            if payload == "members":
+                ok = similar_sets([r[6] for r in left], [r[6] for r in right], percent)
+            else:
+                ok = similar_sketches(*((np.array([r[6] for r in side], np.int64), np.array([r[7] for r in side], np.int64).view(np.uint64)) for side in (left, right)), percent)
+            x, y = np.nonzero(ok & differ)
             if not len(x):
                 return None
-            if mode == "best":
-                bits = apart[x, y]
-                keep = np.zeros(len(x), bool)
-                for one, other in ((a[0][x], b[1][y]), (b[0][y], a[1][x])):
-                    order = np.lexsort((bits, other, one))
-                    first = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])))
-                    keep[order[first]] = True
-                x, y = x[keep], y[keep]
-            p = np.unique(np.stack([np.minimum(a[0][x], b[0][y]), np.maximum(a[0][x], b[0][y])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], ["a", "b"])
+            kept = spanning(labels[0][x], labels[1][y])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[0][x[kept]], pa.int64()), pa.array(nodes[1][y[kept]], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -200,6 +249,61 @@ def _cross_pairs(rows: DataFrame, mode: str, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _sketch_blocks(rows: DataFrame) -> DataFrame:
+    """rows: k, node, label, n, odd, blocks. Each block of a bucket meets each other and itself."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    return rows.withColumns({"own": own, "m": F.explode(meets)}).select("k", "m.i", "m.j", "own", "node", "label", "n", "odd")
+
+
+def _set_blocks(rows: DataFrame) -> DataFrame:
+    """rows: k (a cluster), node, label, members, inner (of the largest component), outer_blocks and inner_blocks.
+
+    Blocks of the outer nodes are numbered from 0, those of the inner ones after them. Outer blocks meet all blocks.
+    """
+    own = F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(F.xxhash64("node"), F.col("inner_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer_blocks"))).cast("int")
+    others = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    return rows.withColumns({"own": own, "m": F.explode(meets)}).select("k", "m.i", "m.j", "own", "node", "label", "members")
+
+
+def _clusters(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs with a bucket's lead, and node, cluster of all nodes that have a candidate."""
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = materialise(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    small = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    members = materialise(dealt.join(F.broadcast(shared) if small else shared, "bucket"), "near-members")
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    lead = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    star = members.join(lead, "bucket").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    sides = [nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in "ab"]
+    star = materialise(star.join(sides[0], "a").join(sides[1], "b").where(_passes(percent)).select("a", "b"), "near-star")
+    labels = components(star)
+    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held")).where("low != high")
+    split = split.select("bucket", F.ceil(F.col("held") / BLOCK).alias("blocks"))
+    rows = labelled.join(split, "bucket").join(nodes.select("node", "n", "odd"), "node").withColumnRenamed("bucket", "k")
+    joints = materialise(_compared(_sketch_blocks(rows), "sketch", percent), "near-joints")
+    if joints.limit(1).count():
+        labels = components(star.unionByName(joints))
+    return star, labels.withColumnRenamed("label", "cluster")
+
+
+def _rest(clusters: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that a cluster still falls into, as a spanning forest of each block pair."""
+    labelled = clusters.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets.select("node", F.octet_length("members").alias("bytes")), "node")
+    labelled = materialise(labelled.select("cluster", "node", "label", "bytes"), "near-parts")
+    parts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("bytes"))
+    whole = parts.groupBy("cluster").agg(F.max(F.struct("held", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("held").alias("held"), F.sum("bytes").alias("bytes"), F.max(F.struct("held", "label", "bytes")).alias("most")).where("parts > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / SET_BYTES), F.lit(1))
+
+    whole = whole.select("cluster", "largest", blocks(F.col("held") - F.col("most.held"), F.col("bytes") - F.col("most.bytes")).alias("outer_blocks"), blocks(F.col("most.held"), F.col("most.bytes")).alias("inner_blocks"))
+    rows = labelled.join(whole, "cluster").join(sets, "node").withColumns({"inner": F.col("label") == F.col("largest"), "k": F.col("cluster")})
+    return _compared(_set_blocks(rows), "members", percent)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     small_batches(docs.sparkSession)
@@ -207,29 +311,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     made = materialise(docs.select("doc_id", _sketches(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "near-sketches")
     nodes = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = materialise(nodes, "near-nodes")
-    sides = [nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in "ab"]
-
-    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
-    small = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    members = materialise(dealt.join(F.broadcast(shared) if small else shared, "bucket"), "near-members")
-    star = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(star.join(sides[0], "a").join(sides[1], "b").where(_passes(percent)).select("a", "b"), "near-star")
-    links = materialise(_confirmed(docs, nodes, tried, shingle, percent), "near-links")
-
-    for mode in ("best", "all"):
-        labels = components(links)
-        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held")).where("low != high")
-        split = materialise(split.select("bucket", F.ceil(F.col("held") / BLOCK).alias("blocks")), "near-split")
-        rows = labelled.select("bucket", "node", "label").join(split, "bucket").join(nodes.select("node", "n", "odd"), "node")
-        found = _cross_pairs(rows, mode, percent).join(tried, ["a", "b"], "left_anti")
-        found = found.join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        found = materialise(found, "near-found")
-        if found.limit(1).count() == 0:
-            break
-        links = materialise(links.unionByName(_confirmed(docs, nodes, found, shingle, percent)), "near-links")
-        tried = materialise(tried.unionByName(found), "near-tried")
+    star, clusters = _clusters(nodes, percent)
+    clusters = materialise(clusters.join(nodes.select("node", "first_id"), "node"), "near-clusters")
+    sets = _full_sets(docs, clusters, shingle)
+    links = materialise(_confirmed(star, sets, percent), "near-links")
+    links = materialise(links.unionByName(_rest(clusters, sets, links, percent)), "near-links")
     labels = components(links)
 
     known = nodes.select("node", "first_id").join(labels, "node")

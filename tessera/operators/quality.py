@@ -1,0 +1,320 @@
+"""Data-quality rules. Each gives findings: rule, severity, path, detail. Predicate rules of one table run in one scan.
+
+Inputs are the tables of sources.vault: pages (pages()), raws (raw_files()), edges (graph.link_edges()), and for some
+rules a list of files or a ledger. Findings are of one snapshot; repairs are separate projections (see fixes).
+"""
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import frontmatter as FM, text as T, urls as U
+from . import evolve, graph
+
+# Allowed source types, and phrases of pages that are gone.
+SOURCE_TYPES = ("paper", "repo", "webpage", "image", "video", "topic", "entity", "comparison", "insight", "journal", "keyword", "project")
+DEAD_MARKERS = ("page not found", "uh oh, we can't seem to find", "404", "this page isn't available")
+DEAD_PATTERNS = (
+    r"page not found\s*[·•]\s*github", r"this account doesn['’]?t exist\s*[/·•]\s*x", r"hmm[.…]+this page doesn['’]?t exist", r"page not found\s*\|\s*linkedin",
+    r"\blinkedin 404\b", r"^\s*404\s*[—–-]\s*not found\s*$", r"this site can['’]?t be reached",
+)
+# Links that are not followed.
+SKIPPED_LINKS = (
+    r"/download/?(\?|$)", r"/pricing/?(\?|$)", r"/signup/?(\?|$)", r"/sign-up/?(\?|$)", r"/signin/?(\?|$)", r"/sign-in/?(\?|$)", r"/login/?(\?|$)", r"/register/?(\?|$)",
+    r"/start/?(\?|$)", r"/get-started/?(\?|$)", r"/contact/?(\?|$)", r"^https?://[^/]+/?$",
+)
+# Hosts whose embeds are no content.
+EMBED_DENIED = (
+    "googletagmanager.com", "google-analytics.com", "googlesyndication.com", "googleadservices.com", "doubleclick.net", "gstatic.com", "google.com/recaptcha", "recaptcha.net", "hcaptcha.com",
+    "facebook.com", "platform.twitter.com", "syndication.twitter.com", "platform.linkedin.com", "instagram.com", "giscus.app", "disqus.com", "utteranc.es",
+    "youtube.com/embed", "youtube-nocookie.com", "player.vimeo.com", "w.soundcloud.com", "open.spotify.com", "podcasters.spotify.com",
+)
+STANDARD_FIELDS = ("title", "date_added", "last_updated", "source_type", "raw_path", "summary")
+STANDARD_TAGS = ("ai-agents", "architecture", "book", "course", "curated-list", "deep-learning", "finance", "insight", "journal", "knowledge-base", "learning", "llm", "math", "ml", "paper", "pdf", "productivity", "project", "python", "rag", "repo", "security", "session", "slides", "tool", "topic", "video", "visualization", "webpage", "workflow")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A predicate over rows of one table, with what to report."""
+
+    id: str
+    severity: str
+    table: str
+    holds: Callable[[], Column]
+    detail: Callable[[], Column] = lambda: F.lit("")
+
+
+def _value(k: str) -> Column:
+    return F.coalesce(F.element_at("values", F.lit(k)), F.lit(""))
+
+
+def _has(k: str) -> Column:
+    return (_value(k) != "") | F.map_contains_key("lists", F.lit(k))
+
+
+def _prose(body: Column) -> Column:
+    """Text without headings, images, link targets and URLs, before closing sections."""
+    for pattern, into in ((r"(?s)\n##\s*(?:Comments|Links Found|Connections|Keywords).*", ""), (r"(?m)^#.*$", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"<img[^>]*>", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"https?://\S+", ""), (r"\s+", " ")):
+        body = F.regexp_replace(body, pattern, into)
+    return F.trim(body)
+
+
+def _residual(body: Column) -> Column:
+    """What is left without comments, headings and lines of links only."""
+    for pattern in (r"(?s)<!--.*?-->", r"(?m)^#+\s+.*$", r"(?m)^\s*\[\[[^\]]+\]\](?:\s*[·•]\s*\[\[[^\]]+\]\])*\s*$"):
+        body = F.regexp_replace(body, pattern, "")
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
+
+
+def longest_line(text: Column) -> Column:
+    return F.array_max(F.transform(F.split(text, "\n"), F.length))
+
+
+def has_dead_marker(text: Column) -> Column:
+    low = F.lower(F.trim(text))
+    return (F.length(low) < 300) & F.exists(T.literals(DEAD_MARKERS), lambda m: F.contains(low, m))
+
+
+def dead_page(head: Column) -> Column:
+    return F.substring(head, 1, 3000).rlike("(?im)" + "|".join(f"(?:{p})" for p in DEAD_PATTERNS))
+
+
+def weak_title(title: Column) -> Column:
+    return title.rlike(r"(?i)^(LinkedIn|X|Web|Reddit|Threads):\s*(Post|Untitled|Page|Home|Index|Article|Story|Feed)(?:\s+\1)?\s*$")
+
+
+def tags_not_in_text() -> Column:
+    """Tags whose words are absent from title, summary and the first 4,000 characters."""
+    low = F.lower(F.concat_ws(" ", "title", "summary", F.substring("body", 1, 4000)))
+    return F.filter("tags", lambda t: ~F.contains(low, F.replace(F.lower(t), F.lit("-"), F.lit(" "))) & ~F.contains(low, F.lower(t)))
+
+
+_PAGE = "pages"
+_RAW = "raws"
+RULES: tuple[Rule, ...] = (
+    Rule("2d", "warn", _PAGE, lambda: F.col("rel_path").contains("/format/") & (F.col("raw_path") == "") & (F.length("body") < 200)),
+    Rule("2b", "error", _PAGE, lambda: (F.regexp_extract("rel_path", r"/format/([^/]+)/", 1) != "") & (F.regexp_extract("raw_path", r"^raw/([^/]+)/", 1) != "") & (F.regexp_extract("rel_path", r"/format/([^/]+)/", 1) != F.regexp_extract("raw_path", r"^raw/([^/]+)/", 1)), lambda: F.col("raw_path")),
+    Rule("4-fields", "error", _PAGE, lambda: (_value("title") == "") | (F.size("tags") == 0) | (F.col("url") == "") | (F.col("date_added") == ""), lambda: F.array_join(F.filter(F.array(*(F.when(~_has(k), F.lit(k)) for k in ("title", "tags", "url", "date_added"))), lambda x: x.isNotNull()), ",")),
+    Rule("4-type", "error", _PAGE, lambda: (F.col("source_type") != "") & ~F.col("source_type").isin(*SOURCE_TYPES), lambda: F.col("source_type")),
+    Rule("4-tags", "info", _PAGE, lambda: F.size(F.array_except("tags", T.literals(STANDARD_TAGS))) > 0, lambda: F.array_join(F.array_except("tags", T.literals(STANDARD_TAGS)), ",")),
+    Rule("4b", "error", _PAGE, lambda: sum(((~_has(k)).cast("int") for k in STANDARD_FIELDS), F.lit(0)) >= 4),
+    Rule("7", "warn", _PAGE, lambda: (F.regexp_count("body", F.lit(r"(?m)^# \S")) > 1) | (F.length("body") < 10)),
+    Rule("13", "info", _PAGE, lambda: F.lower(F.regexp_extract("body", r"(?m)^# +(.+)$", 1)).startswith(F.lower("title")) & (F.regexp_extract("body", r"(?m)^# +(.+)$", 1) != "")),
+    Rule("14", "info", _PAGE, lambda: (F.size("tags") > 0) & ~F.col("body").rlike(r"(?m)^##+\s*Keywords")),
+    Rule("15a", "warn", _PAGE, lambda: (F.col("url") != "") & ~F.contains("body", F.col("url"))),
+    Rule("15f", "info", _PAGE, lambda: (F.col("raw_path") != "") & ~F.contains("body", F.col("raw_path"))),
+    Rule("15b", "warn", _PAGE, lambda: (F.length("body") < 300) & F.contains("body", F.concat(F.lit("[["), F.col("title"), F.lit("]]")))),
+    Rule("15d", "warn", _PAGE, lambda: (F.col("source_type") == "insight") & (F.length(_residual(F.col("body"))) < 50)),
+    Rule("15", "error", _PAGE, lambda: F.col("name").rlike(r"[\x00-\x1f]")),
+    Rule("16", "warn", _PAGE, lambda: (F.col("source_type") == "topic") & ~F.col("rel_path").contains("/topics/")),
+    Rule("17", "error", _PAGE, lambda: has_dead_marker(F.col("body"))),
+    Rule("19", "warn", _PAGE, lambda: F.length(_residual(F.col("body"))) < 40),
+    Rule("20", "info", _PAGE, lambda: F.col("body").rlike(r"(?m)^[-*]\s*\*\*(Source|Type|Date added|Captured)\*?\*?:")),
+    Rule("25", "error", _PAGE, lambda: F.col("stem").rlike(r"[ .]$")),
+    Rule("25b", "error", _PAGE, lambda: F.col("stem").rlike(r"\(\s*\)|\[\s*\]")),
+    Rule("29", "info", _PAGE, lambda: F.length("title").isin(65, 75, 100) & F.col("title").rlike(r"[A-Za-z]$"), lambda: F.col("title")),
+    Rule("30", "error", _PAGE, lambda: F.col("title").rlike("&(?:amp|lt|gt|quot|#39|nbsp);")),
+    Rule("30c", "error", _PAGE, lambda: F.col("stem").rlike(r"[#^\[\]]")),
+    Rule("30b", "error", _PAGE, lambda: F.col("stem").rlike("[�\\x7f]")),
+    Rule("32", "warn", _PAGE, lambda: _value("summary").rlike(r"aliases:\s*")),
+    Rule("34", "info", _PAGE, lambda: F.col("date_added").rlike(r"^\d{4}-\d\d-\d\dT") | F.col("last_updated").rlike(r"^\d{4}-\d\d-\d\dT")),
+    Rule("36", "info", _PAGE, lambda: F.col("summary").rlike(r"^\s*>")),
+    Rule("37", "info", _PAGE, lambda: (F.size("tags") >= 4) & (F.size(tags_not_in_text()) >= 3), lambda: F.array_join(tags_not_in_text(), ",")),
+    Rule("42", "warn", _PAGE, lambda: weak_title(F.col("stem"))),
+    Rule("47", "info", _PAGE, lambda: F.col("body").rlike(r"^\s*(?:!\[|<img|<video)")),
+    Rule("48", "error", _PAGE, lambda: F.col("body").rlike(r"^---\n(?:\w+:.*\n)+---")),
+    Rule("50", "warn", _PAGE, lambda: F.col("title").rlike(r"^https?://|^www\."), lambda: U.humanised(F.regexp_extract("title", r"([^/]+)/?$", 1))),
+    Rule("identity", "error", _PAGE, lambda: F.col("url").rlike(r"(?i)^https?://(?:www\.)?(?:linkedin\.com/feed|linkedin\.com|x\.com/home|x\.com|twitter\.com/home|twitter\.com|medium\.com|substack\.com|news\.ycombinator\.com|reddit\.com)/?$"), lambda: F.col("url")),
+    Rule("schema", "error", _PAGE, lambda: F.size(FM.violations(F.col("values"), F.col("lists"))) > 0, lambda: F.array_join(FM.violations(F.col("values"), F.col("lists")), "; ")),
+    Rule("slides", "info", _PAGE, lambda: F.size(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\((https?://[^)\s]*(?:carousel|slide)[^)\s]*)\)"), 1))) >= 3),
+    Rule("6c", "warn", _RAW, lambda: (F.col("category") == "repos") & (_value("clipped_via") == "browser-capture")),
+    Rule("6d", "warn", _RAW, lambda: F.col("source").rlike(r"(?i)(?:x|twitter)\.com/[^/]+/status/") & (_value("clipped_via") == "browser-capture")),
+    Rule("6e", "warn", _RAW, lambda: (F.col("category") == "webpages") & (_value("clipped_via") == "browser-capture") & (F.length(F.regexp_replace("body", r"\s+", " ")) < 2000)),
+    Rule("6f", "warn", _RAW, lambda: (F.col("category") == "papers") & ~F.col("body").rlike(r"(?m)^##+\s*Full [Tt]ext")),
+    Rule("6g", "warn", _RAW, lambda: F.col("body").contains("Subscribe to continue reading") | F.col("body").contains("This is a preview")),
+    Rule("6h-empty", "warn", _RAW, lambda: F.col("source").rlike(r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/[^/]+/status/") & (F.length(_prose(F.col("body"))) < 80) & F.col("body").rlike(r"!\[|<img|https?://") & ~F.regexp_replace("body", r"(?i)https?://(?:www\.)?(?:pbs\.twimg\.com|video\.twimg\.com|x\.com|twitter\.com)[/:]\S*", "").rlike(r"https?://")),
+    Rule("6h-chrome", "warn", _RAW, lambda: F.col("source").contains("linkedin.com/") & F.col("body").rlike(r"(?i)View profile for|\btrk=[^)\s]*[_-]actor")),
+    Rule("6h-cut", "warn", _RAW, lambda: U.is_social(F.col("source")) & F.col("body").rlike(r"(?i)…\s*more|\bsee more\b|\bShow this thread\b")),
+    Rule("6j", "error", _RAW, lambda: U.unservable(F.col("source")), lambda: F.col("source")),
+    Rule("10", "warn", _RAW, lambda: F.col("content").rlike(r"(?s)^---\n(?:[^\n]+\n)*\n+(?:[^\n]+\n)*---\n")),
+    Rule("11", "error", _RAW, lambda: F.col("size") == 0),
+    Rule("18", "info", _RAW, lambda: F.lower(F.regexp_extract("body", r"(?m)^# +(.+)$", 1)).isin("untitled", "post", "tweet", "thread", "page", "linkedin", "x")),
+    Rule("27", "info", _RAW, lambda: ~F.exists(F.slice(F.split(F.ltrim("body"), "\n"), 1, 5), lambda x: x.rlike(r"^# \S"))),
+    Rule("30c-raw", "error", _RAW, lambda: ~F.col("has_front_matter")),
+    Rule("33", "warn", _RAW, lambda: F.regexp_count("content", F.lit(r"(?m)^tags:")) >= 2),
+    Rule("35", "error", _RAW, lambda: F.col("content").startswith("%PDF-") | ((F.length("content") > 1000) & (F.regexp_count("content", F.lit(r"[\x00-\x08\x0E-\x1F\x7F]")) > 200))),
+    Rule("39", "warn", _RAW, lambda: F.col("slug").isin(*U.BAIT_SLUGS) & F.col("source").isNotNull()),
+    Rule("41", "error", _RAW, lambda: F.trim("content") == ""),
+    Rule("43", "warn", _RAW, lambda: (F.col("size") > 0) & (F.col("size") < 800) & F.col("has_front_matter") & F.col("source").rlike("^https?://"), lambda: F.col("size").cast("string")),
+    Rule("44", "info", _RAW, lambda: F.col("has_front_matter") & (longest_line(F.col("body")) > 1500), lambda: longest_line(F.col("body")).cast("string")),
+    Rule("46b", "error", _RAW, lambda: F.col("content").rlike(r'(?m)^\w+:\s*"[^"\n]*$')),
+    Rule("49", "error", _RAW, lambda: ~F.col("path").contains("/artifacts/")),
+)
+
+
+def predicate_findings(frame: DataFrame, table: str, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All predicate rules of one table in one scan."""
+    own = [r for r in rules if r.table == table]
+    found = F.array(*(F.when(F.coalesce(r.holds(), F.lit(False)), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.coalesce(r.detail(), F.lit("")).alias("detail"))) for r in own))
+    return frame.select(F.col(path).alias("path"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.rule", "x.severity", "path", "x.detail")
+
+
+def _finding(df: DataFrame, rule: str, severity: str, path: Column | str, detail: Column | str | None = None) -> DataFrame:
+    return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col(path) if isinstance(path, str) else path).alias("path"), (F.lit("") if detail is None else F.col(detail) if isinstance(detail, str) else detail).cast("string").alias("detail"))
+
+
+def broken_links(pages: DataFrame) -> DataFrame:
+    """1: link targets that are no page; links after a Keywords heading don't count."""
+    body = F.regexp_replace("body", r"(?s)\n##+\s*Keywords.*$", "")
+    links = pages.select("rel_path", F.explode(T.wikilinks(body)).alias("name")).where(~F.col("name").startswith("raw/"))
+    return _finding(links.join(graph.names(pages), "name", "left_anti"), "1", "error", "rel_path", "name")
+
+
+def missing_raws(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """2a: raw paths of pages that point nowhere."""
+    return _finding(pages.where("raw_path != ''").join(raws.select(F.col("path").alias("raw_path")), "raw_path", "left_anti"), "2a", "error", "rel_path", "raw_path")
+
+
+def orphan_raws(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """2c: raws that no page names by path or by source URL, and that are not marked as merged."""
+    left = raws.where(F.coalesce(F.element_at("values", F.lit("merged_into")), F.lit("")) == "").join(pages.select(F.col("raw_path").alias("path")), "path", "left_anti")
+    left = left.withColumn("_u", U.canonical_url(F.coalesce("source", F.lit("")))).join(pages.where("url != ''").select(U.canonical_url("url").alias("_u")), "_u", "left_anti")
+    return _finding(left, "2c", "warn", "path", F.when(F.length("body") < 500, "thin").otherwise("full"))
+
+
+def raw_collisions(pages: DataFrame) -> DataFrame:
+    """2e, 30d: raw paths used by several pages."""
+    groups = pages.where("raw_path != ''").groupBy("raw_path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("rel_path")), ",").alias("users")).where("n > 1")
+    return _finding(groups, "2e", "error", "raw_path", "users")
+
+
+def orphan_pages(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """3a: pages that nothing links."""
+    return _finding(graph.orphans(pages, edges).join(pages.select("page_id", "rel_path"), "page_id"), "3a", "info", "rel_path")
+
+
+def one_way_related(pages: DataFrame) -> DataFrame:
+    """3c: A relates to B, B not to A; topic pages are exempt."""
+    known = graph.names(pages).withColumnRenamed("page_id", "target_id")
+    own = pages.select(F.col("page_id").alias("source_id"), F.explode(F.transform("related", lambda x: F.regexp_replace(x, r"^\[\[|\]\]$", ""))).alias("name")).join(known, "name")
+    lone = graph.one_way(own, pages.where("source_type = 'topic'").select("page_id"))
+    named = pages.select(F.col("page_id").alias("source_id"), "rel_path").join(lone, "source_id").join(pages.select(F.col("page_id").alias("target_id"), F.col("title").alias("other")), "target_id")
+    return _finding(named, "3c", "info", "rel_path", "other")
+
+
+def duplicate_urls(pages: DataFrame) -> DataFrame:
+    """6a: pages that lose to another with the same canonical URL."""
+    lost = evolve.url_winners(pages.where("url != ''")).where("not wins").join(pages.select("page_id", "rel_path"), "page_id")
+    return _finding(lost, "6a", "error", "rel_path", "canonical")
+
+
+def url_mismatch(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """6b: a page's URL differs from its raw's."""
+    both = pages.where("raw_path != '' and url != ''").join(raws.select(F.col("path").alias("raw_path"), "source"), "raw_path").where(U.canonical_url("url") != U.canonical_url("source"))
+    return _finding(both, "6b", "warn", "rel_path", "source")
+
+
+def redirects_to_nothing(pages: DataFrame) -> DataFrame:
+    """28: redirects whose target is no page."""
+    own = pages.select("rel_path", F.regexp_replace(_value("redirect_to"), r"^\[\[|\]\]$", "").alias("name")).where("name != ''")
+    return _finding(own.join(graph.names(pages), "name", "left_anti"), "28", "error", "rel_path", "name")
+
+
+def same_status(raws: DataFrame) -> DataFrame:
+    """38: raws of one status."""
+    own = raws.withColumn("status", F.regexp_extract("source", r"/status/(\d+)", 1)).where("status != ''").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1")
+    return _finding(own, "38", "warn", "path", "status")
+
+
+def same_title_pairs(pages: DataFrame) -> DataFrame:
+    """40: a status page and a web page with equal first 60 letters of the title, the former short."""
+    key = F.substring(F.regexp_replace(F.lower(F.regexp_replace("title", r"^[A-Za-z]+:\s*", "")), "[^a-z0-9]+", ""), 1, 60)
+    own = pages.withColumn("k", key).where("k != ''")
+    a = own.where(F.col("title").startswith("X:") & (F.length("body") <= 1500)).select("k", "rel_path")
+    b = own.where(F.col("title").startswith("Web:")).select("k", F.col("rel_path").alias("other"))
+    return _finding(a.join(b, "k"), "40", "warn", "rel_path", "other")
+
+
+def uncited_sources(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """45: social posts name a source that has no page."""
+    own = raws.where(U.is_social(F.col("source"))).select("path", F.explode(U.references(F.col("body"))).alias("ref")).withColumn("_u", U.canonical_url("ref"))
+    return _finding(own.join(pages.where("url != ''").select(U.canonical_url("url").alias("_u")), "_u", "left_anti"), "45", "info", "path", "ref")
+
+
+def unresolved_embeds(embeds: DataFrame, resolved: DataFrame, queued: DataFrame) -> DataFrame:
+    """46: embeds (source_url, embed_url) neither resolved nor queued (url)."""
+    left = embeds.withColumn("_u", U.canonical_url("embed_url"))
+    for df in (resolved, queued):
+        left = left.join(df.select(U.canonical_url("url").alias("_u")), "_u", "left_anti")
+    return _finding(left, "46", "warn", "source_url", "embed_url")
+
+
+def dead_again(dead: DataFrame, captured: DataFrame) -> DataFrame:
+    """51: recorded as dead, captured later."""
+    return _finding(evolve.resurrected(dead, captured), "51", "info", "url")
+
+
+def stated_counts(pages: DataFrame, raws: DataFrame, stated: dict[str, int]) -> DataFrame:
+    """5, 9: counts that an index states (wiki, raw) differ from the actual ones."""
+    actual = pages.agg(F.count(F.lit(1)).alias("wiki")).crossJoin(F.broadcast(raws.agg(F.count(F.lit(1)).alias("raw"))))
+    rows = actual.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("n"), F.lit(stated[k]).alias("s")) for k in ("wiki", "raw") if k in stated))).alias("x")).select("x.*").where("n != s")
+    return _finding(rows, "5", "warn", "k", F.concat_ws(" of ", F.col("s").cast("string"), F.col("n").cast("string")))
+
+
+def context_flags(lines: DataFrame, inner: str, outer: str) -> DataFrame:
+    """31: lines (path, n, line) that match inner where a line from five before to four after matches outer."""
+    w = Window.partitionBy("path").orderBy("n").rowsBetween(-5, 4)
+    near = lines.withColumn("near", F.max(F.col("line").rlike(outer)).over(w))
+    return _finding(near.where(F.col("line").rlike(inner) & F.col("near")), "31", "info", "path", "line")
+
+
+def findings(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """All rules that need pages and raws only."""
+    edges = graph.link_edges(pages)
+    parts = [predicate_findings(pages, _PAGE, "rel_path"), predicate_findings(raws, _RAW, "path"), broken_links(pages), missing_raws(pages, raws), orphan_raws(pages, raws), raw_collisions(pages), orphan_pages(pages, edges), one_way_related(pages), duplicate_urls(pages), url_mismatch(pages, raws), redirects_to_nothing(pages), same_status(raws), same_title_pairs(pages), uncited_sources(pages, raws)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def classes(found: DataFrame, samples: int = 5) -> DataFrame:
+    """rule, n and the first samples by path."""
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("path", "detail"))
+    return found.withColumn("p", place).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("p") <= samples, F.col("path")))).alias("samples")).orderBy(F.desc("n"), "rule")
+
+
+def fixes(pages: DataFrame) -> DataFrame:
+    """Repairs as a projection: entities, date times, trailing dots, tags, canonical URLs."""
+    return pages.withColumns({
+        "title": F.trim(T.html_unescape(F.col("title"))), "date_added": F.regexp_replace("date_added", r"^(\d{4}-\d\d-\d\d)T.*$", "$1"), "last_updated": F.regexp_replace("last_updated", r"^(\d{4}-\d\d-\d\d)T.*$", "$1"),
+        "stem": F.regexp_replace("stem", r"[ .]+$", ""), "tags": F.array_distinct(F.transform("tags", lambda t: F.lower(F.regexp_replace(F.trim(t), r"\s+", "-")))), "url": U.canonical_url("url"), "body": F.regexp_replace("body", r"^(?:---\n(?:\w+:.*\n)+---\n)", ""),
+    })
+
+
+# How summaries must not begin, and words they must not hold.
+SUMMARY_LENGTH, FORBIDDEN_OPENERS, FORBIDDEN_WORDS = (100, 600), ("this page", "this article", "this post", "the author", "in this"), ("delve", "comprehensive overview", "game-changer", "cutting-edge")
+
+
+def summary_problem(summary: Column) -> Column:
+    """Why a summary is refused, or null."""
+    s, low = F.trim(summary), F.lower(F.trim(summary))
+    return (
+        F.when(summary.isNull() | (s == ""), "empty").when((F.length(s) < SUMMARY_LENGTH[0]) & ~F.contains(low, F.lit("sparse capture")), "too-short").when(F.length(s) > SUMMARY_LENGTH[1], "too-long")
+        .when(F.exists(T.literals(FORBIDDEN_OPENERS), lambda o: F.startswith(low, o)), "forbidden-opener").when(F.exists(T.literals(FORBIDDEN_WORDS), lambda w: F.contains(low, w)), "forbidden-word")
+        .when(F.contains(s, F.lit("\n")), "contains-newline").when(s.rlike(r"[\x{1D400}-\x{1D7FF}]"), "math-letters")
+    )
+
+
+def looks_cut(summary: Column) -> Column:
+    """Whether a summary should be made again: cut marks, leaked metadata, links, lengths of old limits, half words."""
+    s = F.rtrim(summary)
+    share = lambda pattern: F.length(F.array_join(F.regexp_extract_all(summary, F.lit(pattern), 0), "")) / F.length(summary)
+    ends = s.rlike(r"[.!?\"…)]$")
+    half = (F.length(s) > 100) & ~ends & s.rlike(r"\s[a-z]{1,4}$") & ~s.rlike(r"\s(?:is|a|an|in|on|at|to|of|or|by|be|as|if|it|no|so|up|us|we|the|and|for|but|you|all|any|out|can|had|has|her|him|his|its|may|new|now|old|one|our|two|use|way|who|why)$")
+    return (F.length(summary) > 0) & (
+        s.rlike(r"(?:…|\.\.\.)$") | summary.startswith("---") | F.contains(F.substring(summary, 1, 80), F.lit("title:")) | (share(r"\[[^\]]*\]\([^)]+\)") > 0.4) | (share(r"https?://\S+") > 0.5) | F.length(summary).isin(200, 500)
+        | ((F.length(summary).between(195, 205) | F.length(summary).between(495, 505)) & ~ends) | half | s.rlike(r"\[\d+\]$") | (share("<[^>]+>") > 0.2) | (share(r"\[\[[^\]]+\]\]") > 0.4)
+        | (F.regexp_count(summary, F.lit(r"\b[A-Z][a-zA-Z ]{3,30}:\s")) >= 3) | (F.length(s) < 100))

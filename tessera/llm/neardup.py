@@ -9,10 +9,11 @@ sequence is one). Two documents are linked if 100 * intersection >= PERCENT * un
 * An odd sketch holds the parity of all samples folded into BITS bits. The population count c of two sketches' XOR
   estimates the similarity as 1 + BITS / (4 k) * ln(1 - 2 c / BITS), k = BANDS * ROWS. A candidate passes at an estimate of
   0.6 or more, over four standard deviations below 0.8.
-* Candidates are the pairs of a bucket that pass. They are never listed: each node of a bucket is tried against the
-  bucket's lead (the node whose buckets are largest, so the original of a group of altered copies), and where that leaves a
-  bucket in several components its nodes are compared sketch by sketch in blocks of BLOCK against BLOCK, and each block
-  sends a spanning forest of what passes. So clusters, the components of all candidates, are found whole.
+* Candidates are the pairs of a bucket that pass. They are never listed: a bucket's lead is the node whose buckets are
+  largest, so the original of a group of altered copies; each node is tried against the lead that it shares most buckets
+  with. Where that leaves a bucket in several components its nodes are compared sketch by sketch in blocks of BLOCK
+  against BLOCK, and each block sends a spanning forest of what passes. So clusters, the components of all candidates, are
+  found whole.
 * Pairs with a lead are confirmed on the full sets, made again from the texts of the clusters' nodes. A cluster that
   falls into several components is then compared set by set: the nodes outside its largest component against all
   others, again in blocks (of BLOCK nodes and SET_BYTES at most, about), each sending a spanning forest of its links.
@@ -275,7 +276,9 @@ def _clusters(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     members = materialise(dealt.join(F.broadcast(shared) if small else shared, "bucket"), "near-members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     lead = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
-    star = members.join(lead, "bucket").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    # of the leads of its buckets each node tries the one that it shares most buckets with
+    common = members.join(lead, "bucket").where("node != lead").groupBy("lead", "node").agg(F.count(F.lit(1)).alias("buckets"))
+    star = common.groupBy("node").agg(F.max(F.struct("buckets", "lead"))["lead"].alias("a")).select("a", F.col("node").alias("b"))
     sides = [nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in "ab"]
     star = materialise(star.join(sides[0], "a").join(sides[1], "b").where(_passes(percent)).select("a", "b"), "near-star")
     labels = components(star)

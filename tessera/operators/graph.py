@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialise
 
 
 def names(pages: DataFrame) -> DataFrame:
@@ -133,8 +134,9 @@ def communities(graph: DataFrame, rounds: int = 10, resolution: float = 1.0) ->
     Local moving by modularity gain, all nodes of one parity of a hash at a time so that neighbours don't swap; ties go to
     the smallest community. Fixed rounds, so reruns agree; this is not the compared library's random order.
     """
-    both = graph.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(graph.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")).where("node != other").cache()
-    degree = both.groupBy("node").agg(F.sum("weight").alias("degree")).cache()
+    both = graph.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(graph.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")).where("node != other")
+    both = materialise(both, "louvain-edges")
+    degree = materialise(both.groupBy("node").agg(F.sum("weight").alias("degree")), "louvain-degrees")
     total = degree.agg(F.sum("degree").alias("t")).first()["t"] or 1.0
     state = degree.select("node", F.col("node").alias("community"), "degree")
     for r in range(rounds):
@@ -145,8 +147,8 @@ def communities(graph: DataFrame, rounds: int = 10, resolution: float = 1.0) ->
         gain = F.col("links") - resolution * F.col("degree") * (F.col("held") - F.when(F.col("community") == F.col("now"), F.col("degree")).otherwise(0.0)) / total
         best = options.withColumn("gain", F.round(gain, 9)).groupBy("node", "now", "degree").agg(F.min_by("community", F.struct(-F.col("gain"), "community")).alias("best"))
         moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        state = best.select("node", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), "degree").cache()
-        state.count()
+        state = best.select("node", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), "degree")
+        state = materialise(state, "louvain-state")
     sized = state.groupBy("community").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("members")).where("members >= 2")
     return state.join(sized, "community").select("node", F.col("label").alias("community"), "members")
 

@@ -62,16 +62,21 @@ def new_urls(stream: DataFrame, known: DataFrame, horizon: str = "30 days", ts:
     return own.join(known.select(U.canonical_url("url", U.LEDGER_TRACKING).alias("canonical")).distinct(), "canonical", "left_anti").dropDuplicatesWithinWatermark(["canonical"])
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Watermarks need times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "1 day", step: str = "6 hours", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def fresh(files: DataFrame, within: str, now) -> DataFrame:

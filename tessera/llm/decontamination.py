@@ -196,3 +196,19 @@ def remove_spans(text: str | None, intervals: list[tuple[int, int]]) -> str | No
             out.append(text[last : m.start()])
             last = m.end()
     return "".join(out) + text[last:]
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM sized, unnest(range(1, len(w) - n + 2)) AS t(i)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, n, i, item FROM places JOIN windows USING (n, s)),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM hits), unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

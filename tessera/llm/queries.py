@@ -75,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_minhash_neardup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

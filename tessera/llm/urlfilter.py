@@ -129,8 +129,11 @@ def calibrated_cut(scored: DataFrame, bins: int = BINS) -> float:
         *(F.sum((F.col("verdict") == k).cast("long")).alias(k) for k in ("allow", "block")))
     upto, everything = Window.orderBy("bin"), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gain = F.sum("block").over(upto) / F.sum("block").over(everything) - F.sum("allow").over(upto) / F.sum("allow").over(everything)
-    best = binned.withColumn("gain", gain).where("gain is not null").orderBy(F.desc("gain"), F.abs(F.col("bin") + 1), "bin").limit(1).collect()
-    return (best[0]["bin"] + 1) / 20 if best else 0.0
+    # the cut stands midway between a bin and the next one that holds scores
+    after = F.lead("bin").over(Window.orderBy("bin"))
+    cut = (F.col("bin") + 1 + F.coalesce("after", F.col("bin") + 1)) / 40
+    best = binned.withColumns({"gain": gain, "after": after}).where("gain is not null").orderBy(F.desc("gain"), F.abs(cut), "bin").select(cut.alias("cut")).limit(1).collect()
+    return best[0]["cut"] if best else 0.0
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES, order: int = ORDER) -> DataFrame:

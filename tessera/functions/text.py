@@ -1,6 +1,8 @@
 """Text functions over columns: built-in expressions, so plans stay in whole-stage code where Spark allows it."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Words left out of queries.
@@ -40,10 +42,24 @@ def unicode_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
+#: What tokens are made of, as the inside of a character class.
+ASCII, UNICODE = "a-z", r"\p{L}\p{N}_"
+
+
+def token_number(low: Column, letters: str = ASCII) -> Column:
+    """How many tokens a lower-cased text has."""
+    return F.regexp_count(low, F.lit(f"[{letters}]+"))
+
+
+def token_hits(low: Column, term: str, letters: str = ASCII) -> Column:
+    """How many tokens of a lower-cased text are the term; texts that don't hold it aren't matched."""
+    if not term or (letters == ASCII and not re.fullmatch("[a-z]+", term)):
+        return F.lit(0)
+    return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(rf"(?<![{letters}])\Q{term}\E(?![{letters}])"))).otherwise(0)
+
+
 def query_terms(query: str, stop_words=STOP_WORDS) -> list[str]:
     """Terms of a query, without stop words unless nothing else is left."""
-    import re
-
     terms = re.sub(r"[^\w\s]", " ", query).split()
     return [t for t in terms if t.lower() not in stop_words] or terms
 
@@ -62,7 +78,7 @@ def strip_markdown(text: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of [[target]] and [[target|shown]], trimmed, first occurrence first."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1), lambda x: F.trim(x)))
 
 
 def chunks(body: Column) -> Column:

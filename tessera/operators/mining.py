@@ -23,7 +23,7 @@ ENTITY_RULES = {
     "COURSE": r"\b(CS\d{3}[A-Z]?|CME\d{3}|MIT\s?\d+(?:\.\d+)?)\b",
     "TOOL": r"(?i)\b(pytorch|tensorflow|langchain|supabase|docker|kubernetes)\b",
     "MODEL": r"(?i)\b(gpt-4o?|llama|gemini|bert|whisper)\b",
-    "PERSON_OR_ORG": r"\b([A-Z][a-z]+(?:\s[A-Z][a-z]+)+)\b",
+    "PERSON_OR_ORG": r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b",
 }
 ENTITY_TEXT = 5000
 

@@ -5,8 +5,6 @@ shuffled for a query. Statistics are one aggregated row. All rankings end their
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -26,20 +24,17 @@ def top(df: DataFrame, k: int, by: str = "score", key: str = "page_id") -> DataF
     return df.orderBy(F.desc(by), key).limit(k)
 
 
-def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS, tokens: Callable[[Column], Column] = T.ascii_tokens, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII, k1: float = K1, b: float = B) -> DataFrame:
     """page_id, matched (number of terms found) and score of pages with at least one term.
 
     idf is floored at 1e-6; term frequencies are summed over fields by weight; lengths are of all fields together.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    own = pages.select("page_id", *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields))
-    length = sum((F.size(f"_{f}") for f in fields), F.lit(0))
-    counts = {}
-    for i, t in enumerate(terms):
-        tf = F.lit(0.0)
-        for f, w in fields.items():
-            tf = tf + F.size(F.filter(f"_{f}", _equals(t))) * F.lit(w)
-        counts[f"tf{i}"] = tf
+    kinds = dict(pages.dtypes)
+    text = {f: F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f) for f in fields}
+    own = pages.select("page_id", *(F.lower(F.coalesce(c, F.lit(""))).alias(f"_{f}") for f, c in text.items()))
+    length = sum((T.token_number(F.col(f"_{f}"), letters) for f in fields), F.lit(0))
+    counts = {f"tf{i}": sum((T.token_hits(F.col(f"_{f}"), t, letters) * F.lit(w) for f, w in fields.items()), F.lit(0.0)) for i, t in enumerate(terms)}
     counted = own.select("page_id", length.cast("long").alias("len"), *(c.alias(n) for n, c in counts.items()))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(c) > 0).cast("long")).alias(f"d_{c}") for c in counts))
     joined = counted.crossJoin(single_row(stats))
@@ -51,10 +46,6 @@ def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS,
     return joined.select("page_id", matched.alias("matched"), score.alias("score")).where("matched > 0")
 
 
-def _equals(t: str):
-    return lambda x: x == t
-
-
 def title_idf(pages: DataFrame, terms: list[str], missing: str = "floor") -> tuple[DataFrame, list[Column], Column]:
     """One row with the idf of each term over titles (as substrings), at most 5.
 
@@ -74,10 +65,10 @@ def _title_share(idf: list[Column], whole: Column, terms: list[str]) -> Column:
     return sum((F.when(F.contains(low, F.lit(t)), i).otherwise(0.0) for t, i in zip(terms, idf)), F.lit(0.0)) / whole
 
 
-def lexical(pages: DataFrame, query: str, k: int = SIGNAL_ROWS, fields: dict[str, float] = WEIGHTS, tokens=T.ascii_tokens) -> DataFrame:
+def lexical(pages: DataFrame, query: str, k: int = SIGNAL_ROWS, fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII) -> DataFrame:
     """page_id and score: pages with all terms count five times and once more among those with any; titles add up to three times."""
     terms = [t.lower() for t in T.query_terms(query)]
-    scored = bm25(pages, terms, fields, tokens)
+    scored = bm25(pages, terms, fields, letters)
     parts = top(scored, 2 * k).select("page_id", "score")
     if len(terms) > 1:
         every = top(scored.where(F.col("matched") == len(set(terms))), k)
@@ -133,17 +124,17 @@ def graph_signal(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: floa
     return arrivals.groupBy(F.col("next").alias("page_id")).agg(F.sum("own").alias("score"))
 
 
-def fuse(signals: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
+def fuse(signals: list[tuple[str, DataFrame, int]], k: int = RRF_K) -> DataFrame:
     """page_id, score and signals: 1 / (k + rank) plus the share of the list's best score / (k + 1), summed over lists.
 
-    A list's name may have a suffix after ':' so that one signal counts more than once.
+    signals: name, list, and how many times it counts.
     """
     parts = None
-    for name, frame in signals:
+    for name, frame, times in signals:
         whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         best = F.max("score").over(whole)
         rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "page_id"))
-        own = frame.select("page_id", F.lit(name.split(":")[0]).alias("signal"), (1.0 / (k + rank) + F.col("score") / F.when(best == 0, 1.0).otherwise(best) / (k + 1)).alias("part"))
+        own = frame.select("page_id", F.lit(name).alias("signal"), (times * (1.0 / (k + rank) + F.col("score") / F.when(best == 0, 1.0).otherwise(best) / (k + 1))).alias("part"))
         parts = own if parts is None else parts.unionByName(own)
     return parts.groupBy("page_id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
 
@@ -160,16 +151,14 @@ def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_
     if specific is None:
         stats, idf, _ = title_idf(pages, terms, missing="one")
         specific = bool(stats.select(F.greatest(*idf, F.lit(0.0)).alias("m")).first()["m"] >= SPECIFIC_IDF)
-    lists = [("lexical", words), ("title", titles)]
-    if specific:
-        lists += [("lexical:2", words), ("title:2", titles), ("title:3", titles)]
+    lists = [("lexical", words, 2 if specific else 1), ("title", titles, 3 if specific else 1)]
     if chunks is not None and query_vector is not None:
-        lists.append(("vector", vector_signal(chunks, query_vector)))
+        lists.append(("vector", vector_signal(chunks, query_vector), 1))
     if edges is not None:
         seeds = top(words, SEEDS).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")))
-        lists.append(("graph", graph_signal(edges, seeds)))
+        lists.append(("graph", graph_signal(edges, seeds), 1))
     if keywords is not None:
-        lists.append(("keyword", keyword_signal(keywords, query)))
+        lists.append(("keyword", keyword_signal(keywords, query), 1))
     best = top(fuse(lists), k)
     return top(pages.select("page_id", "title").join(F.broadcast(best), "page_id"), k)
 

@@ -109,7 +109,7 @@ _FUSE = lambda name, of: f"SELECT page_id, '{name}' AS signal, 1.0::DOUBLE / (60
 
 @query(f"WITH {_LEXICAL_SQL}, {_VECTOR_SQL}, parts AS ({_FUSE('lexical', 'lex')} UNION ALL {_FUSE('vector', 'vec')}) SELECT page_id, round(sum(part), 6) AS score, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM parts GROUP BY page_id")
 def fused_ranking(spark, sf):
-    lists = [("lexical", retrieval.lexical(B.pages(spark, sf), QUESTION, fields=_FIELDS)), ("vector", retrieval.vector_signal(_chunks(spark, sf), _vector(spark, sf)))]
+    lists = [("lexical", retrieval.lexical(B.pages(spark, sf), QUESTION, fields=_FIELDS), 1), ("vector", retrieval.vector_signal(_chunks(spark, sf), _vector(spark, sf)), 1)]
     return retrieval.fuse(lists).select("page_id", F.round("score", 6).alias("score"), "signals")
 
 
@@ -158,7 +158,7 @@ def hybrid_search(spark, sf):
     own = B.pages(spark, sf)
     words = retrieval.lexical(own, QUESTION, fields=_FIELDS)
     titles = retrieval.title_signal(own, QUESTION)
-    lists = [("lexical", words), ("title", titles), ("lexical:2", words), ("title:2", titles), ("title:3", titles), ("vector", retrieval.vector_signal(_chunks(spark, sf), _vector(spark, sf))), ("keyword", retrieval.keyword_signal(B.keywords(spark, sf), QUESTION))]
+    lists = [("lexical", words, 2), ("title", titles, 3), ("vector", retrieval.vector_signal(_chunks(spark, sf), _vector(spark, sf)), 1), ("keyword", retrieval.keyword_signal(B.keywords(spark, sf), QUESTION), 1)]
     fused = retrieval.fuse(lists).withColumn("key", F.round("score", 9))
     best = fused.orderBy(F.desc("key"), "page_id").limit(10)
     return own.select("page_id", "title").join(F.broadcast(best), "page_id").select("page_id", "title", F.round("score", 6).alias("score"), "signals")

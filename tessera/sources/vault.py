@@ -20,7 +20,7 @@ FILE_CLASSES = {
 
 def files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """path (under root), name, stem, modified, size and content of each file; folders are read recursively."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     full = F.col("_metadata.file_path")
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B"))), rf"^.*?\Q{base}\E/", "")
@@ -138,7 +138,7 @@ def projects(spark: SparkSession, root: str) -> DataFrame:
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
     """section, position and rule of a rules file, comments removed."""
-    own = spark.read.option("wholetext", True).text(path)
+    own = spark.read.text(path, wholetext=True)
     clean = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
     sections = F.filter(F.split(clean, r"(?m)^(?=## )"), lambda x: x.startswith("## "))
     one = own.select(F.explode(sections).alias("s")).select(F.trim(F.regexp_extract("s", r"^## (.+)", 1)).alias("section"), F.posexplode(F.regexp_extract_all("s", F.lit(r"(?m)^[-*]\s+(.+)$"), 1)).alias("position", "rule"))

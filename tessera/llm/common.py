@@ -1,13 +1,15 @@
-"""What the corpus operators share: reading tables, scratch tables, batch sizes."""
+"""What the corpus operators share: tables, scratch tables, batch sizes, joins by keys."""
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import materialise
+from ..sources.tables import table
+
 #: Rows in an Arrow batch. Texts may be long, so a batch holds few rows.
 BATCH_ROWS = 256
 #: Bytes in an Arrow batch, besides its last row.
@@ -16,10 +18,6 @@ BATCH_BYTES = 4 << 20
 BROADCAST_KEYS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once, and sends this package to the executors, once for each context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -36,28 +34,6 @@ def small_batches(spark: SparkSession) -> None:
     context._tessera_sent = True
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or the context's own checkpoint folder.
-
-    Only a local master may fall back to a folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its lineage is cut, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def key_join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     """Semi or anti join against one column of long keys, broadcast only if their number is within BROADCAST_KEYS.
 
@@ -69,3 +45,6 @@ def key_join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
 
 def utf8(col) -> F.Column:
     return F.col(col).cast("binary") if isinstance(col, str) else col.cast("binary")
+
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_KEYS", "key_join", "materialise", "small_batches", "table", "utf8"]

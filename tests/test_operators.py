@@ -207,7 +207,7 @@ def test_quality(spark, root, pages, raws):
     assert by["1"] == {odd} and by["2a"] == {odd} and by["2c"] == {"orphan.md", "old.md"} and by["4-type"] == {odd} and odd in by["17"] and by["30"] == {odd} and by["34"] == {odd} and by["36"] == {odd}
     assert by["2e"] == {"soil-types.md"} and by["3a"] == {odd} and copy in by["3c"] and len(by["6a"]) == 2 and by["30c-raw"] == {"old.md"} and by["43"] == {"orphan.md"}
     clean = pages.where(F.col("title").isin("Parser Notes", "Lexer Notes"))
-    assert not {r["rule"] for r in quality.predicate_findings(clean, "pages", "rel_path").collect()} - {"4-tags", "15a", "15f"}
+    assert not {r["rule"] for r in quality.predicate_findings(clean, "pages", "rel_path").collect()} - {"4-tags", "13", "15a", "15f"}
     top = quality.classes(quality.findings(pages, raws)).first()
     assert top["n"] >= len(top["samples"]) and len(top["samples"]) <= 5
     fixed = {r["title"]: r for r in quality.fixes(pages).collect()}

@@ -126,59 +126,67 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
         for batch in batches:
             yield pa.array([[f"{n} {w}" for w, n in Counter(_WORD.findall((t or "").lower())).items()] for t in batch.to_pylist()], pa.list_(pa.string()))
 
-    return fit_from_words(((r[0], r[1]) for r in labelled.select("toxic", words("text").alias("w")).toLocalIterator()))
+    bags = labelled.select("toxic", words("text").alias("w"))
+    return fit_from_words(*((r["w"] for r in bags.where(F.col("toxic") == k).toLocalIterator()) for k in (1, 0)))
 
 
-def fit_from_words(labelled: Iterator[tuple[int, list[str]]]) -> SeverityModel:
-    """labelled: toxic, and 'count word' for each word of a document."""
+def _pairs(bag: list[str]) -> Iterator[tuple[str, int]]:
+    for x in bag:
+        n, word = x.split(" ", 1)
+        yield word, int(n)
+
+
+def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[str]]) -> SeverityModel:
+    """Bags hold 'count word' for each word of a document. Toxic ones are read first: only features of at least MIN_DOCS of
+    them can be evidence, so of all others only those are held."""
     words: dict[str, int] = {}
-    features: dict[str, int] = {}
-    of_word: list[list[int]] = []
-    held, toxic = [], []
-    for label, bag in labelled:
-        ids, counts = np.zeros(len(bag), np.int32), np.zeros(len(bag), np.int32)
-        for k, x in enumerate(bag):
-            n, word = x.split(" ", 1)
-            if word not in words:
-                words[word] = len(words)
-                of_word.append([features.setdefault(f, len(features)) for f in features_of(word)])
-            ids[k], counts[k] = words[word], int(n)
-        held.append((ids, counts))
-        toxic.append(int(bool(label)))
-    toxic = np.array(toxic, np.int64)
-    sizes = np.bincount(toxic, minlength=2)
+    held = []
+    for bag in toxic_bags:
+        pairs = [(words.setdefault(w, len(words)), n) for w, n in _pairs(bag)]
+        held.append(np.array(pairs, np.int32).reshape(-1, 2))
+    seen = Counter()
+    vocabulary = list(words)
+    for doc in held:
+        seen.update({f for k in doc[:, 0].tolist() for f in features_of(vocabulary[k])})
+    number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
+    of_word: dict[str, list[int]] = {}
+
+    def evidence(pairs: Iterator[tuple[str, int]]) -> dict[int, int]:
+        own: dict[int, int] = {}
+        for word, n in pairs:
+            if word not in of_word:
+                if len(of_word) > CACHE:
+                    of_word.clear()
+                of_word[word] = [number[f] for f in features_of(word) if f in number]
+            for k in of_word[word]:
+                own[k] = own.get(k, 0) + n
+        return own
+
+    docs = [evidence((vocabulary[k], n) for k, n in doc.tolist()) for doc in held]
+    n_toxic = len(docs)
+    del held, words, vocabulary, seen
+    docs += [evidence(_pairs(bag)) for bag in clean_bags]
+    sizes = n_toxic, len(docs) - n_toxic
     if not sizes[0] or not sizes[1]:
         return SeverityModel({}, np.zeros(0))
-    none = len(features)
-    width = 1 + len(PREFIXES)
-    table = np.full((len(words), width), none, np.int32)
-    for k, own in enumerate(of_word):
-        table[k, : len(own)] = own
-    seen = np.zeros((2, none + 1))
-    for label, (ids, _) in zip(toxic, held):
-        seen[label, np.unique(table[ids])] += 1
-    b, a = seen[:, :none]
-    odds = np.log((a + 0.5) / (sizes[1] - a + 0.5)) - np.log((b + 0.5) / (sizes[0] - b + 0.5))
-    kept = np.flatnonzero((a >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
+    a, b = (np.bincount([k for d in part for k in d], minlength=len(number)).astype(np.float64) for part in (docs[:n_toxic], docs[n_toxic:]))
+    odds = np.log((a + 0.5) / (sizes[0] - a + 0.5)) - np.log((b + 0.5) / (sizes[1] - b + 0.5))
+    kept = np.flatnonzero(odds >= MIN_LOG_ODDS)
     kept = kept[np.argsort(-a[kept], kind="stable")][:FEATURES_KEPT]
     if not len(kept):
         return SeverityModel({}, np.zeros(0))
-    column = np.full(none + 1, -1)
-    column[kept] = np.arange(len(kept))
-    parts = []
-    for r, (ids, counts) in enumerate(held):
-        own = column[table[ids]]
-        on = own >= 0
-        n = np.bincount(own[on], np.broadcast_to(counts[:, None], own.shape)[on], minlength=len(kept)) if on.any() else np.zeros(0)
-        hit = np.flatnonzero(n)
-        parts.append((np.full(len(hit), r), hit, 1 + np.log(n[hit])))
-    rows, cols, values = (np.concatenate(x) for x in zip(*parts))
-    mass = np.bincount(rows, values, minlength=len(held))
+    column = {int(k): c for c, k in enumerate(kept)}
+    cells = [(r, column[k], n) for r, d in enumerate(docs) for k, n in d.items() if k in column]
+    rows, cols, counts = np.array(cells, np.int64).reshape(-1, 3).T
+    values = 1 + np.log(counts)
+    toxic = (np.arange(len(docs)) < n_toxic).astype(np.int64)
+    mass = np.bincount(rows, values, minlength=len(docs))
     cuts = np.unique(np.quantile(mass[toxic == 1], [1 / 3, 2 / 3]))
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, "left"), 0)
     w, thresholds = fit_cumulative_link(rows, cols, values, grades, len(kept), int(grades.max()) + 1)
-    names = {k: f for f, k in features.items()}
-    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds, best_cut(np.bincount(rows, values * w[cols], minlength=len(held)), toxic))
+    names = {k: f for f, k in number.items()}
+    eta = np.bincount(rows, values * w[cols], minlength=len(docs))
+    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds, best_cut(eta, toxic))
 
 
 def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:

@@ -243,3 +243,79 @@ def capture_status(status: Column, body: Column) -> Column:
 def wrapped(text: Column, width: int = 80) -> Column:
     """Lines of at most so many characters, broken at spaces."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), rf"(.{{1,{width}}})(?:\s|$)", "$1\n"), r"\s+$", "")
+
+
+def body_problem(body: Column) -> Column:
+    """Why a digest's body is refused, or null: findings must be there and not be a placeholder."""
+    found = F.trim(F.regexp_extract(body, r"(?s)## Key Findings\n+(.*?)(?=\n## |$)", 1))
+    return F.when(body.isNull() | (F.trim(body) == ""), "body-empty").when(~F.contains(body, F.lit("## Key Findings")), "missing-key-findings").when((found == "") | found.startswith("*Pending"), "key-findings-empty")
+
+
+def url_in_body(values: Column, body: Column, skipped: tuple[str, ...] = ("w3.org", "schema.org", "localhost")) -> Column:
+    """A raw's URL: front matter, then a source bullet, then the first bare URL off the skipped hosts."""
+    known = F.coalesce(F.nullif(F.element_at(values, F.lit("source")), F.lit("")), F.nullif(F.element_at(values, F.lit("url")), F.lit("")))
+    bullet = F.nullif(F.regexp_extract(body, r"(?im)^[-*]\s*\**(?:source|url)\**:?\**\s*(https?://\S+)", 1), F.lit(""))
+    bare = F.filter(F.regexp_extract_all(body, F.lit(r"(https?://[^\s)>\]\"']+)"), 1), lambda u: ~u.rlike("|".join(skipped)))
+    return F.coalesce(known, bullet, F.get(bare, F.lit(0)))
+
+
+def is_redirect(values: Column) -> Column:
+    return F.lower(F.coalesce(F.element_at(values, F.lit("redirect")), F.lit(""))) == "true"
+
+
+def is_merged(values: Column) -> Column:
+    return F.coalesce(F.element_at(values, F.lit("merged_into")), F.lit("")) != ""
+
+
+def without_title_lines(body: Column, title: Column) -> Column:
+    """Leading lines that only repeat the title, breadcrumbs and empty bullets dropped."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^\s*(?:[-*]|(?:\S+\s*[>›»]\s*){2,}\S*)\s*$"))
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~((s["i"] < 3) & (plain(s["x"]) == plain(title)) & (plain(s["x"]) != "")))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"), r"^\s+|\s+$", "")
+
+
+def fallback_page(body: Column, url: Column, kind: Column, rules: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """Title, summary and tags of a page without a model's help."""
+    heading = F.nullif(F.regexp_extract(body, r"(?m)^# +(.+)$", 1), F.lit(""))
+    title = F.coalesce(F.when(~is_bait_title(heading), heading), derived_title(body), url)
+    return {"title": conventional_title(title, kind), "summary": T.smart_truncate(F.coalesce(best_paragraph(body), F.lit("")), 600), "tags": keyword_tags(F.concat_ws(" ", title, F.substring(body, 1, 4000)), rules)}
+
+
+def icon(host: Column, icons: dict[str, str], default: str = "🌐") -> Column:
+    """The sign of a host, of its last two labels, or the default."""
+    from .urls import registrable
+
+    named = F.create_map(*(x for kv in (icons or {"": ""}).items() for x in map(F.lit, kv)))
+    return F.coalesce(F.element_at(named, host), F.element_at(named, registrable(host)), F.lit(default))
+
+
+def migrated(values: Column, body: Column) -> Column:
+    """A legacy raw (header map and content) with front matter."""
+    head = F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit(': "'), T.escape_yaml(e["value"]), F.lit('"'))), "\n")
+    return F.when(F.size(values) > 0, F.concat(F.lit("---\n"), head, F.lit("\n---\n\n"), body)).otherwise(body)
+
+
+def without_actor_chrome(body: Column) -> Column:
+    """Four passes over a professional post: actor links, profile cards, reaction bars, sign-in prompts. Images that they held are put back at the end."""
+    images = F.regexp_extract_all(body, F.lit(f"({IMAGE})"), 1)
+    out = body
+    for pattern in (r"(?m)^.*\]\([^)]*trk=[^)\s]*[_-]actor[^)]*\).*$", r"(?m)^\s*View profile for .*$", r"(?m)^\s*(?:\d[\d,]*\s+(?:reactions?|comments?|reposts?)\s*[·•]?\s*)+$", r"(?im)^\s*(?:sign in|join now|to view or add a comment).*$"):
+        out = F.regexp_replace(out, pattern, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    lost = F.array_except(images, F.regexp_extract_all(out, F.lit(f"({IMAGE})"), 1))
+    return F.concat(out, F.when(F.size(lost) > 0, F.concat(F.lit("\n\n"), F.array_join(lost, "\n"))).otherwise(F.lit("")))
+
+
+def intake(clips, rules: dict[str, tuple[str, ...]]):
+    """clips (path, content) as rows for the writer: source, title, body and a reason for quarantine (no front matter, no source)."""
+    from . import frontmatter as FM, urls as U
+
+    own = clips.withColumn("fm", FM.front_matter(F.col("content")))
+    source = FM.source_url(F.col("fm.values"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    kind = U.source_kind(U.domain(F.coalesce(source, F.lit(""))))
+    body = cleaned(smaller_images(without_blob_videos(thread_text(F.col("fm.body")))), kind)
+    title = F.coalesce(F.nullif(F.element_at("fm.values", F.lit("title")), F.lit("")), stem)
+    reason = F.when(~F.col("fm.found"), "no front matter").when(source.isNull(), "no source")
+    return own.select("path", source.alias("source"), F.when(is_bait_title(title), F.coalesce(derived_title(body), title)).otherwise(title).alias("title"), body.alias("body"), keyword_tags(body, rules).alias("tags"), reason.alias("reason"))

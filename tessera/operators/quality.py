@@ -256,6 +256,66 @@ def dead_again(dead: DataFrame, captured: DataFrame) -> DataFrame:
     return _finding(evolve.resurrected(dead, captured), "51", "info", "url")
 
 
+def indexed_titles(pages: DataFrame, indexed: DataFrame) -> DataFrame:
+    """12: the index (page_id, title) has another title than the page."""
+    both = pages.join(indexed.select("page_id", F.col("title").alias("indexed")), "page_id").where("title != indexed")
+    return _finding(both, "12", "warn", "rel_path", "indexed")
+
+
+def unconventional_titles(pages: DataFrame) -> DataFrame:
+    """15c: titles that differ from the convention in letters or digits."""
+    from ..functions import clips as C
+
+    want = C.conventional_title(F.col("title"), U.source_kind(U.domain(F.col("url"))))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    return _finding(pages.where((F.col("url") != "") & (plain(F.col("title")) != plain(want))), "15c", "info", "rel_path", want)
+
+
+def pages_without_raw(pages: DataFrame, raws: DataFrame) -> DataFrame:
+    """15e: pages with a URL and a body of 100 characters or more but no raw file."""
+    own = pages.where((F.col("url") != "") & (F.length("body") >= 100)).join(raws.select(F.col("path").alias("raw_path")), "raw_path", "left_anti")
+    return _finding(own, "15e", "warn", "rel_path", "url")
+
+
+def short_threads(raws: DataFrame, clips: DataFrame) -> DataFrame:
+    """6i: a stored thread has fewer statuses of its author than its clip (source, body)."""
+    from ..functions import clips as C
+
+    handle = lambda c: F.regexp_extract(c, r"(?i)(?:x|twitter)\.com/([^/]+)/status/", 1)
+    both = raws.where(handle(F.col("source")) != "").join(clips.select("source", F.col("body").alias("clip")), "source")
+    fewer = F.size(C.own_statuses(F.col("body"), handle(F.col("source")))) < F.size(C.own_statuses(F.col("clip"), handle(F.col("source"))))
+    return _finding(both.where(fewer), "6i", "warn", "path", "source")
+
+
+def images_without_file(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """21: image pages whose binary (the raw path with another ending) is not in files (path)."""
+    own = pages.where("source_type = 'image'").withColumn("_k", F.regexp_replace("raw_path", r"\.[^.]*$", ""))
+    have = files.where(~F.col("path").endswith(".md")).select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_k"))
+    return _finding(own.join(have, "_k", "left_anti"), "21", "warn", "rel_path", "raw_path")
+
+
+def member_lists(pages: DataFrame) -> DataFrame:
+    """22, 23: what a hub page lists differs from the pages that name it."""
+    hubs = pages.where("source_type = 'topic'").select(F.col("title").alias("hub"), "rel_path", "body")
+    listed = hubs.select("hub", "rel_path", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^(?:\||[-*])\s*\[\[([^\]|]+)"), 1)).alias("member")).select("hub", "rel_path", F.trim("member").alias("member")).distinct()
+    named = pages.select(F.explode(F.transform("related", lambda x: F.regexp_replace(x, r"^\[\[|\]\]$", ""))).alias("hub"), F.col("title").alias("member")).join(hubs.select("hub", "rel_path"), "hub").select("hub", "rel_path", "member").distinct()
+    lacking, extra = named.join(listed, ["hub", "member"], "left_anti"), listed.join(named, ["hub", "member"], "left_anti")
+    return _finding(lacking, "22", "info", "rel_path", "member").unionByName(_finding(extra, "23", "info", "rel_path", "member"))
+
+
+def listed_nothing(listing: DataFrame, pages: DataFrame) -> DataFrame:
+    """24: a listing (path, body) links a page that is not there."""
+    links = listing.select("path", F.explode(T.wikilinks(F.col("body"))).alias("name"))
+    return _finding(links.join(graph.names(pages), "name", "left_anti"), "24", "warn", "path", "name")
+
+
+def asset_problems(folders: DataFrame, pages: DataFrame) -> DataFrame:
+    """26: asset folders (slug) without a page, and pages that show images from elsewhere."""
+    lone = folders.join(pages.select(F.regexp_extract("raw_path", r"([^/]+)\.md$", 1).alias("slug")), "slug", "left_anti")
+    hot = pages.withColumn("n", F.regexp_count("body", F.lit(r"!\[[^\]]*\]\(https?://"))).where("n > 0")
+    return _finding(lone, "26", "info", "slug").unionByName(_finding(hot, "26", "info", "rel_path", "n"))
+
+
 def stated_counts(pages: DataFrame, raws: DataFrame, stated: dict[str, int]) -> DataFrame:
     """5, 9: counts that an index states (wiki, raw) differ from the actual ones."""
     actual = pages.agg(F.count(F.lit(1)).alias("wiki")).crossJoin(F.broadcast(raws.agg(F.count(F.lit(1)).alias("raw"))))
@@ -273,7 +333,7 @@ def context_flags(lines: DataFrame, inner: str, outer: str) -> DataFrame:
 def findings(pages: DataFrame, raws: DataFrame) -> DataFrame:
     """All rules that need pages and raws only."""
     edges = graph.link_edges(pages)
-    parts = [predicate_findings(pages, _PAGE, "rel_path"), predicate_findings(raws, _RAW, "path"), broken_links(pages), missing_raws(pages, raws), orphan_raws(pages, raws), raw_collisions(pages), orphan_pages(pages, edges), one_way_related(pages), duplicate_urls(pages), url_mismatch(pages, raws), redirects_to_nothing(pages), same_status(raws), same_title_pairs(pages), uncited_sources(pages, raws)]
+    parts = [predicate_findings(pages, _PAGE, "rel_path"), predicate_findings(raws, _RAW, "path"), broken_links(pages), missing_raws(pages, raws), orphan_raws(pages, raws), raw_collisions(pages), orphan_pages(pages, edges), one_way_related(pages), duplicate_urls(pages), url_mismatch(pages, raws), redirects_to_nothing(pages), same_status(raws), same_title_pairs(pages), uncited_sources(pages, raws), unconventional_titles(pages), pages_without_raw(pages, raws), member_lists(pages)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -54,6 +54,18 @@ def pages(spark: SparkSession, root: str, vault: str = "local", flavour: str = "
     )
 
 
+def claim_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Titled pages outside generated folders, one-line values of front matter only."""
+    own = wiki_files(spark, root, CLAIM_SKIPPED).withColumn("fm", FM.front_matter(F.col("content")))
+    value = lambda k: F.coalesce(F.element_at("fm.values", F.lit(k)), F.lit(""))
+    return own.select(F.col("path").alias("page_id"), value("title").alias("title"), value("source_type").alias("source_type"), value("url").alias("url"), F.col("fm.body").alias("body")).where("title != ''")
+
+
+def append_entry(spark: SparkSession, path: str, date: str, time: str, text: str) -> None:
+    """Appends a journal entry to a table of entries."""
+    spark.createDataFrame([(date, time, text)], "date string, time string, text string").write.mode("append").partitionBy("date").parquet(path)
+
+
 def listing(spark: SparkSession, root: str, source_type: str | None = None, recent: int | None = None) -> DataFrame:
     """title, source_type, date_added and path from one-line keys in the first HEAD characters."""
     head = F.substring("content", 1, HEAD)

@@ -161,20 +161,41 @@ def _merged(text, starts, ends, items):
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame, result: str = "contamination", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    indexes = [spark.sparkContext.broadcast(WindowIndex(b, window)) for b in _blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(WindowIndex([], window))]
+    small_batches(docs.sparkSession)
+    indexes = _indexes(benchmark, window, block_bytes)
     if len(indexes) == 1:
         return docs.withColumn(result, _one_block(indexes[0], F.col("text")))
-    # all columns of the text's own identity: equal texts have equal hits
-    key = [F.xxhash64("text").alias("_k1"), F.length("text").alias("_k2")]
+    wide = _with_intervals(docs, indexes)
+    return wide.withColumn(result, _merged(F.col("text"), F.col("_starts"), F.col("_ends"), F.col("_items"))).drop("_starts", "_ends", "_items")
+
+
+def _indexes(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(WindowIndex(b, window)) for b in _blocks(benchmark, block_bytes)] or [context.broadcast(WindowIndex([], window))]
+
+
+def _with_intervals(docs: DataFrame, indexes: list) -> DataFrame:
+    """docs with _starts, _ends and _items of hits in all blocks (null: none). Equal texts have equal hits, so a text's hash is the key."""
     found = None
     for index in indexes:
-        one = docs.select(*key, _hits(index, F.col("text")).alias("h")).where(F.size("h.starts") > 0).select("_k1", "_k2", "h.*").dropDuplicates(["_k1", "_k2"])
+        one = docs.select(F.xxhash64("text").alias("_k1"), F.length("text").alias("_k2"), _hits(index, F.col("text")).alias("h"))
+        one = one.where(F.size("h.starts") > 0).select("_k1", "_k2", "h.*").dropDuplicates(["_k1", "_k2"])
         found = one if found is None else found.unionByName(one)
     found = found.groupBy("_k1", "_k2").agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("starts", "ends", "items")))
-    wide = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.length("text")}).join(found, ["_k1", "_k2"], "left")
-    return wide.withColumn(result, _merged(F.col("text"), F.col("_starts"), F.col("_ends"), F.col("_items"))).drop("_k1", "_k2", "_starts", "_ends", "_items")
+    return docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.length("text")}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+
+
+def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the words of all hit windows taken out of their texts; other texts stay as they are."""
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([t if not s else remove_spans(t, list(zip(s, e))) for t, s, e in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.string())
+
+    wide = _with_intervals(docs, _indexes(benchmark, window, block_bytes))
+    return wide.withColumn("text", cut(F.col("text"), F.col("_starts"), F.col("_ends"))).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ def test_decontamination_is_brute_force(spark, block_bytes):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.judge_documents(docs, bench, "r", block_bytes=block_bytes).select("doc_id", "words", "r.*").collect()
     assert {r[0]: tuple(r)[2:] for r in got} == {i: brute_contamination(t, items) for i, t in enumerate(texts)}
+    cut = {r[0]: r[1] for r in decontamination.remove_hit_spans(docs, bench, block_bytes=block_bytes).select("doc_id", "text").collect()}
+    assert all((cut[i] == t) == (brute_contamination(t, items)[1] == 0) and brute_contamination(cut[i], [])[0] == sum(brute_contamination(t, items)[k] * (1, -1)[k] for k in (0, 1)) for i, t in enumerate(texts))
     kept = decontamination.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert {r[0] for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_contamination(t, items)[4]}

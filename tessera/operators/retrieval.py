@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialise
 
 #: Fields and weights: title, summary, tags, body. The second set is what the weights are declared to be elsewhere.
 WEIGHTS = {"title": 5.0, "summary": 3.0, "tags": 1.0, "body": 1.0}
@@ -36,6 +37,7 @@ def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS,
     length = sum((T.token_number(F.col(f"_{f}"), letters) for f in fields), F.lit(0))
     counts = {f"tf{i}": sum((T.token_hits(F.col(f"_{f}"), t, letters) * F.lit(w) for f, w in fields.items()), F.lit(0.0)) for i, t in enumerate(terms)}
     counted = own.select("page_id", length.cast("long").alias("len"), *(c.alias(n) for n, c in counts.items()))
+    counted = materialise(counted, "bm25-counts")  # texts are read once for statistics and scores
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(c) > 0).cast("long")).alias(f"d_{c}") for c in counts))
     joined = counted.crossJoin(single_row(stats))
     score, matched = F.lit(0.0), F.lit(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, urls as U
+from ..sources.scratch import materialise
 from ..sources.tables import table
 
 
@@ -17,6 +18,7 @@ def keywords(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The ten terms of four letters or more of each document with the highest term frequency * ln(documents / df)."""
     own = pages(spark, sf_dir)
     tf = own.select("page_id", F.explode(T.ascii_tokens(F.col("body"))).alias("keyword")).where(F.length("keyword") >= 4).groupBy("page_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialise(tf, "term-counts")
     df = tf.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
     n = own.agg(F.count(F.lit(1)).alias("n"))
     scored = tf.join(df, "keyword").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))

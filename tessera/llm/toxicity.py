@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 SAMPLE, MIN_DOCS, MIN_LOG_ODDS, PREFIXES = 4000, 8, 3.0, (4, 5, 6, 7, 8)
 FEATURES_KEPT = 1 << 14
@@ -126,7 +126,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
         for batch in batches:
             yield pa.array([[f"{n} {w}" for w, n in Counter(_WORD.findall((t or "").lower())).items()] for t in batch.to_pylist()], pa.list_(pa.string()))
 
-    bags = labelled.select("toxic", words("text").alias("w"))
+    bags = materialise(labelled.select("toxic", words("text").alias("w")), "toxicity-bags")
     return fit_from_words(*((r["w"] for r in bags.where(F.col("toxic") == k).toLocalIterator()) for k in (1, 0)))
 
 
@@ -151,7 +151,8 @@ def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[st
     number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
     of_word: dict[str, list[int]] = {}
 
-    def evidence(pairs: Iterator[tuple[str, int]]) -> dict[int, int]:
+    def evidence(pairs: Iterator[tuple[str, int]]) -> np.ndarray:
+        """Rows of feature and count."""
         own: dict[int, int] = {}
         for word, n in pairs:
             if word not in of_word:
@@ -160,7 +161,7 @@ def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[st
                 of_word[word] = [number[f] for f in features_of(word) if f in number]
             for k in of_word[word]:
                 own[k] = own.get(k, 0) + n
-        return own
+        return np.array(list(own.items()), np.int32).reshape(-1, 2)
 
     docs = [evidence((vocabulary[k], n) for k, n in doc.tolist()) for doc in held]
     n_toxic = len(docs)
@@ -169,16 +170,17 @@ def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[st
     sizes = n_toxic, len(docs) - n_toxic
     if not sizes[0] or not sizes[1]:
         return SeverityModel({}, np.zeros(0))
-    a, b = (np.bincount([k for d in part for k in d], minlength=len(number)).astype(np.float64) for part in (docs[:n_toxic], docs[n_toxic:]))
+    a, b = (np.bincount(np.concatenate(part)[:, 0], minlength=len(number)).astype(np.float64) for part in (docs[:n_toxic], docs[n_toxic:]))
     odds = np.log((a + 0.5) / (sizes[0] - a + 0.5)) - np.log((b + 0.5) / (sizes[1] - b + 0.5))
     kept = np.flatnonzero(odds >= MIN_LOG_ODDS)
     kept = kept[np.argsort(-a[kept], kind="stable")][:FEATURES_KEPT]
     if not len(kept):
         return SeverityModel({}, np.zeros(0))
-    column = {int(k): c for c, k in enumerate(kept)}
-    cells = [(r, column[k], n) for r, d in enumerate(docs) for k, n in d.items() if k in column]
-    rows, cols, counts = np.array(cells, np.int64).reshape(-1, 3).T
-    values = 1 + np.log(counts)
+    column = np.full(len(number), -1)
+    column[kept] = np.arange(len(kept))
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    cols, counts = column[np.concatenate(docs)[:, 0]], np.concatenate(docs)[:, 1]
+    rows, cols, values = rows[cols >= 0], cols[cols >= 0], 1 + np.log(counts[cols >= 0])
     toxic = (np.arange(len(docs)) < n_toxic).astype(np.int64)
     mass = np.bincount(rows, values, minlength=len(docs))
     cuts = np.unique(np.quantile(mass[toxic == 1], [1 / 3, 2 / 3]))

@@ -152,8 +152,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs with shard; texts that are equal share one. Slots are given where rows are few columns: see shard_rows."""
-    key = group_key()
+    """docs with shard (in place of a column of that name); texts that are equal share one. Slots are given where rows are few columns: see shard_rows."""
+    docs, key = docs.drop("shard"), group_key()
     sized = materialise(docs.select(key["g1"].alias("g1"), key["g2"].alias("g2")).groupBy("g1", "g2").agg(F.sum("g2").alias("bytes")), "shard-sizes")
     homes = assign_groups(sized, shards)
     homes = materialise(homes.select(F.col("g1").alias("_h1"), F.col("g2").alias("_h2"), "shard"), "shard-homes")

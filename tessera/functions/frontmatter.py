@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from . import ship
+
 FLAVOURS = ("index", "schema", "lint")
 _KEY = re.compile(r"(\w[\w-]*)\s*:\s*(.*)")
 _LEGACY = re.compile(r"[-*]\s*\*\*([^*:]+):?\*\*:?\s*(.*)")
@@ -82,6 +84,7 @@ def front_matter(content: Column, flavour: str = "index") -> Column:
     """A struct of SCHEMA."""
     if flavour not in FLAVOURS:
         raise ValueError(f"no flavour {flavour!r}")
+    ship.send()
     read = parse
 
     @F.arrow_udf(SCHEMA)
@@ -100,6 +103,7 @@ def front_matter(content: Column, flavour: str = "index") -> Column:
 
 def legacy_header(content: Column) -> Column:
     """A map of what parse_legacy finds."""
+    ship.send()
     read = parse_legacy
 
     @F.arrow_udf("map<string,string>")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import stemming, text as T
 from ..sources.scratch import materialise
 
 #: Fields and weights: title, summary, tags, body. The second set is what the weights are declared to be elsewhere.
@@ -25,14 +25,16 @@ def top(df: DataFrame, k: int, by: str = "score", key: str = "page_id") -> DataF
     return df.orderBy(F.desc(by), key).limit(k)
 
 
-def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(pages: DataFrame, terms: list[str], fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII, k1: float = K1, b: float = B, stem: bool = False) -> DataFrame:
     """page_id, matched (number of terms found) and score of pages with at least one term.
 
-    idf is floored at 1e-6; term frequencies are summed over fields by weight; lengths are of all fields together.
+    stem: compare Porter stems. idf is floored at 1e-6; term frequencies are summed over fields by weight; lengths are of all fields together.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
+    terms = list(dict.fromkeys(stemming.stem(t.lower()) if stem else t.lower() for t in terms))
     kinds = dict(pages.dtypes)
     text = {f: F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f) for f in fields}
+    if stem:
+        text = {f: stemming.stemmed(c) for f, c in text.items()}
     own = pages.select("page_id", *(F.lower(F.coalesce(c, F.lit(""))).alias(f"_{f}") for f, c in text.items()))
     length = sum((T.token_number(F.col(f"_{f}"), letters) for f in fields), F.lit(0))
     counts = {f"tf{i}": sum((T.token_hits(F.col(f"_{f}"), t, letters) * F.lit(w) for f, w in fields.items()), F.lit(0.0)) for i, t in enumerate(terms)}

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import clips as C, frontmatter as FM, text as T, urls as U
+from tessera.functions import clips as C, frontmatter as FM, stemming, text as T, urls as U
 
 
 def one(spark, value, f, kind="string"):
@@ -131,3 +131,9 @@ def test_clips(spark):
     assert one(spark, ["AI", "llm", "odd"], lambda c: C.canonical_tags(c, {"ai": "ml"}, ("ml", "llm")), "array<string>") == ["ml", "llm"]
     assert one(spark, "storage", lambda c: C.keyword_tags(c, {"rag": ("rag",), "x": ("y",)})) == ["rag"]
     assert one(spark, "aa bb cc", lambda c: C.wrapped(c, 5)) == "aa bb\ncc"
+
+
+def test_stems(spark):
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit rational ration vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis formaliti formal triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt homologous homolog effective effect probate probat rate rate cease ceas controll control roll roll".split()
+    assert [stemming.stem(w) for w in pairs[::2]] == pairs[1::2]
+    assert one(spark, "Running DOGS, über 12", stemming.stemmed) == "run dog über 12"

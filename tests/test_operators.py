@@ -75,6 +75,7 @@ def test_bm25_is_the_formula(spark, pages):
     got = dict(rows(retrieval.bm25(pages, ["soil", "garden", "zzz"], weights), "page_id", "score"))
     want = plain_bm25(docs, ["soil", "garden"], weights)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
+    assert [retrieval.bm25(pages, ["compilers"], weights, stem=s).count() for s in (True, False)] == [4, 0]
     two = dict(rows(retrieval.lexical(pages, "soil garden", fields=weights)))
     best = max(two, key=two.get)
     assert docs[best]["title"] == "Soil Types"

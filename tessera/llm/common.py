@@ -1,12 +1,9 @@
 """What the corpus operators share: tables, scratch tables, batch sizes, joins by keys."""
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import ship
 from ..sources.scratch import materialise
 from ..sources.tables import table
 
@@ -22,16 +19,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once, and sends this package to the executors, once for each context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if getattr(context, "_tessera_sent", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = f"{tempfile.mkdtemp()}/{package.name}_package.zip"  # Spark serves it from the driver
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._tessera_sent = True
+    ship.send(spark.sparkContext)
 
 
 def key_join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:

@@ -83,6 +83,7 @@ def _keeps(names: tuple[str, ...]):
     return lambda p: F.array_contains(literals(names), F.substring_index(p, "=", 1))
 
 
+# Shapes of paths and parameters that name one item.
 _PAPER = r"^/(?:abs|pdf|html)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?:\.pdf)?$"
 _PAPER_DOI = r"(?i)^/10\.48550/arXiv\.([0-9]{4}\.[0-9]{4,5})$"
 _FEED_ITEM = r"(?i)^/feed/update/urn:li:(?:ugcPost|activity):([0-9]+)/?$"
@@ -177,24 +178,41 @@ def sanitised(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(inner), r"""^["'<]+|["'>]+$""", ""), r"[.,;:!]+$", "")
 
 
+# How texts name papers, identifiers, repositories, statuses, posts and PDF files.
+REFERENCES = {
+    "paper_url": r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?",
+    "paper_label": r"(?i)\barXiv\s*:\s*([0-9]{4}\.[0-9]{4,5})\b",
+    "paper_spaced": r"(?i)(ar\s*X\s*iv[^a-z0-9\n]{0,10}(?:[0-9]\s*){4,5}\s*\.\s*(?:[0-9]\s*){4,5})",
+    "doi": r"\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)",
+    "repository": r"""(?i)https?://github\.com/([a-z0-9](?:[a-z0-9-]{0,38}[a-z0-9])?/[a-z0-9_.-]+)(?=$|[\s/?#")<>…](?!blob|tree|pull|issues|wiki|releases))""",
+    "status": r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/([A-Za-z0-9_]{1,15}/status/[0-9]+)",
+    "letter": r"(?i)(https?://[a-z0-9-]+\.substack\.com/p/[a-z0-9-]+)",
+    "post": r"(?i)(https?://(?:[a-z0-9-]+\.)?medium\.com/(?:@[a-z0-9-]+/)?[a-z0-9-]+(?:-[a-f0-9]+)?)",
+    "pdf": r"""(?i)(https?://(?!(?:arxiv\.org|pbs\.twimg\.com|media\.licdn\.com))[^\s"')\]<>]+?\.pdf(?:[?#][^\s"')\]<>…]*)?)""",
+}
+
+
 def references(text: Column) -> Column:
-    """Canonical URLs of papers, identifiers, repositories, statuses, posts and PDF files named in a text: by family, then place; distinct."""
+    """Canonical URLs of what a text names: by family in the order of REFERENCES, then place; distinct."""
     text = F.coalesce(text, F.lit(""))
-    every = lambda pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), group)
-    paper = lambda ids: F.transform(ids, lambda i: F.concat(F.lit("https://arxiv.org/abs/"), i))
-    mangled = F.transform(every(r"(?i)(ar\s*X\s*iv[^a-z0-9\n]{0,10}(?:[0-9]\s*){4,5}\s*\.\s*(?:[0-9]\s*){4,5})"), lambda m: F.regexp_extract(F.regexp_replace(m, r"\s+", ""), r"([0-9]{4,5}\.[0-9]{4,5})", 1))
-    mangled = F.filter(mangled, lambda i: i.rlike(r"^[0-9]{4}\.[0-9]{4,5}$"))
-    doi = F.transform(every(r"\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)"), lambda d: F.when(d.rlike(r"(?i)^10\.48550/arXiv\.[0-9]{4}\.[0-9]{4,5}"), F.concat(F.lit("https://arxiv.org/abs/"), F.regexp_extract(d, r"(?i)arXiv\.([0-9]{4}\.[0-9]{4,5})", 1))).otherwise(F.concat(F.lit("https://doi.org/"), F.regexp_replace(d, r"[.,;:)]+$", ""))))
-    repository = F.transform(every(r"""(?i)https?://github\.com/([a-z0-9](?:[a-z0-9-]{0,38}[a-z0-9])?/[a-z0-9_.-]+)(?=$|[\s/?#")<>…](?!blob|tree|pull|issues|wiki|releases))"""), lambda r: F.regexp_replace(r, r"[/.]+$", ""))
-    known = literals(PLACEHOLDERS)
-    repository = F.filter(repository, lambda r: ~F.array_contains(known, F.lower(F.substring_index(r, "/", 1))) & ~F.array_contains(known, F.lower(F.substring_index(r, "/", -1))))
-    status = F.transform(F.filter(every(r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/([A-Za-z0-9_]{1,15}/status/[0-9]+)"), lambda s: F.lower(F.substring_index(s, "/", 1)) != "i"), lambda s: F.concat(F.lit("https://x.com/"), s))
-    letters = every(r"(?i)(https?://[a-z0-9-]+\.substack\.com/p/[a-z0-9-]+)")
-    posts = every(r"(?i)(https?://(?:[a-z0-9-]+\.)?medium\.com/(?:@[a-z0-9-]+/)?[a-z0-9-]+(?:-[a-f0-9]+)?)")
-    files = F.transform(every(r"""(?i)(https?://(?!(?:arxiv\.org|pbs\.twimg\.com|media\.licdn\.com))[^\s"')\]<>]+?\.pdf(?:[?#][^\s"')\]<>…]*)?)"""), lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(u, "[….]+$", ""), r"(?i)^(https?://huggingface\.co/[^/]+/[^/]+)/blob/(.+)$", "$1/resolve/$2"), r"(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/(.+)$", "https://raw.githubusercontent.com/$1/$2/$3"))
-    repositories = F.transform(repository, lambda r: F.concat(F.lit("https://github.com/"), r))
-    found = F.concat(paper(every(r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?")), paper(every(r"(?i)\barXiv\s*:\s*([0-9]{4}\.[0-9]{4,5})\b")), paper(mangled), doi, repositories, status, letters, posts, files)
-    return F.array_distinct(found)
+    found = {k: F.regexp_extract_all(text, F.lit(p), 1) for k, p in REFERENCES.items()}
+    under = lambda ids, head: F.transform(ids, lambda i: F.concat(F.lit(head), i))
+    papers = "https://arxiv.org/abs/"
+    spaced = F.transform(found["paper_spaced"], lambda m: F.regexp_extract(F.regexp_replace(m, r"\s+", ""), r"([0-9]{4,5}\.[0-9]{4,5})", 1))
+    spaced = F.filter(spaced, lambda i: i.rlike(r"^[0-9]{4}\.[0-9]{4,5}$"))
+    alias = r"(?i)^10\.48550/arXiv\.([0-9]{4}\.[0-9]{4,5})"
+    doi = F.transform(found["doi"], lambda d: F.when(d.rlike(alias), F.concat(F.lit(papers), F.regexp_extract(d, alias, 1))).otherwise(F.concat(F.lit("https://doi.org/"), F.regexp_replace(d, r"[.,;:)]+$", ""))))
+    examples = literals(PLACEHOLDERS)
+    trimmed = F.transform(found["repository"], lambda r: F.regexp_replace(r, r"[/.]+$", ""))
+    real = F.filter(trimmed, lambda r: ~F.array_contains(examples, F.lower(F.substring_index(r, "/", 1))) & ~F.array_contains(examples, F.lower(F.substring_index(r, "/", -1))))
+    status = F.filter(found["status"], lambda s: F.lower(F.substring_index(s, "/", 1)) != "i")
+
+    def served(u: Column) -> Column:
+        u = F.regexp_replace(F.regexp_replace(u, "[….]+$", ""), r"(?i)^(https?://huggingface\.co/[^/]+/[^/]+)/blob/(.+)$", "$1/resolve/$2")
+        return F.regexp_replace(u, r"(?i)^https?://github\.com/([^/]+)/([^/]+)/blob/(.+)$", "https://raw.githubusercontent.com/$1/$2/$3")
+
+    files = F.transform(found["pdf"], lambda u: served(u))
+    return F.array_distinct(F.concat(under(found["paper_url"], papers), under(found["paper_label"], papers), under(spaced, papers), doi, under(real, "https://github.com/"), under(status, "https://x.com/"), found["letter"], found["post"], files))
 
 
 def route(url: Column, hint: Column | None = None) -> Column:

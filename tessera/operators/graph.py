@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import ship, text as T
 from ..sources.scratch import materialise
 
+#: Query pages that a task holds, and vectors that pass it at a time.
+VECTOR_BLOCK = 4096
+
 
 def names(pages: DataFrame) -> DataFrame:
     """name, page_id: titles and file stems. Of pages with one name the last by path counts."""
@@ -53,18 +56,79 @@ def isolated(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.select("page_id").join(touched, "page_id", "left_anti")
 
 
-def nearest_edges(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """vectors: page_id, embedding; queries: page_id. Each query page's k nearest others: source_id, target_id, distance, place.
+def nearest_edges(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """vectors: page_id, embedding; queries: page_id. The k nearest others of each query page (of every page if None): source_id, target_id, distance, place.
 
-    queries is a stated set that is broadcast in full only if it has at most 10,000 rows; otherwise use the index in
-    operators.mining.lsh_neighbours.
+    Exact at any number of query pages: a task holds one block of them, and the blocks of all vectors pass by.
     """
-    wanted = vectors.join(queries, "page_id", "left_semi").select(F.col("page_id").alias("source_id"), F.col("embedding").alias("q"))
-    if wanted.limit(10_001).count() > 10_000:
-        raise ValueError("too many query pages for an exact search; use mining.lsh_neighbours")
-    pairs = vectors.crossJoin(F.broadcast(wanted)).where("page_id != source_id").select("source_id", F.col("page_id").alias("target_id"), T.l2_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("distance", "target_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    ship.send(vectors.sparkSession.sparkContext)
+    vectors = vectors.where("embedding is not null").select("page_id", "embedding")
+    wanted = vectors if queries is None else vectors.join(queries.select("page_id").distinct(), "page_id", "left_semi")
+    key = dict(vectors.dtypes)["page_id"]
+    sources, targets = (_vector_blocks(df) for df in (wanted, vectors))
+    n = max(1, -(-wanted.count() // VECTOR_BLOCK))
+    met = sources.select("block", F.lit(-1).alias("other"), "ids", "flat").unionByName(targets.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("block").alias("other"), "ids", "flat"))
+    dealt = met.repartition(n, "block").sortWithinPartitions("block", "other")
+    return dealt.mapInArrow(_nearest_of_blocks(k), f"source_id {key}, target_id {key}, distance double, place int")
+
+
+def _vector_blocks(vectors: DataFrame) -> DataFrame:
+    """block, ids, flat: about VECTOR_BLOCK vectors in a row, one after another."""
+    block = F.pmod(F.xxhash64("page_id"), F.lit(max(1, -(-vectors.count() // VECTOR_BLOCK)))).cast("int")
+    return vectors.groupBy(block.alias("block")).agg(F.collect_list("page_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("flat"))
+
+
+def _nearest_of_blocks(k: int):
+    """Of rows sorted by (block, other) the first of a block has the queries. Products screen; what may be among the k is measured term by term, so that equal vectors tie."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def better(held, x, x_id, t, t_id):
+            """The best k (distance, id) of each query so far and of these targets."""
+            tt = (t * t).sum(axis=1)
+            out = []
+            for start in range(0, len(x), 256):
+                q, q_id = x[start : start + 256], x_id[start : start + 256]
+                qq = (q * q).sum(axis=1)
+                far = qq[:, None] + tt[None, :] - 2 * (q @ t.T)
+                far[q_id[:, None] == t_id[None, :]] = np.inf
+                place = min(k, len(t)) - 1
+                cut = np.partition(far, place, axis=1)[:, place]
+                known = np.array([h[0][-1] ** 2 if len(h[0]) == k else np.inf for h in held[start : start + 256]])
+                cut = np.minimum(cut, known) + 1e-9 * (qq + tt.max() + 1)
+                for i in range(len(q)):
+                    at = np.flatnonzero((far[i] <= cut[i]) & (far[i] < np.inf))
+                    distance, ids = held[start + i]
+                    if len(at):
+                        distance = np.concatenate([distance, np.sqrt(np.cumsum((t[at] - q[i]) ** 2, axis=1)[:, -1])])
+                        ids = np.concatenate([ids, t_id[at]])
+                        best = np.lexsort((ids, distance))[:k]
+                        distance, ids = distance[best], ids[best]
+                    out.append((distance, ids))
+            return out
+
+        def found(held, x_id):
+            n = [len(h[0]) for h in held]
+            return pa.RecordBatch.from_pydict({"source_id": np.repeat(x_id, n), "target_id": np.concatenate([h[1] for h in held]), "distance": np.concatenate([h[0] for h in held]), "place": np.concatenate([np.arange(1, m + 1, dtype="int32") for m in n])})
+
+        block, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch["ids"][i].values.to_numpy(zero_copy_only=False)
+                ids = ids.astype("U") if ids.dtype == object else ids
+                flat = batch["flat"][i].values.to_numpy(zero_copy_only=False).astype("float64").reshape(len(ids), -1)
+                if batch["other"][i].as_py() == -1:
+                    if held:
+                        yield found(held, x_id)
+                    block, x, x_id, held = batch["block"][i].as_py(), flat, ids, [(np.empty(0), ids[:0])] * len(ids)
+                elif batch["block"][i].as_py() == block:
+                    held = better(held, x, x_id, flat, ids)
+        if held:
+            yield found(held, x_id)
+
+    return run
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -33,12 +33,13 @@ kscored AS (SELECT page_id, keyword, round(tf * ln((SELECT count(*) FROM documen
 kw AS (SELECT * FROM (SELECT page_id, keyword, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, keyword) AS rank FROM kscored) WHERE rank <= 10)"""
 
 
-def neighbour_edges(spark: SparkSession, sf_dir: str, queries: int = 40, k: int = 3) -> DataFrame:
-    """Directed links from the first pages to their nearest by embedding."""
+def neighbour_edges(spark: SparkSession, sf_dir: str, k: int = 3, every: int = 1) -> DataFrame:
+    """Directed links from each page to its nearest by embedding; every: only from pages whose id it divides."""
     from ..operators import graph
 
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
-    return graph.nearest_edges(v, v.where(F.col("page_id") < queries).select("page_id"), k).select("source_id", "target_id")
+    queries = None if every == 1 else v.where(F.col("page_id") % every == 0).select("page_id")
+    return materialise(graph.nearest_edges(v, queries, k).select("source_id", "target_id"), "neighbours")
 
 
 def shared_keyword_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,7 +204,8 @@ _KNN_SQL = "knn AS (SELECT source_id, target_id FROM (SELECT s.vec_id AS source_
 
 @query(f"WITH {_KNN_SQL} SELECT source_id, target_id FROM knn")
 def nearest_neighbours(spark, sf):
-    return B.neighbour_edges(spark, sf)
+    """The search queries are the pages whose id 50 divides."""
+    return B.neighbour_edges(spark, sf, every=50)
 
 
 @query(f"WITH {_KNN_SQL} SELECT vec_id AS page_id FROM embeddings WHERE vec_id NOT IN (SELECT target_id FROM knn)")

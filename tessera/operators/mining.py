@@ -60,12 +60,13 @@ def claims(pages: DataFrame, nouns=CLAIM_NOUNS) -> DataFrame:
     return own.groupBy("page_id", "subject").agg(F.max_by("number", "pos").alias("number"))
 
 
-def conflicts(claims_: DataFrame, same_subject: DataFrame, gap: float = 0.2) -> DataFrame:
-    """claims: page_id, subject, number; same_subject: pairs a < b that speak of one thing. Claims further apart than gap."""
+def conflicts(claims_: DataFrame, same_subject: DataFrame | None = None, gap: float = 0.2) -> DataFrame:
+    """claims: page_id, subject, number; same_subject: pairs a < b that speak of one thing (None: any two pages). Claims further apart than gap."""
     a = claims_.select(F.col("page_id").alias("a"), "subject", F.col("number").alias("number_a"))
     b = claims_.select(F.col("page_id").alias("b"), "subject", F.col("number").alias("number_b"))
     apart = F.abs(F.col("number_a") - F.col("number_b")) / F.greatest("number_a", "number_b", F.lit(1))
-    return same_subject.join(a, "a").join(b, ["b", "subject"]).where(apart > gap).select("a", "b", "subject", "number_a", "number_b")
+    both = a.join(b, "subject").where("a < b") if same_subject is None else same_subject.join(a, "a").join(b, ["b", "subject"])
+    return both.where(apart > gap).select("a", "b", "subject", "number_a", "number_b")
 
 
 def same_subject(pages: DataFrame, share: float = 0.7) -> DataFrame:

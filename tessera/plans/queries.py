@@ -362,11 +362,9 @@ def relative_gap_conflicts(spark, sf):
 
 @query("""WITH c AS (SELECT l_orderkey AS page_id, CAST(l_partkey AS VARCHAR) AS subject, max(CAST(l_quantity AS BIGINT)) AS number FROM lineitem GROUP BY ALL), s AS (SELECT a.page_id AS a, b.page_id AS b, a.subject, a.number AS number_a, b.number AS number_b FROM c a JOIN c b ON a.subject = b.subject AND a.page_id < b.page_id AND b.page_id - a.page_id < 200) SELECT a, b, subject, number_a, number_b FROM s WHERE abs(number_a - number_b) / greatest(number_a, number_b, 1)::DOUBLE > 0.2""")
 def claim_conflicts(spark, sf):
-    """Orders close in number that claim different quantities of one part."""
+    """Orders that claim different quantities of one part."""
     c = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").cast("string").alias("subject")).agg(F.max(F.col("l_quantity").cast("long")).alias("number"))
-    a, b = c.select(F.col("page_id").alias("a"), "subject"), c.select(F.col("page_id").alias("b"), "subject")
-    near = a.join(b, "subject").where("a < b and b - a < 200").select("a", "b").distinct()
-    return mining.conflicts(c, near)
+    return mining.conflicts(c)
 
 
 # --- reflection ---

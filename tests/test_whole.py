@@ -53,3 +53,11 @@ def test_nearest_edges_in_blocks(spark, monkeypatch):
     named = {f"p{i:02}": x for i, x in v.items()}
     got = graph.nearest_edges(spark.createDataFrame(list(named.items()), "page_id string, embedding array<float>"), None, 3)
     assert {tuple(r) for r in got.select("source_id", "target_id").collect()} == knn(named, 3)
+
+
+def test_claims_conflict_at_any_distance(spark):
+    sql = """WITH c AS (SELECT l_orderkey AS page_id, CAST(l_partkey AS VARCHAR) AS subject, max(CAST(l_quantity AS BIGINT)) AS number FROM read_parquet(?) GROUP BY ALL)
+    SELECT a.page_id, b.page_id, a.subject, a.number, b.number FROM c a JOIN c b ON a.subject = b.subject AND a.page_id < b.page_id WHERE abs(a.number - b.number) / greatest(a.number, b.number, 1)::DOUBLE > 0.2"""
+    want = set(duckdb.execute(sql, [f"{DATA}/lineitem.parquet"]).fetchall())
+    assert any(b - a >= 200 for a, b, *_ in want)
+    assert {tuple(r) for r in QUERIES["claim_conflicts"](spark, str(DATA)).select("a", "b", "subject", "number_a", "number_b").collect()} == want

@@ -25,7 +25,6 @@ ENTITY_RULES = {
     "MODEL": r"(?i)\b(gpt-4o?|llama|gemini|bert|whisper)\b",
     "PERSON_OR_ORG": r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b",
 }
-ENTITY_TEXT = 5000
 
 
 def see_also(keywords: DataFrame, pages: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
@@ -145,13 +144,14 @@ def counted_answer(pages: DataFrame, source_type: str, words: list[str]) -> Data
     return both.select(F.when((F.col("own") > 0) | F.lit(not words), source_type).otherwise("page").alias("source_type"), F.when((F.col("own") > 0) | F.lit(not words), F.col("own")).otherwise(F.col("every")).alias("n"))
 
 
-def entities(pages: DataFrame, rules: dict[str, str] = ENTITY_RULES) -> tuple[DataFrame, DataFrame]:
+def entities(pages: DataFrame, rules: dict[str, str] = ENTITY_RULES, head: int | None = None) -> tuple[DataFrame, DataFrame]:
     """entities (normalized, entity_type, name, mention_count) and page_entities (page_id, normalized, entity_type).
 
     Each entity counts once a page; the longest surface form is its name. Another extractor may be plugged in front.
+    head: read only so many characters of each body (the reference reads 5,000); None reads all.
     """
-    head = F.substring("body", 1, ENTITY_TEXT)
-    found = F.concat(*(F.transform(F.regexp_extract_all(head, F.lit(p), 1), _typed(k)) for k, p in rules.items()))
+    body = F.col("body") if head is None else F.substring("body", 1, head)
+    found = F.concat(*(F.transform(F.regexp_extract_all(body, F.lit(p), 1), _typed(k)) for k, p in rules.items()))
     own = pages.select("page_id", F.explode(found).alias("e")).select("page_id", F.trim("e.name").alias("name"), "e.entity_type").where(F.length("name") > 2)
     own = own.withColumn("normalized", F.lower(F.regexp_replace("name", r"\s+", " ")))
     page = own.groupBy("page_id", "normalized", "entity_type").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))

@@ -3,7 +3,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import graph
+from tessera.operators import graph, mining
+from tessera.plans import bindings
 from tessera.plans.queries import QUERIES
 
 from .conftest import DATA
@@ -61,3 +62,11 @@ def test_claims_conflict_at_any_distance(spark):
     want = set(duckdb.execute(sql, [f"{DATA}/lineitem.parquet"]).fetchall())
     assert any(b - a >= 200 for a, b, *_ in want)
     assert {tuple(r) for r in QUERIES["claim_conflicts"](spark, str(DATA)).select("a", "b", "subject", "number_a", "number_b").collect()} == want
+
+
+def test_entities_of_whole_texts(spark, tmp_path):
+    text = "filler words " * 500 + "met Ann Lee and Bob Ray"
+    spark.createDataFrame([(1, text, "s", "en"), (2, "Ann Lee", "s", "en")], "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["entities"](spark, str(tmp_path)).collect()} == {("ann lee", 2), ("bob ray", 1)}
+    pages = bindings.pages(spark, str(tmp_path))
+    assert mining.entities(pages, head=5000)[0].where("normalized = 'bob ray'").count() == 0

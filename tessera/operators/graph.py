@@ -44,6 +44,21 @@ def cooccurrence(keywords: DataFrame, least: int = 2, hot: int | None = None) ->
     return a.join(b, "keyword").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
+def cooccurrence_near(keywords: DataFrame, seeds: DataFrame, depth: int = 2, least: int = 2) -> DataFrame:
+    """The edges of cooccurrence that a walk of so many steps from the seeds (page_id) can take: source_id, target_id, weight 1.
+
+    Pairs are made only from pages that the walk has reached, so the whole graph is never built.
+    """
+    own = keywords.select("page_id", "keyword").distinct()
+    other = own.select(F.col("page_id").alias("target_id"), "keyword")
+    reached = seeds.select("page_id").distinct()
+    for step in range(depth):
+        pairs = own.join(reached, "page_id", "left_semi").join(other, "keyword").where("page_id != target_id").groupBy(F.col("page_id").alias("source_id"), "target_id").agg(F.count(F.lit(1)).alias("shared"))
+        edges = materialise(pairs.where(F.col("shared") >= least).select("source_id", "target_id", F.lit(1.0).alias("weight")), "near-edges")
+        reached = reached.unionByName(edges.select(F.col("target_id").alias("page_id"))).distinct()
+    return edges
+
+
 def weighted_graph(edges: DataFrame, keywords: DataFrame, per_keyword: float = 0.1) -> DataFrame:
     """Undirected a < b with summed weights: links, and shared keywords (two at least)."""
     links = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "weight")

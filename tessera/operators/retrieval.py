@@ -5,6 +5,8 @@ shuffled for a query. Statistics are one aggregated row. All rankings end their
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stemming, text as T
@@ -131,26 +133,26 @@ def graph_signal(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: floa
 def fuse(signals: list[tuple[str, DataFrame, int]], k: int = RRF_K) -> DataFrame:
     """page_id, score and signals: 1 / (k + rank) plus the share of the list's best score / (k + 1), summed over lists.
 
-    signals: name, list, and how many times it counts.
+    signals: name, list, and how many times it counts. A list that is cut has a column rank of its own.
     """
     parts = None
     for name, frame, times in signals:
         whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         best = F.max("score").over(whole)
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "page_id"))
+        rank = F.col("rank") if "rank" in frame.columns else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "page_id"))
         own = frame.select("page_id", F.lit(name).alias("signal"), (times * (1.0 / (k + rank) + F.col("score") / F.when(best == 0, 1.0).otherwise(best) / (k + 1))).alias("part"))
         parts = own if parts is None else parts.unionByName(own)
     return parts.groupBy("page_id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
 
 
-def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | None = None, keywords: DataFrame | None = None, k: int = 10, specific: bool | None = None) -> DataFrame:
+def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | Callable[[DataFrame], DataFrame] | None = None, keywords: DataFrame | None = None, k: int = 10, specific: bool | None = None, fields: dict[str, float] = WEIGHTS) -> DataFrame:
     """page_id, title, score, signals of the best k pages over all signals that there is input for.
 
     specific: whether a term is rare enough in titles (idf of 4 or more) for lexical hits to count twice and titles three
-    times; None reads it from the titles (one small row).
+    times; None reads it from the titles (one small row). edges: all of them, or a function of the seeds that gives those around them.
     """
     terms = [t.lower() for t in T.query_terms(query)]
-    words = lexical(pages, query)
+    words = lexical(pages, query, fields=fields)
     titles = title_signal(pages, query)
     if specific is None:
         stats, idf, _ = title_idf(pages, terms, missing="one")
@@ -158,15 +160,32 @@ def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_
     lists = [("lexical", words, 2 if specific else 1), ("title", titles, 3 if specific else 1)]
     if chunks is not None and query_vector is not None:
         lists.append(("vector", vector_signal(chunks, query_vector), 1))
-    if edges is not None:
-        seeds = top(words, SEEDS).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")))
-        lists.append(("graph", graph_signal(edges, seeds), 1))
     if keywords is not None:
         lists.append(("keyword", keyword_signal(keywords, query), 1))
-    best = top(fuse(lists), k)
+    if edges is not None:
+        lists = [(name, materialise(frame, f"{name}-signal"), times) for name, frame, times in lists]
+        seeds = top(lists[0][1], SEEDS).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")))
+        walked = materialise(graph_signal(edges(seeds) if callable(edges) else edges, seeds).withColumn("score", F.round("score", 12)), "graph-signal")
+        lists.append(("graph", _ranked(walked, [frame for _, frame, _ in lists], k), 1))
+    best = fuse(lists).withColumn("_key", F.round("score", 9)).orderBy(F.desc("_key"), "page_id").limit(k).drop("_key")
     return top(pages.select("page_id", "title").join(F.broadcast(best), "page_id"), k)
 
 
+def _ranked(walked: DataFrame, others: list[DataFrame], k: int) -> DataFrame:
+    """Of a long list those rows that can be among the best k of a fusion with short lists, each with its rank in the whole list.
+
+    A page that is in no other list can only be there if it is one of the first k here.
+    """
+    known = others[0].select("page_id")
+    for frame in others[1:]:
+        known = known.unionByName(frame.select("page_id"))
+    kept = top(walked, k).unionByName(walked.join(F.broadcast(known.distinct()), "page_id", "left_semi")).distinct()
+    kept = materialise(kept, "graph-best")
+    own = kept.select(F.col("page_id").alias("own_id"), F.col("score").alias("own_score"))
+    ahead = walked.join(F.broadcast(own), (F.col("score") > F.col("own_score")) | ((F.col("score") == F.col("own_score")) & (F.col("page_id") < F.col("own_id"))))
+    return kept.join(ahead.groupBy(F.col("own_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n")), "page_id", "left").select("page_id", "score", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+
+
 def fallback_scan(files: DataFrame, query: str) -> DataFrame:
     """Where there is no index: files whose content holds the query, all with score 0."""
     return files.where(F.contains(F.lower("content"), F.lower(F.lit(query)))).select("path", F.lit(0.0).alias("score"))

@@ -155,13 +155,9 @@ SELECT page_id, substr(text, 1, 60) AS title, round(score, 6) AS score, signals
 @query(_HYBRID_SQL)
 def hybrid_search(spark, sf):
     """All signals fused; rare terms count lexical hits twice and titles three times."""
-    own = B.pages(spark, sf)
-    words = retrieval.lexical(own, QUESTION, fields=_FIELDS)
-    titles = retrieval.title_signal(own, QUESTION)
-    lists = [("lexical", words, 2), ("title", titles, 3), ("vector", retrieval.vector_signal(_chunks(spark, sf), _vector(spark, sf)), 1), ("keyword", retrieval.keyword_signal(B.keywords(spark, sf), QUESTION), 1)]
-    fused = retrieval.fuse(lists).withColumn("key", F.round("score", 9))
-    best = fused.orderBy(F.desc("key"), "page_id").limit(10)
-    return own.select("page_id", "title").join(F.broadcast(best), "page_id").select("page_id", "title", F.round("score", 6).alias("score"), "signals")
+    own, kw = B.pages(spark, sf), scratch.materialise(B.keywords(spark, sf), "keywords")
+    best = retrieval.hybrid(own, QUESTION, _chunks(spark, sf), _vector(spark, sf), lambda seeds: graph.cooccurrence_near(kw, seeds), kw, 10, True, _FIELDS)
+    return best.select("page_id", "title", F.round("score", 6).alias("score"), "signals")
 
 
 @query("SELECT doc_id AS path, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'pathetic')")

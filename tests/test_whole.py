@@ -3,8 +3,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import graph, mining
-from tessera.plans import bindings
+from tessera.operators import graph, mining, retrieval
+from tessera.plans import bindings, queries
 from tessera.plans.queries import QUERIES
 
 from .conftest import DATA
@@ -70,3 +70,28 @@ def test_entities_of_whole_texts(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["entities"](spark, str(tmp_path)).collect()} == {("ann lee", 2), ("bob ray", 1)}
     pages = bindings.pages(spark, str(tmp_path))
     assert mining.entities(pages, head=5000)[0].where("normalized = 'bob ray'").count() == 0
+
+
+def test_hybrid_search_walks_the_graph(spark):
+    """The query's own SQL with the walk from the first five lexical hits as one more signal."""
+    walk = queries._BFS_SQL[queries._BFS_SQL.index("one AS") :]
+    pairs = queries._PAIRS_SQL.removeprefix(bindings.KEYWORDS_SQL).lstrip(", ")
+    graph_sql = f"""{pairs}, undirected AS (SELECT a AS node, b AS next FROM pairs UNION SELECT b, a FROM pairs),
+    seeds AS (SELECT page_id AS node, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM lex ORDER BY score DESC, page_id LIMIT 5), {walk}, walked AS (SELECT page_id, round(score, 12) AS score FROM bfs)"""
+    sql = queries._HYBRID_SQL.replace("parts AS (", f"{graph_sql},\nparts AS ({queries._FUSE('graph', 'walked')} UNION ALL ", 1)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    want = {r[0]: r[1:] for r in con.sql(sql).fetchall()}
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["hybrid_search"](spark, str(DATA)).collect()}
+    assert any("graph" in signals for _, _, signals in want.values())
+    assert {p: (t, s) for p, (t, _, s) in got.items()} == {p: (t, s) for p, (t, _, s) in want.items()}
+    assert all(abs(got[p][1] - want[p][1]) < 1e-5 for p in want)
+
+
+def test_walk_edges_are_all_that_a_walk_needs(spark):
+    kw = spark.createDataFrame([(i, f"k{(i * j) % 13}") for i in range(40) for j in (1, 2, 3)], "page_id long, keyword string")
+    seeds = spark.createDataFrame([(1, 1), (5, 2)], "page_id long, place int")
+    every = graph.cooccurrence(kw).selectExpr("a AS source_id", "b AS target_id", "1.0D AS weight")
+    walks = [{r[0]: round(r[1], 9) for r in retrieval.graph_signal(e, seeds).collect()} for e in (every, graph.cooccurrence_near(kw, seeds))]
+    assert walks[0] and walks[0] == walks[1]

@@ -11,18 +11,25 @@ sequence is one). Two documents are linked if 100 * intersection >= PERCENT * un
   0.6 or more, over four standard deviations below 0.8.
 * Candidates are the pairs of a bucket that pass. They are never listed: a bucket's lead is the node whose buckets are
   largest, so the original of a group of altered copies; each node is tried against the lead that it shares most buckets
-  with. Where that leaves a bucket in several components its nodes are compared sketch by sketch in blocks of BLOCK
-  against BLOCK, and each block sends a spanning forest of what passes. So clusters, the components of all candidates, are
-  found whole.
+  with. Where that leaves a bucket in several components, its nodes are compared sketch by sketch if they are at most
+  BLOCK, and each bucket sends a spanning forest of what passes; the nodes of a larger bucket count as candidates of each
+  other. So clusters, the components of all candidates, are found whole.
 * Pairs with a lead are confirmed on the full sets, made again from the texts of the clusters' nodes. A cluster that
   falls into several components is then compared set by set: the nodes outside its largest component against all
-  others, again in blocks (of BLOCK nodes and SET_BYTES at most, about), each sending a spanning forest of its links.
+  others, in blocks (of BLOCK nodes and SET_BYTES at most, about), each sending a spanning forest of its links.
+* A cluster of more than one block is first divided, so that pages of one template, which are all candidates but seldom
+  links, cost no more than their number. Shingles are ordered by how many nodes of such clusters hold them (counted in
+  SLOTS slots), rarest first. Two linked sets of n >= m shingles share at least o = PERCENT (n + m) / (100 + PERCENT), so
+  the smaller has one shared shingle among its first m - o + 1 <= m - o(m, m) + 1, the larger among its first
+  n - o + 1 <= n - o(n, PERCENT n / 100) + 1. Nodes that meet at such a shingle, are in different components and
+  whose odd sketches pass make the parts that are compared set by set. A template's own shingles come last in the order.
 
 So no step emits the pairs of a group, and no link between two components goes untried.
 
 Defined cases: null texts and texts without words have empty sets and are linked with nothing; rows that repeat an
-id and text are copies of each other; a null id is never the smallest of a group that has other ids; an empty table
-gives an empty result.
+id and text are copies of each other; rows of one id with different texts are different documents that share an id; a
+null id is never the smallest of a group that has other ids; texts of any length are read whole, shingle by shingle; an
+empty table gives an empty result; columns other than doc_id and text are not read, whatever their names.
 """
 from __future__ import annotations
 
@@ -33,10 +40,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_KEYS, key_join, materialise, small_batches, utf8
-from .graph import components
+from .common import fresh, materialise, quoted, small, small_batches, utf8
+from .graph import components, contracted
 
 SHINGLE, PERCENT, BANDS, ROWS, BITS, BLOCK, SET_BYTES = 5, 80, 36, 5, 512, 512, 2 << 20
+#: Counters of shingles that order them; a power of two.
+SLOTS = 1 << 20
+#: Copies of one text from which its rows find their group by a broadcast of it (there are at most rows / HOT_ROWS such texts).
+HOT_ROWS = 100_000
 LEAST_ESTIMATE = 0.6
 _CACHE = 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -136,11 +147,9 @@ def _linked(left: Column, right: Column, percent: int) -> Column:
 
 
 def _full_sets(docs: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
-    """node, members of the nodes of clusters (node, first_id); only their documents are read again."""
-    ids = materialise(clusters.select(F.col("first_id").alias("doc_id")).distinct(), "near-ids")
-    texts = key_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
-    made = texts.select(_sets(F.col("text"), shingle).alias("s")).select("s.*")
-    return materialise(made.join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    """node, members of the nodes of clusters (node, row); docs: row, text. Only one document of each node is read again."""
+    made = docs.join(small(clusters.select("row")), "row", "left_semi").select(_sets(F.col("text"), shingle).alias("s")).select("s.*")
+    return materialise(made.dropDuplicates(["node"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,12 +216,24 @@ def similar_sets(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
 
 
 def _compared(dealt: DataFrame, payload: str, percent: int) -> DataFrame:
-    """dealt: k, i, j (a block pair), own (the row's block), node, label, and n, odd or members by payload.
+    """dealt: k, i, j (a block pair), own (the row's block), node, label, and by payload members, n and odd, or n, odd and first.
 
-    Pairs a, b: for each block pair a spanning forest, over labels, of the pairs of different labels that are similar.
+    Rows a, b, marked: for each block pair a spanning forest, over labels, of the pairs of different labels that are similar
+    (labels a and b, marked false). With the payload first, also each node a with its label b that such a pair holds (marked true).
     """
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
+    def judged(left: list[tuple], right: list[tuple]) -> np.ndarray:
+        if payload == "members":
+            return similar_sets([r[6] for r in left], [r[6] for r in right], percent)
+        sides = [(np.array([r[6] for r in side], np.int64), np.array([r[7] for r in side], np.int64).view(np.uint64)) for side in (left, right)]
+        ok = similar_sketches(*sides, percent)
+        if payload == "first":
+            n, m = sides[0][0][:, None], sides[1][0][None, :]
+            x, y = (np.array([r[8] for r in side], bool) for side in (left, right))
+            ok &= ((n <= m) & x[:, None]) | ((m <= n) & y[None, :])
+        return ok
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -222,20 +243,21 @@ def _compared(dealt: DataFrame, payload: str, percent: int) -> DataFrame:
             right = left if i == j else [r for r in held if r[3] == j]
             if not left or not right:
                 return None
-            nodes = [np.array([r[4] for r in side], np.int64) for side in (left, right)]
             labels = [np.array([r[5] for r in side], np.int64) for side in (left, right)]
             differ = labels[0][:, None] != labels[1][None, :]
             if not differ.any():
                 return None
-            if payload == "members":
-                ok = similar_sets([r[6] for r in left], [r[6] for r in right], percent)
-            else:
-                ok = similar_sketches(*((np.array([r[6] for r in side], np.int64), np.array([r[7] for r in side], np.int64).view(np.uint64)) for side in (left, right)), percent)
-            x, y = np.nonzero(ok & differ)
+            x, y = np.nonzero(judged(left, right) & differ)
             if not len(x):
                 return None
             kept = spanning(labels[0][x], labels[1][y])
-            return pa.RecordBatch.from_arrays([pa.array(nodes[0][x[kept]], pa.int64()), pa.array(nodes[1][y[kept]], pa.int64())], ["a", "b"])
+            a, b = labels[0][x[kept]], labels[1][y[kept]]
+            marked = np.zeros(len(a), bool)
+            if payload == "first":
+                for side, at, own in ((left, np.unique(x), labels[0]), (right, np.unique(y), labels[1])):
+                    a, b = np.concatenate([a, [side[k][4] for k in at.tolist()]]), np.concatenate([b, own[at]])
+                marked = np.arange(len(a)) >= len(marked)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(marked)], ["a", "b", "marked"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -247,33 +269,25 @@ def _compared(dealt: DataFrame, payload: str, percent: int) -> DataFrame:
         if held and (out := flush()) is not None:
             yield out
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
-
+    return dealt.mapInArrow(compare, "a long, b long, marked boolean").distinct()
 
-def _sketch_blocks(rows: DataFrame) -> DataFrame:
-    """rows: k, node, label, n, odd, blocks. Each block of a bucket meets each other and itself."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return rows.withColumns({"own": own, "m": F.explode(meets)}).select("k", "m.i", "m.j", "own", "node", "label", "n", "odd")
 
-
-def _set_blocks(rows: DataFrame) -> DataFrame:
-    """rows: k (a cluster), node, label, members, inner (of the largest component), outer_blocks and inner_blocks.
+def _met(rows: DataFrame, *payload: str) -> DataFrame:
+    """rows: k, node, label, inner, outer_blocks, inner_blocks and the payload. Each row once for each block pair that its block is in.
 
     Blocks of the outer nodes are numbered from 0, those of the inner ones after them. Outer blocks meet all blocks.
     """
     own = F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(F.xxhash64("node"), F.col("inner_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer_blocks"))).cast("int")
     others = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return rows.withColumns({"own": own, "m": F.explode(meets)}).select("k", "m.i", "m.j", "own", "node", "label", "members")
+    return rows.withColumns({"own": own, "m": F.explode(meets)}).select("k", "m.i", "m.j", "own", "node", "label", *payload)
 
 
 def _clusters(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs with a bucket's lead, and node, cluster of all nodes that have a candidate."""
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = materialise(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
-    small = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    members = materialise(dealt.join(F.broadcast(shared) if small else shared, "bucket"), "near-members")
+    members = materialise(dealt.join(small(shared), "bucket"), "near-members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     lead = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
     # of the leads of its buckets each node tries the one that it shares most buckets with
@@ -284,62 +298,165 @@ def _clusters(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     labels = components(star)
     labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held")).where("low != high")
-    split = split.select("bucket", F.ceil(F.col("held") / BLOCK).alias("blocks"))
-    rows = labelled.join(split, "bucket").join(nodes.select("node", "n", "odd"), "node").withColumnRenamed("bucket", "k")
-    joints = materialise(_compared(_sketch_blocks(rows), "sketch", percent), "near-joints")
-    if joints.limit(1).count():
-        labels = components(star.unionByName(joints))
-    return star, labels.withColumnRenamed("label", "cluster")
+    split = materialise(split.select("bucket", "low", "held"), "near-split")
+    one = F.lit(1).cast("long")
+    little = labelled.join(small(split.where(F.col("held") <= BLOCK).select("bucket")), "bucket").withColumnRenamed("bucket", "k")
+    little = little.join(nodes.select("node", "n", "odd"), "node").withColumns({"inner": F.lit(False), "outer_blocks": one, "inner_blocks": one * 0})
+    joints = _compared(_met(little, "n", "odd"), "odd", percent).select("a", "b")
+    large = labelled.join(small(split.where(F.col("held") > BLOCK).select("bucket", "low")), "bucket").where("label != low")
+    joints = joints.unionByName(large.select(F.col("low").alias("a"), F.col("label").alias("b")).distinct())
+    return star, contracted(labels, joints).withColumnRenamed("label", "cluster")
 
 
-def _rest(clusters: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that a cluster still falls into, as a spanning forest of each block pair."""
-    labelled = clusters.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets.select("node", F.octet_length("members").alias("bytes")), "node")
-    labelled = materialise(labelled.select("cluster", "node", "label", "bytes"), "near-parts")
-    parts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("bytes"))
-    whole = parts.groupBy("cluster").agg(F.max(F.struct("held", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("held").alias("held"), F.sum("bytes").alias("bytes"), F.max(F.struct("held", "label", "bytes")).alias("most")).where("parts > 1")
+def _blocks(parts: DataFrame) -> DataFrame:
+    """parts: cluster, label, node, bytes. cluster, largest, outer_blocks and inner_blocks of the clusters of several labels."""
+    sums = parts.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("bytes"))
+    whole = sums.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("held").alias("held"), F.sum("bytes").alias("bytes"), F.max(F.struct("held", "label", "bytes")).alias("most")).where("parts > 1")
 
     def blocks(n: Column, size: Column) -> Column:
         return F.greatest(F.ceil(n / BLOCK), F.ceil(size / SET_BYTES), F.lit(1))
 
-    whole = whole.select("cluster", "largest", blocks(F.col("held") - F.col("most.held"), F.col("bytes") - F.col("most.bytes")).alias("outer_blocks"), blocks(F.col("most.held"), F.col("most.bytes")).alias("inner_blocks"))
-    rows = labelled.join(whole, "cluster").join(sets, "node").withColumns({"inner": F.col("label") == F.col("largest"), "k": F.col("cluster")})
-    return _compared(_set_blocks(rows), "members", percent)
+    return whole.select("cluster", F.col("most.label").alias("largest"), blocks(F.col("held") - F.col("most.held"), F.col("bytes") - F.col("most.bytes")).alias("outer_blocks"), blocks(F.col("most.held"), F.col("most.bytes")).alias("inner_blocks"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of n ordered members a linked set of the same size or larger, and one of any size, must meet."""
+    def shared(m: int) -> int:
+        return -(-percent * (n + m) // (100 + percent))
+
+    return n - shared(n) + 1, n - shared(-(-percent * n // 100)) + 1
+
+
+def _slots(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(8)) & np.uint64(SLOTS - 1)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a member of each slot (about: a set counts each of its members); SLOTS numbers at any size."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                held += np.bincount(_slots(np.frombuffer(m, np.uint64)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in sets.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[slot] = n
+    return out
+
+
+def _divided(large: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """large: cluster, node, label. cluster (a part's), node and label of the nodes that may be linked with one of another label."""
+    held = materialise(large.join(sets, "node").select("members", "cluster", "node", "label"), "near-large")
+    counts = held.sparkSession.sparkContext.broadcast(_slot_counts(held))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = counts.value
+        for batch in batches:
+            for members, cluster, node, label in zip(*(c.to_pylist() for c in batch.columns)):
+                m = np.frombuffer(members, np.uint64)
+                short, long = prefix_lengths(len(m), percent)
+                m = m[np.lexsort((m, order[_slots(m).astype(np.int64)]))[:long]]
+                key = _mix(m ^ _mix(np.array([cluster], np.int64).view(np.uint64))).view(np.int64)
+                one = lambda x: pa.array(np.full(len(key), x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), one(node), one(label), pa.array(np.arange(len(key)) < short)], ["k", "node", "label", "first"])
+
+    keyed = materialise(held.mapInArrow(prefixes, "k long, node long, label long, first boolean"), "near-prefixes")
+    useful = keyed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("first").alias("outer"), F.count(F.lit(1)).alias("held")).where("outer > 0 and low != high")
+    useful = materialise(useful.select("k", F.ceil(F.col("outer") / BLOCK).alias("outer_blocks"), F.ceil((F.col("held") - F.col("outer")) / BLOCK).alias("inner_blocks")), "near-useful")
+    rows = keyed.join(small(useful), "k").withColumn("inner", ~F.col("first")).join(nodes.select("node", "n", "odd"), "node")
+    found = materialise(_compared(_met(rows, "n", "odd", "first"), "first", percent), "near-meets")
+    parts = components(found.where("not marked"))
+    marked = found.where("marked").select(F.col("a").alias("node"), F.col("b").alias("label")).distinct()
+    return marked.join(parts.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").select("cluster", "node", "label")
+
+
+def _rest(clusters: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between the components (labels: node, label) that a cluster still falls into, as label pairs a, b: a spanning forest of each block pair."""
+    sized = sets.select("node", F.octet_length("members").cast("long").alias("bytes"))
+    labelled = clusters.select("cluster", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sized, "node")
+    labelled = materialise(labelled.select("cluster", "node", "label", "bytes"), "near-parts")
+    whole = materialise(_blocks(labelled), "near-whole")
+    alone = (F.col("outer_blocks") == 1) & (F.col("inner_blocks") == 1)
+
+    def dealt(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+        rows = parts.join(blocks, "cluster").join(sets, "node").withColumns({"inner": F.col("label") == F.col("largest"), "k": F.col("cluster")})
+        return _met(rows, "members")
+
+    todo = dealt(labelled, whole.where(alone))
+    if not whole.where(~alone).isEmpty():
+        large = labelled.join(whole.where(~alone).select("cluster"), "cluster", "left_semi")
+        parts = materialise(_divided(large, sets, nodes, percent).join(sized, "node"), "near-divided")
+        todo = todo.unionByName(dealt(parts, _blocks(parts)))
+    return _compared(todo, "members", percent).select("a", "b")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows with one key are the same in all of them."""
+    return F.xxhash64(*(c for c, f in zip(quoted(docs), docs.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))))
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """docs: doc_id, text, row (a long that is the same only on rows with equal id and text). doc_id, row, n (shingles) and best
+    of each: the id and row of its group's first row (by id, nulls last, then row); null without shingles."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    made = materialise(docs.select("doc_id", _sketches(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "near-sketches")
-    nodes = made.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    made = materialise(docs.select("doc_id", "row", _sketches(F.col("text"), shingle).alias("s")).select("doc_id", "row", "s.*"), "near-sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    nodes = made.where("n > 0").groupBy("node").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = materialise(nodes, "near-nodes")
     star, clusters = _clusters(nodes, percent)
-    clusters = materialise(clusters.join(nodes.select("node", "first_id"), "node"), "near-clusters")
-    sets = _full_sets(docs, clusters, shingle)
-    links = materialise(_confirmed(star, sets, percent), "near-links")
-    links = materialise(links.unionByName(_rest(clusters, sets, links, percent)), "near-links")
-    labels = components(links)
-
-    known = nodes.select("node", "first_id").join(labels, "node")
-    lowest = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    known = known.join(lowest, "label").select("node", "component_id")
-    homes = nodes.select("node", "first_id").join(known, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = made.select("doc_id", F.col("n").alias("n_shingles"), "node").join(homes, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    clusters = materialise(clusters.join(nodes.select("node", F.col("best.row").alias("row")), "node"), "near-clusters")
+    sets = _full_sets(docs.select("row", "text"), clusters, shingle)
+    labels = components(_confirmed(star, sets, percent))
+    labels = contracted(labels, _rest(clusters, nodes, sets, labels, percent))
+
+    known = materialise(nodes.select("node", "best", "rows").join(labels, "node"), "near-known")
+    lowest = known.groupBy("label").agg(F.min("best").alias("best"))
+    groups = known.drop("best").join(lowest, "label").select("node", "best", "rows")
+    copied = nodes.where("rows > 1").select("node", "best", "rows").join(labels.select("node"), "node", "left_anti")
+    groups = materialise(groups.unionByName(copied), "near-groups")
+    # a row whose node has no other row and no link is its own group; groups of hot texts are broadcast, so no task gets all copies
+    alone = F.when(F.col("n") > 0, first)
+    hot = groups.where(F.col("rows") >= HOT_ROWS).select("node", F.col("best").alias("hot"))
+    rows = made.select("doc_id", "row", "n", "node").join(F.broadcast(hot), "node", "left")
+    rest = groups.where(F.col("rows") < HOT_ROWS).select("node", "best")
+    near = small(rest)
+    if near is not rest:
+        return rows.join(near, "node", "left").select("doc_id", "row", "n", F.coalesce("hot", "best", alone).alias("best"))
+    cold = rows.where("n > 0 and hot is null").join(rest, "node", "left").select("doc_id", "row", "n", F.coalesce("best", alone).alias("best"))
+    return cold.unionByName(rows.where("n = 0 or hot is not null").select("doc_id", "row", "n", F.col("hot").alias("best")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document (kept: it has the smallest id of its group)."""
+    judged = _judged(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), shingle, percent)
+    component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    out = judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents whose group has a smaller id. A row whose id repeats stays once."""
-    judged = materialise(near_duplicates(docs, shingle, percent), "near-judged")
-    gone = materialise(judged.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    left = key_join(docs, gone, "doc_id", "left_anti")
-    again = materialise(judged.where("kept").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "near-again")
-    if again.limit(1).count() == 0:
-        return left
-    repeated = key_join(left, again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return key_join(left, again, "doc_id", "left_anti").unionByName(repeated)
+    """docs with one row of each group: that of the smallest id, then of the smallest hash of all its columns.
+
+    Rows are told apart by id and that hash, so a row never goes because another has its id; rows that are equal in
+    all columns stay once; rows without shingles all stay.
+    """
+    own = quoted(docs)
+    row, gone_id, gone_row = fresh(docs, "row", "gone_id", "gone_row")
+    keyed = docs.withColumn(row, _row_key(docs))
+    judged = materialise(_judged(keyed.select("doc_id", "text", F.col(row).alias("row")), shingle, percent), "near-judged")
+    best = (F.col("row") == F.col("best.row")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    named = [F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row)]
+    gone = materialise(judged.where((F.col("n") > 0) & ~best).select(*named).distinct(), "near-gone")
+    again = materialise(judged.where((F.col("n") > 0) & best).select(*named).groupBy(gone_id, gone_row).count().where("count > 1").drop("count"), "near-again")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(row) == F.col(gone_row))
+    left = keyed.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return left.select(*own)
+    repeated = left.join(small(again), same, "left_semi").dropDuplicates(["doc_id", row])
+    return left.join(small(again), same, "left_anti").unionByName(repeated).select(*own)
 
 
 #: For four-word shingles.

@@ -69,6 +69,51 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, block, set_bytes):
     assert all(r["kept"] == (i == groups[i]) for i, r in got.items())
 
 
+def test_ways_for_many_groups_and_hot_texts(spark, monkeypatch):
+    """Joins beyond the broadcast bound, and texts with so many copies that their group is broadcast."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    rows = [(i, t) for i, t in near_rows() if i < 60]
+    rows += [(1000 + k, rows[0][1]) for k in range(5)] + [(2000, rows[1][1]), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups, _ = brute_groups(rows, 5)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == groups
+    assert sorted(r[0] for r in neardup.one_of_each_group(docs).collect()) == sorted(set(groups.values()))
+
+
+def template_rows(n, alike=0.7):
+    """Pages of one template whose sets of 4-word shingles have about that similarity, and close copies of a few of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template = [word() for _ in range(120)]
+    own = round(120 * (1 - alike) / (2 * alike))
+    rows = [(i, " ".join(template + [word() for _ in range(own)])) for i in range(n)]
+    return rows + [(n + i, rows[7 * i][1] + " " + word()) for i in range(5)]
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rows = template_rows(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups, _ = brute_groups(rows, 4)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle=4).collect()} == groups
+    assert sum(i != g for i, g in groups.items()) == 5
+
+
+def test_rows_go_by_row_not_by_id(spark):
+    """Ids that repeat on unlike texts, and null ids."""
+    a, u, b, c, q = ("some words " + " ".join(f"{x}{k}" for k in range(40)) for x in "aubcq")
+    rows = [(1, a), (6, a), (6, u), (7, b), (7, c), (None, a), (None, q), (None, q), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, {"m": 1}) for r in rows], "doc_id long, text string, gone_row map<string, int>").repartition(3)
+    left = neardup.one_of_each_group(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("1", a), ("6", u), ("7", b), ("7", c), ("None", q), ("8", ""), ("8", "")])
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([("1", "1", True), ("6", "1", False), ("6", "6", True), ("7", "7", True), ("7", "7", True), ("None", "1", False), ("None", "None", True), ("None", "None", True), ("8", "8", True), ("8", "8", True)])
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_rows()[:60]
     docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").withColumn("kept", F.lit("mine"))

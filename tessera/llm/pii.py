@@ -2,53 +2,94 @@
 
 Base spans are leftmost non-overlapping matches of four formats, each checked after matching. They seed the method:
 
-1. Instances are base spans and identifier-like tokens (an at sign or seven digits at least) that no base span overlaps.
-2. The lexical patterns of an instance are the last word before it and the last two words before it.
+1. Instances are base spans, and candidates that no base span overlaps. Candidates are of a form: numbers (7 to 19 digits,
+   in groups that up to two separators join), names (a token with an at sign, "user at host dot com" or "user (at) host") and values
+   (letters and digits after an equals sign or a colon, 6 characters at least). Values of SEED_VALUE characters or more that
+   are not labelled as a digest are the seeds of a fifth kind, secret.
+2. The lexical patterns of an instance are the last word before it and the last two words before it. Signs that end a
+   label belong to its word.
 3. Distinct patterns and instances form a graph over all documents. ROUNDS times, a pattern's confidence in a kind is the
    sum of its instances' scores over their number plus one, and an instance's score is 1 - product(1 - confidence) over
-   its patterns of at least PATTERN_CONFIDENCE with MIN_SEEDS different seeds. Seeds keep the score 1.
-4. Tokens whose score reaches INSTANCE_SCORE become spans of their likeliest kind. Base spans stay.
-
-The regular expressions hold possessive quantifiers and anchors to the start of a run, so each text is matched in
-linear time; none of this changes what leftmost greedy matching finds. Offsets are code points, ends exclusive.
-
-Defined cases: null counts as the empty text; equal texts get equal spans; an empty table gives an empty result.
+   its patterns of at least PATTERN_CONFIDENCE with MIN_SEEDS different seeds. Seeds keep the score 1 in the rounds.
+4. Candidates whose score reaches INSTANCE_SCORE become spans of their likeliest kind, if that kind goes with their form:
+   email with names, secret with values, the others with numbers. Values that seed secrets need that score, too: a
+   format alone does not make a secret. Base spans stay.
+
+The regular expressions hold possessive quantifiers and anchors to the start of a run, and offsets are sums over blocks
+of blocks of matches, so the time for a text grows with its length; none of this changes what leftmost greedy matching
+finds. Offsets are code points, ends exclusive.
+
+Defined cases: null counts as the empty text; equal texts get equal spans; rows that repeat are judged each; a value of
+several kinds gets the one of the highest score, then the first in the order of KINDS; texts of any length are read
+whole; an empty table gives an empty result; no column but doc_id and text is read, whatever its name.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import materialise, small
 
-ROUNDS, MIN_SEEDS, PATTERN_CONFIDENCE, INSTANCE_SCORE = 3, 3, 0.8, 0.9
-KINDS = ("email", "ip", "card", "phone")
+ROUNDS, MIN_SEEDS, PATTERN_CONFIDENCE, INSTANCE_SCORE, SEED_VALUE = 3, 3, 0.8, 0.9, 20
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: Of the formats [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
-#: [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]
+#: [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]. Runs with too few digits for a card or a phone are not matched at all.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,}+",
+    "phone": r"\+(?=[0-9](?:[\x20().-]*+[0-9]){8,}+)[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Forms of candidates, in the order in which they are tried at a place.
+FORMS = {
+    "name": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D]*+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at [A-Za-z0-9-]++(?= dot )| ?[(\[]at[)\]] ?[A-Za-z0-9-]++)(?:(?: dot | ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]++)*+",
+    "value": r"(?:(?<=[=:])|(?<=[=:][\x20\x22\x27])|(?<=[=:]\x20[\x22\x27]))(?=[0-9_+/.-]*+[A-Za-z])(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/.-]{5,}+",
+    "number": r"(?<![A-Za-z0-9])[+(]?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
+}
+_FORM_KINDS = {"name": ("email",), "value": ("secret",), "number": ("ip", "card", "phone")}
+# Labels of digests, which are no secrets.
+_DIGEST = r"(?i)(?:sha-?[0-9]*|md[0-9]|crc[0-9]*|commit|digest|checksum|etag|rev|revision|hash|uuid|guid|version)[^A-Za-z0-9]*$"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_CONTEXT = 64
+_CONTEXT, _BLOCK = 64, 64
 _SPAN = "struct<s:int,e:int,v:string,before:string>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """All matches with offsets and the end of what stands between a match and the one before."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, b: F.struct(v.alias("v"), b.alias("b")))
+# Expressions over arrays are written as SQL text: one call each, where column functions would be hundreds.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["v"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"), F.right(x["b"], F.lit(_CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+def _let(value: str, name: str, then: str) -> str:
+    """then, in which name stands for value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _sums(lengths: str, start: str) -> str:
+    """start plus the sum of all lengths up to each, by an accumulator that grows: for few lengths."""
+    step = "(acc, n) -> named_struct('at', acc.at + n, 'out', concat(acc.out, array(acc.at + n)))"
+    return f"aggregate({lengths}, named_struct('at', {start}, 'out', cast(array() AS array<int>)), {step}, acc -> acc.out)"
+
+
+def _in_blocks(x: str, name: str) -> str:
+    return f"transform(sequence(0, cast(floor((size({x}) - 1) / {_BLOCK}) AS int)), {name} -> slice({x}, {name} * {_BLOCK} + 1, {_BLOCK}))"
+
+
+def _ends(lengths: str, levels: int = 2) -> str:
+    """The sum of lengths up to each: by blocks of _BLOCK, whose own sums are taken by blocks again."""
+    if not levels:
+        return _sums(lengths, "0")
+    x, b, e = f"x{levels}", f"b{levels}", f"e{levels}"
+    before = _ends(f"transform({b}, q -> aggregate(q, 0, (s, n) -> s + n))", levels - 1)
+    own = _sums(f"p{levels}", f"if(k{levels} > 0, get({e}, k{levels} - 1), 0)")
+    joined = f"flatten({_let(before, e, f'transform({b}, (p{levels}, k{levels}) -> {own})')})"
+    few = f"size({x}) <= {_BLOCK}"
+    return _let(lengths, x, f"CASE WHEN {few} THEN {_sums(x, '0')} ELSE {_let(_in_blocks(x, f'j{levels}'), b, joined)} END")
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+def _located(text: str, pattern: str) -> Column:
+    """All matches in a column with offsets, and the end of what stands between a match and the one before."""
+    steps = f"zip_with(f, slice(split({text}, r'{pattern}', -1), 1, size(f)), (v, b) -> named_struct('v', v, 'gap', length(b), 'before', right(b, {_CONTEXT})))"
+    spans = f"zip_with(y, {_ends('transform(y, z -> z.gap + length(z.v))')}, (z, e) -> named_struct('s', e - length(z.v), 'e', e, 'v', z.v, 'before', z.before))"
+    return F.expr(_let(f"regexp_extract_all({text}, r'{pattern}', 0)", "f", _let(steps, "y", spans)))
 
 
 def _none() -> Column:
@@ -85,70 +126,102 @@ def _checked(kind: str):
     return lambda x: _holds(kind, x["v"])
 
 
-def _of_kind(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["before"].alias("before"))
-
-
 def _at_place(place: int):
     return lambda x: F.struct(F.lit(place).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), and arrays of spans: one for each kind, and tokens (identifier-like, trimmed)."""
+    """doc_id, row (a number of its own), and arrays of spans: one for each base kind, and one for each form of candidates that no base span overlaps."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("_t"))
-    # texts without a format's fixed sign need no matching; a card has at least 13 digits
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("_t"))
+    # texts without a format's fixed sign need no matching
     may = {"email": F.contains("_t", F.lit("@")), "ip": F.col("_t").rlike(r"[0-9]\.[0-9]"), "card": F.col("_t").rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains("_t", F.lit("+"))}
-    token = F.col("_t").rlike("[0-9@]")
-    columns = {k: F.when(may[k], F.filter(_located(F.col("_t"), PATTERNS[k]), _checked(k))).otherwise(_none()) for k in KINDS}
-    tokens = F.filter(_located(F.col("_t"), _TOKEN), lambda x: (F.length(_digits(x["v"])) >= 7) | F.contains(x["v"], F.lit("@")))
+    may |= {"name": F.contains("_t", F.lit("@")) | F.col("_t").rlike(r" at [A-Za-z0-9-]+ dot |[(\[]at[)\]]"), "value": F.col("_t").rlike("[=:][\\x20\"']{0,2}[A-Za-z0-9]"), "number": F.col("_t").rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")}
+    base = own.select("doc_id", "row", "_t", *(F.when(may[k], F.filter(_located("_t", PATTERNS[k]), _checked(k))).otherwise(_none()).alias(k) for k in BASE))
+    def candidates(form: str) -> Column:
+        found = _located("_t", FORMS[form])
+        if form == "number":
+            found = F.filter(found, lambda x: F.length(_digits(x["v"])) <= 19)
+        if form == "name":
+            found = F.transform(found, _trimmed)
+        return F.when(may[form], F.filter(found, lambda x: F.length(x["v"]) > 0)).otherwise(_none())
+
+    taken = F.array_sort(F.flatten(F.array(*(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE))))
+    base = base.select("doc_id", "row", *BASE, *(candidates(f).alias(f) for f in FORMS), taken.alias("taken"))
+    return base.select("doc_id", "row", *BASE, *(_outside(f, "taken").alias(f) for f in FORMS))
+
+
+def _trimmed(x: Column) -> Column:
+    """A span without the signs around it."""
+    left = F.regexp_extract(x["v"], r"^[^A-Za-z0-9+@(]*", 0)
+    v = F.regexp_replace(F.substr(x["v"], F.length(left) + 1), r"[^A-Za-z0-9)]+$", "")
+    start = x["s"] + F.length(left)
+    return F.struct(start.alias("s"), (start + F.length(v)).alias("e"), v.alias("v"), F.concat(x["before"], left).alias("before"))
 
-    def trimmed(x: Column) -> Column:
-        left = F.regexp_extract(x["v"], r"^[^A-Za-z0-9+@(]*", 0)
-        v = F.regexp_replace(F.substr(x["v"], F.length(left) + 1), r"[^A-Za-z0-9)]+$", "")
-        start = x["s"] + F.length(left)
-        return F.struct(start.alias("s"), (start + F.length(v)).alias("e"), v.alias("v"), F.concat(x["before"], left).alias("before"))
 
-    return own.select("doc_id", F.xxhash64("_t").alias("key"), *(columns[k].alias(k) for k in KINDS), F.when(token, F.transform(tokens, trimmed)).otherwise(_none()).alias("tokens"))
+def _grouped(x: str, tag: str) -> str:
+    """Structs with s and e, by s, as structs of s, e and own: blocks of _BLOCK with the stretch that each covers."""
+    covered = f"named_struct('s', array_min(transform(o{tag}, y -> y.s)), 'e', array_max(transform(o{tag}, y -> y.e)), 'own', o{tag})"
+    return _let(x, f"x{tag}", f"transform({_in_blocks(f'x{tag}', f'j{tag}')}, o{tag} -> {covered})")
+
+
+def _outside(spans: str, taken: str) -> Column:
+    """The spans of a column that overlap none of another (structs s and e, by s). Many taken ones are looked at by blocks of blocks."""
+    def meets(x: str) -> str:
+        return f"({x}.s < c.e AND c.s < {x}.e)"
+
+    by_blocks = f"filter({spans}, c -> NOT exists(g0, g -> {meets('g')} AND exists(g.own, h -> {meets('h')} AND exists(h.own, t -> {meets('t')}))))"
+    direct = f"filter({spans}, c -> NOT exists({taken}, t -> {meets('t')}))"
+    return F.expr(f"CASE WHEN size({taken}) = 0 THEN {spans} WHEN size({taken}) <= {_BLOCK} THEN {direct} ELSE {_let(_grouped(_grouped(taken, '1'), '2'), 'g0', by_blocks)} END")
 
 
 def _patterns(before: Column) -> Column:
     """The last word, and the last two, of what stands before. Signs that end labels belong to the word."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(before, r"[^\p{L}\p{N}:=#@]+", " ")), " "), lambda w: w != "")
+    joined = F.regexp_replace(F.regexp_replace(F.lower(before), r"[^\p{L}\p{N}:=#_]+", " "), r" ?([:=#])[:=# ]*", "$1 ")
+    words = F.filter(F.split(joined, " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
     one = F.when(F.size(words) > 0, F.array(F.element_at(words, -1))).otherwise(F.array().cast("array<string>"))
     two = F.when(F.size(words) > 1, F.array(F.array_join(F.slice(words, -2, 2), " "))).otherwise(F.array().cast("array<string>"))
     return F.concat(one, two)
 
 
 def _instances(spans: DataFrame) -> DataFrame:
-    """key, kind (null: not a base span), s, e, value and patterns."""
-    base = F.concat(*(F.transform(k, _of_kind(k)) for k in KINDS))
-    own = spans.withColumn("base", base)
-    free = F.filter("tokens", lambda t: (F.length(t["v"]) > 0) & ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    rest = F.transform(free, lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["before"].alias("before")))
-    own = own.select("key", F.explode(F.concat("base", rest)).alias("x"))
-    return own.select("key", "x.kind", "x.s", "x.e", F.lower("x.v").alias("value"), _patterns(F.col("x.before")).alias("patterns"))
+    """row, kind (of seeds, else null), form (null: a base span), s, e, value and patterns."""
+    def typed(kind: str | None, form: str | None):
+        def made(x: Column) -> Column:
+            seed = F.lit(kind).cast("string")
+            if form == "value":
+                seed = F.when((F.length(x["v"]) >= SEED_VALUE) & (F.length(_digits(x["v"])) >= 2) & ~x["before"].rlike(_DIGEST), "secret")
+            return F.struct(seed.alias("kind"), F.lit(form).cast("string").alias("form"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["before"].alias("before"))
+
+        return made
+
+    every = F.concat(*(F.transform(k, typed(k, None)) for k in BASE), *(F.transform(f, typed(None, f)) for f in FORMS))
+    own = spans.select("row", F.explode(every).alias("x"))
+    return own.select("row", "x.kind", "x.form", "x.s", "x.e", F.lower("x.v").alias("value"), _patterns(F.col("x.before")).alias("patterns"))
 
 
 def discovered(spans: DataFrame) -> DataFrame:
-    """key, kind, s and e of spans that the patterns add. spans: as located() gives it, materialised."""
+    """row, kind, s and e of spans that the patterns add. spans: as located() gives it, materialised."""
     instances = materialise(_instances(spans), "pii-instances")
-    free = instances.where("kind is null")
-    graph = materialise(instances.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "pii-graph")
-    seeds = graph.where("kind is not null").select("value", "kind").distinct()
-    graph = graph.groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
+    free = instances.where("form is not null")
+    graph = instances.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
+    graph = materialise(graph, "pii-graph")
+    seeds = materialise(graph.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct(), "pii-seeds")
     width = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("width"))
     score = seeds.withColumn("score", F.lit(1.0))
     for _ in range(ROUNDS):
-        hits = graph.join(score, "value").groupBy("pattern", "kind").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("hit"), F.sum((F.col("seed") == F.col("kind")).cast("long")).alias("seeds"))
-        sure = hits.join(width, "pattern").withColumn("confidence", F.col("hit") / 1e6 / (F.col("width") + 1))
-        sure = sure.where((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "kind", "confidence")
+        hits = graph.join(score, "value").groupBy("pattern", "kind").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("hit"), F.count_if(F.col("seed") == F.col("kind")).alias("seeds"))
+        sure = hits.where(F.col("seeds") >= MIN_SEEDS).join(width, "pattern").withColumn("confidence", F.col("hit") / 1e6 / (F.col("width") + 1))
+        sure = sure.where(F.col("confidence") >= PATTERN_CONFIDENCE).select("pattern", "kind", "confidence")
         lost = F.sum(F.round(F.log(1 - F.col("confidence")) * 1e6).cast("long")) / 1e6
-        found = graph.where("seed is null").join(sure, "pattern").groupBy("value", "kind").agg((1 - F.exp(lost)).alias("score"))
-        score = materialise(seeds.withColumn("score", F.lit(1.0)).unionByName(found), "pii-scores")
+        found = materialise(graph.join(sure, "pattern").groupBy("value", "kind").agg((1 - F.exp(lost)).alias("score")), "pii-scores")
+        score = seeds.withColumn("score", F.lit(1.0)).unionByName(found.join(seeds.select("value"), "value", "left_anti"))
+    form_of = F.create_map(*(x for f, kinds in _FORM_KINDS.items() for x in (F.lit(f), F.array(*map(F.lit, kinds)))))
     order = Window.partitionBy("value").orderBy(F.desc("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
-    best = score.join(seeds.select("value"), "value", "left_anti").where(F.col("score") >= INSTANCE_SCORE).withColumn("place", F.row_number().over(order)).where("place = 1")
-    return free.join(best.select("value", F.col("kind").alias("as_kind")), "value").select("key", F.col("as_kind").alias("kind"), "s", "e").distinct()
+    best = found.where(F.col("score") >= INSTANCE_SCORE).withColumn("place", F.row_number().over(order)).where("place = 1").select("value", F.col("kind").alias("as_kind"))
+    best = materialise(best, "pii-best")
+    added = free.join(small(best), "value").where(F.array_contains(form_of[F.col("form")], F.col("as_kind")))
+    return added.select("row", F.col("as_kind").alias("kind"), "s", "e").distinct()
 
 
 def _written(spans: Column) -> Column:
@@ -158,14 +231,17 @@ def _written(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (base and discovered) of each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans (base and discovered) and n_spans of each document."""
     spans = materialise(located(docs), "pii-spans")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    added = discovered(spans).groupBy("key").agg(F.collect_list(F.struct(place.alias("k"), "s", "e")).alias("added"))
-    base = F.concat(*(F.transform(k, _at_place(n)) for n, k in enumerate(KINDS, 1)))
-    out = spans.withColumn("base", base).join(added, "key", "left")
-    everything = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int>>"))))
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(everything).alias("spans"))
+    added = discovered(spans).groupBy("row").agg(F.collect_list(F.struct(place.alias("k"), "s", "e")).alias("added"))
+    base = F.concat(*(F.transform(k, _at_place(n)) for n, k in enumerate(BASE, 1)))
+    nothing = F.array().cast("array<struct<k:int,s:int,e:int>>")
+    # only rows with candidates can have added spans; each has a number of its own, so no key is hot
+    some = sum((F.size(f) for f in FORMS), F.lit(0)) > 0
+    out = spans.where(some).join(added, "row", "left").unionByName(spans.where(~some).withColumn("added", nothing)).withColumn("base", base)
+    out = out.withColumn("every", F.array_sort(F.concat("base", F.coalesce("added", nothing))))
+    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -301,3 +301,94 @@ def test_patterns_discover_identifiers(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([("ab c@d.ef gh", "email:3:9"), ("none", "")], "t string, s string")
     assert [r[0] for r in df.select(pii.redacted(F.col("t"), F.col("s"))).collect()] == ["ab [email] gh", "none"]
+
+
+def plain_discovery(texts, bodies):
+    """Bootstrapping with lists and dictionaries over given instances: (row, kind of a seed or None, form, start, end, value, patterns)."""
+    instances = texts
+    graph = {}
+    for _, kind, _, _, _, value, patterns in instances:
+        for p in patterns:
+            key = p, value
+            graph[key] = max(filter(None, (graph.get(key), kind)), default=None)
+    seeds = {(v, k) for (_, v), k in graph.items() if k}
+    found, score = {}, {s: 1.0 for s in seeds}
+    for _ in range(pii.ROUNDS):
+        sure = defaultdict(dict)
+        for p in {p for p, _ in graph}:
+            values = [v for q, v in graph if q == p]
+            for kind in pii.KINDS:
+                hit = sum(score.get((v, kind), 0) for v in values)
+                if sum(graph[p, v] == kind for v in values) >= pii.MIN_SEEDS and hit / (len(values) + 1) >= pii.PATTERN_CONFIDENCE:
+                    sure[p][kind] = hit / (len(values) + 1)
+        found = {}
+        for p, v in graph:
+            for kind, c in sure[p].items():
+                found[v, kind] = 1 - (1 - found.get((v, kind), 0)) * (1 - c)
+        own = {v for v, _ in seeds}
+        score = {s: 1.0 for s in seeds} | {k: x for k, x in found.items() if k[0] not in own}
+    best = {}
+    for (v, kind), x in found.items():
+        if x >= pii.INSTANCE_SCORE:
+            best[v] = min(best.get(v, (0, 0, "")), (-x, pii.KINDS.index(kind), kind))
+    return {(row, best[v][2], s, e) for row, _, form, s, e, v, _ in instances if form and v in best and best[v][2] in pii._FORM_KINDS[form]}
+
+
+def bootstrap_rows():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    secret = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = []
+    for i in range(60):
+        parts = [word() for _ in range(12)]
+        parts.insert(3, f"call me at +1 ({number(3)}) 555-{number(4)}" if i % 6 else f"call me at 555 {number(3)} {number(4)}")
+        parts.insert(7, f"mail to {word()}{i}@{word()}.org" if i % 8 else f"mail to {word()} at {word()} dot com")
+        parts.insert(9, f'token = "{secret(40)}"' if i % 7 else f"token = pw{i}x9z")
+        parts += [f"sha256: {secret(64)}", f"room {number(8)}", f"built = r{number(3)}b"]
+        rows.append((i, " ".join(parts)))
+    return rows
+
+
+def test_discovery_is_plain_bootstrapping(spark):
+    rows = bootstrap_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = pii.materialise(pii.located(docs), "t")
+    got = {tuple(r) for r in pii.discovered(spans).select("row", "kind", "s", "e").collect()}
+    instances = [(r["row"], r["kind"], r["form"], r["s"], r["e"], r["value"], r["patterns"]) for r in pii._instances(spans).collect()]
+    assert got == plain_discovery(instances, rows)
+    texts = dict(rows)
+    found = {(r["doc_id"], k): texts[r["doc_id"]][s:e] for r in pii.personal_data(docs).collect() for k, s, e in ((x.split(":")[0], *map(int, x.split(":")[1:])) for x in r["spans"].split(","))}
+    for i, text in rows:
+        if i % 6 == 0:
+            assert found[i, "phone"].startswith("555 ") and len(found[i, "phone"]) == 12
+        if i % 8 == 0:
+            assert " at " in found[i, "email"] and found[i, "email"].endswith(" dot com")
+        assert found[i, "secret"] in text and (found[i, "secret"] == f"pw{i}x9z" if i % 7 == 0 else len(found[i, "secret"]) == 40)
+    assert sum(k in ("phone", "email", "secret") for _, k in found) == 180  # no digest, no room number, no build
+
+
+@pytest.mark.parametrize("unit", ["123 ", "1.2.3.4 a1=b2c3d4 "])
+def test_spans_take_time_in_proportion(spark, unit):
+    """Eight times the text takes at most 24 times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        took = []
+        for _ in range(2):
+            began = time.time()
+            row = pii.located(df).collect()[0]
+            took.append(time.time() - began)
+        return min(took), sum(len(row[k]) for k in (*pii.BASE, *pii.FORMS))
+
+    (small, a), (large, b) = seconds(5000), seconds(40_000)
+    assert b in (0, 1, 8 * a, 16 * a) and large <= 24 * max(small, 0.2)
+
+
+def test_many_spans_have_right_offsets(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice(("1.2.3.4", "x", "9.9.9.9", " ", "user@h.org", "+1 269 555 3296 1", ";")) + rng.choice((" ", "  ", "; ")) for _ in range(9000))
+    row = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text))
+    assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and row["n_ip"] > 2000

@@ -3,21 +3,30 @@
 P(grade <= k) = logistic(threshold_k - x.w): one weight vector for all thresholds, which are kept in order. Features
 are a text's words and their PREFIXES (so inflected forms of a word share evidence), weighted 1 + ln(count).
 
-The classifier is fitted on at most SAMPLE labelled documents of each class, taken by a hash of the id. Labels are
-binary, so grades of severity come from how much toxic evidence a toxic document holds: 0 is not toxic; toxic
-documents are graded 1 to 3 by the terciles of their hits on features that tell the classes apart. A feature counts as
-evidence if it is in at least MIN_DOCS sampled toxic documents and its smoothed log odds are at least MIN_LOG_ODDS;
-the regression weighs these features only, so long clean documents gather no noise. A text is judged toxic if its
-evidence x.w reaches the cut that separates the sampled classes best. Every prediction reads the whole text.
-
-Defined cases: a null or empty text has no features, so it gets the severity of the bare thresholds; without toxic
-or without clean labelled documents the model is empty: severity 0, nothing toxic; labels that repeat or clash
-for an id count as their maximum; null labels are left out.
+The classifier is fitted on at most SAMPLE labelled documents of each class, taken by a hash of the id, and on at most
+SAMPLE_WORDS different words of documents (summed) of each. A feature counts as evidence if it is in enough sampled
+toxic documents (see least_docs) and its smoothed log odds are at least MIN_LOG_ODDS; the regression weighs these
+features only, so long clean documents gather no noise.
+
+Labels are binary, so grades of severity come from how much toxic evidence a toxic document holds: 0 is not toxic; toxic
+documents are graded 1 to 3 by the terciles of their hits on words of evidence that the other half of the sample has
+chosen, so no document has a part in its own grade. The sample has as many toxic documents as clean ones at most, the
+corpus has not, so all thresholds are then shifted by one number: the first comes to stand where the evidence x.w
+separates the sampled classes best. The verdict is the grade: a text is toxic if its grade is 1 or more, that is
+P(grade >= 1) >= 0.5. Every prediction reads the whole text.
+
+Defined cases: a null or empty text has no features, so it gets the severity of the bare thresholds; texts of any
+length are read whole, a long one needs more evidence only as far as it has some; without toxic or without clean
+labelled documents the model is empty: severity 0, nothing toxic; labels that repeat or clash for an id count as their
+maximum; null labels and ids are left out; rows that repeat an id are judged each by its own text, and all of them are
+in the sample if the id is; an empty table gives an empty result; other columns pass through remove_toxic as they are,
+whatever their names.
 """
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,9 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, small_batches
+from .common import fresh, materialise, quoted, small_batches
 
-SAMPLE, MIN_DOCS, MIN_LOG_ODDS, PREFIXES = 4000, 8, 3.0, (4, 5, 6, 7, 8)
+SAMPLE, SAMPLE_WORDS, MIN_LOG_ODDS, PREFIXES = 4000, 20_000_000, 3.0, (4, 5, 6, 7, 8)
+#: How many missed toxic documents, in shares of their class, one clean document judged toxic counts for.
+WRONGLY = 2
+#: Most features that the model weighs, those of most toxic documents first.
 FEATURES_KEPT = 1 << 14
 _WORD = re.compile(r"\w+")
 #: Bounds a worker's cache of words.
@@ -74,10 +86,10 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 class SeverityModel:
-    """Weights by feature, ordered thresholds, and the evidence from which a text counts as toxic."""
+    """Weights by feature, and ordered thresholds."""
 
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray, cut: float = np.inf):
-        self.weights, self.thresholds, self.cut = weights, thresholds, cut
+    def __init__(self, weights: dict[str, float], thresholds: np.ndarray):
+        self.weights, self.thresholds = weights, thresholds
         self._cache: dict[str, tuple[str, ...]] = {}
 
     def evidence(self, text: str | None) -> dict[str, int]:
@@ -98,10 +110,11 @@ class SeverityModel:
             return 0.0, 0, 0.0, False
         eta = math.fsum(self.weights[f] * (1 + math.log(n)) for f, n in self.evidence(text).items())
         above = 1 - sigmoid(self.thresholds - eta)
-        return float(above.sum()), int((above >= 0.5).sum()), float(above[0]), bool(eta >= self.cut)
+        grade = int((above >= 0.5).sum())
+        return float(above.sum()), grade, float(above[0]), grade >= 1
 
     def __getstate__(self):
-        return self.weights, self.thresholds, self.cut
+        return self.weights, self.thresholds
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -119,15 +132,26 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
     spark = docs.sparkSession
     small_batches(spark)
     drawn = F.broadcast(_sampled(labels.select("doc_id", "toxic"), sample))  # 2 * sample rows at most
-    labelled = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
+    labelled = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "doc_id", "text")
 
     @F.arrow_udf("array<string>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([[f"{n} {w}" for w, n in Counter(_WORD.findall((t or "").lower())).items()] for t in batch.to_pylist()], pa.list_(pa.string()))
 
-    bags = materialise(labelled.select("toxic", words("text").alias("w")), "toxicity-bags")
-    return fit_from_words(*((r["w"] for r in bags.where(F.col("toxic") == k).toLocalIterator()) for k in (1, 0)))
+    bags = materialise(labelled.select("toxic", "doc_id", words("text").alias("w")), "toxicity-bags")
+    drawn = (bags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("w")) for k in (1, 0))
+    return fit_from_words(*(_bounded(r["w"] for r in df.select("w").toLocalIterator()) for df in drawn))
+
+
+def _bounded(bags: Iterator[list[str]], most: int = SAMPLE_WORDS) -> Iterator[list[str]]:
+    """Bags up to the one with which they hold more than so many words; the first one always."""
+    held = 0
+    for bag in bags:
+        held += len(bag)
+        if held > most and held > len(bag):
+            return
+        yield bag
 
 
 def _pairs(bag: list[str]) -> Iterator[tuple[str, int]]:
@@ -136,19 +160,46 @@ def _pairs(bag: list[str]) -> Iterator[tuple[str, int]]:
         yield word, int(n)
 
 
+def least_docs(n_toxic: int) -> int:
+    """In how many of the sampled toxic documents a feature must be: one in 16, 3 at least and 8 at most."""
+    return min(8, max(3, n_toxic // 16))
+
+
+def _log_odds(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    return np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
+
+
+def severity_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, half: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for clean documents; toxic ones 1 to 3 by the terciles of their evidence, chosen by the half (0 or 1) that they are not in."""
+    grades = toxic.copy()
+    for k in (0, 1):
+        theirs = half[rows] != k
+        a, b = (np.bincount(cols[theirs & (toxic[rows] == t)], minlength=n_features).astype(np.float64) for t in (1, 0))
+        n_toxic, n_clean = (int(((half != k) & (toxic == t)).sum()) for t in (1, 0))
+        chosen = (a >= least_docs(n_toxic)) & (_log_odds(a, b, n_toxic, n_clean) >= MIN_LOG_ODDS)
+        held = np.bincount(rows, values * chosen[cols], minlength=len(toxic))
+        own = np.flatnonzero((half == k) & (toxic == 1))
+        if len(own):
+            grades[own] = 1 + np.searchsorted(np.quantile(held[own], [1 / 3, 2 / 3]), held[own], "left")
+    _, grades = np.unique(grades, return_inverse=True)  # without gaps
+    return grades
+
+
 def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[str]]) -> SeverityModel:
-    """Bags hold 'count word' for each word of a document. Toxic ones are read first: only features of at least MIN_DOCS of
-    them can be evidence, so of all others only those are held."""
+    """Bags hold 'count word' for each word of a document. Toxic ones are read first: only features of least_docs of them
+    can be evidence, so of all others only those are held."""
     words: dict[str, int] = {}
-    held = []
+    held, half = [], []
     for bag in toxic_bags:
+        half.append(zlib.crc32("\n".join(sorted(bag)).encode()) & 1)
         pairs = [(words.setdefault(w, len(words)), n) for w, n in _pairs(bag)]
         held.append(np.array(pairs, np.int32).reshape(-1, 2))
     seen = Counter()
     vocabulary = list(words)
     for doc in held:
         seen.update({f for k in doc[:, 0].tolist() for f in features_of(vocabulary[k])})
-    number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
+    least = least_docs(len(held))
+    number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
     of_word: dict[str, list[int]] = {}
 
     def evidence(pairs: Iterator[tuple[str, int]]) -> np.ndarray:
@@ -166,35 +217,38 @@ def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[st
     docs = [evidence((vocabulary[k], n) for k, n in doc.tolist()) for doc in held]
     n_toxic = len(docs)
     del held, words, vocabulary, seen
-    docs += [evidence(_pairs(bag)) for bag in clean_bags]
+    for bag in clean_bags:
+        half.append(zlib.crc32("\n".join(sorted(bag)).encode()) & 1)
+        docs.append(evidence(_pairs(bag)))
     sizes = n_toxic, len(docs) - n_toxic
     if not sizes[0] or not sizes[1]:
         return SeverityModel({}, np.zeros(0))
     a, b = (np.bincount(np.concatenate(part)[:, 0], minlength=len(number)).astype(np.float64) for part in (docs[:n_toxic], docs[n_toxic:]))
-    odds = np.log((a + 0.5) / (sizes[0] - a + 0.5)) - np.log((b + 0.5) / (sizes[1] - b + 0.5))
+    odds = _log_odds(a, b, *sizes)
     kept = np.flatnonzero(odds >= MIN_LOG_ODDS)
     kept = kept[np.argsort(-a[kept], kind="stable")][:FEATURES_KEPT]
     if not len(kept):
         return SeverityModel({}, np.zeros(0))
-    column = np.full(len(number), -1)
-    column[kept] = np.arange(len(kept))
     rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    cols, counts = column[np.concatenate(docs)[:, 0]], np.concatenate(docs)[:, 1]
-    rows, cols, values = rows[cols >= 0], cols[cols >= 0], 1 + np.log(counts[cols >= 0])
+    flat = np.concatenate(docs)
     toxic = (np.arange(len(docs)) < n_toxic).astype(np.int64)
-    mass = np.bincount(rows, values, minlength=len(docs))
-    cuts = np.unique(np.quantile(mass[toxic == 1], [1 / 3, 2 / 3]))
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, "left"), 0)
+    grades = severity_grades(rows, flat[:, 0], 1 + np.log(flat[:, 1]), toxic, np.array(half), len(number))
+    column = np.full(len(number), -1)
+    column[kept] = np.arange(len(kept))
+    cols = column[flat[:, 0]]
+    rows, cols, values = rows[cols >= 0], cols[cols >= 0], 1 + np.log(flat[cols >= 0, 1])
     w, thresholds = fit_cumulative_link(rows, cols, values, grades, len(kept), int(grades.max()) + 1)
     names = {k: f for f, k in number.items()}
-    eta = np.bincount(rows, values * w[cols], minlength=len(docs))
-    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds, best_cut(eta, toxic))
+    cut = best_cut(np.bincount(rows, values * w[cols], minlength=len(docs)), toxic)
+    if cut == np.inf:
+        return SeverityModel({}, np.zeros(0))
+    return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds - thresholds[0] + cut)
 
 
 def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:
     """The lowest evidence that counts as toxic: it maximises true less false positive rate over the sample. No evidence (0) is never toxic."""
     order = np.argsort(-eta, kind="stable")
-    gain = np.cumsum(np.where(toxic[order] == 1, 1 / max(1, toxic.sum()), -1 / max(1, (toxic == 0).sum())))
+    gain = np.cumsum(np.where(toxic[order] == 1, 1 / max(1, toxic.sum()), -WRONGLY / max(1, (toxic == 0).sum())))
     at = np.flatnonzero((eta[order] > 0) & (np.append(eta[order][1:], -np.inf) < eta[order]))
     if not len(at):
         return np.inf
@@ -204,7 +258,7 @@ def best_cut(eta: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def severity(model: SeverityModel, text: Column) -> Column:
-    """A struct of RESULT: expected grade, most certain grade reached, P(grade >= 1), and whether the evidence reaches the model's cut."""
+    """A struct of RESULT: expected grade, the grade reached with at least even odds, P(grade >= 1), and whether that grade is 1 or more."""
     spark_model = model
 
     @F.arrow_udf(RESULT)
@@ -219,6 +273,6 @@ def severity(model: SeverityModel, text: Column) -> Column:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Documents that aren't judged toxic, with their own columns."""
-    columns = docs.columns
+    own, (found,) = quoted(docs), fresh(docs, "severity")
     model = fit_severity(docs, labels, sample)
-    return docs.withColumn("_severity", severity(model, F.col("text"))).where(~F.col("_severity.toxic")).select(*(F.col(f"`{c}`") for c in columns))
+    return docs.withColumn(found, severity(model, F.col("text"))).where(~F.col(f"{found}.toxic")).select(*own)

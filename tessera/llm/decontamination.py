@@ -3,23 +3,26 @@
 A window is WINDOW consecutive words of a benchmark item; an item with fewer words, but not none, is one window of
 its own length. The index holds each block of the benchmark as word numbers plus sorted 64-bit window hashes; a hash
 hit counts only after the words themselves have been compared. The benchmark is broadcast in blocks of at most
-BLOCK_BYTES of text, so what is broadcast stays bounded; with several blocks each scans all documents and the
-intervals found are merged per document.
+BLOCK_BYTES of text, one block at a time, so what is broadcast stays bounded; with several blocks each scans all
+documents, its broadcast is destroyed, and the intervals found are merged per document.
 
-Defined cases: a null text has no words and no hits; an empty benchmark hits nothing; a null item text is no window;
-item ids that repeat count once; repeated documents give repeated rows.
+Defined cases: a null text has no words and no hits; an empty benchmark hits nothing; a null item text is no window; an
+item without an id hits words but is not among the items; item ids that repeat count once; texts of any length are
+read whole; repeated documents give repeated rows; an empty table gives an empty result; other columns pass through as
+they are, whatever their names.
 """
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, utf8
+from .common import fresh, materialise, quoted, small_batches, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -45,12 +48,12 @@ def _hashes(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class WindowIndex:
     """Windows of benchmark items, by length: sorted hashes, and where each window stands in the flat words."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         flat: list[int] = []
         places: dict[int, list[tuple[int, int]]] = {}
-        self.items = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.items)}
+        self.items = sorted({i for i, _ in items if i is not None})
+        number = {x: k for k, x in enumerate(self.items)} | {None: -1}
         for item, text in items:
             words = words_of(text)
             if not words:
@@ -85,7 +88,7 @@ class WindowIndex:
                 if own:
                     starts.append(p)
                     ends.append(p + n)
-                    items.update(own)
+                    items.update(k for k in own if k >= 0)
         return starts, ends, items
 
 
@@ -108,17 +111,16 @@ def _columns(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Stru
 _RESULT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """Items in blocks of about block_bytes of text; the driver holds one at a time."""
     block, held = [], 0
     for item, text in benchmark.select("item_id", utf8("text").alias("text")).toLocalIterator():
-        block.append((str(item), bytes(text) if text is not None else None))
+        block.append((None if item is None else str(item), bytes(text) if text is not None else None))
         held += len(text or b"")
         if held >= block_bytes:
             yield block
             block, held = [], 0
-    if block:
-        yield block
+    yield block
 
 
 def _one_block(index, text):
@@ -162,46 +164,49 @@ def _merged(text, starts, ends, items):
 def judge_documents(docs: DataFrame, benchmark: DataFrame, result: str = "contamination", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, contaminated."""
     small_batches(docs.sparkSession)
-    indexes = _indexes(benchmark, window, block_bytes)
-    if len(indexes) == 1:
-        return docs.withColumn(result, _one_block(indexes[0], F.col("text")))
-    wide = _with_intervals(docs, indexes)
-    return wide.withColumn(result, _merged(F.col("text"), F.col("_starts"), F.col("_ends"), F.col("_items"))).drop("_starts", "_ends", "_items")
-
-
-def _indexes(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(WindowIndex(b, window)) for b in _blocks(benchmark, block_bytes)] or [context.broadcast(WindowIndex([], window))]
-
-
-def _with_intervals(docs: DataFrame, indexes: list) -> DataFrame:
-    """docs with _starts, _ends and _items of hits in all blocks (null: none). Equal texts have equal hits, so a text's hash is the key."""
-    found = None
-    for index in indexes:
-        one = docs.select(F.xxhash64("text").alias("_k1"), F.length("text").alias("_k2"), _hits(index, F.col("text")).alias("h"))
-        one = one.where(F.size("h.starts") > 0).select("_k1", "_k2", "h.*").dropDuplicates(["_k1", "_k2"])
+    own, context = quoted(docs), docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if not second:
+        return docs.withColumn(result, _one_block(context.broadcast(WindowIndex(first, window)), F.col("text")))
+    wide, names = _with_intervals(docs, chain((first, second), blocks), window)
+    return wide.select(*own, _merged(F.col("text"), *map(F.col, names)).alias(result))
+
+
+def _with_intervals(docs: DataFrame, blocks: Iterable[list], window: int) -> tuple[DataFrame, list[str]]:
+    """docs with starts, ends and items of hits in all blocks (null: none), and the names of these columns. Equal texts have equal hits, so a text's hash is the key."""
+    context, found = docs.sparkSession.sparkContext, None
+    key, length, key_2, length_2, *names = fresh(docs, "key", "length", "key_2", "length_2", "starts", "ends", "items")
+    sides = F.xxhash64("text"), F.length("text")
+    for block in blocks:
+        index = context.broadcast(WindowIndex(block, window))
+        one = docs.select(sides[0].alias(key_2), sides[1].alias(length_2), _hits(index, F.col("text")).alias("h")).where(F.size("h.starts") > 0)
+        one = one.select(key_2, length_2, *(F.col(f"h.{k}").alias(n) for k, n in zip(("starts", "ends", "items"), names))).dropDuplicates([key_2, length_2])
+        one = materialise(one, "window-hits")
+        index.destroy()
         found = one if found is None else found.unionByName(one)
-    found = found.groupBy("_k1", "_k2").agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("starts", "ends", "items")))
-    return docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.length("text")}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    found = found.groupBy(key_2, length_2).agg(*(F.flatten(F.collect_list(n)).alias(n) for n in names))
+    wide = docs.withColumns({key: sides[0], length: sides[1]}).join(found, (F.col(key) == F.col(key_2)) & (F.col(length) == F.col(length_2)), "left")
+    return wide, names
 
 
 def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the words of all hit windows taken out of their texts; other texts stay as they are."""
     small_batches(docs.sparkSession)
-    columns = docs.columns
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         return pa.array([t if not s else remove_spans(t, list(zip(s, e))) for t, s, e in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.string())
 
-    wide = _with_intervals(docs, _indexes(benchmark, window, block_bytes))
-    return wide.withColumn("text", cut(F.col("text"), F.col("_starts"), F.col("_ends"))).select(*(F.col(f"`{c}`") for c in columns))
+    wide, (starts, ends, _) = _with_intervals(docs, _blocks(benchmark, block_bytes), window)
+    text = cut(F.col("text"), F.col(starts), F.col(ends)).alias("text")
+    return wide.select(*(text if name == "text" else c for name, c in zip(docs.columns, quoted(docs))))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with their own columns."""
-    columns = docs.columns
-    return judge_documents(docs, benchmark, "_contamination").where(~F.col("_contamination.contaminated")).select(*(F.col(f"`{c}`") for c in columns))
+    (found,) = fresh(docs, "contamination")
+    return judge_documents(docs, benchmark, found).where(~F.col(f"{found}.contaminated")).select(*quoted(docs))
 
 
 def remove_spans(text: str | None, intervals: list[tuple[int, int]]) -> str | None:

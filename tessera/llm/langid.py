@@ -4,11 +4,14 @@ A profile is the RANKS most frequent character n-grams (1 to ORDER letters, word
 language, most frequent first. A document's own most frequent n-grams are compared with each profile by the
 out-of-place distance: the sum of differences in rank, an n-gram missing from the profile costing RANKS.
 
-Profiles are a classifier fitted on at most about TRAINING_DOCS labelled documents of each language, taken by a hash
-of the id; predictions read whole texts and nothing else.
+Profiles are a classifier fitted on at most about TRAINING_DOCS labelled documents of each of the LANGUAGES languages that
+have most, taken by a hash of the id; predictions read whole texts and nothing else.
 
 Defined cases: a null text, or one without a letter, gives 'und' and score 0; without any labelled document every
-prediction is 'und'; equal distances go to the smaller language code; equal counts of n-grams go to the smaller n-gram.
+prediction is 'und'; equal distances go to the smaller language code; equal counts of n-grams go to the smaller n-gram;
+a null id counts as the empty text, so the query holds its document out; repeated rows are predicted, and learned from,
+each for itself; texts of any length are read whole; an empty table gives an empty result; no column but doc_id, text
+and lang is read, whatever its name.
 """
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import small_batches
 
-ORDER, RANKS, TRAINING_DOCS = 3, 300, 1500
+ORDER, RANKS, TRAINING_DOCS, LANGUAGES = 3, 300, 1500, 1000
 UNKNOWN = "und"
 _SHIFT = np.int64(21)  # a code point has 21 bits, so three fit into a long
 _letters: np.ndarray | None = None
@@ -35,14 +38,14 @@ def _is_letter() -> np.ndarray:
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the text's n-grams and their counts, by code. Runs of other characters are one boundary (0)."""
+    """Codes of the text's n-grams and their counts, by code. Runs of other characters are one boundary, which is a symbol of its own (1), so that "a" at the start of a word isn't "a"."""
     c = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    c = np.where(_is_letter()[c], c, 0)
-    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
+    c = np.where(_is_letter()[c], c, 1)
+    c = c[np.concatenate(([True], (c[1:] != 1) | (c[:-1] != 1)))]
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     two = (c[:-1] << _SHIFT) | c[1:]
-    codes = np.concatenate([c[c > 0], two, (two[:-1] << _SHIFT) | c[2:]])
+    codes = np.concatenate([c[c > 1], two, (two[:-1] << _SHIFT) | c[2:]])
     return np.unique(codes, return_counts=True)
 
 
@@ -77,11 +80,11 @@ def fit_profiles(labelled: DataFrame, ranks: int = RANKS, training_docs: int = T
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Profiles({}, ranks)
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, training_docs / n)))))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    drawn = labelled.where(F.col("lang").isin(*sizes)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}

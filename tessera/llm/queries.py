@@ -29,13 +29,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document; profiles are learned from the documents that are not held out."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
     profiles = langid.fit_profiles(docs.where(~held_out))
     return docs.select("doc_id", held_out.alias("held_out"), langid.predict_language(profiles, F.col("text")).alias("r")).select("doc_id", "held_out", "r.*")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of each text's WAV form and its spectral fingerprint."""
+    """Digests of each text's WAV form, and its spectral fingerprint as a time-coded array."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", media.media_features(F.col("text")).alias("r")).select("doc_id", "r.*")

@@ -6,7 +6,9 @@ maxima of each frame's spectrum; each is paired with the peaks of the next SPAN
 (time, hash) with hash = (first bin, second bin, frames between).
 
 Defined cases: null counts as the empty text, whose payload is UNIT zero bytes and which has no peaks; equal texts give
-equal values. Magnitudes are rounded before peaks are compared, ties go to the lower bin.
+equal values, repeated rows too. Magnitudes are rounded before peaks are compared, ties go to the lower bin. Texts of
+any length are read whole, in blocks of BLOCK frames; an empty table gives an empty result; no column but the text is
+read, whatever its name.
 """
 from __future__ import annotations
 
@@ -26,6 +28,7 @@ UNIT, RATE, FRAME, HOP, PEAKS, SPAN = 64, 8000, 256, 128, 3, 3
 #: Frames transformed at once; bounds memory for very long texts.
 BLOCK = 4096
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MARKS = "array<struct<time: int, hash: int>>"
 _WINDOW = np.hanning(FRAME)
 
 
@@ -90,23 +93,32 @@ def describe(text: bytes | None) -> tuple:
     back = from_wav(media)
     marks = fingerprint(back)
     return (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
-            f"{len(marks)}:{hashlib.sha256(marks.tobytes()).hexdigest()}")
+            f"{len(marks)}:{hashlib.sha256(marks.tobytes()).hexdigest()}", marks)
 
 
 def media_features(text: Column) -> Column:
-    """A struct of RESULT for each text."""
+    """A struct of RESULT for each text, and its fingerprint as a time-coded array; feature is that array's length and digest."""
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(f"{RESULT}, fingerprint {MARKS}")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kinds = {"long": pa.int64(), "string": pa.string()}
         names = [c.split() for c in RESULT.split(", ")]
         for batch in batches:
             rows = [describe(t) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(names)], [n for n, _ in names])
+            columns = [pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(names)]
+            yield pa.StructArray.from_arrays([*columns, _marks([r[-1] for r in rows])], [*(n for n, _ in names), "fingerprint"])
 
     return features(utf8(text))
 
 
+def _marks(found: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of (time, hash) rows as a column of MARKS; None is null."""
+    ends = np.cumsum([0] + [0 if m is None else len(m) for m in found]).astype(np.int32)
+    flat = np.concatenate([m for m in found if m is not None] or [np.zeros((0, 2), "<i4")])
+    pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1], pa.int32())], ["time", "hash"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs, mask=pa.array([m is None for m in found]))
+
+
 def media_column(text: Column) -> Column:
     """The stored WAV bytes."""
 
@@ -120,9 +132,8 @@ def media_column(text: Column) -> Column:
 def fingerprint_column(media: Column) -> Column:
     """The time-coded array of stored WAV bytes."""
 
-    @F.arrow_udf("array<struct<time: int, hash: int>>")
+    @F.arrow_udf(MARKS)
     def marks(batch: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("time", pa.int32()), ("hash", pa.int32())]))
-        return pa.array([None if m is None else [{"time": int(t), "hash": int(h)} for t, h in fingerprint(from_wav(m))] for m in batch.to_pylist()], kind)
+        return _marks([None if m is None else fingerprint(from_wav(m)) for m in batch.to_pylist()])
 
     return marks(media)

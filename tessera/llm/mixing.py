@@ -10,15 +10,19 @@ Nothing is sorted or ranked by document. Documents that share all digits go toge
 source nearer to its target. The hash is of the document's id and its size, so reruns agree.
 
 Defined cases: a null or empty text has size 0 and is never taken; null sources are one source, the last; with no
-words at all every target is 0; equal ids share their hash; repeated rows are separate documents with equal fates.
+words at all every target is 0; equal ids share their hash; repeated rows are separate documents with equal fates;
+sources of equal size to weight are taken in the order of their names; texts of any length are counted whole; an empty
+table gives an empty result; other columns pass through mixed_documents as they are, whatever their names.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import fresh, materialise, quoted, small
 
 WEIGHTS, CAP = (5, 2, 1), 3
+#: Sources up to which one task orders them (about 100 bytes each); more are ordered by ranges.
+SOURCES_AT_ONCE = 100_000
 #: Hexadecimal digits of each level, and levels.
 DIGITS, LEVELS = 3, 4
 
@@ -33,21 +37,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
     Sources reach their caps in the order of size to weight, so the water level has a closed form over that order.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    own = own.withColumn("weight", weight)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    capped = F.coalesce(F.sum(F.col("source_size")).over(before), F.lit(0)) * cap
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    own = own.withColumn("level", (F.sum("source_size").over(everything) - capped) / weight_left)
+    own = materialise(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    ways = _at_once if own.limit(SOURCES_AT_ONCE + 1).count() <= SOURCES_AT_ONCE else _by_ranges
+    place, before = ways(own, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(before, F.lit(len(weights))) + 1).cast("int"))
+    own = place.select("source", "source_size", weight.alias("weight"))
+    every = own.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    order = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
+    place, _ = ways(own, order, {"size_before": "source_size", "weight_before": "weight"})
+    own = place.crossJoin(F.broadcast(every))  # one row
     # the level if all sources before this one stop at their caps; the first source that stays below its cap sets it
-    own = own.withColumn("fits", F.col("level") * F.col("weight") <= F.col("source_size") * cap)
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"]
-    own = own.withColumn("water", F.coalesce(level, F.lit(0.0)))
-    return own.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.col("water") * F.col("weight")).alias("target"))
+    own = own.withColumn("level", (F.col("all_size") - F.col("size_before") * cap) / (F.col("all_weight") - F.col("weight_before")))
+    own = materialise(own, "mix-levels")
+    fits = F.col("level") * F.col("weight") <= F.col("source_size") * cap
+    water = own.agg(F.coalesce(F.min(F.when(fits, F.struct(F.col("source_size") / F.col("weight"), "level")))["level"], F.lit(0.0)).alias("water"))
+    return own.crossJoin(F.broadcast(water)).select("source", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.col("water") * F.col("weight")).alias("target"))
+
+
+def _at_once(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> tuple[DataFrame, Column]:
+    """rows with the sums (name: column) over the rows before each, and how many rows those are; in one task."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    named = {k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()}
+    return rows.withColumns(named | {"before": F.row_number().over(Window.orderBy(*order)) - 1}), F.col("before")
+
+
+def _by_ranges(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> tuple[DataFrame, Column]:
+    """As _at_once, by ranges of the order: sums inside each range, and those of the ranges before, a row a range."""
+    rows = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    inner = Window.partitionBy("part").orderBy(*order)
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    totals = totals.select(F.col("part"), *(F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"{k}_0") for k in ("n", *sums)))
+    rows = rows.withColumns({k: F.coalesce(F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for k, c in sums.items()} | {"n": F.row_number().over(inner) - 1})
+    rows = rows.join(F.broadcast(totals), "part")  # as many rows as shuffle partitions
+    return rows.withColumns({k: F.col(k) + F.col(f"{k}_0") for k in sums} | {"before": F.col("n") + F.col("n_0")}).drop("part", "n", *(f"{k}_0" for k in ("n", *sums))), F.col("before")
 
 
 def _same(a: str, b: str) -> Column:
@@ -84,11 +107,15 @@ def thresholds(sized: DataFrame, targets: DataFrame, digits: int = DIGITS, level
     return bounds.select(F.col("b_source").alias("source"), "source_size", "target", "copies", F.when(nearer, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("threshold"))
 
 
+def _hash(doc_id: Column, size: Column, digits: int = DIGITS * LEVELS) -> Column:
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"))
+    return F.substring(F.md5(key.cast("binary")), 1, digits)
+
+
 def hashed(docs: DataFrame, *keep: str, digits: int = DIGITS, levels: int = LEVELS) -> DataFrame:
     """doc_id, source, size and hash of each document, and the columns to keep."""
     sized = docs.select("doc_id", "source", *keep, words(F.col("text")).alias("size"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    return sized.withColumn("hash", F.substring(F.md5(key.cast("binary")), 1, digits * levels))
+    return sized.withColumn("hash", _hash(F.col("doc_id"), F.col("size"), digits * levels))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -97,20 +124,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     bounds = thresholds(sized, source_targets(sized, weights, cap))
     bounds = bounds.withColumnRenamed("source", "b_source")
     taken = F.col("size") * (F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"))
-    return sized.join(bounds, _same("source", "b_source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return sized.join(small(bounds), _same("source", "b_source")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs with each document as many times as the mix takes it."""
-    columns = docs.columns
+    own = quoted(docs)
+    of, again, below, key, size, times = fresh(docs, "of", "again", "below", "key", "size", "times")
     sized = materialise(hashed(docs).drop("doc_id"), "mix-sizes")
-    bounds = thresholds(sized, source_targets(sized, weights, cap)).select(F.col("source").alias("b_source"), "copies", "threshold")
-    times = F.col("copies") + (F.col("_hash") < F.col("threshold")).cast("long")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), words(F.col("text")).cast("string"))
-    own = docs.withColumns({"_hash": F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS), "_words": words(F.col("text"))})
-    own = own.join(bounds, F.col("source").eqNullSafe(F.col("b_source"))).withColumn("_times", F.when(F.col("_words") > 0, times).otherwise(F.lit(0)))
-    copies = own.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
-    return copies.select(*(F.col(f"`{c}`") for c in columns))
+    bounds = thresholds(sized, source_targets(sized, weights, cap)).select(F.col("source").alias(of), F.col("copies").alias(again), F.col("threshold").alias(below))
+    wide = docs.withColumn(size, words(F.col("text"))).withColumn(key, _hash(F.col("doc_id"), F.col(size)))
+    wide = wide.join(small(bounds), F.col("source").eqNullSafe(F.col(of)))
+    taken = F.when(F.col(size) > 0, F.col(again) + (F.col(key) < F.col(below)).cast("long")).otherwise(F.lit(0)).cast("int")
+    return wide.withColumn(times, F.explode(F.array_repeat(F.lit(1), taken))).select(*own)
 
 
 ORACLE_SQL = r"""

@@ -13,7 +13,9 @@ Sizes are the UTF-8 bytes of the text plus 1. Slots number the rows of a shard w
 the row and then by id; counts of hash ranges give each range's first slot.
 
 Defined cases: null and empty texts have size 1 and form a group each; repeated rows get slots of their own; an empty
-table gives an empty result; if one group is larger than a shard's share it fills a shard alone as far as possible.
+table gives an empty result; if one group is larger than a shard's share it fills a shard alone as far as possible; texts
+of any length count whole; ties go to the smaller key; other columns pass through as they are, whatever their names,
+but a column named shard is replaced.
 """
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BROADCAST_KEYS, materialise, small_batches, utf8
+from .common import fresh, materialise, quoted, small, small_batches, utf8
 
 SHARDS, BUCKET_GROUPS, FAN_IN, SLOT_ROWS = 16, 20_000, 512, 50_000
 
@@ -154,10 +156,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with shard (in place of a column of that name); texts that are equal share one. Slots are given where rows are few columns: see shard_rows."""
     docs, key = docs.drop("shard"), group_key()
+    own = quoted(docs)
+    a, b, c, d = fresh(docs, "g1", "g2", "h1", "h2")
     sized = materialise(docs.select(key["g1"].alias("g1"), key["g2"].alias("g2")).groupBy("g1", "g2").agg(F.sum("g2").alias("bytes")), "shard-sizes")
-    homes = assign_groups(sized, shards)
-    homes = materialise(homes.select(F.col("g1").alias("_h1"), F.col("g2").alias("_h2"), "shard"), "shard-homes")
-    if homes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        homes = F.broadcast(homes)
-    wide = docs.withColumns({"_g1": key["g1"], "_g2": key["g2"]}).join(homes, (F.col("_g1") == F.col("_h1")) & (F.col("_g2") == F.col("_h2")))
-    return wide.drop("_g1", "_g2", "_h1", "_h2")
+    homes = materialise(assign_groups(sized, shards).select(F.col("g1").alias(c), F.col("g2").alias(d), "shard"), "shard-homes")
+    wide = docs.withColumns({a: key["g1"], b: key["g2"]}).join(small(homes), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)))
+    return wide.select(*own, "shard")

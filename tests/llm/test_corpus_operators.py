@@ -164,6 +164,30 @@ def test_differencing_in_rounds(spark):
     assert homes.count() == 3000 and len(sums) == 16 and max(sums) - min(sums) <= 200  # a fifth of the largest group
 
 
+def plain_differencing(parts, shards):
+    """Repeatedly the two of the largest spread (then the earlier), oppositely ordered; places are counted after sorting by sum, then place."""
+    held = [[k, sorted(((x, [(k, i)] if x else []) for i, x in enumerate(p)), key=lambda y: -y[0])] for k, p in enumerate(parts)]
+    made = len(parts)
+    while len(held) > 1:
+        held.sort(key=lambda h: (h[1][-1][0] - h[1][0][0], h[0]))
+        (_, a), (_, b) = held[:2]
+        joined = [(x + y, own + theirs) for (x, own), (y, theirs) in zip(a, b[::-1])]
+        made += 1
+        held = held[2:] + [[made, sorted(joined, key=lambda y: -y[0])]]
+    return [x for x, _ in held[0][1]], [set(own) for _, own in held[0][1]]
+
+
+def test_difference_is_plain_differencing():
+    rng = random.Random(11)
+    for shards, parts in ((2, [(8, 0), (7, 0), (6, 0), (5, 0), (4, 0)]), (3, [(rng.randrange(1, 99), 0, 0) for _ in range(60)]), (4, [tuple(rng.randrange(50) for _ in range(4)) for _ in range(40)])):
+        sums, places = sharding.difference(parts, shards)
+        want, members = plain_differencing(parts, shards)
+        assert list(sums) == want
+        for k, own in enumerate(places):
+            assert all(not x or (k, i) in members[own[i]] for i, x in enumerate(parts[k]))
+    assert sharding.difference([(8, 0), (7, 0), (6, 0), (5, 0), (4, 0)], 2)[0] == (16, 14)  # the textbook's example
+
+
 def test_difference_keeps_sums():
     parts = [(5, 3, 0), (8, 1, 1), (0, 0, 9), (2, 2, 2)]
     sums, places = sharding.difference(parts, 3)
@@ -215,6 +239,33 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_orders_sources_by_ranges(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), f"host{rng.randrange(120):03}" if i % 11 else None) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", 10)
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = brute_targets(sizes)
+    assert all(got[i]["target"] == pytest.approx(target[s]) for i, _, s in rows)
+    assert all(got[i]["taken"] == want[i]["taken"] for i in got)
+
+
+def test_columns_pass_through(spark):
+    """Columns named as the operators' own ones were, or would be."""
+    names = ["copies", "threshold", "b_source", "_hash", "_words", "_times", "of", "again", "below", "key", "size", "times", "g1", "g2", "h1", "_g1", "SEVERITY", "severity_"]
+    docs = spark.createDataFrame([(i, "word " * (i + 1), "s", *(f"{n}{i}" for n in names)) for i in range(6)], ["doc_id", "text", "source", *names])
+    mixed = mixing.mixed_documents(docs)
+    sharded = sharding.sharded_documents(docs)
+    assert mixed.columns == docs.columns and sharded.columns == [*docs.columns, "shard"]
+    for df in (mixed, sharded):
+        rows = df.collect()
+        assert {r["doc_id"] for r in rows} == set(range(6)) and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "http://A.Example.ORG:80/en/1?x#y": ("a.example.org:80", "/en/1", None), "https://example.org/en/12": ("example.org", "/en/12", "example.org/en/1"), "https://m.example.org/es/1": ("m.example.org", "/es/1", "example.org/es/"),

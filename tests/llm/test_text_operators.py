@@ -1,9 +1,12 @@
 """Decontamination, token counts, media, language identification, toxicity: against brute force, round trips, accuracy."""
+import cmath
 import hashlib
+import math
 import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -53,6 +56,15 @@ def test_decontamination_of_nothing(spark):
     assert decontamination.judge_documents(docs.limit(0), bench, "r").count() == 0
 
 
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b"), (7, "x y")], "item_id long, text string")
+    for block_bytes in (1 << 20, 1):
+        got = {r[0]: r[1] for r in decontamination.judge_documents(docs, bench, "r", block_bytes=block_bytes).select("doc_id", "r").collect()}
+        assert [tuple(got[1])[:3], tuple(got[2])[:3]] == [(3, 2, 0), (2, 2, 1)] and got[1]["contaminated"]
+        assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_remove_spans():
     assert decontamination.remove_spans("One two, three FOUR.", [(1, 3)]) == "One ,  FOUR."
     assert decontamination.remove_spans(None, []) is None
@@ -66,6 +78,36 @@ def test_spliced_counts_are_the_librarys(text):
         assert tokens.counter(tokens.model_path(), chunk, overlap).count(text.encode()) == len(whole.model.encode(text))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aA4+zé日本語の\u9fa5😀▁q9/", max_size=300))
+def test_spliced_counts_without_spaces(text):
+    model = tokens.counter(tokens.model_path(), 1 << 20, 64).model
+    for chunk, overlap in ((60, 10), (25, 5)):
+        assert tokens.counter(tokens.model_path(), chunk, overlap).count(text.encode()) == len(model.encode(text))
+
+
+def test_token_counts_are_linear_without_spaces():
+    """CJK, base64 and one letter: a few times the library's own time."""
+    import time
+
+    rng, own = random.Random(4), tokens.counter(tokens.model_path(), tokens.CHUNK_BYTES, tokens.OVERLAP_BYTES)
+    base64 = string.ascii_letters + string.digits + "+/"
+    for text in ("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(700_000)), "".join(rng.choice(base64) for _ in range(1_000_000)), "a" * 500_000):
+        began = time.time()
+        want = len(own.model.encode(text, return_type="proto").pieces)
+        library, began = time.time() - began, time.time()
+        assert own.count(text.encode()) == want
+        assert time.time() - began <= 6 * library + 1
+
+
+def test_normaliser_specification():
+    message = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    flag = lambda n, x: bytes([n << 3, x])
+    assert tokens.keeps_characters(message(1, b"piece") + message(3, message(1, b"identity") + flag(4, 0)))
+    assert not tokens.keeps_characters(message(3, message(2, b"map") + flag(4, 0))) and not tokens.keeps_characters(message(3, flag(3, 1)))
+    assert not tokens.keeps_characters(message(3, flag(4, 0) + flag(5, 0))) and not tokens.keeps_characters(b"")
+
+
 def test_token_query_on_nulls_and_long_texts(spark):
     texts = [None, "", "<s> hello </s>", "no spaces" * 20000, "word " * 40000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -89,6 +131,30 @@ def test_media_round_trip(spark):
     assert len(marks[4]["m"]) > 10 and len(marks[0]["m"]) == 0
 
 
+def plain_fingerprint(samples):
+    """By the definition: a sum for each frame and bin."""
+    n = media.FRAME
+    frames = max(1, -(-max(0, len(samples) - n) // media.HOP) + 1)
+    padded = [float(x) for x in samples] + [0.0] * ((frames - 1) * media.HOP + n - len(samples))
+    found = []
+    for f in range(frames):
+        x = padded[f * media.HOP : f * media.HOP + n]
+        mean = sum(x) / n
+        x = [(v - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * t / (n - 1))) for t, v in enumerate(x)]
+        m = [round(abs(sum(v * cmath.exp(-2j * math.pi * k * t / n) for t, v in enumerate(x))), 3) for k in range(n // 2 + 1)]
+        best = sorted((-m[k], k) for k in range(1, n // 2) if m[k - 1] < m[k] >= m[k + 1] and m[k] > 1)[: media.PEAKS]
+        found.append([k for _, k in best])
+    return sorted((f, (a << 16) | (b << 4) | d) for f in range(frames) for d in range(1, media.SPAN + 1) if f + d < frames for a in found[f] for b in found[f + d])
+
+
+def test_fingerprints_are_plain_transforms(spark):
+    texts = ["some words of a text " * 30, "xyz" * 200, "", "q"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("doc_id", media.media_features(F.col("text")).alias("r")).select("doc_id", "r.*").collect():
+        want = plain_fingerprint(media.payload(texts[r["doc_id"]].encode()))
+        assert [tuple(x) for x in r["fingerprint"]] == want and r["feature"].startswith(f"{len(want)}:"), r["doc_id"]
+
+
 def test_peaks_do_not_depend_on_blocks(monkeypatch):
     samples = ("abc" * 3000 + "xyz" * 2000).encode()
     whole = media.fingerprint(samples).tolist()
@@ -103,6 +169,42 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_profile(texts):
+    """N-grams of letters and boundaries by count, then by their characters as numbers."""
+    n = Counter()
+    for t in texts:
+        chars = "".join(c if c.isalpha() else " " for c in f" {(t or '').lower()} ")
+        chars = " " + " ".join(chars.split()) + " " if chars.split() else ""
+        n.update(chars[i : i + k] for k in (1, 2, 3) for i in range(len(chars) - k + 1) if chars[i : i + k] != " ")
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = (out << 21) | (1 if c == " " else ord(c))
+        return out
+
+    return sorted(n, key=lambda g: (-n[g], code(g)))[: langid.RANKS]
+
+
+def test_language_is_plain_out_of_place_distance(spark):
+    root = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    learned = {}
+    for i, r in rows.items():
+        if zlib.crc32(str(i).encode()) % 5 and r["lang"]:
+            learned.setdefault(r["lang"], []).append(r["text"])
+    profiles = {lang: {g: k for k, g in enumerate(plain_profile(texts))} for lang, texts in sorted(learned.items())}
+    assert len(profiles) >= 4 and max(map(len, learned.values())) <= langid.TRAINING_DOCS
+    for r in queries.op4_language_id(spark, root).collect():
+        own = plain_profile([rows[r["doc_id"]]["text"]])
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        far = {lang: sum(abs(p[g] - k) if g in p else langid.RANKS for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - far[best] / (langid.RANKS * len(own)))
+
+
 def test_language_of_odd_texts(spark):
     labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string")
     profiles = langid.fit_profiles(labelled)
@@ -142,6 +244,69 @@ def test_toxicity_finds_planted_and_leaves_clean(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["toxic"] for r in judged.values())
 
 
+def plain_loss(rows, grades, w, cuts, l2):
+    """Mean of -ln P(grade), P(grade <= k) = 1 / (1 + e^(x.w - cut_k)), and the L2 term."""
+    total = 0.0
+    for x, g in zip(rows, grades):
+        eta = sum(v * w[f] for f, v in x.items())
+        upto = [0.0] + [1 / (1 + math.exp(eta - c)) for c in cuts] + [1.0]
+        total -= math.log(max(upto[g + 1] - upto[g], 1e-12))
+    return total / len(rows) + l2 / 2 * sum(v * v for v in w)
+
+
+def test_cumulative_link_is_at_its_optimum():
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [{f: 1 + rng.random() for f in range(5) if rng.random() < 0.4} for _ in range(400)]
+    grades = [min(3, max(0, round(sum(v * (f - 1) for f, v in x.items()) / 3 + rng.gauss(0, 0.7)))) for x in rows]
+    flat = [(i, f, v) for i, x in enumerate(rows) for f, v in x.items()]
+    r, c, v = (np.array(k) for k in zip(*flat))
+    w, cuts = toxicity.fit_cumulative_link(r, c, v.astype(float), np.array(grades), 5, 4, steps=4000, rate=0.02)
+    assert list(cuts) == sorted(cuts)
+    best = plain_loss(rows, grades, w, cuts, 1e-3)
+    for k in range(5):
+        for d in (-0.05, 0.05):
+            assert plain_loss(rows, grades, [x + d * (i == k) for i, x in enumerate(w)], cuts, 1e-3) > best
+    for k in range(3):
+        for d in (-0.05, 0.05):
+            assert plain_loss(rows, grades, w, [x + d * (i == k) for i, x in enumerate(cuts)], 1e-3) > best
+
+
+def test_severity_is_plain_arithmetic_and_verdicts_follow_grades(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit_severity(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert len(model.thresholds) == 3
+    texts = dict(r[:2] for r in rows)
+    for i, r in docs.select("doc_id", toxicity.severity(model, F.col("text")).alias("r")).collect():
+        found = Counter(f for word in re.findall(r"\w+", texts[i].lower()) for f in [word, *(f"{word[:n]}*" for n in range(4, 9) if len(word) >= n)] if f in model.weights)
+        eta = sum(model.weights[f] * (1 + math.log(n)) for f, n in found.items())
+        above = [1 / (1 + math.exp(c - eta)) for c in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+        assert r["grade"] == sum(x >= 0.5 for x in above) and r["toxic"] == (r["grade"] >= 1)
+
+
+def test_grades_are_chosen_by_the_other_half():
+    """A word that only one half of the sample knows gives its documents no grade."""
+    import numpy as np
+
+    toxic = np.array([1] * 40 + [0] * 40)
+    half = np.arange(80) % 2
+    flat = [(i, 0, 1.0 + i) for i in range(0, 40)] + [(i, 1, 50.0) for i in range(0, 40, 2)]  # feature 1: one half only
+    r, c, v = (np.array(k) for k in zip(*flat))
+    grades = toxicity.severity_grades(r, c, v, toxic, half, 2)
+    assert set(grades[40:]) == {0} and set(grades[:40]) == {1, 2, 3}
+    for k in (0, 1):
+        own = np.flatnonzero((toxic == 1) & (half == k))
+        assert list(grades[own]) == sorted(grades[own])
+
+
+def test_sample_is_bounded_by_words():
+    bags = [["1 a"] * 30, ["1 b"] * 30, ["1 c"] * 30]
+    assert list(toxicity._bounded(iter(bags), 60)) == bags[:2] and list(toxicity._bounded(iter(bags), 5)) == bags[:1]
+
+
 def test_toxicity_without_classes(spark):
     docs, labels = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.remove_toxic(docs, labels).count() == 1

@@ -84,7 +84,7 @@ def _keeps(names: tuple[str, ...]):
 
 
 # Shapes of paths and parameters that name one item.
-_PAPER = r"^/(?:abs|pdf|html)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?:\.pdf)?$"
+_PAPER = r"^/(?:abs|pdf|html)/(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?$"
 _PAPER_DOI = r"(?i)^/10\.48550/arXiv\.([0-9]{4}\.[0-9]{4,5})$"
 _FEED_ITEM = r"(?i)^/feed/update/urn:li:(?:ugcPost|activity):([0-9]+)/?$"
 _AUTHOR_ITEM = r"(?i)^/posts/[^/]*-(?:ugcPost|activity|share)-([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$"
@@ -180,12 +180,12 @@ def sanitised(url: Column) -> Column:
 
 # How texts name papers, identifiers, repositories, statuses, posts and PDF files.
 REFERENCES = {
-    "paper_url": r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?",
-    "paper_label": r"(?i)\barXiv\s*:\s*([0-9]{4}\.[0-9]{4,5})\b",
-    "paper_spaced": r"(?i)(ar\s*X\s*iv[^a-z0-9\n]{0,10}(?:[0-9]\s*){4,5}\s*\.\s*(?:[0-9]\s*){4,5})",
-    "doi": r"\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)",
+    "paper_url": r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})(?:v\d+)?",
+    "paper_label": r"(?i)\barXiv\s*:\s*(\d{4}\.\d{4,5})\b",
+    "paper_spaced": r"(?i)(ar\s*X\s*iv[^a-z0-9\n]{0,10}(?:\d\s*){4,5}\s*\.\s*(?:\d\s*){4,5})",
+    "doi": r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)",
     "repository": r"""(?i)https?://github\.com/([a-z0-9](?:[a-z0-9-]{0,38}[a-z0-9])?/[a-z0-9_.-]+)(?=$|[\s/?#")<>…](?!blob|tree|pull|issues|wiki|releases))""",
-    "status": r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/([A-Za-z0-9_]{1,15}/status/[0-9]+)",
+    "status": r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/([A-Za-z0-9_]{1,15}/status/\d+)",
     "letter": r"(?i)(https?://[a-z0-9-]+\.substack\.com/p/[a-z0-9-]+)",
     "post": r"(?i)(https?://(?:[a-z0-9-]+\.)?medium\.com/(?:@[a-z0-9-]+/)?[a-z0-9-]+(?:-[a-f0-9]+)?)",
     "pdf": r"""(?i)(https?://(?!(?:arxiv\.org|pbs\.twimg\.com|media\.licdn\.com))[^\s"')\]<>]+?\.pdf(?:[?#][^\s"')\]<>…]*)?)""",

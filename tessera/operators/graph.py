@@ -35,13 +35,21 @@ def link_edges(pages: DataFrame) -> DataFrame:
 def cooccurrence(keywords: DataFrame, least: int = 2, hot: int | None = None) -> DataFrame:
     """keywords: page_id, keyword. Pairs a < b with at least so many keywords in common: a, b, shared.
 
-    hot leaves out keywords of more than so many pages (their pairs grow with the square); None keeps all.
+    Keywords of a page are put in order, rarest first. Two pages with so many in common meet at one that is not among the
+    last least - 1 of either, so those (a hot keyword stands there) make no pairs; a pair is made at the first keyword
+    that both have, once, and counted there. hot leaves out keywords of more than so many pages; None keeps all.
     """
     own = keywords.select("page_id", "keyword").distinct()
+    used = own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
     if hot is not None:
-        own = own.join(own.groupBy("keyword").count().where(F.col("count") <= hot).select("keyword"), "keyword", "left_semi")
-    a, b = own.select(F.col("page_id").alias("a"), "keyword"), own.select(F.col("page_id").alias("b"), "keyword")
-    return a.join(b, "keyword").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+        used = used.where(F.col("n") <= hot)
+    held = own.join(used, "keyword").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "keyword"))), lambda x: x["keyword"]).alias("held"))
+    held = materialise(held.where(F.size("held") >= least), "keywords-held")
+    keyed = held.withColumn("first", F.slice("held", 1, F.size("held") - (least - 1))).withColumn("keyword", F.explode("first"))
+    a = keyed.select(F.col("page_id").alias("a"), F.col("held").alias("held_a"), F.col("first").alias("first_a"), "keyword")
+    b = keyed.select(F.col("page_id").alias("b"), F.col("held").alias("held_b"), F.col("first").alias("first_b"), "keyword")
+    met = a.join(b, "keyword").where("a < b").where(F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("keyword"))
+    return met.select("a", "b", F.size(F.array_intersect("held_a", "held_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def cooccurrence_near(keywords: DataFrame, seeds: DataFrame, depth: int = 2, least: int = 2) -> DataFrame:
@@ -59,11 +67,18 @@ def cooccurrence_near(keywords: DataFrame, seeds: DataFrame, depth: int = 2, lea
     return edges
 
 
-def weighted_graph(edges: DataFrame, keywords: DataFrame, per_keyword: float = 0.1) -> DataFrame:
-    """Undirected a < b with summed weights: links, and shared keywords (two at least)."""
+def weighted_graph(edges: DataFrame, keywords: DataFrame, per_keyword: float = 0.1, vectors: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """Undirected a < b with summed weights: links, shared keywords (two at least), and, if vectors (page_id, embedding) are given,
+    the k nearest of each page that neither touches, by 1 / (1 + distance)."""
     links = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "weight")
     shared = cooccurrence(keywords).select("a", "b", (F.col("shared") * per_keyword).alias("weight"))
-    return links.unionByName(shared).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    both = links.unionByName(shared)
+    if vectors is not None:
+        both = materialise(both, "weighted-edges")
+        lone = isolated(vectors, both.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
+        near = nearest_edges(vectors, lone, k).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), (1 / (1 + F.col("distance"))).alias("weight"))
+        both = both.unionByName(near.dropDuplicates(["a", "b"]))  # two lone pages that are near each other make one edge
+    return both.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def isolated(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,16 +173,16 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> tuple[DataFr
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Least distance of each page within depth links, in the links' direction, by a recursive query."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_reach_edges")
-    seeds.createOrReplaceTempView("_reach_seeds")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(page_id, distance) AS (
-          SELECT page_id, 0 FROM _reach_seeds
-          UNION ALL
-          SELECT e.target_id, w.distance + 1 FROM walk w JOIN _reach_edges e ON e.source_id = w.page_id WHERE w.distance < {int(depth)})
-        SELECT page_id, min(distance) AS distance FROM walk GROUP BY page_id""")
+    """Least distance of each page within depth links, in the links' direction: a step for each link, each page once."""
+    own = edges.select(F.col("source_id").alias("page_id"), "target_id").distinct()
+    reached = materialise(seeds.select("page_id").distinct().withColumn("distance", F.lit(0)), "reached")
+    for d in range(1, depth + 1):
+        near = own.join(reached.where(F.col("distance") == d - 1), "page_id").select(F.col("target_id").alias("page_id")).distinct()
+        near = materialise(near.join(reached, "page_id", "left_anti").withColumn("distance", F.lit(d)), "reached")
+        if near.isEmpty():
+            break
+        reached = reached.unionByName(near)
+    return reached
 
 
 def inbound(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -207,16 +222,38 @@ def hub_members(pages: DataFrame) -> DataFrame:
     return by_field.join(topics, "hub", "left_semi").unionByName(rows).unionByName(bullets).select("hub", F.trim("member").alias("member")).distinct()
 
 
-def communities(graph: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
+def communities(graph: DataFrame, rounds: int = 6, resolution: float = 1.0, levels: int = 3) -> DataFrame:
     """graph: a, b, weight. node, community (its smallest member) and members, of two nodes at least.
 
-    Local moving by modularity gain, all nodes of one parity of a hash at a time so that neighbours don't swap; ties go to
-    the smallest community. Fixed rounds, so reruns agree; this is not the compared library's random order.
+    Local moving by modularity gain, then communities become the nodes of a smaller graph (edges inside one weigh on it
+    itself) and move again, until a level moves nothing. In a round all nodes of one parity of a hash move at a time,
+    so that neighbours don't swap; ties go to the smallest community. Rounds end when both parities rest, or after so many, so reruns
+    agree; this is not the compared library's random order.
     """
-    both = graph.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(graph.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")).where("node != other")
+    edges = graph.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")).where("a != b")
+    edges = materialise(edges, "louvain-graph")
+    total = 2 * (edges.agg(F.sum("weight")).first()[0] or 0.5)
+    placed = None
+    for level in range(levels):
+        state = _moved(edges, total, rounds, resolution, level)
+        placed = state if placed is None else materialise(placed.select("node", F.col("community").alias("c")).join(state.select(F.col("node").alias("c"), "community"), "c").select("node", "community"), "louvain-placed")
+        if state.where("node != community").isEmpty():
+            break
+        sides = [state.select(F.col("node").alias(k), F.col("community").alias(f"c{k}")) for k in "ab"]
+        joined = edges.join(sides[0], "a").join(sides[1], "b")
+        # an edge of a community with itself keeps its weight, so that degrees stay the same
+        edges = joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
+        edges = materialise(edges, "louvain-graph")
+    sized = placed.groupBy("community").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("members")).where("members >= 2")
+    return placed.join(sized, "community").select("node", F.col("label").alias("community"), "members")
+
+
+def _moved(edges: DataFrame, total: float, rounds: int, resolution: float, level: int) -> DataFrame:
+    """node, community after local moving on edges a <= b (a = b: a node with itself, counted twice in its degree)."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
     both = materialise(both, "louvain-edges")
     degree = materialise(both.groupBy("node").agg(F.sum("weight").alias("degree")), "louvain-degrees")
-    total = degree.agg(F.sum("degree").alias("t")).first()["t"] or 1.0
+    both, rest = both.where("node != other"), 0
     state = degree.select("node", F.col("node").alias("community"), "degree")
     for r in range(rounds):
         sums = state.groupBy("community").agg(F.sum("degree").alias("held"))
@@ -225,11 +262,13 @@ def communities(graph: DataFrame, rounds: int = 10, resolution: float = 1.0) ->
         options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("links").alias("links")).join(sums, "community").join(state.select("node", F.col("community").alias("now"), "degree"), "node")
         gain = F.col("links") - resolution * F.col("degree") * (F.col("held") - F.when(F.col("community") == F.col("now"), F.col("degree")).otherwise(0.0)) / total
         best = options.withColumn("gain", F.round(gain, 9)).groupBy("node", "now", "degree").agg(F.min_by("community", F.struct(-F.col("gain"), "community")).alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        state = best.select("node", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), "degree")
-        state = materialise(state, "louvain-state")
-    sized = state.groupBy("community").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("members")).where("members >= 2")
-    return state.join(sized, "community").select("node", F.col("label").alias("community"), "members")
+        moves = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == r % 2
+        state = materialise(best.select("node", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), "degree", F.col("now")), "louvain-state")
+        rest = rest + 1 if state.where("community != now").isEmpty() else 0
+        state = state.drop("now")
+        if rest == 2:
+            break
+    return state.select("node", "community")
 
 
 def modularity(graph: DataFrame, membership: DataFrame, resolution: float = 1.0) -> float:

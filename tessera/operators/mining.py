@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T, urls as U
+from ..sources.scratch import materialise
+from . import graph
 
 # Things that pages count.
 CLAIM_NOUNS = ("stars", "implementations", "lectures", "lessons", "modules", "pages", "repos")
@@ -29,9 +31,8 @@ ENTITY_RULES = {
 
 def see_also(keywords: DataFrame, pages: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
     """page_id, other_id, title, shared, place: the k pages that share most keywords with each page."""
-    own = keywords.select("page_id", "keyword").distinct()
-    pairs = own.join(own.select(F.col("page_id").alias("other_id"), "keyword"), "keyword").where("page_id != other_id")
-    counted = pairs.groupBy("page_id", "other_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    pairs = graph.cooccurrence(keywords, least)
+    counted = pairs.select(F.col("a").alias("page_id"), F.col("b").alias("other_id"), "shared").unionByName(pairs.select(F.col("b").alias("page_id"), F.col("a").alias("other_id"), "shared"))
     titled = counted.join(pages.select(F.col("page_id").alias("other_id"), "title"), "other_id")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("shared"), "title", "other_id"))
     return titled.withColumn("place", place).where(F.col("place") <= k)
@@ -68,14 +69,52 @@ def conflicts(claims_: DataFrame, same_subject: DataFrame | None = None, gap: fl
     return both.where(apart > gap).select("a", "b", "subject", "number_a", "number_b")
 
 
+def claims_in_conflict(claims_: DataFrame, percent: int = 20) -> DataFrame:
+    """claims: page_id, subject, number (whole, 0 or more). Those that conflict with another claim of their subject: page_id, subject,
+    number, partners (how many claims), and the least and greatest numbers among them (lowest, highest).
+
+    Two numbers conflict if their gap is more than percent of the larger one, of 1 at least. Pairs are not listed: the distinct numbers of
+    a subject are run through in order, upwards and downwards, together with the bounds beyond which each conflicts.
+    """
+    values = claims_.groupBy("subject", "number").agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("number") * 100).cast("decimal(38,0)")
+    reduced = place - F.greatest(F.col("number"), F.lit(1)) * percent
+    # below x: all y with 100 y < 100 x - percent x; above x: all z with 100 z - percent z > 100 x. Bounds come before values at one place.
+    sides = {}
+    for side, bound, at, order in (("low", reduced, place, F.asc), ("high", place, reduced, F.desc)):
+        held = values.select("subject", at.alias("at"), F.lit(1).alias("kind"), F.col("number").alias("x"), "n", F.col("number").alias("y"))
+        bounds = values.select("subject", bound.alias("at"), F.lit(0).alias("kind"), F.col("number").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(values.dtypes)["number"]).alias("y"))
+        run = Window.partitionBy("subject").orderBy(order("at"), "kind")
+        summed = held.unionByName(bounds).withColumns({f"{side}_n": F.sum("n").over(run), f"{side}_min": F.min("y").over(run), f"{side}_max": F.max("y").over(run)})
+        sides[side] = summed.where("kind = 0").select("subject", F.col("x").alias("number"), f"{side}_n", f"{side}_min", f"{side}_max")
+    both = sides["low"].join(sides["high"], ["subject", "number"]).where("low_n + high_n > 0")
+    both = both.select("subject", "number", (F.col("low_n") + F.col("high_n")).alias("partners"), F.least("low_min", "high_min").alias("lowest"), F.greatest("low_max", "high_max").alias("highest"))
+    return claims_.join(both, ["subject", "number"]).select("page_id", "subject", "number", "partners", "lowest", "highest")
+
+
+def overlapping(own: DataFrame, share: float) -> DataFrame:
+    """own: page_id, words (distinct). Pairs a < b that share at least that part of the shorter list: a, b, shared.
+
+    Of the shorter list one of the rarest words must be in the other, so only those make pairs with the words of lists as long or longer: hot
+    words make none. A pair is made once, at the first such word.
+    """
+    word = own.select("page_id", F.explode("words").alias("w"))
+    used = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    held = word.join(used, "w").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("held"))
+    held = held.withColumn("m", F.size("held"))
+    rare = F.slice("held", 1, F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)
+    p = held.select(F.col("page_id").alias("p"), F.col("held").alias("held_p"), F.col("m").alias("m_p"), rare.alias("rare")).withColumn("w", F.explode("rare"))
+    q = held.select(F.col("page_id").alias("q"), F.col("held").alias("held_q"), F.col("m").alias("m_q"), F.explode("held").alias("w"))
+    met = p.join(q, "w").where("m_p < m_q or (m_p = m_q and p < q)").where(F.get(F.array_intersect("rare", "held_q"), F.lit(0)) == F.col("w"))
+    shared = F.size(F.array_intersect("held_p", "held_q"))
+    return met.where(shared >= F.col("m_p") * share - 1e-9).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), shared.alias("shared"))
+
+
 def same_subject(pages: DataFrame, share: float = 0.7) -> DataFrame:
     """Pairs a < b of pages that aren't topics, with one URL or at least that share of the shorter title's words (of four letters or more)."""
     own = pages.where(F.coalesce("source_type", F.lit("")) != "topic").select("page_id", "url", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("words"))
     url = own.where("url is not null and url != ''").select(F.col("page_id").alias("a"), "url").join(own.select(F.col("page_id").alias("b"), "url"), "url").where("a < b").select("a", "b")
-    word = own.select("page_id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    shared = word.select(F.col("page_id").alias("a"), F.col("n").alias("na"), "w").join(word.select(F.col("page_id").alias("b"), F.col("n").alias("nb"), "w"), "w").where("a < b")
-    close = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") / F.least("na", "nb") >= share).select("a", "b")
-    return url.unionByName(close).distinct()
+    return url.unionByName(overlapping(own, share).select("a", "b")).distinct()
 
 
 def semester_conflicts(pages: DataFrame) -> DataFrame:
@@ -87,21 +126,51 @@ def semester_conflicts(pages: DataFrame) -> DataFrame:
     return own.where("before != term").select("key", "page_id", "term", "before", (F.col("page_id") == F.col("before_page")).alias("same_page"))
 
 
+# Words that don't count when titles are compared.
+TITLE_STOP_WORDS = ("the", "a", "an", "of", "for", "and", "in", "on", "to", "with", "is", "at")
+_PARAGRAPH_META = r"^\d|^http|^published|^created|^date|^updated|^tags|^source|^author|^views|^likes|^\*\*url"
+
+
 def duplicate_pages(pages: DataFrame) -> DataFrame:
-    """page_id, match_id, rule: the first rule that finds a smaller page: url, title, words (0.6 of three words or more), paragraphs (two of three)."""
-    own = pages.select("page_id", U.canonical_url(F.coalesce("url", F.lit(""))).alias("u"), F.lower(F.trim("title")).alias("t"), F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}]{3,}"), 0)).alias("w"),
-                       F.transform(F.slice(F.filter(F.split("body", r"\n\s*\n"), lambda p: F.length(F.trim(p)) >= 40), 1, 3), lambda p: F.xxhash64(F.regexp_replace(F.lower(F.trim(p)), r"\s+", " "))).alias("p"))
-    small = lambda c: own.select(F.col("page_id").alias("match_id"), c)
-    rules = [own.where("u != ''").join(small("u"), "u").select("page_id", "match_id", F.lit("1 url").alias("rule")), own.where("t != ''").join(small("t"), "t").select("page_id", "match_id", F.lit("2 title").alias("rule"))]
-    word = own.where(F.size("w") >= 3).select("page_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    both = word.join(word.select(F.col("page_id").alias("match_id"), F.col("n").alias("m"), "x"), "x").where("page_id > match_id").groupBy("page_id", "match_id", "n", "m").count()
-    rules.append(both.where(F.col("count") / F.least("n", "m") >= 0.6).select("page_id", "match_id", F.lit("3 words").alias("rule")))
-    part = own.select("page_id", F.explode("p").alias("x")).distinct()
-    rules.append(part.join(part.select(F.col("page_id").alias("match_id"), "x"), "x").groupBy("page_id", "match_id").count().where("count >= 2").select("page_id", "match_id", F.lit("4 paragraphs").alias("rule")))
+    """page_id, match_id, rule: the first rule that finds a smaller page, and the smallest that it finds.
+
+    url: equal canonical URLs. title: equal titles of more than 10 characters, or one of more than 15 inside the other. words: 0.6 of the shorter title's words,
+    three or more each. paragraphs: two of the page's first three long paragraphs among the other's first five (equal ones; paragraphs inside
+    longer ones are not looked for).
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+", " "))
+    words = F.array_except(F.array_distinct(F.filter(F.split(plain(F.col("title")), " "), lambda w: F.length(w) > 2)), T.literals(TITLE_STOP_WORDS))
+    long = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " ")))), lambda p: F.length(p) >= 50)
+    own = pages.select("page_id", U.canonical_url(F.coalesce("url", F.lit(""))).alias("u"), plain(F.col("title")).alias("t"), words.alias("words"),
+                       F.transform(F.slice(F.filter(long, lambda p: ~p.rlike(_PARAGRAPH_META)), 1, 3), lambda p: F.xxhash64(p)).alias("own_p"), F.transform(F.slice(long, 1, 5), lambda p: F.xxhash64(p)).alias("all_p"))
+    first = lambda c: own.groupBy(c).agg(F.min("page_id").alias("match_id"))
+
+    def rule(found: DataFrame, name: str) -> DataFrame:
+        return found.where("page_id > match_id").select("page_id", "match_id", F.lit(name).alias("rule"))
+
+    titles = first("t").where(F.length("t") > 15)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 15), lambda i: F.substring(F.col("t"), i, F.lit(16))))
+    outer = titles.select(F.col("t").alias("outer_t"), F.col("match_id").alias("outer_id"), F.explode(grams).alias("g"))
+    inner = titles.select(F.col("t").alias("inner_t"), F.col("match_id").alias("inner_id"), F.substring("t", 1, 16).alias("g"))
+    inside = outer.join(inner, "g").where((F.col("outer_t") != F.col("inner_t")) & F.contains("outer_t", F.col("inner_t")))
+    inside = inside.select(F.col("outer_t").alias("t"), F.col("inner_id").alias("match_id")).unionByName(inside.select(F.col("inner_t").alias("t"), F.col("outer_id").alias("match_id")))
+    inside = inside.groupBy("t").agg(F.min("match_id").alias("match_id"))
+    close = overlapping(own.where(F.size("words") >= 3).select("page_id", "words"), 0.6)
+    later = own.where(F.length("t") > 10)
+    # two of three must meet, so the one that most pages hold makes no pairs
+    part = own.select(F.explode("all_p").alias("x"), F.col("page_id").alias("match_id"), "all_p").dropDuplicates(["x", "match_id"])
+    used = part.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    mine = own.where(F.size(F.array_distinct("own_p")) >= 2).select("page_id", "own_p", F.explode(F.array_distinct("own_p")).alias("x")).join(used, "x")
+    mine = mine.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("n", "x"))).where(F.col("k") <= F.size(F.array_distinct("own_p")) - 1)
+    alike = mine.join(part, "x").where("page_id > match_id").where(F.size(F.array_intersect("own_p", "all_p")) >= 2)
+    rules = [
+        rule(own.where("u != ''").join(first("u"), "u"), "1 url"), rule(later.join(first("t"), "t"), "2 title"), rule(own.join(inside, "t"), "2 title"),
+        rule(close.select(F.col("b").alias("page_id"), F.col("a").alias("match_id")).join(later.select("page_id"), "page_id", "left_semi"), "3 words"), rule(alike, "4 paragraphs"),
+    ]
     found = rules[0]
     for r in rules[1:]:
         found = found.unionByName(r)
-    best = found.where("page_id > match_id").groupBy("page_id").agg(F.min(F.struct("rule", "match_id")).alias("b"))
+    best = found.groupBy("page_id").agg(F.min(F.struct("rule", "match_id")).alias("b"))
     return best.select("page_id", "b.match_id", F.substring("b.rule", 3, 99).alias("rule"))
 
 
@@ -148,7 +217,7 @@ def entities(pages: DataFrame, rules: dict[str, str] = ENTITY_RULES, head: int |
     """entities (normalized, entity_type, name, mention_count) and page_entities (page_id, normalized, entity_type).
 
     Each entity counts once a page; the longest surface form is its name. Another extractor may be plugged in front.
-    head: read only so many characters of each body (the reference reads 5,000); None reads all.
+    head: read only so many characters of each body; None reads all.
     """
     body = F.col("body") if head is None else F.substring("body", 1, head)
     found = F.concat(*(F.transform(F.regexp_extract_all(body, F.lit(p), 1), _typed(k)) for k, p in rules.items()))
@@ -200,12 +269,37 @@ def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, width: fl
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("distance", "target_id"))).where(F.col("place") <= k)
 
 
+#: Items that are compared with all texts at once.
+ITEMS_AT_ONCE = 1000
+
+
 def containment(texts: DataFrame, items: DataFrame, head: int | None = None) -> DataFrame:
-    """doc_id, item_id of items whose whole text stands in a document; items are a stated small set (checked) compared with all documents."""
-    if items.limit(10_001).count() > 10_000:
-        raise ValueError("too many items for containment; use token windows")
-    body = F.col("text") if head is None else F.substring("text", 1, head)
-    return texts.join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains(body, F.col("item"))).select("doc_id", "item_id")
+    """doc_id, item_id of items whose whole text stands in a document.
+
+    Up to ITEMS_AT_ONCE items are compared with every text. Of more, those with a word between two others (which the document then holds as a word, too)
+    are looked up by that word, the one that fewest items have; the others are compared in blocks.
+    """
+    body = (F.col("text") if head is None else F.substring("text", 1, head)).alias("body")
+    own, named = texts.select("doc_id", body), items.select("item_id", F.col("text").alias("item")).where("item is not null")
+
+    def compared(some: DataFrame) -> DataFrame:
+        return own.join(F.broadcast(some), F.contains(F.col("body"), F.col("item"))).select("doc_id", "item_id")
+
+    if named.limit(ITEMS_AT_ONCE + 1).count() <= ITEMS_AT_ONCE:
+        return compared(named)
+    word = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+    inner = F.array_distinct(F.slice(word("item"), 2, F.greatest(F.size(word("item")) - 2, F.lit(0))))
+    named = named.withColumn("id", F.xxhash64("item_id", "item"))
+    each = named.select("id", "item_id", "item", F.explode(inner).alias("w"))
+    used = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    anchor = materialise(each.join(used, "w").groupBy("id", "item_id", "item").agg(F.min(F.struct("n", "w"))["w"].alias("w")), "anchors")
+    held = own.select("doc_id", "body", F.explode(F.array_distinct(word("body"))).alias("w")).join(anchor.select("w").distinct(), "w", "left_semi")
+    found = held.join(anchor, "w").where(F.contains("body", F.col("item"))).select("doc_id", "item_id")
+    rest = materialise(named.join(anchor.select("id"), "id", "left_anti").select("item_id", "item", "id"), "anchorless")
+    blocks = -(-rest.count() // ITEMS_AT_ONCE)
+    for k in range(blocks):
+        found = found.unionByName(compared(rest.where(F.pmod(F.col("id"), F.lit(blocks)) == k).select("item_id", "item")))
+    return found
 
 
 def recurring_bigrams(pages: DataFrame, most: int = 50) -> DataFrame:
@@ -215,6 +309,18 @@ def recurring_bigrams(pages: DataFrame, most: int = 50) -> DataFrame:
 
 
 def word_overlap(left: DataFrame, right: DataFrame, least: int = 2, words: Column | None = None) -> DataFrame:
-    """left_id, right_id, shared: texts of two tables (id, text) that share at least so many distinct words."""
+    """left_id, right_id, shared: texts of two tables (id, text) that share at least so many distinct words.
+
+    Words of both tables are put in order, rarest first; two texts that share so many meet before the last least - 1 of either.
+    """
     token = lambda df, key: df.select(F.col("id").alias(key), F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("w"))
-    return token(left, "left_id").join(token(right, "right_id"), "w").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    sides = token(left, "left_id"), token(right, "right_id")
+    used = sides[0].select("w").unionByName(sides[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(df: DataFrame, key: str) -> DataFrame:
+        held = df.join(used, "w").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias(f"{key}_held"))
+        held = held.where(F.size(f"{key}_held") >= least)
+        return held.withColumn(f"{key}_first", F.slice(f"{key}_held", 1, F.size(f"{key}_held") - (least - 1))).withColumn("w", F.explode(f"{key}_first"))
+
+    met = keyed(sides[0], "left_id").join(keyed(sides[1], "right_id"), "w").where(F.get(F.array_intersect("left_id_first", "right_id_first"), F.lit(0)) == F.col("w"))
+    return met.select("left_id", "right_id", F.size(F.array_intersect("left_id_held", "right_id_held")).cast("long").alias("shared")).where(F.col("shared") >= least)

@@ -32,7 +32,19 @@ EMBED_DENIED = (
     "youtube.com/embed", "youtube-nocookie.com", "player.vimeo.com", "w.soundcloud.com", "open.spotify.com", "podcasters.spotify.com",
 )
 STANDARD_FIELDS = ("title", "date_added", "last_updated", "source_type", "raw_path", "summary")
-STANDARD_TAGS = ("ai-agents", "architecture", "book", "course", "curated-list", "deep-learning", "finance", "insight", "journal", "knowledge-base", "learning", "llm", "math", "ml", "paper", "pdf", "productivity", "project", "python", "rag", "repo", "security", "session", "slides", "tool", "topic", "video", "visualization", "webpage", "workflow")
+# The canonical tags.
+STANDARD_TAGS = (
+    "agent", "ai-agents", "ai-engineering", "ai-platforms", "architecture", "book", "chart", "cs153",
+    "claude-code", "competitor", "course", "curated-list", "dashboard",
+    "deep-learning", "devsecops", "diagram", "exercises", "export", "finance", "insight",
+    "interview-prep", "journal", "karpathy", "keyword-index", "knowledge-base",
+    "knowledge-management", "learning", "llm", "marketing", "math", "mcp", "memory", "meta", "ml",
+    "obsidian", "offensive-security", "paper", "pdf", "platform-engineering",
+    "product-design", "productivity", "profile", "project",
+    "prompt-engineering", "python", "rag", "repo", "second-brain", "security", "session",
+    "skills", "slides", "tool", "tools", "topic", "user-model", "video", "visualization",
+    "vulnerability-research", "webpage", "workflow", "writing-style",
+)
 
 
 @dataclass(frozen=True)
@@ -96,6 +108,7 @@ _RAW = "raws"
 RULES: tuple[Rule, ...] = (
     Rule("2d", "warn", _PAGE, lambda: F.col("rel_path").contains("/format/") & (F.col("raw_path") == "") & (F.length("body") < 200)),
     Rule("2b", "error", _PAGE, lambda: (F.regexp_extract("rel_path", r"/format/([^/]+)/", 1) != "") & (F.regexp_extract("raw_path", r"^raw/([^/]+)/", 1) != "") & (F.regexp_extract("rel_path", r"/format/([^/]+)/", 1) != F.regexp_extract("raw_path", r"^raw/([^/]+)/", 1)), lambda: F.col("raw_path")),
+    Rule("3b", "error", _PAGE, lambda: F.col("content").rlike(r"(?m)^[ \t]*related: \[\][ \t]*\n[ \t]*- ")),
     Rule("4-fields", "error", _PAGE, lambda: (_value("title") == "") | (F.size("tags") == 0) | (F.col("url") == "") | (F.col("date_added") == ""), lambda: F.array_join(F.filter(F.array(*(F.when(~_has(k), F.lit(k)) for k in ("title", "tags", "url", "date_added"))), lambda x: x.isNotNull()), ",")),
     Rule("4-type", "error", _PAGE, lambda: (F.col("source_type") != "") & ~F.col("source_type").isin(*SOURCE_TYPES), lambda: F.col("source_type")),
     Rule("4-tags", "info", _PAGE, lambda: F.size(F.array_except("tags", T.literals(STANDARD_TAGS))) > 0, lambda: F.array_join(F.array_except("tags", T.literals(STANDARD_TAGS)), ",")),
@@ -354,8 +367,31 @@ def fixes(pages: DataFrame) -> DataFrame:
     })
 
 
-# How summaries must not begin, and words they must not hold.
-SUMMARY_LENGTH, FORBIDDEN_OPENERS, FORBIDDEN_WORDS = (100, 600), ("this page", "this article", "this post", "the author", "in this"), ("delve", "comprehensive overview", "game-changer", "cutting-edge")
+SUMMARY_LENGTH = (100, 600)
+# How summaries must not begin.
+FORBIDDEN_OPENERS = (
+    "this article",
+    "this page",
+    "this document",
+    "this repository",
+    "this repo",
+    "this paper",
+    "this video",
+    "an overview of",
+    "a guide to",
+    "the article",
+    "the page",
+    "the document",
+)
+# Words that summaries must not hold.
+FORBIDDEN_WORDS = (
+    "cutting-edge",
+    "state-of-the-art",
+    "world-class",
+    "next-generation",
+    "game-changing",
+    "revolutionary",
+)
 
 
 def summary_problem(summary: Column) -> Column:

@@ -67,4 +67,79 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), "text")
 
 
-__all__ = ["table", "pages", "keywords", "neighbour_edges", "shared_keyword_edges", "web_pages", "statuses", "lines", "entries", "U"]
+#: A vault made of documents: expressions that mean the same to Spark and DuckDB, in layers that build on each other.
+VAULT = (
+    {
+        "page_id": "doc_id", "title": "'Page ' || doc_id", "folder": "CASE WHEN doc_id % 8 < 2 THEN 'papers' WHEN doc_id % 8 < 4 THEN 'repos' WHEN doc_id % 8 < 6 THEN 'webpages' ELSE 'videos' END",
+        "source_type": "CASE doc_id % 7 WHEN 0 THEN 'topic' WHEN 1 THEN 'repo' WHEN 2 THEN 'webpage' WHEN 3 THEN 'paper' WHEN 4 THEN 'video' WHEN 5 THEN 'insight' ELSE 'gadget' END",
+        "url": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'https://site' || (doc_id % 10) || '.org/a/' || (doc_id % 40) || CASE WHEN doc_id % 2 = 0 THEN '?utm_source=x' ELSE '' END END",
+        "canonical": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'https://site' || (doc_id % 10) || '.org/a/' || (doc_id % 40) END",
+        "slug": "CASE WHEN doc_id % 12 = 1 THEN 'gone' || doc_id ELSE 'r' || (doc_id - doc_id % 2) END", "summary": "'About ' || lang || ' from ' || source",
+        "tag1": "CASE doc_id % 3 WHEN 0 THEN 'rag' ELSE 'odd-tag' END", "tag2": "CASE WHEN doc_id % 2 = 0 THEN 'paper' ELSE 'cooking' END",
+        "rel1": "CASE WHEN doc_id % 10 = 3 THEN 'Nobody ' || doc_id ELSE 'Page ' || (doc_id * 7 % 25 * 10) END", "rel2": "CASE WHEN doc_id % 10 = 3 THEN 'Noone ' || doc_id ELSE 'Page ' || ((doc_id + 5) % 20 * 10 + 1) END",
+        "link": "CASE WHEN doc_id % 10 = 3 THEN 'Lost ' || doc_id ELSE 'Page ' || (doc_id * 3 % 22 * 10 + 2) END",
+        "date_added": "'2024-0' || (1 + doc_id % 9) || '-1' || (doc_id % 10)", "stars": "doc_id % 30", "volumes": "1000 + doc_id * 17 % 90", "prose": "replace(text, chr(10), ' ')",
+    },
+    {
+        "rel_path": "'wiki/format/' || folder || '/p' || doc_id || '.md'",
+        "raw_path": "CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'raw/' || CASE WHEN doc_id % 13 = 0 THEN 'images' ELSE folder END || '/artifacts/' || slug || '.md' END",
+        "body": "'# ' || title || chr(10) || chr(10) || 'See [[' || link || ']] and [[Nowhere ' || (doc_id % 5) || '|there]]. It has ' || stars || ' stars and ' || volumes || ' pages.' || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || prose || chr(10) || chr(10) || '### More' || chr(10) || chr(10) || 'Last words of ' || title || '.'",
+    },
+    {
+        "content": """'---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source_type: ' || source_type || chr(10) || 'url: ' || url || chr(10) || 'summary: ' || chr(39) || summary || chr(39) || chr(10)
+        || 'quoted: "' || chr(39) || 'x' || doc_id || chr(39) || '"' || chr(10) || 'empty:' || chr(10) || 'tags: [' || tag1 || ', "' || tag2 || '"]' || chr(10) || 'related:' || chr(10) || '  - "[[' || rel1 || ']]"' || chr(10) || '- "[[' || rel2 || ']]"' || chr(10)
+        || 'date_added: ' || date_added || chr(10) || 'raw_path: ' || raw_path || chr(10) || '---' || chr(10) || chr(10) || body""",
+    },
+)
+#: Raw captures of a vault: one a document.
+RAWS = (
+    {
+        "folder": "CASE WHEN doc_id % 8 < 2 THEN 'papers' WHEN doc_id % 8 < 4 THEN 'repos' WHEN doc_id % 8 < 6 THEN 'webpages' ELSE 'videos' END", "raw_title": "'Raw ' || doc_id",
+        "source_url": "'https://site' || (doc_id % 10) || '.org/a/' || (doc_id % CASE WHEN doc_id % 11 = 0 THEN 41 ELSE 40 END)", "via": "CASE WHEN doc_id % 5 = 0 THEN 'browser-capture' ELSE 'api' END",
+        "merged": "CASE WHEN doc_id % 17 = 0 THEN 'merged_into: p1' || chr(10) ELSE '' END", "raw_body": "'# Raw ' || doc_id || chr(10) || chr(10) || replace(text, chr(10), ' ') || ' end'",
+    },
+    {
+        "path": "'raw/' || folder || '/artifacts/r' || doc_id || '.md'",
+        "content": "'---' || chr(10) || 'title: \"' || raw_title || '\"' || chr(10) || 'source: ' || source_url || chr(10) || 'clipped_via: ' || via || chr(10) || merged || 'captured_at: 2024-01-01' || chr(10) || '---' || chr(10) || chr(10) || raw_body",
+    },
+)
+
+
+def _layers_sql(name: str, layers, of: str) -> str:
+    out = [f"{name}0 AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in layers[0].items())} FROM {of})"]
+    out += [f"{name}{k} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM {name}{k - 1})" for k, layer in enumerate(layers[1:], 1)]
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}{len(layers) - 1})"])
+
+
+VAULT_SQL, RAWS_SQL = _layers_sql("v", VAULT, "documents"), _layers_sql("w", RAWS, "documents")
+
+
+def _layered(df: DataFrame, layers) -> DataFrame:
+    for layer in layers:
+        df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in layer.items()))
+    return df
+
+
+def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that VAULT makes."""
+    return _layered(table(spark, sf_dir, "documents"), VAULT)
+
+
+def vault_pages(spark: SparkSession, sf_dir: str, flavour: str = "index") -> DataFrame:
+    """Pages parsed out of the vault's content; page_id is the document's id."""
+    from ..sources import vault as V
+
+    own = vault(spark, sf_dir).select(F.col("rel_path").alias("path"), F.element_at(F.split("rel_path", "/"), -1).alias("name"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), F.lit("2024-01-01").cast("timestamp").alias("modified"), F.octet_length("content").alias("size"), "content")
+    parsed = V.pages_of(own, flavour=flavour).withColumn("page_id", F.regexp_extract("rel_path", r"/p(\d+)\.md$", 1).cast("long"))
+    return materialise(parsed, "vault-pages")  # parsed once, and plans over it stay small
+
+
+def vault_raws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import vault as V
+
+    own = _layered(table(spark, sf_dir, "documents"), RAWS)
+    own = own.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.lit("2024-01-01").cast("timestamp").alias("modified"), F.octet_length("content").alias("size"), "content")
+    return materialise(V.raws_of(own), "vault-raws")
+
+
+__all__ = ["table", "pages", "keywords", "neighbour_edges", "shared_keyword_edges", "vault", "vault_pages", "vault_raws", "web_pages", "statuses", "lines", "entries", "U"]

@@ -144,10 +144,12 @@ def bfs_two_hop(spark, sf):
     return retrieval.graph_signal(edges, _seeds(edges)).select("page_id", F.round("score", 6).alias("score"))
 
 
-_HYBRID_SQL = f"""WITH {_LEXICAL_SQL}, {_title_sql(True).replace('tstats', 'tstats1').replace('share AS', 'share1 AS')}, {_VECTOR_SQL}, {B.KEYWORDS_SQL},
+_WALK_SQL = _BFS_SQL[_BFS_SQL.index("one AS") :]
+_HYBRID_SQL = f"""WITH {_LEXICAL_SQL}, {_title_sql(True).replace('tstats', 'tstats1').replace('share AS', 'share1 AS')}, {_VECTOR_SQL}, {_PAIRS_SQL}, undirected AS (SELECT a AS node, b AS next FROM pairs UNION SELECT b, a FROM pairs),
+seeds AS (SELECT page_id AS node, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM lex ORDER BY score DESC, page_id LIMIT 5), {_WALK_SQL}, walked AS (SELECT page_id, round(score, 12) AS score FROM bfs),
 titles AS (SELECT page_id, share AS score FROM share1 WHERE share > 0 ORDER BY share DESC, page_id LIMIT 20),
 keys AS (SELECT page_id, count(*) * sum(score) AS score FROM kw WHERE keyword IN ('reation', 'pathetic', 'anthing') GROUP BY page_id ORDER BY score DESC, page_id LIMIT 20),
-parts AS ({_FUSE('lexical', 'lex')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('lexical', 'lex')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('vector', 'vec')} UNION ALL {_FUSE('keyword', 'keys')}),
+parts AS ({_FUSE('graph', 'walked')} UNION ALL {_FUSE('lexical', 'lex')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('lexical', 'lex')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('title', 'titles')} UNION ALL {_FUSE('vector', 'vec')} UNION ALL {_FUSE('keyword', 'keys')}),
 best AS (SELECT page_id, sum(part) AS score, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM parts GROUP BY page_id ORDER BY round(sum(part), 9) DESC, page_id LIMIT 10)
 SELECT page_id, substr(text, 1, 60) AS title, round(score, 6) AS score, signals FROM best JOIN documents ON doc_id = page_id"""
 
@@ -195,10 +197,10 @@ def keyword_overview(spark, sf):
     return mining.keyword_overview(B.keywords(spark, sf), B.pages(spark, sf)).select("keyword", "n")
 
 
-_KNN_SQL = "knn AS (SELECT source_id, target_id FROM (SELECT s.vec_id AS source_id, t.vec_id AS target_id, row_number() OVER (PARTITION BY s.vec_id ORDER BY sqrt(list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(t.embedding::DOUBLE[], s.embedding::DOUBLE[])])), t.vec_id) AS place FROM embeddings s JOIN embeddings t ON s.vec_id <> t.vec_id WHERE s.vec_id < 40) WHERE place <= 3)"
+_KNN_SQL = "knn AS (SELECT source_id, target_id FROM (SELECT s.vec_id AS source_id, t.vec_id AS target_id, row_number() OVER (PARTITION BY s.vec_id ORDER BY sqrt(list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(t.embedding::DOUBLE[], s.embedding::DOUBLE[])])), t.vec_id) AS place FROM embeddings s JOIN embeddings t ON s.vec_id <> t.vec_id) WHERE place <= 3)"
 
 
-@query(f"WITH {_KNN_SQL} SELECT source_id, target_id FROM knn")
+@query(f"WITH {_KNN_SQL} SELECT source_id, target_id FROM knn WHERE source_id % 50 = 0")
 def nearest_neighbours(spark, sf):
     """The search queries are the pages whose id 50 divides."""
     return B.neighbour_edges(spark, sf, every=50)
@@ -238,7 +240,7 @@ def weighted_graph(spark, sf):
 @query()
 def communities(spark, sf):
     g = graph.cooccurrence(B.keywords(spark, sf)).select("a", "b", F.col("shared").cast("double").alias("weight"))
-    return graph.communities(g, rounds=6)
+    return graph.communities(g, rounds=4, levels=2)
 
 
 @query()
@@ -247,7 +249,7 @@ def topics(spark, sf):
     return found[0].select("topic_id", "label", "page_count")
 
 
-@query("""WITH e AS (SELECT doc_id AS page_id, lower(trim(unnest(regexp_extract_all(substr(text, 1, 5000), '([A-Z][a-z]+(?:[ \\t\\n][A-Z][a-z]+)+)', 1)))) AS n FROM documents) SELECT normalized, count(DISTINCT page_id) AS mention_count FROM (SELECT page_id, regexp_replace(n, '\\s+', ' ', 'g') AS normalized FROM e WHERE length(n) > 2) GROUP BY normalized""")
+@query("""WITH e AS (SELECT doc_id AS page_id, lower(trim(unnest(regexp_extract_all(text, '([A-Z][a-z]+(?:[ \\t\\n][A-Z][a-z]+)+)', 1)))) AS n FROM documents) SELECT normalized, count(DISTINCT page_id) AS mention_count FROM (SELECT page_id, regexp_replace(n, '\\s+', ' ', 'g') AS normalized FROM e WHERE length(n) > 2) GROUP BY normalized""")
 def entities(spark, sf):
     """Capitalised runs, once a page."""
     rules = {"NAME": r"([A-Z][a-z]+(?:[ \t\n][A-Z][a-z]+)+)"}
@@ -340,7 +342,14 @@ def duplicate_texts(spark, sf):
     return d.join(first, "k").where("doc_id > match_id").select(F.col("doc_id").alias("page_id"), "match_id")
 
 
-@query()
+_DUPLICATES_SQL = r"""WITH o AS (SELECT doc_id AS page_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT page_id, t, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) > 2 AND x NOT IN ('the', 'a', 'an', 'of', 'for', 'and', 'in', 'on', 'to', 'with', 'is', 'at'))) AS w FROM o),
+p AS (SELECT l.page_id, e.page_id AS match_id, CASE WHEN l.t = e.t OR (length(e.t) > 15 AND contains(l.t, e.t)) OR (length(l.t) > 15 AND contains(e.t, l.t)) THEN 1 WHEN len(l.w) >= 3 AND len(e.w) >= 3 AND len(list_intersect(l.w, e.w)) / least(len(l.w), len(e.w))::DOUBLE >= 0.6 - 1e-9::DOUBLE THEN 2 END AS rule
+  FROM w l JOIN w e ON e.page_id < l.page_id WHERE length(l.t) > 10)
+SELECT page_id, (min((rule, match_id)))[2] AS match_id, CASE (min((rule, match_id)))[1] WHEN 1 THEN 'title' ELSE 'words' END AS rule FROM p WHERE rule IS NOT NULL GROUP BY page_id"""
+
+
+@query(_DUPLICATES_SQL)
 def duplicate_pages(spark, sf):
     """The first rule that finds an earlier page: URL, title, title words, paragraphs."""
     return mining.duplicate_pages(B.pages(spark, sf).withColumn("url", F.lit("")))
@@ -356,11 +365,16 @@ def relative_gap_conflicts(spark, sf):
     return e.where((F.col("hi") - F.col("lo")) / F.greatest("hi", F.lit(1.0)) > 0.2).select(F.col("user_id").alias("a_user"), "subject", "lo", "hi")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS page_id, CAST(l_partkey AS VARCHAR) AS subject, max(CAST(l_quantity AS BIGINT)) AS number FROM lineitem GROUP BY ALL), s AS (SELECT a.page_id AS a, b.page_id AS b, a.subject, a.number AS number_a, b.number AS number_b FROM c a JOIN c b ON a.subject = b.subject AND a.page_id < b.page_id AND b.page_id - a.page_id < 200) SELECT a, b, subject, number_a, number_b FROM s WHERE abs(number_a - number_b) / greatest(number_a, number_b, 1)::DOUBLE > 0.2""")
+_CLAIMS_SQL = "c AS (SELECT l_orderkey AS page_id, CAST(l_partkey AS VARCHAR) AS subject, max(CAST(l_quantity AS BIGINT)) AS number FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_CLAIMS_SQL}, v AS (SELECT subject, number, count(*) AS n FROM c GROUP BY ALL),
+p AS (SELECT a.subject, a.number, sum(b.n)::BIGINT AS partners, min(b.number) AS lowest, max(b.number) AS highest FROM v a JOIN v b ON a.subject = b.subject WHERE abs(a.number - b.number) / greatest(a.number, b.number, 1)::DOUBLE > 0.2 GROUP BY ALL)
+SELECT page_id, subject, number, partners, lowest, highest FROM c JOIN p USING (subject, number)""")
 def claim_conflicts(spark, sf):
-    """Orders that claim different quantities of one part."""
+    """Orders that claim a quantity of a part which conflicts with other orders' claims: how many, and the least and greatest of them."""
     c = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").cast("string").alias("subject")).agg(F.max(F.col("l_quantity").cast("long")).alias("number"))
-    return mining.conflicts(c)
+    return mining.claims_in_conflict(c)
 
 
 # --- reflection ---
@@ -482,9 +496,11 @@ def rule_short(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")).where("size < 800")
 
 
-@query("SELECT doc_id FROM documents WHERE length(trim(text)) < 300 AND (contains(lower(text), '404') OR contains(lower(text), 'page not found'))")
+@query("SELECT doc_id FROM documents WHERE length(trim(text)) < 286 AND doc_id % 3 = 0 AND NOT contains(text, chr(9))")
 def rule_dead_marker(spark, sf):
-    return B.table(spark, sf, "documents").where(quality.has_dead_marker(F.col("text"))).select("doc_id")
+    """Short texts, a third of which begin like a page that is gone."""
+    d = B.table(spark, sf, "documents").where(~F.contains("text", F.lit("\t")))
+    return d.where(quality.has_dead_marker(F.concat(F.when(F.col("doc_id") % 3 == 0, "Page not Found").otherwise("Page, and found"), F.trim("text")))).select("doc_id")
 
 
 @query(r"SELECT doc_id, CAST(length(r) AS INT) AS residual FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^#+\s+.*$', '', 'g'), '^\s+|\s+$', '', 'g') AS r FROM documents) WHERE length(r) < 200")
@@ -492,10 +508,10 @@ def rule_residual(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.length(quality._residual(F.col("text"))).alias("residual")).where("residual < 200")
 
 
-@query("SELECT status, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, regexp_extract(text, '([a-z0-9.]+@mail[0-9])', 1) AS status FROM documents) WHERE status <> '' GROUP BY status HAVING count(*) > 1")
+@query("SELECT status, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, regexp_extract(text, '(@mail[0-9])', 1) AS status FROM documents) WHERE status <> '' GROUP BY status HAVING count(*) > 1")
 def rule_shared_key(spark, sf):
     """Rows that share an extracted key, as statuses of posts are found twice."""
-    own = B.table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "([a-z0-9.]+@mail[0-9])", 1).alias("status")).where("status != ''")
+    own = B.table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "(@mail[0-9])", 1).alias("status")).where("status != ''")
     return own.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 

@@ -42,7 +42,12 @@ def wiki_files(spark: SparkSession, root: str, skipped: tuple[str, ...] = ("dash
 
 def pages(spark: SparkSession, root: str, vault: str = "local", flavour: str = "index") -> DataFrame:
     """The search index' pages: ids, front matter columns, body and plain text."""
-    own = wiki_files(spark, root).withColumn("fm", FM.front_matter(F.col("content"), flavour))
+    return pages_of(wiki_files(spark, root), vault, flavour)
+
+
+def pages_of(own: DataFrame, vault: str = "local", flavour: str = "index") -> DataFrame:
+    """As pages, of files (path, name, stem, modified, size, content) from anywhere."""
+    own = own.withColumn("fm", FM.front_matter(F.col("content"), flavour))
     value = lambda k, d="": F.coalesce(F.element_at("fm.values", F.lit(k)), F.lit(d))
     listed = lambda k: F.coalesce(F.element_at("fm.lists", F.lit(k)), F.when(value(k) != "", F.array(value(k))).otherwise(F.array().cast("array<string>")))
     return own.select(
@@ -50,7 +55,7 @@ def pages(spark: SparkSession, root: str, vault: str = "local", flavour: str = "
         F.coalesce(F.nullif(value("title"), F.lit("")), F.col("stem")).alias("title"), value("summary").alias("summary"), value("source_type").alias("source_type"),
         listed("tags").alias("tags"), listed("related").alias("related"), value("url").alias("url"), value("date_added").alias("date_added"), value("last_updated").alias("last_updated"),
         value("raw_path").alias("raw_path"), F.col("fm.body").alias("body"), T.strip_markdown(F.col("fm.body")).alias("plain"), T.content_hash(F.col("content")).alias("content_hash"),
-        F.col("fm.values").alias("values"), F.col("fm.lists").alias("lists"), "modified", "size", "name", "stem",
+        F.col("fm.values").alias("values"), F.col("fm.lists").alias("lists"), "modified", "size", "name", "stem", "content",
     )
 
 
@@ -80,7 +85,12 @@ def listing(spark: SparkSession, root: str, source_type: str | None = None, rece
 
 def raw_files(spark: SparkSession, root: str, flavour: str = "schema") -> DataFrame:
     """Raw captures of the known categories: category, slug, front matter (or legacy header) and body."""
-    own = files(spark, root).where(F.col("path").rlike(rf"(?:^|/)raw/(?:{'|'.join(CATEGORIES)})/artifacts/[^/]+\.md$"))
+    return raws_of(files(spark, root), flavour)
+
+
+def raws_of(own: DataFrame, flavour: str = "schema") -> DataFrame:
+    """As raw_files, of files from anywhere."""
+    own = own.where(F.col("path").rlike(rf"(?:^|/)raw/(?:{'|'.join(CATEGORIES)})/artifacts/[^/]+\.md$"))
     own = own.withColumns({"fm": FM.front_matter(F.col("content"), flavour), "legacy": FM.legacy_header(F.col("content"))})
     values = F.when(F.col("fm.found"), F.col("fm.values")).otherwise(F.col("legacy"))
     return own.select("path", F.regexp_extract("path", r"raw/([^/]+)/", 1).alias("category"), F.col("stem").alias("slug"), values.alias("values"), F.col("fm.lists").alias("lists"),

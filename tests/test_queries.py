@@ -10,6 +10,7 @@ import pytest
 from .conftest import DATA, ROOT
 
 sys.path.insert(0, str(ROOT))
+from tessera.plans import vault_queries  # noqa: E402, F401 (registers its queries)
 from tessera.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,7 +52,8 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() >= 0
 
 
-def test_entry_without_corpus_operators(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+@pytest.mark.parametrize("without", [("corpus_pipeline.py",), ()])
+def test_entry_without_corpus_operators(tmp_path, without):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", *without, "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lexical_topk' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={"PATH": "/usr/bin:/bin"})

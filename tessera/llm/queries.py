@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, langid, media, mixing, neardup, pii, sharding, tokens, toxicity, urlfilter
+from . import codebooks, decontamination, langid, media, mixing, neardup, pii, quality, sharding, tokens, toxicity, urlfilter
 from .common import small_batches, table
 
 
@@ -70,9 +70,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each vector under codebooks learned from all of them."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document; the rules are learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.quality(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op8_url_filter, op9_mixing, op10_token_counts)}
+    own = (
+        op1_toxicity, op2_decontamination, op3_pii, op4_language_id, op5_media, op6_sharding, op7_minhash_neardup, op8_url_filter, op9_mixing, op10_token_counts,
+        op11_vector_codes, op12_quality,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op7_minhash_neardup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op11_vector_codes": codebooks.ORACLE_SQL, "op2_decontamination": decontamination.ORACLE_SQL, "op7_minhash_neardup": neardup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

@@ -15,7 +15,11 @@ ROWS = [
     (0, "some words of item here", None, None, None), (0, "some words of item here", None, None, None), (None, "x", "en", None, 1), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "de", "", 0), (4, " \n\t", "de", "s", 0),
     (5, "a" * 50000, "fr", "s", 1), (6, "word " * 20000, "fr", "t", 2), (6, "other text", "es", "t", 2), (7, "\x00\x01 😀 a@b.c +1 269 555 3296", "xx", "s", 3),
 ]
-QUERIES = ["op1_toxicity", "op2_decontamination", "op3_pii", "op4_language_id", "op5_media", "op6_sharding", "op7_minhash_neardup", "op8_url_filter", "op9_mixing", "op10_token_counts", "pipeline"]
+VECTORS = [
+    (3, [1.0, 2.0, 3.0, 4.0], 1), (3, [1.0, 2.0, 3.0, 4.0], 1), (1, [0.5, -0.5, 0.0, 1e9], None), (None, [1.0, 2.0, 3.0, 5.0], None), (4, None, 1), (5, [1.0, None, 1.0, 1.0], 1),
+    (6, [1.0, float("nan"), 1.0, 1.0], 1), (7, [float("inf"), 0.0, 0.0, 0.0], 2), (8, [], 2), (9, [1.0, 2.0], 2), (0, [1.0, 2.0, 3.0], 2), (2, [3e38, 0.0, 0.0, -3e38], 3),
+]
+QUERIES = ["op1_toxicity", "op2_decontamination", "op3_pii", "op4_language_id", "op5_media", "op6_sharding", "op7_minhash_neardup", "op8_url_filter", "op9_mixing", "op10_token_counts", "op11_vector_codes", "op12_quality", "pipeline"]
 
 
 def write(spark, root, rows):
@@ -25,6 +29,8 @@ def write(spark, root, rows):
     spark.createDataFrame([(1, None), (None, "some words of item"), (2, "")] if rows else [], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     pages = spark.createDataFrame([(1, None, "x"), (1, "http://a.org/", None), (None, "", None), (2, "http://É/\n", "y")] if rows else [], "page_id long, url string, html string")
     pages.withColumns({c: F.lit("clash") for c in CLASHING} | {"text": F.lit("c")}).write.parquet(f"{root}/pages.parquet")
+    vectors = spark.createDataFrame(VECTORS if rows else [], "vec_id long, embedding array<float>, label int")
+    vectors.withColumns({c: F.lit("clash") for c in CLASHING if c not in ("label", "embedding", "vec_id")}).write.parquet(f"{root}/embeddings.parquet")
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +54,11 @@ def test_odd_and_empty_tables(spark, tables, name):
         assert all(0 <= r["shard"] < 16 and all(r[c] == "clash" for c in CLASHING if c != "shard") for r in got)
     elif name == "op8_url_filter":
         assert sorted((r["host"], r["rule"] or "", r["verdict"]) for r in got if not r["rule"])[0] == ("", "", "block") and len(got) == 4
+    elif name == "op11_vector_codes":
+        # entries in the order of ids: 1, 2, 3, 3. The second 3 is unused at first and stays, so in the next round it is nearer to 3 than the entry that the null id moved
+        assert sorted((str(r["vec_id"]), r["code"], r["error"], r["label_error"]) for r in got if r["code"]) == [
+            ("1", "00000000", 0, 0), ("2", "01010001", 0, 0), ("3", "02020203", 0, 0), ("3", "02020203", 0, 0), ("None", "02020202", 0, 0)]
+        assert sorted(r["vec_id"] for r in got if not r["code"]) == [0, 8, 9]
     else:
         assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ROWS)
     if name == "op2_decontamination":

@@ -194,6 +194,18 @@ def html_unescape(value: Column) -> Column:
     return value
 
 
+def html_text(html: Column) -> Column:
+    """What a page shows: without its head, scripts, styles, comments and tags, blanks run together. Entities stay as they are."""
+    text = F.coalesce(html, F.lit(""))
+    for pattern in (r"(?is)<head[ >].*?</head>", r"(?is)<script[ >].*?</script>", r"(?is)<style[ >].*?</style>", r"(?s)<!--.*?-->", r"<[^>]*>", r"[ \t\r\n]+"):
+        text = F.regexp_replace(text, pattern, " ")
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def html_title(html: Column) -> Column:
+    return F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>([^<]*)</title>", 1))
+
+
 def subtitle_transcript(vtt: Column) -> Column:
     """Lines of a subtitle file without header, cues, numbers, tags and repeats, joined by spaces."""
     lines = F.transform(F.split(F.coalesce(vtt, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", "")))

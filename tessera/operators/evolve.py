@@ -27,13 +27,20 @@ def merge_pages(pages: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key).agg(union("tags").alias("tags"), union("urls").alias("urls"), union("raw_paths").alias("raw_paths"), F.min(F.coalesce(F.nullif("date_added", F.lit("")), F.lit("9999"))).alias("date_added"), best["source_type"].alias("source_type"), best["summary"].alias("summary"), F.count(F.lit(1)).alias("merged"))
 
 
+def winners(pages: DataFrame, key: str) -> DataFrame:
+    """The key of pages, winner_id and n (how many share it): the longer original URL wins, then the larger file, then the earlier page.
+
+    A sum by key, so a key that many pages share is brought together before anything moves.
+    """
+    first = F.min(F.struct((-F.length("url")).alias("l"), (-F.col("size")).alias("s"), "page_id"))
+    return pages.groupBy(key).agg(first.alias("_f"), F.count(F.lit(1)).alias("n")).select(key, F.col("_f.page_id").alias("winner_id"), "n")
+
+
 def url_winners(pages: DataFrame) -> DataFrame:
-    """page_id, canonical, winner_id of pages that share a canonical URL: the longer original, then the larger file, then the earlier."""
-    own = pages.withColumn("canonical", U.canonical_url("url")).where("canonical != ''")
-    w = Window.partitionBy("canonical").orderBy(F.desc(F.length("url")), F.desc("size"), "page_id")
-    everything = Window.partitionBy("canonical")
-    own = own.withColumns({"winner_id": F.first("page_id").over(w), "n": F.count(F.lit(1)).over(everything)})
-    return own.where("n > 1").select("page_id", "canonical", "winner_id", (F.col("page_id") == F.col("winner_id")).alias("wins"))
+    """page_id, canonical, winner_id of pages that share a canonical URL."""
+    own = pages.select("page_id", "url", "size", U.canonical_url("url").alias("canonical")).where("canonical != ''")
+    shared = winners(own, "canonical").where("n > 1")
+    return own.join(shared, "canonical").select("page_id", "canonical", "winner_id", (F.col("page_id") == F.col("winner_id")).alias("wins"))
 
 
 def renamed(pages: DataFrame, renames: DataFrame) -> DataFrame:

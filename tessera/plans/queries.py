@@ -269,10 +269,8 @@ def canonical_url(spark, sf):
 @query(f"""WITH c AS (SELECT page_id, url, length(url) AS l, strlen(html) AS size, regexp_replace({_CANON}, '\\?.*$', '') AS canonical FROM pages), g AS (SELECT *, count(*) OVER (PARTITION BY canonical) AS n, first_value(page_id) OVER (PARTITION BY canonical ORDER BY l DESC, size DESC, page_id) AS winner_id FROM c) SELECT page_id, canonical, winner_id FROM g WHERE n > 1""")
 def duplicate_url_winner(spark, sf):
     """Pages that share a URL when queries are left out, and which stays."""
-    own = B.web_pages(spark, sf).withColumn("canonical", F.regexp_replace(U.canonical_url(F.col("url")), r"\?.*$", ""))
-    w = Window.partitionBy("canonical").orderBy(F.desc(F.length("url")), F.desc("size"), "page_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("canonical"))
-    return own.withColumns({"winner_id": F.first("page_id").over(w), "n": n}).where("n > 1").select("page_id", "canonical", "winner_id")
+    own = B.web_pages(spark, sf).select("page_id", "url", "size", F.regexp_replace(U.canonical_url(F.col("url")), r"\?.*$", "").alias("canonical"))
+    return own.join(evolve.winners(own, "canonical").where("n > 1"), "canonical").select("page_id", "canonical", "winner_id")
 
 
 @query(r"SELECT page_id, CASE WHEN h IN ('github.com') THEN 'github' WHEN h = 'arxiv.org' THEN 'arxiv' WHEN h IN ('x.com', 'twitter.com') THEN 'x' ELSE 'other' END AS kind FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS h FROM pages)")

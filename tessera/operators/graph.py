@@ -8,6 +8,8 @@ from ..sources.scratch import materialise
 
 #: Query pages that a task holds, and vectors that pass it at a time.
 VECTOR_BLOCK = 4096
+#: Pages of one keyword up to which they are paired for that keyword alone.
+HOT_PAGES = 2000
 
 
 def names(pages: DataFrame) -> DataFrame:
@@ -32,24 +34,37 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found.unionByName(back).dropDuplicates(["source_id", "target_id", "edge_type"])
 
 
-def cooccurrence(keywords: DataFrame, least: int = 2, hot: int | None = None) -> DataFrame:
+def cooccurrence(keywords: DataFrame, least: int = 2, hot: int | None = None, hot_pages: int = HOT_PAGES) -> DataFrame:
     """keywords: page_id, keyword. Pairs a < b with at least so many keywords in common: a, b, shared.
 
-    Keywords of a page are put in order, rarest first. Two pages with so many in common meet at one that is not among the
-    last least - 1 of either, so those (a hot keyword stands there) make no pairs; a pair is made at the first keyword
-    that both have, once, and counted there. hot leaves out keywords of more than so many pages; None keeps all.
+    Keywords of up to hot_pages pages pair their pages, and pairs are counted; so rows made grow with the keywords, not
+    with a keyword's square. Pages of a keyword that more hold don't meet for it alone: they meet at a keyword of few
+    pages or, if least is 2 or more, at two hot keywords; what they share of the hot ones is then added. Two pages with two
+    hot keywords in common are an edge, so edges of a group that shares two keywords are as many as its pairs.
+    hot leaves out keywords of more than so many pages; None keeps all.
     """
     own = keywords.select("page_id", "keyword").distinct()
-    used = own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
     if hot is not None:
-        used = used.where(F.col("n") <= hot)
-    held = own.join(used, "keyword").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "keyword"))), lambda x: x["keyword"]).alias("held"))
-    held = materialise(held.where(F.size("held") >= least), "keywords-held")
-    keyed = held.withColumn("first", F.slice("held", 1, F.size("held") - (least - 1))).withColumn("keyword", F.explode("first"))
-    a = keyed.select(F.col("page_id").alias("a"), F.col("held").alias("held_a"), F.col("first").alias("first_a"), "keyword")
-    b = keyed.select(F.col("page_id").alias("b"), F.col("held").alias("held_b"), F.col("first").alias("first_b"), "keyword")
-    met = a.join(b, "keyword").where("a < b").where(F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("keyword"))
-    return met.select("a", "b", F.size(F.array_intersect("held_a", "held_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+        own = own.join(own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hot).select("keyword"), "keyword", "left_semi")
+    own = materialise(own, "keyword-pairs")
+    many = materialise(own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_pages).select("keyword"), "hot-keywords")
+    if least < 2 or many.isEmpty():
+        return _met(own).where(F.col("shared") >= least)
+    few, held = own.join(many, "keyword", "left_anti"), own.join(many, "keyword", "left_semi").groupBy("page_id").agg(F.array_sort(F.collect_list("keyword")).alias("held"))
+    held = materialise(held, "hot-held")
+    two = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    by_two = _met(held.select("page_id", F.explode(two).alias("keyword"))).withColumn("shared", F.lit(0).cast("long"))
+    met = _met(few).unionByName(by_two).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    for side in ("a", "b"):
+        met = met.join(held.select(F.col("page_id").alias(side), F.col("held").alias(f"held_{side}")), side, "left")
+    both = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))
+    return met.select("a", "b", (F.col("shared") + F.greatest(both, F.lit(0))).alias("shared")).where(F.col("shared") >= least)
+
+
+def _met(own: DataFrame) -> DataFrame:
+    """a, b, shared: how many keys (keyword) two pages have in common."""
+    a, b = own.select(F.col("page_id").alias("a"), "keyword"), own.select(F.col("page_id").alias("b"), "keyword")
+    return a.join(b, "keyword").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def cooccurrence_near(keywords: DataFrame, seeds: DataFrame, depth: int = 2, least: int = 2) -> DataFrame:

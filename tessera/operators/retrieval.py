@@ -71,8 +71,11 @@ def _title_share(idf: list[Column], whole: Column, terms: list[str]) -> Column:
     return sum((F.when(F.contains(low, F.lit(t)), i).otherwise(0.0) for t, i in zip(terms, idf)), F.lit(0.0)) / whole
 
 
-def lexical(pages: DataFrame, query: str, k: int = SIGNAL_ROWS, fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII) -> DataFrame:
-    """page_id and score: pages with all terms count five times and once more among those with any; titles add up to three times."""
+def lexical(pages: DataFrame, query: str, k: int = SIGNAL_ROWS, fields: dict[str, float] = WEIGHTS, letters: str = T.ASCII, titles: DataFrame | None = None) -> DataFrame:
+    """page_id and score: pages with all terms count five times and once more among those with any; titles add up to three times.
+
+    titles: page_id and title of the same pages, if they lie apart from the texts.
+    """
     terms = [t.lower() for t in T.query_terms(query)]
     scored = bm25(pages, terms, fields, letters)
     parts = top(scored, 2 * k).select("page_id", "score")
@@ -80,8 +83,9 @@ def lexical(pages: DataFrame, query: str, k: int = SIGNAL_ROWS, fields: dict[str
         every = top(scored.where(F.col("matched") == len(set(terms))), k)
         parts = parts.unionByName(every.select("page_id", (F.col("score") * AND_BOOST).alias("score")))
     summed = parts.groupBy("page_id").agg(F.sum("score").alias("score"))  # 3 k rows at most
-    stats, idf, whole = title_idf(pages, terms)
-    titled = pages.select("page_id", "title").join(F.broadcast(summed), "page_id").crossJoin(single_row(stats))
+    titles = pages.select("page_id", "title") if titles is None else titles
+    stats, idf, whole = title_idf(titles, terms)
+    titled = titles.join(F.broadcast(summed), "page_id").crossJoin(single_row(stats))
     bonus = 1 + _title_share(idf, whole, terms) * TITLE_BOOST
     return top(titled.select("page_id", (F.col("score") * bonus).alias("score")), k)
 
@@ -152,10 +156,11 @@ def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_
     times; None reads it from the titles (one small row). edges: all of them, or a function of the seeds that gives those around them.
     """
     terms = [t.lower() for t in T.query_terms(query)]
-    words = lexical(pages, query, fields=fields)
-    titles = title_signal(pages, query)
+    heads = materialise(pages.select("page_id", "title"), "titles")  # texts are read once more, by the lexical signal
+    words = lexical(pages, query, fields=fields, titles=heads)
+    titles = title_signal(heads, query)
     if specific is None:
-        stats, idf, _ = title_idf(pages, terms, missing="one")
+        stats, idf, _ = title_idf(heads, terms, missing="one")
         specific = bool(stats.select(F.greatest(*idf, F.lit(0.0)).alias("m")).first()["m"] >= SPECIFIC_IDF)
     lists = [("lexical", words, 2 if specific else 1), ("title", titles, 3 if specific else 1)]
     if chunks is not None and query_vector is not None:
@@ -168,7 +173,7 @@ def hybrid(pages: DataFrame, query: str, chunks: DataFrame | None = None, query_
         walked = materialise(graph_signal(edges(seeds) if callable(edges) else edges, seeds).withColumn("score", F.round("score", 12)), "graph-signal")
         lists.append(("graph", _ranked(walked, [frame for _, frame, _ in lists], k), 1))
     best = fuse(lists).withColumn("_key", F.round("score", 9)).orderBy(F.desc("_key"), "page_id").limit(k).drop("_key")
-    return top(pages.select("page_id", "title").join(F.broadcast(best), "page_id"), k)
+    return top(heads.join(F.broadcast(best), "page_id"), k)
 
 
 def _ranked(walked: DataFrame, others: list[DataFrame], k: int) -> DataFrame:

@@ -8,6 +8,10 @@ from ..sources.scratch import materialise
 from ..sources.tables import table
 
 
+#: Terms whose number of pages may be sent to every task.
+BROADCAST_TERMS = 1_000_000
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: title is the first 60 characters, summary the source, type the language."""
     d = table(spark, sf_dir, "documents")
@@ -17,13 +21,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keywords(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The ten terms of four letters or more of each document with the highest term frequency * ln(documents / df)."""
     own = pages(spark, sf_dir)
-    tf = own.select("page_id", F.explode(T.ascii_tokens(F.col("body"))).alias("keyword")).where(F.length("keyword") >= 4).groupBy("page_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
+    tf = own.select("page_id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z]{4,}"), 0)).alias("keyword")).groupBy("page_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
     tf = materialise(tf, "term-counts")
-    df = tf.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
+    df = materialise(tf.groupBy("keyword").agg(F.count(F.lit(1)).alias("df")), "terms")
     n = own.agg(F.count(F.lit(1)).alias("n"))
+    if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        df = F.broadcast(df)
     scored = tf.join(df, "keyword").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
+    # tasks cut their own rows to k before they are dealt by page
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "keyword"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("page_id", "keyword", "score", "rank", (F.col("rank") <= 3).alias("is_top"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return materialise(best.select("page_id", "keyword", "score", "rank", (F.col("rank") <= 3).alias("is_top")), "keywords")
 
 
 KEYWORDS_SQL = """
@@ -45,7 +53,8 @@ def neighbour_edges(spark: SparkSession, sf_dir: str, k: int = 3, every: int = 1
 def shared_keyword_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import graph
 
-    return graph.cooccurrence(keywords(spark, sf_dir), 2).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit(1.0).alias("weight"))
+    edges = graph.cooccurrence(keywords(spark, sf_dir), 2).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit(1.0).alias("weight"))
+    return materialise(edges, "keyword-edges")  # walks read them several times
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ SELECT page_id, substr(text, 1, 60) AS title, round(score, 6) AS score, signals
 @query(_HYBRID_SQL)
 def hybrid_search(spark, sf):
     """All signals fused; rare terms count lexical hits twice and titles three times."""
-    own, kw = B.pages(spark, sf), scratch.materialise(B.keywords(spark, sf), "keywords")
+    own, kw = B.pages(spark, sf), B.keywords(spark, sf)
     best = retrieval.hybrid(own, QUESTION, _chunks(spark, sf), _vector(spark, sf), lambda seeds: graph.cooccurrence_near(kw, seeds), kw, 10, True, _FIELDS)
     return best.select("page_id", "title", F.round("score", 6).alias("score"), "signals")
 

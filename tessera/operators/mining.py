@@ -1,9 +1,13 @@
 """Mining over pages: see-also, contradictions, duplicates, best matches, topics, entities, approximate neighbours."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T, urls as U
+from ..functions import ship, text as T, urls as U
 from ..sources.scratch import materialise
 from . import graph
 
@@ -60,15 +64,6 @@ def claims(pages: DataFrame, nouns=CLAIM_NOUNS) -> DataFrame:
     return own.groupBy("page_id", "subject").agg(F.max_by("number", "pos").alias("number"))
 
 
-def conflicts(claims_: DataFrame, same_subject: DataFrame | None = None, gap: float = 0.2) -> DataFrame:
-    """claims: page_id, subject, number; same_subject: pairs a < b that speak of one thing (None: any two pages). Claims further apart than gap."""
-    a = claims_.select(F.col("page_id").alias("a"), "subject", F.col("number").alias("number_a"))
-    b = claims_.select(F.col("page_id").alias("b"), "subject", F.col("number").alias("number_b"))
-    apart = F.abs(F.col("number_a") - F.col("number_b")) / F.greatest("number_a", "number_b", F.lit(1))
-    both = a.join(b, "subject").where("a < b") if same_subject is None else same_subject.join(a, "a").join(b, ["b", "subject"])
-    return both.where(apart > gap).select("a", "b", "subject", "number_a", "number_b")
-
-
 def claims_in_conflict(claims_: DataFrame, percent: int = 20) -> DataFrame:
     """claims: page_id, subject, number (whole, 0 or more). Those that conflict with another claim of their subject: page_id, subject,
     number, partners (how many claims), and the least and greatest numbers among them (lowest, highest).
@@ -92,29 +87,68 @@ def claims_in_conflict(claims_: DataFrame, percent: int = 20) -> DataFrame:
     return claims_.join(both, ["subject", "number"]).select("page_id", "subject", "number", "partners", "lowest", "highest")
 
 
-def overlapping(own: DataFrame, share: float) -> DataFrame:
-    """own: page_id, words (distinct). Pairs a < b that share at least that part of the shorter list: a, b, shared.
+def word_classes(own: DataFrame) -> DataFrame:
+    """own: page_id, words (distinct). page_id, class_id: the smallest page with just the same words; pages without words are left out."""
+    keyed = own.where(F.size("words") > 0).select("page_id", F.array_sort("words").alias("words"))
+    return keyed.join(keyed.groupBy("words").agg(F.min("page_id").alias("class_id")), "words").select("page_id", "class_id", "words")
+
 
-    Of the shorter list one of the rarest words must be in the other, so only those make pairs with the words of lists as long or longer: hot
-    words make none. A pair is made once, at the first such word.
+def overlapping(own: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """own: page_id, words (distinct). Members (page_id, class_id) and links a < b between classes that share at least that part of
+    the shorter list (a, b, shared); pages of one class share all their words.
+
+    Pages with the same words are one class, so what a group of equal lists costs grows with its pages. Of the shorter list one
+    of the rarest words must be in the other, so only those make pairs with the words of lists as long or longer; how many hold a
+    word is counted by classes. A pair is made once, at the first such word.
     """
-    word = own.select("page_id", F.explode("words").alias("w"))
+    placed = materialise(word_classes(own), "word-classes")
+    word = placed.where("page_id = class_id").dropDuplicates(["class_id"]).select("class_id", F.explode("words").alias("w"))
     used = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    held = word.join(used, "w").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("held"))
-    held = held.withColumn("m", F.size("held"))
+    held = word.join(used, "w").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("held"))
+    held = materialise(held.withColumn("m", F.size("held")), "words-held")
     rare = F.slice("held", 1, F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)
-    p = held.select(F.col("page_id").alias("p"), F.col("held").alias("held_p"), F.col("m").alias("m_p"), rare.alias("rare")).withColumn("w", F.explode("rare"))
-    q = held.select(F.col("page_id").alias("q"), F.col("held").alias("held_q"), F.col("m").alias("m_q"), F.explode("held").alias("w"))
+    p = held.select(F.col("class_id").alias("p"), F.col("held").alias("held_p"), F.col("m").alias("m_p"), rare.alias("rare")).withColumn("w", F.explode("rare"))
+    q = held.select(F.col("class_id").alias("q"), F.col("held").alias("held_q"), F.col("m").alias("m_q"), F.explode("held").alias("w"))
     met = p.join(q, "w").where("m_p < m_q or (m_p = m_q and p < q)").where(F.get(F.array_intersect("rare", "held_q"), F.lit(0)) == F.col("w"))
     shared = F.size(F.array_intersect("held_p", "held_q"))
-    return met.where(shared >= F.col("m_p") * share - 1e-9).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), shared.alias("shared"))
+    links = met.where(shared >= F.col("m_p") * share - 1e-9).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), shared.alias("shared"))
+    return placed.select("page_id", "class_id"), links
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """class_id, other: each link from either end."""
+    return links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
 
 
-def same_subject(pages: DataFrame, share: float = 0.7) -> DataFrame:
-    """Pairs a < b of pages that aren't topics, with one URL or at least that share of the shorter title's words (of four letters or more)."""
+def linked_pages(members: DataFrame, links: DataFrame) -> DataFrame:
+    """page_id, class_id, n_links: how many other pages a page is linked to, its own class included."""
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    around = both_ways(links).join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("n").alias("around"))
+    whole = sizes.join(around, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    return members.join(whole, "class_id").select("page_id", "class_id", "n_links")
+
+
+def page_conflicts(pages: DataFrame, claims_: DataFrame, share: float = 0.7, percent: int = 20) -> DataFrame:
+    """page_id, subject, number, lowest, highest of claims (page_id, subject, number: whole, 0 or more) that conflict with another
+    page's on the same thing: one with the same URL, or with at least that share of the shorter title's words (of four letters or
+    more). Topic pages don't count. lowest and highest are the least and the greatest number said there, if the claim conflicts with it.
+
+    Two numbers conflict if their gap is more than percent of the larger one, of 1 at least; a claim that conflicts with any
+    conflicts with the least or the greatest. So pairs of pages are never listed: URLs and classes of titles have two numbers each.
+    """
     own = pages.where(F.coalesce("source_type", F.lit("")) != "topic").select("page_id", "url", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("words"))
-    url = own.where("url is not null and url != ''").select(F.col("page_id").alias("a"), "url").join(own.select(F.col("page_id").alias("b"), "url"), "url").where("a < b").select("a", "b")
-    return url.unionByName(overlapping(own, share).select("a", "b")).distinct()
+    members, links = overlapping(own.select("page_id", "words"), share)
+    said = own.select("page_id", F.nullif("url", F.lit("")).alias("url")).join(members, "page_id", "left").join(claims_, "page_id")
+    said = materialise(said, "claims-placed")
+    ends = lambda df, key, low="number", high="number": df.where(F.col(key).isNotNull()).groupBy(key, "subject").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    by_class = ends(said, "class_id")
+    around = both_ways(links).join(by_class.withColumnRenamed("class_id", "other"), "other").select("class_id", "subject", "low", "high")
+    wide = ends(by_class.unionByName(around), "class_id", "low", "high")
+    met = said.join(ends(said, "url").select("url", "subject", F.col("low").alias("low_u"), F.col("high").alias("high_u")), ["url", "subject"], "left").join(wide, ["class_id", "subject"], "left")
+    apart = lambda c: F.abs(F.col("number") - c) * 100 > F.greatest("number", c, F.lit(1)) * percent
+    low, high = F.least("low", "low_u"), F.greatest("high", "high_u")
+    found = met.select("page_id", "subject", "number", F.when(apart(low), low).alias("lowest"), F.when(apart(high), high).alias("highest"))
+    return found.where("lowest is not null or highest is not null")
 
 
 def semester_conflicts(pages: DataFrame) -> DataFrame:
@@ -131,18 +165,86 @@ TITLE_STOP_WORDS = ("the", "a", "an", "of", "for", "and", "in", "on", "to", "wit
 _PARAGRAPH_META = r"^\d|^http|^published|^created|^date|^updated|^tags|^source|^author|^views|^likes|^\*\*url"
 
 
+#: Letters of a shingle of a paragraph, and the least length of a paragraph that counts.
+SHINGLE, LONG = 20, 50
+
+
+def paragraph_keys(paragraphs: Column) -> Column:
+    """For each paragraph a struct of key, that of its first LONG characters, and of keys, those of all places where LONG characters can begin.
+
+    The key of LONG characters is the smallest hash of their shingles. So of two paragraphs of LONG characters or more, one inside
+    the other, the longer one has the shorter one's key among its keys; a longer one has about one for each 16 characters.
+    """
+    ship.send()
+
+    @F.arrow_udf("array<struct<key:long,keys:array<long>>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = np.array([pow(1_000_003, j, 1 << 64) for j in range(SHINGLE)], np.uint64)
+
+        def keys(text: str) -> dict:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+            n = len(points) - SHINGLE + 1
+            if len(points) < LONG:
+                return {"key": None, "keys": []}
+            hashes = np.zeros(n, np.uint64)
+            for j in range(SHINGLE):
+                hashes += points[j : j + n] * weights[j]
+            hashes ^= hashes >> np.uint64(29)
+            hashes *= np.uint64(0xBF58476D1CE4E5B9)
+            least = np.lib.stride_tricks.sliding_window_view(hashes, LONG - SHINGLE + 1).min(axis=1).view(np.int64)
+            return {"key": int(least[0]), "keys": np.unique(least).tolist()}
+
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+        for batch in batches:
+            yield pa.array([[keys(p) for p in (row or [])] for row in batch.to_pylist()], kind)
+
+    return run(paragraphs)
+
+
+def _alike_paragraphs(own: DataFrame) -> DataFrame:
+    """own: page_id, own_p, all_p (lists of paragraphs). page_id, match_id: the smallest page, if it is smaller, of whose all_p two of
+    the page's own_p are alike; two paragraphs are alike if one is inside the other.
+
+    Equal paragraphs are one text, and which pairs of texts are found together is reduced to the smallest page that has them.
+    """
+    code = lambda c: F.xxhash64(c)
+    texts = own.select(F.explode("own_p").alias("p")).unionByName(own.select(F.explode("all_p").alias("p"))).select(code("p").alias("t"), "p").dropDuplicates(["t"])
+    keyed = materialise(texts.select("t", "p", F.length("p").alias("n"), F.get(paragraph_keys(F.array("p")), F.lit(0)).alias("k")), "paragraphs")
+    inner = keyed.where("k.key is not null").select(F.col("t").alias("inner_t"), F.col("p").alias("inner_p"), F.col("n").alias("inner_n"), F.col("k.key").alias("key"))
+    outer = keyed.select(F.col("t").alias("outer_t"), F.col("p").alias("outer_p"), F.col("n").alias("outer_n"), F.explode("k.keys").alias("key"))
+    inside = inner.join(outer, "key").where((F.col("inner_t") != F.col("outer_t")) & (F.col("inner_n") <= F.col("outer_n"))).where(F.contains("outer_p", F.col("inner_p"))).select("inner_t", "outer_t").distinct()
+    inside = materialise(inside, "paragraphs-inside")
+    same = keyed.select(F.col("t").alias("x"), F.col("t").alias("y"))
+    alike = same.unionByName(inside.select(F.col("inner_t").alias("x"), F.col("outer_t").alias("y"))).unionByName(inside.select(F.col("outer_t").alias("x"), F.col("inner_t").alias("y")))
+    alike = materialise(alike, "paragraphs-alike")
+    # of the two the rarer one is looked up, and the pages that it leads to are asked for the other
+    pairs = own.select("page_id", F.array_sort(F.array_distinct(F.transform("own_p", code))).alias("own")).where(F.size("own") >= 2)
+    two = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("x1"), y.alias("x2")))))
+    pairs = pairs.select("page_id", F.explode(two).alias("z")).select("page_id", "z.x1", "z.x2")
+    holders = materialise(own.select(F.col("page_id").alias("match_id"), F.explode(F.array_distinct(F.transform("all_p", code))).alias("y")).distinct(), "paragraph-pages")
+    found = alike.join(holders.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "y").groupBy("x").agg(F.sum("n").alias("n"))
+    asked = pairs.select("x1", "x2").distinct()
+    for side in ("1", "2"):
+        asked = asked.join(found.select(F.col("x").alias(f"x{side}"), F.col("n").alias(f"n{side}")), f"x{side}")
+    asked = asked.select("x1", "x2", F.when(F.col("n1") <= F.col("n2"), F.col("x1")).otherwise(F.col("x2")).alias("x"), F.when(F.col("n1") <= F.col("n2"), F.col("x2")).otherwise(F.col("x1")).alias("o"))
+    led = asked.join(alike, "x").join(holders, "y").select("x1", "x2", "o", "match_id").distinct()
+    both = led.join(holders, "match_id").join(alike.select(F.col("x").alias("o"), "y"), ["o", "y"], "left_semi")
+    first = both.groupBy("x1", "x2").agg(F.min("match_id").alias("match_id"))
+    return pairs.join(first, ["x1", "x2"]).where("page_id > match_id").groupBy("page_id").agg(F.min("match_id").alias("match_id"))
+
+
 def duplicate_pages(pages: DataFrame) -> DataFrame:
     """page_id, match_id, rule: the first rule that finds a smaller page, and the smallest that it finds.
 
     url: equal canonical URLs. title: equal titles of more than 10 characters, or one of more than 15 inside the other. words: 0.6 of the shorter title's words,
-    three or more each. paragraphs: two of the page's first three long paragraphs among the other's first five (equal ones; paragraphs inside
-    longer ones are not looked for).
+    three or more each. paragraphs: two of the page's first three long paragraphs alike to some of the other's first five, that is equal or one inside the other.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+", " "))
     words = F.array_except(F.array_distinct(F.filter(F.split(plain(F.col("title")), " "), lambda w: F.length(w) > 2)), T.literals(TITLE_STOP_WORDS))
-    long = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " ")))), lambda p: F.length(p) >= 50)
+    long = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " ")))), lambda p: F.length(p) >= LONG)
     own = pages.select("page_id", U.canonical_url(F.coalesce("url", F.lit(""))).alias("u"), plain(F.col("title")).alias("t"), words.alias("words"),
-                       F.transform(F.slice(F.filter(long, lambda p: ~p.rlike(_PARAGRAPH_META)), 1, 3), lambda p: F.xxhash64(p)).alias("own_p"), F.transform(F.slice(long, 1, 5), lambda p: F.xxhash64(p)).alias("all_p"))
+                       F.slice(F.filter(long, lambda p: ~p.rlike(_PARAGRAPH_META)), 1, 3).alias("own_p"), F.slice(long, 1, 5).alias("all_p"))
+    own = materialise(own, "titles-and-paragraphs")
     first = lambda c: own.groupBy(c).agg(F.min("page_id").alias("match_id"))
 
     def rule(found: DataFrame, name: str) -> DataFrame:
@@ -155,17 +257,13 @@ def duplicate_pages(pages: DataFrame) -> DataFrame:
     inside = outer.join(inner, "g").where((F.col("outer_t") != F.col("inner_t")) & F.contains("outer_t", F.col("inner_t")))
     inside = inside.select(F.col("outer_t").alias("t"), F.col("inner_id").alias("match_id")).unionByName(inside.select(F.col("inner_t").alias("t"), F.col("outer_id").alias("match_id")))
     inside = inside.groupBy("t").agg(F.min("match_id").alias("match_id"))
-    close = overlapping(own.where(F.size("words") >= 3).select("page_id", "words"), 0.6)
+    members, links = overlapping(own.where(F.size("words") >= 3).select("page_id", "words"), 0.6)
+    # a class is named by its smallest page, so the smallest of the linked classes is the smallest of their pages
+    near = members.select("class_id", F.col("class_id").alias("other")).distinct().unionByName(both_ways(links)).groupBy("class_id").agg(F.min("other").alias("match_id"))
     later = own.where(F.length("t") > 10)
-    # two of three must meet, so the one that most pages hold makes no pairs
-    part = own.select(F.explode("all_p").alias("x"), F.col("page_id").alias("match_id"), "all_p").dropDuplicates(["x", "match_id"])
-    used = part.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    mine = own.where(F.size(F.array_distinct("own_p")) >= 2).select("page_id", "own_p", F.explode(F.array_distinct("own_p")).alias("x")).join(used, "x")
-    mine = mine.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("n", "x"))).where(F.col("k") <= F.size(F.array_distinct("own_p")) - 1)
-    alike = mine.join(part, "x").where("page_id > match_id").where(F.size(F.array_intersect("own_p", "all_p")) >= 2)
     rules = [
         rule(own.where("u != ''").join(first("u"), "u"), "1 url"), rule(later.join(first("t"), "t"), "2 title"), rule(own.join(inside, "t"), "2 title"),
-        rule(close.select(F.col("b").alias("page_id"), F.col("a").alias("match_id")).join(later.select("page_id"), "page_id", "left_semi"), "3 words"), rule(alike, "4 paragraphs"),
+        rule(members.join(near, "class_id").join(later.select("page_id"), "page_id", "left_semi"), "3 words"), rule(_alike_paragraphs(own.select("page_id", "own_p", "all_p")), "4 paragraphs"),
     ]
     found = rules[0]
     for r in rules[1:]:

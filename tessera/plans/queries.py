@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, urls as U
-from ..operators import evolve, graph, mining, quality, reflect, retrieval
+from ..operators import evolve, graph, lexical_index, mining, neighbours, quality, reflect, retrieval
 from ..sources import export, scratch
 from . import bindings as B
 
@@ -85,6 +85,28 @@ def title_idf_match(spark, sf):
     return retrieval.title_signal(B.pages(spark, sf), QUESTION).select("page_id", F.round("score", 6).alias("score"))
 
 
+_POSTINGS_SQL = """
+post AS (SELECT page_id, term, sum(w) AS tf FROM (SELECT doc_id AS page_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term, 1.0::DOUBLE AS w FROM documents) GROUP BY ALL),
+lens AS (SELECT doc_id AS page_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS len FROM documents), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+
+
+@query(f"""WITH {_POSTINGS_SQL}, stats AS (SELECT count(*) AS n, avg(len) AS avg FROM lens),
+q AS (SELECT query_id, term FROM (SELECT page_id AS query_id, term, row_number() OVER (PARTITION BY page_id ORDER BY df, term) AS r FROM post JOIN dfs USING (term) WHERE page_id % 50 = 0 AND length(term) >= 4 AND df >= 2) WHERE r <= 3),
+s AS (SELECT query_id, page_id, count(*)::INT AS matched, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS score
+ FROM q JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (page_id), stats GROUP BY ALL)
+SELECT query_id, page_id, matched, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM s) WHERE rank <= 20""")
+def indexed_search(spark, sf):
+    """For each document whose id 50 divides: the 20 best by the three rarest of its terms that others have, all asked at once."""
+    own = B.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("body"))
+    post = scratch.materialise(lexical_index.postings(own, {"body": 1.0}), "postings")
+    lens = scratch.materialise(own.select("page_id", lexical_index.token_count({"body": 1.0}, dict(own.dtypes)).alias("len")), "lengths")
+    found = scratch.materialise(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 2 and length(term) >= 4"), "terms")
+    rare = F.row_number().over(Window.partitionBy("page_id").orderBy("df", "term"))
+    asked = post.where(F.col("page_id") % 50 == 0).join(found, "term").withColumn("r", rare).where("r <= 3").select(F.col("page_id").alias("query_id"), "term")
+    best = lexical_index.best(lexical_index.bm25_many(scratch.materialise(asked, "asked"), post, lens), 20)
+    return best.select("query_id", "page_id", "matched", F.round("score", 6).alias("score"), "rank")
+
+
 _VECTOR_SQL = """
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 near AS (SELECT vec_id AS page_id, sqrt(list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(embedding::DOUBLE[], q::DOUBLE[])])) AS distance FROM embeddings, q ORDER BY distance, page_id LIMIT 60),
@@ -206,6 +228,15 @@ def nearest_neighbours(spark, sf):
     return B.neighbour_edges(spark, sf, every=50)
 
 
+@query()
+def indexed_neighbours(spark, sf):
+    """The three nearest of the pages whose id 50 divides, out of an index that is built, measured on some of them, and looked into as far as 0.95 of them needs."""
+    v = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
+    asked = v.where(F.col("page_id") % 50 == 0)
+    index = neighbours.build(v)
+    return neighbours.search(index, asked, 3, neighbours.probes_for(index, v, asked, 3, 0.95)).select("source_id", "target_id", "place")
+
+
 @query(f"WITH {_KNN_SQL} SELECT vec_id AS page_id FROM embeddings WHERE vec_id NOT IN (SELECT target_id FROM knn)")
 def orphans(spark, sf):
     return graph.orphans(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id")), B.neighbour_edges(spark, sf))
@@ -216,7 +247,7 @@ def inbound_links(spark, sf):
     return graph.inbound(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id")), B.neighbour_edges(spark, sf)).withColumn("inbound", F.col("inbound").cast("long"))
 
 
-@query(f"WITH {_KNN_SQL} SELECT source_id, target_id FROM knn a WHERE NOT EXISTS (SELECT 1 FROM knn b WHERE b.source_id = a.target_id AND b.target_id = a.source_id)")
+@query(f"WITH {_KNN_SQL.replace('knn AS', 'knn AS MATERIALIZED', 1)} SELECT a.source_id, a.target_id FROM knn a LEFT JOIN knn b ON b.source_id = a.target_id AND b.target_id = a.source_id WHERE b.source_id IS NULL")
 def one_way_links(spark, sf):
     return graph.one_way(B.neighbour_edges(spark, sf))
 

@@ -246,22 +246,26 @@ def claim_rows(spark, sf):
     return mining.claims(B.vault_pages(spark, sf)).where("subject in ('stars', 'pages')").select("page_id", "subject", F.col("number").cast("long").alias("number"))
 
 
-@query(f"""{_V}, c AS (SELECT page_id, canonical, 'stars' AS subject, stars AS number FROM v WHERE canonical <> '' AND source_type <> 'topic' UNION ALL SELECT page_id, canonical, 'pages', volumes FROM v WHERE canonical <> '' AND source_type <> 'topic')
-SELECT a.page_id AS a, b.page_id AS b, subject, a.number AS number_a, b.number AS number_b FROM c a JOIN c b USING (canonical, subject) WHERE a.page_id < b.page_id AND abs(a.number - b.number) / greatest(a.number, b.number, 1)::DOUBLE > 0.2""")
+@query(f"""{_V}, c AS (SELECT page_id, canonical, 'stars' AS subject, stars AS number FROM v WHERE canonical <> '' AND source_type <> 'topic' UNION ALL SELECT page_id, canonical, 'pages', volumes FROM v WHERE canonical <> '' AND source_type <> 'topic'),
+p AS (SELECT a.page_id, subject, a.number, b.number AS other FROM c a JOIN c b USING (canonical, subject) WHERE a.page_id <> b.page_id AND abs(a.number - b.number) * 100 > greatest(a.number, b.number, 1) * 20),
+e AS (SELECT canonical, subject, min(number) AS low, max(number) AS high FROM c GROUP BY ALL)
+SELECT c.page_id, c.subject, c.number, CASE WHEN abs(c.number - low) * 100 > greatest(c.number, low, 1) * 20 THEN low ELSE -1 END AS lowest, CASE WHEN abs(c.number - high) * 100 > greatest(c.number, high, 1) * 20 THEN high ELSE -1 END AS highest
+FROM c JOIN e USING (canonical, subject) WHERE (c.page_id, c.subject) IN (SELECT (page_id, subject) FROM p)""")
 def page_conflicts(spark, sf):
-    """Pages of one URL that claim different numbers."""
+    """Pages of one URL that claim different numbers, with the least and the greatest number that each conflicts with."""
     p = B.vault(spark, sf).select("page_id", "source_type", F.col("canonical").alias("url"), F.lit("").alias("title"), "body")
-    pairs = mining.same_subject(p)
-    found = mining.conflicts(mining.claims(p).where("subject in ('stars', 'pages')"), pairs)
-    return found.select("a", "b", "subject", F.col("number_a").cast("long").alias("number_a"), F.col("number_b").cast("long").alias("number_b"))
+    found = mining.page_conflicts(p, mining.claims(p).where("subject in ('stars', 'pages')"))
+    return found.select("page_id", "subject", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("number", "lowest", "highest")))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS m, unnest(w) AS x FROM t WHERE len(w) > 0),
-s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, min(least(a.m, b.m)) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, b, CAST(shared AS INT) AS shared FROM s WHERE shared >= 0.7::DOUBLE * m - 1e-9::DOUBLE""")
+@query("""WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM documents), e AS (SELECT doc_id, len(w) AS m, unnest(w) AS x FROM t WHERE len(w) > 0),
+s AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 0.7::DOUBLE * min(least(a.m, b.m)) - 1e-9::DOUBLE),
+n AS (SELECT page_id, count(*) AS n FROM (SELECT a AS page_id FROM s UNION ALL SELECT b FROM s) GROUP BY page_id)
+SELECT doc_id AS page_id, min(doc_id) OVER (PARTITION BY w) AS class_id, coalesce(n, 0) AS n_links FROM t LEFT JOIN n ON page_id = doc_id WHERE len(w) > 0""")
 def overlapping_words(spark, sf):
-    """Pairs of documents that share seven tenths of the long words of the one with fewer."""
-    own = B.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("words")).where(F.size("words") > 0)
-    return mining.overlapping(own, 0.7)
+    """With how many documents each shares seven tenths of the long words of the one with fewer, and its class of equal words."""
+    own = B.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("words"))
+    return mining.linked_pages(*mining.overlapping(own, 0.7)).withColumn("n_links", F.col("n_links").cast("long"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS x FROM documents), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS x FROM benchmark)

@@ -2,8 +2,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import graph, mining, retrieval
+from tessera.operators import graph, mining, neighbours, retrieval
 from tessera.plans import bindings
 from tessera.plans.queries import QUERIES
 
@@ -111,6 +112,56 @@ def test_duplicate_pages_by_paragraphs_and_titles(spark):
     assert {tuple(r) for r in got.collect()} == {(2, 1, "url"), (3, 1, "paragraphs"), (5, 4, "title")}
 
 
+def test_paragraphs_inside_longer_ones_as_a_plain_scan_finds_them(spark):
+    import random
+
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choice("abcde é") for _ in range(n)).strip()
+    base = ["b" + letters(draw.randrange(50, 120)) + "b" for _ in range(12)]
+    own = [p if draw.random() < 0.4 else "b" + letters(draw.randrange(0, 60)) + p + letters(draw.randrange(0, 60)) + "b" for p in base * 6]
+    pages = [(i, "", f"t{i}", "\n\n".join(" ".join(p.split()) for p in draw.sample(own, draw.randrange(0, 6)))) for i in range(60)]
+    long = {i: [p for p in body.split("\n\n") if len(p) >= 50] for i, _, _, body in pages}
+    want = {}
+    for i in long:
+        for j in range(i):
+            hits = sum(any(x in y or y in x for y in long[j][:5]) for x in dict.fromkeys(long[i][:3]))
+            if hits >= 2 and i not in want:
+                want[i] = j
+    got = mining.duplicate_pages(spark.createDataFrame(pages, "page_id long, url string, title string, body string"))
+    assert {r["page_id"]: r["match_id"] for r in got.collect()} == want and 10 < len(want) < 60
+
+
+def test_hot_titles_and_urls_make_no_pairs(spark):
+    """100,000 pages with one title, one URL and two claims: rows, not pairs, are what this costs."""
+    n = 100_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://hot.org/x").alias("url"), F.lit("One very common page title").alias("title"), F.lit("paper").alias("source_type"),
+                                  F.concat(F.when(F.col("id") % 2 == 0, "100 stars").otherwise("900 stars"), F.lit("")).alias("body"))
+    found = mining.page_conflicts(pages, mining.claims(pages)).groupBy("number", "lowest", "highest").count().collect()
+    assert {(int(r["number"]), r["lowest"] and int(r["lowest"]), r["highest"] and int(r["highest"]), r["count"]) for r in found} == {(100, None, 900, n // 2), (900, 100, None, n // 2)}
+    members, links = mining.overlapping(pages.select("page_id", F.split("title", " ").alias("words")), 0.7)
+    assert links.count() == 0 and mining.linked_pages(members, links).agg(F.min("n_links"), F.max("n_links")).first()[:] == (n - 1, n - 1)
+    body = "a boilerplate paragraph that stands on every single page, " * 2 + "\n\n" + "another boilerplate paragraph that stands on every page, " * 2
+    got = mining.duplicate_pages(pages.withColumns({"url": F.lit(""), "title": F.concat(F.lit("t"), F.col("page_id").cast("string")), "body": F.lit(body)}))
+    assert got.groupBy("rule", "match_id").count().collect() == [("paragraphs", 0, n - 1)]
+    assert mining.duplicate_pages(pages).groupBy("rule", "match_id").count().collect() == [("url", 0, n - 1)]
+
+
+def test_keyword_pairs_with_hot_keywords(spark):
+    """As a plain count of pairs, however few pages make a keyword hot; and 3,000 pages that share one keyword meet only at others."""
+    import random
+    from itertools import combinations
+
+    draw = random.Random(3)
+    held = {i: {"all"} | {f"k{int(draw.paretovariate(0.6)) % 40}" for _ in range(6)} for i in range(80)}
+    kw = spark.createDataFrame([(i, k) for i, ks in held.items() for k in ks], "page_id long, keyword string")
+    for least in (1, 2, 3):
+        want = {(a, b, len(held[a] & held[b])) for a, b in combinations(held, 2) if len(held[a] & held[b]) >= least}
+        for hot_pages in (1, 5, 30, 1000):
+            assert {tuple(r) for r in graph.cooccurrence(kw, least, hot_pages=hot_pages).collect()} == want
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("g"), (F.col("id") % 1000).cast("string")))).alias("keyword"))
+    assert graph.cooccurrence(many).count() == 3000 and graph.cooccurrence(many).agg(F.max("shared")).first()[0] == 2
+
+
 def test_reachable_by_least_distance(spark):
     edges = [(a, b) for a in range(12) for b in range(12) if a != b and (a * 5 + b) % 3] + [(11, 50), (50, 51)]
     got = graph.reachable(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame([(0,)], "page_id long"), 4)
@@ -139,3 +190,50 @@ def test_lone_pages_get_their_nearest(spark):
     vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 3.0]), (4, [0.0, 4.0])], "page_id long, embedding array<float>")
     got = {(r["a"], r["b"]): round(r["weight"], 6) for r in graph.weighted_graph(links, none, vectors=vectors, k=1).collect()}
     assert got == {(1, 2): 2.0, (3, 4): 0.5}
+
+
+def test_indexed_neighbours_recall(spark):
+    """At least 0.9 of the exact neighbours of the vectors whose id 50 divides, with fewer probes than cells; all of them if all cells are looked into."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("page_id"), "embedding")
+    asked = v.where("page_id % 50 = 0")
+    exact = {(r[0], r[1]): r[2] for r in graph.nearest_edges(v, asked.select("page_id"), 3).select("source_id", "target_id", "place").collect()}
+    index = neighbours.build(v)
+    probes = neighbours.probes_for(index, v, asked, 3, 0.95)
+    found = {(r[0], r[1]) for r in neighbours.search(index, asked, 3, probes).select("source_id", "target_id").collect()}
+    assert len(found & set(exact)) >= 0.9 * len(exact) and probes < len(index.centres)
+    every = {(r[0], r[1]): r[2] for r in neighbours.search(index, asked, 3, len(index.centres)).select("source_id", "target_id", "place").collect()}
+    assert every == exact
+
+
+def test_indexed_neighbours_of_equal_vectors(spark, tmp_path):
+    """A vector of very many pages is one entry; ties go by page; the index can be stored."""
+    rows = [(i, [1.0, 1.0]) for i in range(3000)] + [(5000 + i, [float(i), 0.0]) for i in range(40)] + [(9000, None)]
+    v = spark.createDataFrame(rows, "page_id long, embedding array<float>")
+    neighbours.build(v, cells=5).save(str(tmp_path))
+    index = neighbours.load(spark, str(tmp_path))
+    assert index.entries.count() == 41
+    asked = v.where("page_id in (0, 2, 2999, 5003, 9000)")
+    got = {(r["source_id"], r["place"]): (r["target_id"], round(r["distance"], 6)) for r in neighbours.search(index, asked, 3, 5).collect()}
+    assert got == {(0, 1): (1, 0), (0, 2): (2, 0), (0, 3): (3, 0), (2, 1): (0, 0), (2, 2): (1, 0), (2, 3): (3, 0), (2999, 1): (0, 0), (2999, 2): (1, 0), (2999, 3): (2, 0), (5003, 1): (5002, 1), (5003, 2): (5004, 1), (5003, 3): (5001, 2)}
+    with pytest.raises(ValueError):
+        neighbours.search(index, asked, 6)
+    assert neighbours.search(neighbours.build(v.limit(0)), asked, 3).count() == 0
+
+
+def test_lexical_index_is_bm25(spark):
+    """50 queries at once over stored postings, with weights by field: the same best 20 as a scan of the texts for each."""
+    from tessera.operators import lexical_index
+
+    pages = bindings.pages(spark, str(DATA))
+    fields = {"title": 5.0, "summary": 3.0, "body": 1.0}
+    texts = [" ".join(r["title"].split()[i : i + 3]) for i in range(2) for r in pages.orderBy("page_id").limit(25).select("title").collect()]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    post = lexical_index.postings(pages, fields)
+    lens = pages.select("page_id", lexical_index.token_count(fields, dict(pages.dtypes)).alias("len"))
+    got = {}
+    for r in lexical_index.search(asked, post, lens).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["page_id"], round(r["score"], 6), r["matched"]))
+    words = dict(asked.select("query_id", lexical_index.query_words(F.col("text"))).collect())
+    for q in range(0, 50, 7):
+        want = retrieval.bm25(pages, list(words[q]), fields).withColumn("score", F.round("score", 9))
+        assert got.get(q, []) == [(r["page_id"], round(r["score"], 6), r["matched"]) for r in retrieval.top(want, 20).collect()]

@@ -6,7 +6,7 @@ are a text's words and their PREFIXES (so inflected forms of a word share eviden
 The classifier is fitted on at most SAMPLE labelled documents of each class, taken by a hash of the id, and on at most
 SAMPLE_WORDS different words of documents (summed) of each. A feature counts as evidence if it is in enough sampled
 toxic documents (see least_docs) and its smoothed log odds are at least MIN_LOG_ODDS; the regression weighs these
-features only, so long clean documents gather no noise.
+features only, so long clean documents gather no noise; of more than FEATURES_KEPT it weighs those of most toxic documents.
 
 Labels are binary, so grades of severity come from how much toxic evidence a toxic document holds: 0 is not toxic; toxic
 documents are graded 1 to 3 by the terciles of their hits on words of evidence that the other half of the sample has
@@ -24,6 +24,7 @@ whatever their names.
 """
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -128,36 +129,78 @@ def _sampled(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SeverityModel:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1).
+
+    Features are counted in the tasks that read the texts, and documents of a feature in Spark; the driver gets the features
+    that are evidence in the sample or in a half of it, and where the sampled documents hold those.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     drawn = F.broadcast(_sampled(labels.select("doc_id", "toxic"), sample))  # 2 * sample rows at most
     labelled = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "doc_id", "text")
 
-    @F.arrow_udf("array<string>")
-    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("words int, half int, bag binary, feature array<string>, n array<int>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[f"{n} {w}" for w, n in Counter(_WORD.findall((t or "").lower())).items()] for t in batch.to_pylist()], pa.list_(pa.string()))
-
-    bags = materialise(labelled.select("toxic", "doc_id", words("text").alias("w")), "toxicity-bags")
-    drawn = (bags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("w")) for k in (1, 0))
-    return fit_from_words(*(_bounded(r["w"] for r in df.select("w").toLocalIterator()) for df in drawn))
-
-
-def _bounded(bags: Iterator[list[str]], most: int = SAMPLE_WORDS) -> Iterator[list[str]]:
-    """Bags up to the one with which they hold more than so many words; the first one always."""
+            rows = [_counted(t) for t in batch.to_pylist()]
+            kinds = {"words": pa.int32(), "half": pa.int32(), "bag": pa.binary(), "feature": pa.list_(pa.string()), "n": pa.list_(pa.int32())}
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    bags = materialise(labelled.select(F.monotonically_increasing_id().alias("row"), "toxic", "doc_id", counted("text").alias("c")).select("row", "toxic", "doc_id", "c.*"), "toxicity-bags")
+    drawn = {k: list(_bounded((r["row"], r["words"], r["half"]) for r in bags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "bag", "row").select("row", "words", "half").toLocalIterator())) for k in (1, 0)}
+    held = [*drawn[1], *drawn[0]]
+    sizes = len(drawn[1]), len(drawn[0])
+    if not all(sizes):
+        return SeverityModel({}, np.zeros(0))
+    own = F.broadcast(spark.createDataFrame([(row, at, half) for at, (row, _, half) in enumerate(held)], "row long, at int, side int"))
+    each = bags.join(own, "row").select("at", "side", "toxic", F.explode(F.arrays_zip("feature", "n")).alias("x")).select("at", "side", "toxic", F.col("x.feature").alias("feature"), F.col("x.n").alias("n"))
+    counts = {(t, h): F.count_if((F.col("toxic") == t) & (F.col("side") == h)).alias(f"{'ba'[t]}{h}") for t in (1, 0) for h in (0, 1)}
+    found = each.groupBy("feature").agg(*counts.values())
+    in_half = {(t, h): sum(1 for *_, half in drawn[t] if half == h) for t in (1, 0) for h in (0, 1)}
+    whole = _is_evidence(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), *sizes)
+    enough = F.col("a0") + F.col("a1") >= least_docs(sizes[0])
+    part = [enough & _is_evidence(F.col(f"a{h}"), F.col(f"b{h}"), in_half[1, h], in_half[0, h]) for h in (0, 1)]
+    chosen = found.select("feature", (F.col("a0") + F.col("a1")).alias("a"), whole.alias("whole"), *(p.alias(f"half{h}") for h, p in enumerate(part)))
+    chosen = materialise(chosen.where("whole or half0 or half1").orderBy(F.desc("a"), "feature").limit(2 * FEATURES_KEPT), "toxicity-features")
+    features = chosen.orderBy("feature").collect()
+    if not any(r["whole"] for r in features):
+        return SeverityModel({}, np.zeros(0))
+    number = F.broadcast(spark.createDataFrame([(r["feature"], k) for k, r in enumerate(features)], "feature string, k int"))
+    held_features = each.join(number, "feature").select("at", "k", "n").toArrow()
+    at, k, n = (held_features.column(c).to_numpy() for c in ("at", "k", "n"))
+    order = np.lexsort((k, at))
+    half = np.array([h for *_, h in held])
+    toxic = (np.arange(len(held)) < sizes[0]).astype(np.int64)
+    flags = np.array([[r["whole"], r["half0"], r["half1"]] for r in features], bool)
+    most = np.array([r["a"] for r in features])
+    return fit_from_evidence(at[order].astype(np.int64), k[order], 1 + np.log(n[order]), toxic, half, [r["feature"] for r in features], flags, most)
+
+
+def _counted(text: str | None) -> tuple[int, int, bytes, list[str], list[int]]:
+    """Different words, the half that the document is in, a digest of its words, and its features with their counts."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    features: dict[str, int] = {}
+    for w, n in words.items():
+        for f in features_of(w):
+            features[f] = features.get(f, 0) + n
+    bag = "\n".join(sorted(f"{n} {w}" for w, n in words.items())).encode()
+    return len(words), zlib.crc32(bag) & 1, hashlib.md5(bag).digest(), list(features), list(features.values())
+
+
+def _bounded(rows: Iterator[tuple[int, int, int]], most: int = SAMPLE_WORDS) -> Iterator[tuple[int, int, int]]:
+    """Rows (row, words, half) up to the one with which they hold more than so many words; the first one always."""
     held = 0
-    for bag in bags:
-        held += len(bag)
-        if held > most and held > len(bag):
+    for row in rows:
+        held += row[1]
+        if held > most and held > row[1]:
             return
-        yield bag
+        yield row
 
 
-def _pairs(bag: list[str]) -> Iterator[tuple[str, int]]:
-    for x in bag:
-        n, word = x.split(" ", 1)
-        yield word, int(n)
+def _is_evidence(a: Column, b: Column, n_toxic: int, n_clean: int) -> Column:
+    """Of features in a toxic and b clean documents."""
+    odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_clean - b + 0.5))
+    return (a >= least_docs(n_toxic)) & (odds >= MIN_LOG_ODDS)
 
 
 def least_docs(n_toxic: int) -> int:
@@ -165,19 +208,14 @@ def least_docs(n_toxic: int) -> int:
     return min(8, max(3, n_toxic // 16))
 
 
-def _log_odds(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    return np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
-
+def severity_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, half: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """0 for clean documents; toxic ones 1 to 3 by the terciles of their evidence, chosen by the half (0 or 1) that they are not in.
 
-def severity_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, half: np.ndarray, n_features: int) -> np.ndarray:
-    """0 for clean documents; toxic ones 1 to 3 by the terciles of their evidence, chosen by the half (0 or 1) that they are not in."""
+    chosen: for each feature and half whether that half has chosen it.
+    """
     grades = toxic.copy()
     for k in (0, 1):
-        theirs = half[rows] != k
-        a, b = (np.bincount(cols[theirs & (toxic[rows] == t)], minlength=n_features).astype(np.float64) for t in (1, 0))
-        n_toxic, n_clean = (int(((half != k) & (toxic == t)).sum()) for t in (1, 0))
-        chosen = (a >= least_docs(n_toxic)) & (_log_odds(a, b, n_toxic, n_clean) >= MIN_LOG_ODDS)
-        held = np.bincount(rows, values * chosen[cols], minlength=len(toxic))
+        held = np.bincount(rows, values * chosen[cols, 1 - k], minlength=len(toxic))
         own = np.flatnonzero((half == k) & (toxic == 1))
         if len(own):
             grades[own] = 1 + np.searchsorted(np.quantile(held[own], [1 / 3, 2 / 3]), held[own], "left")
@@ -185,61 +223,17 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxi
     return grades
 
 
-def fit_from_words(toxic_bags: Iterator[list[str]], clean_bags: Iterator[list[str]]) -> SeverityModel:
-    """Bags hold 'count word' for each word of a document. Toxic ones are read first: only features of least_docs of them
-    can be evidence, so of all others only those are held."""
-    words: dict[str, int] = {}
-    held, half = [], []
-    for bag in toxic_bags:
-        half.append(zlib.crc32("\n".join(sorted(bag)).encode()) & 1)
-        pairs = [(words.setdefault(w, len(words)), n) for w, n in _pairs(bag)]
-        held.append(np.array(pairs, np.int32).reshape(-1, 2))
-    seen = Counter()
-    vocabulary = list(words)
-    for doc in held:
-        seen.update({f for k in doc[:, 0].tolist() for f in features_of(vocabulary[k])})
-    least = least_docs(len(held))
-    number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
-    of_word: dict[str, list[int]] = {}
-
-    def evidence(pairs: Iterator[tuple[str, int]]) -> np.ndarray:
-        """Rows of feature and count."""
-        own: dict[int, int] = {}
-        for word, n in pairs:
-            if word not in of_word:
-                if len(of_word) > CACHE:
-                    of_word.clear()
-                of_word[word] = [number[f] for f in features_of(word) if f in number]
-            for k in of_word[word]:
-                own[k] = own.get(k, 0) + n
-        return np.array(list(own.items()), np.int32).reshape(-1, 2)
-
-    docs = [evidence((vocabulary[k], n) for k, n in doc.tolist()) for doc in held]
-    n_toxic = len(docs)
-    del held, words, vocabulary, seen
-    for bag in clean_bags:
-        half.append(zlib.crc32("\n".join(sorted(bag)).encode()) & 1)
-        docs.append(evidence(_pairs(bag)))
-    sizes = n_toxic, len(docs) - n_toxic
-    if not sizes[0] or not sizes[1]:
-        return SeverityModel({}, np.zeros(0))
-    a, b = (np.bincount(np.concatenate(part)[:, 0], minlength=len(number)).astype(np.float64) for part in (docs[:n_toxic], docs[n_toxic:]))
-    odds = _log_odds(a, b, *sizes)
-    kept = np.flatnonzero(odds >= MIN_LOG_ODDS)
+def fit_from_evidence(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np.ndarray, half: np.ndarray, names: list[str], chosen: np.ndarray, a: np.ndarray) -> SeverityModel:
+    """rows, cols, values: which documents hold which features; chosen: whether the sample and either half has chosen a feature; a: its toxic documents."""
+    grades = severity_grades(rows, cols, values, toxic, half, chosen[:, 1:])
+    kept = np.flatnonzero(chosen[:, 0])
     kept = kept[np.argsort(-a[kept], kind="stable")][:FEATURES_KEPT]
-    if not len(kept):
-        return SeverityModel({}, np.zeros(0))
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = np.concatenate(docs)
-    toxic = (np.arange(len(docs)) < n_toxic).astype(np.int64)
-    grades = severity_grades(rows, flat[:, 0], 1 + np.log(flat[:, 1]), toxic, np.array(half), len(number))
-    column = np.full(len(number), -1)
+    column = np.full(len(names), -1)
     column[kept] = np.arange(len(kept))
-    cols = column[flat[:, 0]]
-    rows, cols, values = rows[cols >= 0], cols[cols >= 0], 1 + np.log(flat[cols >= 0, 1])
+    at = column[cols] >= 0
+    rows, cols, values = rows[at], column[cols[at]], values[at]
     w, thresholds = fit_cumulative_link(rows, cols, values, grades, len(kept), int(grades.max()) + 1)
-    names = {k: f for f, k in number.items()}
-    cut = best_cut(np.bincount(rows, values * w[cols], minlength=len(docs)), toxic)
+    cut = best_cut(np.bincount(rows, values * w[cols], minlength=len(toxic)), toxic)
     if cut == np.inf:
         return SeverityModel({}, np.zeros(0))
     return SeverityModel({names[int(k)]: float(x) for k, x in zip(kept, w)}, thresholds - thresholds[0] + cut)

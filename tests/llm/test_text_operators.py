@@ -295,15 +295,27 @@ def test_grades_are_chosen_by_the_other_half():
     half = np.arange(80) % 2
     flat = [(i, 0, 1.0 + i) for i in range(0, 40)] + [(i, 1, 50.0) for i in range(0, 40, 2)]  # feature 1: one half only
     r, c, v = (np.array(k) for k in zip(*flat))
-    grades = toxicity.severity_grades(r, c, v, toxic, half, 2)
+    grades = toxicity.severity_grades(r, c, v, toxic, half, np.array([[True, True], [True, False]]))
     assert set(grades[40:]) == {0} and set(grades[:40]) == {1, 2, 3}
     for k in (0, 1):
         own = np.flatnonzero((toxic == 1) & (half == k))
         assert list(grades[own]) == sorted(grades[own])
 
 
+def test_evidence_is_the_plain_choice(spark):
+    """The model weighs just the features that a plain count over all rows finds."""
+    rows = toxic_rows()
+    model = toxicity.fit_severity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(7), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    n = Counter(r[2] for r in rows)
+    seen = {0: Counter(), 1: Counter()}
+    for _, text, bad in rows:
+        seen[bad].update({f for word in re.findall(r"\w+", text.lower()) for f in [word, *(f"{word[:k]}*" for k in range(4, 9) if len(word) >= k)]})
+    odds = lambda f: math.log((seen[1][f] + 0.5) / (n[1] - seen[1][f] + 0.5)) - math.log((seen[0][f] + 0.5) / (n[0] - seen[0][f] + 0.5))
+    assert set(model.weights) == {f for f, k in seen[1].items() if k >= toxicity.least_docs(n[1]) and odds(f) >= toxicity.MIN_LOG_ODDS}
+
+
 def test_sample_is_bounded_by_words():
-    bags = [["1 a"] * 30, ["1 b"] * 30, ["1 c"] * 30]
+    bags = [(7, 30, 0), (3, 30, 1), (5, 30, 0)]
     assert list(toxicity._bounded(iter(bags), 60)) == bags[:2] and list(toxicity._bounded(iter(bags), 5)) == bags[:1]
 
 

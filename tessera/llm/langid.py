@@ -4,8 +4,8 @@ A profile is the RANKS most frequent character n-grams (1 to ORDER letters, word
 language, most frequent first. A document's own most frequent n-grams are compared with each profile by the
 out-of-place distance: the sum of differences in rank, an n-gram missing from the profile costing RANKS.
 
-Profiles are a classifier fitted on at most about TRAINING_DOCS labelled documents of each of the LANGUAGES languages that
-have most, taken by a hash of the id; predictions read whole texts and nothing else.
+Profiles are a classifier fitted on at most about TRAINING_DOCS labelled documents of each language, taken by a hash of the
+id; predictions read whole texts and nothing else. A model has RANKS rows a language, as has what a worker holds of it.
 
 Defined cases: a null text, or one without a letter, gives 'und' and score 0; without any labelled document every
 prediction is 'und'; equal distances go to the smaller language code; equal counts of n-grams go to the smaller n-gram;
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import small_batches
+from .common import materialise, small, small_batches
 
-ORDER, RANKS, TRAINING_DOCS, LANGUAGES = 3, 300, 1500, 1000
+ORDER, RANKS, TRAINING_DOCS = 3, 300, 1500
 UNKNOWN = "und"
 _SHIFT = np.int64(21)  # a code point has 21 bits, so three fit into a long
 _letters: np.ndarray | None = None
@@ -54,12 +54,17 @@ def ranked(codes: np.ndarray, counts: np.ndarray, ranks: int = RANKS) -> np.ndar
 
 
 class Profiles:
+    """Ranks by n-gram: for each code those languages that have it, with its rank in each."""
+
     def __init__(self, by_lang: dict[str, list[int]], ranks: int = RANKS):
         self.langs, self.ranks = sorted(by_lang), ranks
-        self.codes = np.unique(np.concatenate([np.asarray(v, np.int64) for v in by_lang.values()] or [np.zeros(0, np.int64)]))
-        self.place = np.full((len(self.langs), len(self.codes) + 1), -1, np.int64)
-        for k, lang in enumerate(self.langs):
-            self.place[k, np.searchsorted(self.codes, by_lang[lang])] = np.arange(len(by_lang[lang]))
+        held = [np.asarray(by_lang[lang], np.int64) for lang in self.langs]
+        code = np.concatenate([*held, np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.lang = np.repeat(np.arange(len(held)), [len(h) for h in held])[order]
+        self.rank = np.concatenate([*map(np.arange, map(len, held)), np.zeros(0, np.int64)]).astype(np.int64)[order]
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.first = np.append(first, len(code))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes, counts = grams(text)
@@ -67,10 +72,11 @@ class Profiles:
             return UNKNOWN, 0.0
         own = ranked(codes, counts, self.ranks)
         at = np.searchsorted(self.codes, own)
-        at = np.where((at < len(self.codes)) & (self.codes[np.minimum(at, max(0, len(self.codes) - 1))] == own), at, len(self.codes))
-        place = self.place[:, at]
-        far = np.where(place < 0, self.ranks, np.abs(place - np.arange(len(own))))
-        total = far.sum(axis=1)
+        k = np.flatnonzero((at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == own))
+        n = self.first[at[k] + 1] - self.first[at[k]]
+        entry = np.repeat(self.first[at[k]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nearer = self.ranks - np.abs(self.rank[entry] - np.repeat(k, n))  # than an n-gram that is missing
+        total = self.ranks * len(own) - np.bincount(self.lang[entry], nearer, len(self.langs))
         best = int(total.argmin())
         return self.langs[best], float(1 - total[best] / (self.ranks * len(own)))
 
@@ -80,11 +86,9 @@ def fit_profiles(labelled: DataFrame, ranks: int = RANKS, training_docs: int = T
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return Profiles({}, ranks)
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, training_docs / n)))))
-    drawn = labelled.where(F.col("lang").isin(*sizes)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    sizes = small(materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages"))
+    share = F.least(F.lit(1.0), F.lit(float(training_docs)) / F.col("size"))
+    drawn = labelled.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}

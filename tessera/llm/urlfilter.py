@@ -13,8 +13,10 @@ model has 40**(ORDER + 1) rows at most and may be broadcast; the bound is proven
 Rules: a rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule wins.
 
 Defined cases: a null URL, or one without '://', has empty host and path, fits no rule and is blocked if null or empty,
-else judged by its characters; equal URLs get equal verdicts; if there are no accepted or no rejected URLs to learn from
-the cut is 0.
+else judged by its characters; equal URLs get equal verdicts, and rows that repeat are each judged; a URL of any length is
+scored by all of its characters, in rows that grow with its length; equal scores at the cut are allowed; if there are no accepted or no
+rejected URLs to learn from the cut is 0; an empty table gives an empty result; no column but page_id and url is read,
+whatever its name.
 """
 from __future__ import annotations
 
@@ -109,7 +111,9 @@ def score(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     A character whose longest gram was never seen takes the estimate of the next shorter one, weighed by what its context
     leaves to lower orders.
     """
-    chars = _grams(urls.select("text"), "text", order).groupBy("text", "gram").count()
+    # characters are counted under a number, so that a text's length goes into the rows made, not into each of them
+    texts = materialise(urls.select("text").withColumn("row", F.monotonically_increasing_id()), "url-texts")
+    chars = _grams(texts, "text", order).select("row", "gram").groupBy("row", "gram").count()
     estimates = {k: F.lit(1.0 / SYMBOLS) for k in ("allow", "block")}
     for n in range(order + 1):
         gram = F.substring("gram", order + 1 - n, n + 1)
@@ -120,7 +124,8 @@ def score(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
         estimates = {k: F.coalesce(F.col(f"p{n}_{k}"), F.coalesce(F.col(f"w{n}_{k}"), F.lit(1.0)) * e) for k, e in estimates.items()}
     ratio = F.log(estimates["allow"]) - F.log(estimates["block"])
     # sums of rounded terms do not depend on the order of rows
-    return chars.groupBy("text").agg((F.sum(F.round(ratio * 1e6).cast("long") * F.col("count")) / F.sum("count") / 1e6).alias("score"))
+    scored = chars.groupBy("row").agg((F.sum(F.round(ratio * 1e6).cast("long") * F.col("count")) / F.sum("count") / 1e6).alias("score"))
+    return texts.join(scored, "row").select("text", "score")
 
 
 def calibrated_cut(scored: DataFrame, bins: int = BINS) -> float:
@@ -148,5 +153,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, order: int = ORDER) -> Da
     scores = materialise(score(own.where("text != ''").select("text").distinct(), model, order), "url-scores")
     cut = calibrated_cut(judged.where("part = 0").join(scores, "text").select("score", F.col("by_rule").alias("verdict")))
     by_model = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
-    out = own.join(scores, "text", "left")
+    # empty texts have no score, and don't meet at one
+    known, empty = own.where("text != ''").join(scores, "text", "left"), own.where("text = ''").withColumn("score", F.lit(None).cast("double"))
+    out = known.unionByName(empty)
     return out.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("by_rule", by_model).alias("verdict"))

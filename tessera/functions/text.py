@@ -164,26 +164,36 @@ def candidate_phrases(text: Column, most: int = 3) -> Column:
         text = F.regexp_replace(text, pattern, into)
     stop = literals(dict.fromkeys(STOP_WORDS + PHRASE_STOP_WORDS))
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
-    grams = []
-    for n in range(1, most + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(at, _gram(words, n)))
-    return F.array_distinct(F.filter(F.concat(*grams), lambda p: F.length(p) > 3))
+
+    def phrases(own: Column) -> Column:
+        grams = []
+        for n in range(1, most + 1):
+            at = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+            grams.append(F.transform(at, _gram(own, n)))
+        return F.array_distinct(F.filter(F.concat(*grams), lambda p: F.length(p) > 3))
+
+    return bound(words, phrases)
 
 
 def _gram(words: Column, n: int):
     return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), with value worked out once: what a lambda uses from outside is else worked out for each element."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def unescape_yaml(value: Column) -> Column:
-    """Escapes of double-quoted YAML strings undone."""
-    for a, b in ((r"\"", '"'), (r"\n", "\n"), (r"\t", "\t"), ("\\\\", "\\")):
+    """Escaped quotes and backslashes of a double-quoted YAML string undone, in this order; other escapes stay as they are."""
+    for a, b in ((r"\"", '"'), ("\\\\", "\\")):
         value = F.replace(value, F.lit(a), F.lit(b))
     return value
 
 
 def escape_yaml(value: Column) -> Column:
-    for a, b in (("\\", "\\\\"), ('"', r"\""), ("\n", r"\n"), ("\t", r"\t")):
+    """For a double-quoted YAML string on one line."""
+    for a, b in (("\\", "\\\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
         value = F.replace(value, F.lit(a), F.lit(b))
     return value
 

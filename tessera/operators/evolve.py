@@ -84,12 +84,15 @@ def ungroup(memberships: DataFrame, hub: str) -> DataFrame:
 
 
 def removed(pages: DataFrame, gone: DataFrame) -> DataFrame:
-    """pages without those of gone (page_id), and without links to them in related."""
+    """pages without those of gone (page_id), and without links to them in related; the order of the others stays."""
     left = pages.join(gone.select("page_id"), "page_id", "left_anti")
     if "related" not in pages.columns:
         return left
-    names = gone.join(pages.select("page_id", "title"), "page_id").agg(F.collect_set("title").alias("_gone"))
-    return left.crossJoin(F.broadcast(names)).withColumn("related", F.filter("related", lambda r: ~F.array_contains(F.col("_gone"), F.regexp_replace(r, r"^\[\[|\]\]$", "")))).drop("_gone")
+    names = pages.join(gone.select("page_id"), "page_id", "left_semi").select(F.col("title").alias("name")).distinct()
+    links = left.select("page_id", F.posexplode("related").alias("place", "link")).withColumn("name", F.regexp_replace("link", r"^\[\[|\]\]$", ""))
+    kept = links.join(names, "name", "left_anti").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "link"))), lambda x: x["link"]).alias("_kept"))
+    related = F.when(F.col("related").isNotNull(), F.coalesce("_kept", F.array().cast("array<string>")))
+    return left.join(kept, "page_id", "left").withColumn("related", related).drop("_kept")
 
 
 def ledger_upsert(ledger: DataFrame, rows: DataFrame) -> DataFrame:

@@ -42,10 +42,16 @@ def vectors(chunks: DataFrame, pages: DataFrame, have: DataFrame | None = None)
     return texts.select("chunk_id", "page_id", provider()[1](F.col("_t")).alias("embedding"))
 
 
+def keywords(pages: DataFrame) -> DataFrame:
+    """By similarity if there is a model among the providers, else by frequency: hashed vectors say nothing of meaning."""
+    name, embed = provider()
+    return retrieval.keywords_by_frequency(pages) if name == "hashed" else retrieval.keywords_by_similarity(pages, embed)
+
+
 def tables(pages: DataFrame) -> dict[str, DataFrame]:
     """All index tables of pages, lazily."""
     chunks = vault.vault_chunks(pages)
-    out = {"pages": pages.drop("values", "lists"), "chunks": chunks, "edges": graph.link_edges(pages), "keywords": retrieval.keywords_by_frequency(pages), "vectors": vectors(chunks, pages)}
+    out = {"pages": pages.drop("values", "lists"), "chunks": chunks, "edges": graph.link_edges(pages), "keywords": keywords(pages), "vectors": vectors(chunks, pages)}
     out["meta"] = pages.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("page_count").alias("key"), "value")
     return out
 

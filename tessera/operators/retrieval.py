@@ -5,11 +5,12 @@ shuffled for a query. Statistics are one aggregated row. All rankings end their
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import stemming, text as T
+from ..functions import ship, stemming, text as T
 from ..sources.scratch import materialise
 
 #: Fields and weights: title, summary, tags, body. The second set is what the weights are declared to be elsewhere.
@@ -200,16 +201,44 @@ def search_or_scan(index: DataFrame | None, files: DataFrame, query: str, **opti
     return fallback_scan(files, query) if index is None else hybrid(index, query, **options)
 
 
-def keywords_by_frequency(pages: DataFrame, most: int = 50, candidates: int = 200) -> DataFrame:
-    """page_id, keyword, score, rank, is_top: phrases by frequency * (1 + words / 2), without a model.
+def phrase_counts(low: Column, phrases: Column) -> Column:
+    """How often each phrase stands in a text, without overlaps, in one pass over the text however many phrases there are."""
+    ship.send()
 
-    A phrase more than 70 % of whose words are in phrases ranked before it is left out; that is a fold over the page's
-    candidates inside one row.
-    """
-    phrases = T.candidate_phrases(F.col("body"))
-    low = F.lower("body")
-    own = pages.withColumn("_p", F.transform(phrases, lambda p: F.struct((-(T.occurrences(low, p) * (1 + F.size(F.split(p, " ")) * 0.5))).alias("s"), p.alias("p"))))
-    ordered = F.slice(F.array_sort("_p"), 1, candidates)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        def counted(text: str | None, own: list[str] | None) -> list[int] | None:
+            if own is None:
+                return None
+            found, free = [0] * len(own), [0] * len(own)
+            machine = ahocorasick.Automaton()
+            for k, phrase in enumerate(own):
+                machine.add_word(phrase, k)
+            if text and len(machine):
+                machine.make_automaton()
+                for end, k in machine.iter(text):
+                    start = end - len(own[k]) + 1
+                    if start >= free[k]:
+                        found[k], free[k] = found[k] + 1, end + 1
+            return found
+
+        for text, own in batches:
+            yield pa.array([counted(t, o) for t, o in zip(text.to_pylist(), own.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    return run(low, phrases)
+
+
+def promising(pages: DataFrame, candidates: int = 200) -> DataFrame:
+    """page_id and _p: the candidate phrases of a page with the highest frequency * (1 + words / 2), as (s, p), s being negative."""
+    own = pages.select("page_id", F.lower("body").alias("low"), T.candidate_phrases(F.col("body")).alias("p")).select("page_id", "p", phrase_counts(F.col("low"), F.col("p")).alias("n"))
+    scored = F.zip_with("p", "n", lambda p, n: F.struct((-(n * (1 + F.size(F.split(p, " ")) * 0.5))).alias("s"), p.alias("p")))
+    return own.select("page_id", F.slice(F.array_sort(scored), 1, candidates).alias("_p"))
+
+
+def _uncovered(ordered: Column, most: int) -> Column:
+    """Of phrases (s, p) in order those that stay: a phrase more than 70 % of whose words are in phrases before it goes. A fold inside one row."""
 
     def step(acc: Column, x: Column) -> Column:
         words = F.split(x["p"], " ")
@@ -218,10 +247,32 @@ def keywords_by_frequency(pages: DataFrame, most: int = 50, candidates: int = 20
         return F.when(full, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), F.array_union(acc["words"], words).alias("words")))
 
     zero = F.struct(F.array().cast("array<struct<s:double,p:string>>").alias("kept"), F.array().cast("array<string>").alias("words"))
-    kept = own.select("page_id", F.posexplode(F.aggregate(ordered, zero, step, lambda a: a["kept"])).alias("i", "x"))
+    return F.aggregate(ordered, zero, step, lambda a: a["kept"])
+
+
+def _ranked_phrases(own: DataFrame, most: int) -> DataFrame:
+    kept = own.select("page_id", F.posexplode(_uncovered(F.col("_p"), most)).alias("i", "x"))
     return kept.select("page_id", F.col("x.p").alias("keyword"), (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"), (F.col("i") < 10).alias("is_top"))
 
 
+def keywords_by_frequency(pages: DataFrame, most: int = 50, candidates: int = 200) -> DataFrame:
+    """page_id, keyword, score, rank, is_top: phrases by frequency * (1 + words / 2), without a model."""
+    return _ranked_phrases(promising(pages, candidates), most)
+
+
+def keywords_by_similarity(pages: DataFrame, embed: Callable[[Column], Column], most: int = 50, candidates: int = 200, head: int = 2000) -> DataFrame:
+    """page_id, keyword, score, rank, is_top: a page's promising phrases by the cosine of their vectors with the page's.
+
+    embed makes a vector column of a text column. Each phrase is embedded once, whatever number of pages has it; a page is
+    embedded by its title and the first head characters of its body. Scores are compared to 9 places, equal ones by phrase.
+    """
+    found = materialise(promising(pages, candidates), "promising-phrases").select("page_id", F.explode("_p.p").alias("p"))
+    known = materialise(found.select("p").distinct().withColumn("v", embed(F.col("p"))), "phrase-vectors")
+    whole = pages.select("page_id", embed(F.concat("title", F.lit("\n\n"), F.substring("body", 1, head))).alias("w"))
+    near = found.join(known, "p").join(whole, "page_id").select("page_id", F.struct((-F.round(T.cosine(F.col("v"), F.col("w")), 9)).alias("s"), "p").alias("x"))
+    return _ranked_phrases(near.groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("_p")), most)  # candidates rows a page at most
+
+
 def snippets(sections: DataFrame, ranked: DataFrame, query: str, k: int = 5) -> DataFrame:
     """Sections of ranked pages that answer a query: term hits, two more for a table; sections under 30 characters don't count."""
     terms = [t.lower() for t in T.query_terms(query)]

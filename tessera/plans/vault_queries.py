@@ -5,18 +5,33 @@ or by an expression of its own.
 """
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import clips as C, frontmatter as FM, text as T, urls as U
-from ..operators import aggregates, evolve, graph, mining, quality, reflect
+from ..functions import clips as C, frontmatter as FM, text as T, udtfs, urls as U
+from ..operators import aggregates, evolve, graph, mining, quality, reflect, retrieval
 from ..sources import export, scratch, vault as V
 from . import bindings as B
-from .queries import query
+from .queries import _LINES_SQL, ORACLES, query
 
 _V, _W = f"WITH {B.VAULT_SQL}", f"WITH {B.RAWS_SQL}"
 _VW = f"WITH {B.VAULT_SQL}, {B.RAWS_SQL}"
 
 
+@contextmanager
+def _view(df: DataFrame) -> Iterator[str]:
+    """df under a name of its own, for SQL."""
+    name = f"v_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        yield name
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+
+
 # --- front matter ---
 
 def _values(spark, sf, flavour: str) -> DataFrame:
@@ -117,6 +132,15 @@ def chunk_rows(spark, sf):
     return own.select("chunk_id", "page_id", "chunk_index", "heading", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_text"), "token_count")
 
 
+@query(ORACLES["chunk_rows"])
+def chunk_rows_by_sql(spark, sf):
+    """The same rows by a table function and a lateral join."""
+    udtfs.register(spark)
+    with _view(B.vault_pages(spark, sf)) as pages:
+        return spark.sql(f"""SELECT substring(sha2(concat(p.page_id, ':chunk:', c.position), 256), 1, 16) AS chunk_id, p.page_id, c.position AS chunk_index, c.heading, md5(c.text) AS chunk_text, CAST(floor(length(c.text) / 4) AS INT) AS token_count
+            FROM {pages} p, LATERAL sections_of(p.body) c""")
+
+
 @query(f"{_V} SELECT page_id, 0 AS position, link AS target FROM v UNION ALL SELECT page_id, 1, 'Nowhere ' || (doc_id % 5) FROM v")
 def wiki_links(spark, sf):
     return B.vault(spark, sf).select("page_id", F.posexplode(T.wikilinks(F.col("body"))).alias("position", "target"))
@@ -136,13 +160,63 @@ def parsed_numbers(spark, sf):
     return d.select("doc_id", T.parse_number(text).alias("number"))
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber))")
-def table_cells(spark, sf):
-    """Orders written as markdown tables with links and emphasis, and read back."""
-    own = B.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"), F.countDistinct("l_linenumber").alias("n")).where(F.size("r") == F.col("n"))
+@query(f"WITH {_LINES_SQL}, f AS (SELECT path, n, length(line) < 60 AS short, lag(length(line) < 60) OVER (PARTITION BY path ORDER BY n) AS before FROM l), g AS (SELECT path, n, short, sum(CASE WHEN short AND before IS DISTINCT FROM true THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS run FROM f) SELECT path, CAST(run AS BIGINT) AS run, min(n)::BIGINT AS first, count(*) AS rows FROM g WHERE short GROUP BY ALL")
+def line_runs_by_sql(spark, sf):
+    """Runs of short lines by a table function that takes each path's lines as a partition."""
+    udtfs.register(spark)
+    with _view(B.lines(spark, sf).select("path", F.col("n").cast("long").alias("n"), (F.length("line") < 60).alias("short"))) as lines:
+        return spark.sql(f"SELECT CAST(key AS BIGINT) AS path, run, first, rows FROM runs_of(TABLE(SELECT CAST(path AS STRING) AS key, n, short AS held FROM {lines}) PARTITION BY key ORDER BY n)")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text):
+    """A vector without a model: how often each letter stands in a text."""
+    return F.array(*((F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lit(c)))).cast("double") for c in _LETTERS))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(T.STOP_WORDS + T.PHRASE_STOP_WORDS))
+_VECTOR = "[" + ", ".join(f"(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+_SIMILAR_SQL = f"""WITH RECURSIVE own AS (SELECT conv_id * 1000 + turn AS page_id, role AS title, text AS body, lower(text) AS low FROM conversations),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(body, '[#*_`|>~]', '', 'g'), '[^a-zA-Z0-9\\s-]', ' ', 'g')), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOPS}) AND NOT regexp_matches(x, '^[0-9]+$')) AS w FROM own),
+g AS (SELECT DISTINCT page_id, low, p FROM (SELECT page_id, low, unnest(w) AS p FROM w UNION ALL SELECT page_id, low, w[i] || ' ' || w[i + 1] FROM w, range(1, 3000) t(i) WHERE i < len(w) UNION ALL SELECT page_id, low, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM w, range(1, 3000) t(i) WHERE i < len(w) - 1) WHERE length(p) > 3),
+s AS (SELECT page_id, p, row_number() OVER (PARTITION BY page_id ORDER BY ((length(low) - length(replace(low, p, ''))) // length(p)) * (1 + len(string_split(p, ' ')) * 0.5) DESC, p) AS r FROM g),
+v AS (SELECT page_id, p, {_VECTOR.format('p')} AS a, {_VECTOR.format("title || chr(10) || chr(10) || substr(body, 1, 2000)")} AS b FROM s JOIN own USING (page_id) WHERE r <= 200),
+c AS (SELECT page_id, p, round(coalesce(list_sum([x[1] * x[2] FOR x IN list_zip(a, b)]) / nullif(sqrt(list_sum([x * x FOR x IN a])) * sqrt(list_sum([x * x FOR x IN b])), 0), 0), 9) AS sim FROM v),
+o AS (SELECT page_id, p, sim, string_split(p, ' ') AS words, row_number() OVER (PARTITION BY page_id ORDER BY sim DESC, p) AS r FROM c),
+fold(page_id, r, seen, kept, p, sim) AS (SELECT page_id, 0::BIGINT, []::VARCHAR[], 0, NULL::VARCHAR, NULL::DOUBLE FROM own UNION ALL
+ SELECT f.page_id, o.r, CASE WHEN ok THEN list_distinct(f.seen || o.words) ELSE f.seen END, f.kept + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN o.p END, o.sim FROM
+ (SELECT f.*, o.p AS p2, o.r AS r2 FROM fold f JOIN o ON o.page_id = f.page_id AND o.r = f.r + 1) f JOIN o ON o.page_id = f.page_id AND o.r = f.r2, LATERAL (SELECT f.kept < 50 AND NOT (len(f.seen) > 0 AND len(list_intersect(list_distinct(o.words), f.seen)) / len(list_distinct(o.words))::DOUBLE > 0.7) AS ok))
+SELECT page_id, p AS keyword, round(sim, 6) AS score, kept AS rank FROM fold WHERE p IS NOT NULL"""
+
+
+@query(_SIMILAR_SQL)
+def similar_keywords(spark, sf):
+    """Phrases of each turn by the cosine of their vectors with the turn's; vectors are letter counts, so that SQL can say the same."""
+    turns = B.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.col("role").alias("title"), F.col("text").alias("body"))
+    return retrieval.keywords_by_similarity(turns, letter_counts).select("page_id", "keyword", F.round("score", 6).alias("score"), "rank")
+
+
+def _order_tables(spark, sf):
+    """Orders written as markdown tables with links and emphasis; lines of one number are told apart by part and supplier."""
+    own = B.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
     rows = F.transform("r", lambda x: F.concat(F.lit("| "), x["l_linenumber"].cast("string"), F.lit(" | [[P|"), x["l_partkey"].cast("string"), F.lit("]] | **["), x["l_suppkey"].cast("string"), F.lit("](http://s.org)** |")))
-    body = F.concat(F.lit("Text\n\n| line | part | supplier |\n|---|---|---|\n"), F.array_join(rows, "\n"), F.lit("\n\nend"))
-    cells = own.select("l_orderkey", F.explode(T.markdown_table(body)).alias("c"))
+    return own.select("l_orderkey", F.concat(F.lit("Text\n\n| line | part | supplier |\n|---|---|---|\n"), F.array_join(rows, "\n"), F.lit("\n\nend")).alias("body"))
+
+
+@query("SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS row, CAST(l_partkey AS VARCHAR) AS part FROM lineitem")
+def table_cells_by_sql(spark, sf):
+    """The part column of every order's table, by a table function."""
+    udtfs.register(spark)
+    with _view(_order_tables(spark, sf)) as orders:
+        return spark.sql(f"SELECT l_orderkey, c.row, c.cell AS part FROM {orders}, LATERAL cells_of(body, 0) c WHERE c.header = 'part'")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier FROM lineitem")
+def table_cells(spark, sf):
+    """Every order's table read back."""
+    cells = _order_tables(spark, sf).select("l_orderkey", F.explode(T.markdown_table(F.col("body"))).alias("c"))
     return cells.select("l_orderkey", F.element_at("c", F.lit("line")).cast("long").alias("line"), F.element_at("c", F.lit("part")).alias("part"), F.element_at("c", F.lit("supplier")).alias("supplier"))
 
 
@@ -173,11 +247,16 @@ def cosine_to_first(spark, sf):
     return v.crossJoin(F.broadcast(first)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
-@query("SELECT doc_id, text = t AS same FROM (SELECT doc_id, text, text AS t FROM documents)")
-def escapes_round_trip(spark, sf):
-    """YAML escapes of whole texts, undone again."""
-    d = B.table(spark, sf, "documents").where(~F.contains("text", F.lit("\\")))
-    return d.select("doc_id", (T.unescape_yaml(T.escape_yaml(F.col("text"))) == F.col("text")).alias("same"))
+_UNDONE_SQL = "replace(replace({}, chr(92) || chr(34), chr(34)), chr(92) || chr(92), chr(92))"
+_ESCAPED_SQL = "replace(replace(replace(replace(replace(html || url || chr(92) || chr(34), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+
+
+@query(f"SELECT page_id, md5(e) AS escaped, md5({_UNDONE_SQL.format('e')}) AS undone, md5({_UNDONE_SQL.format('html')}) AS plain FROM (SELECT *, {_ESCAPED_SQL} AS e FROM pages)")
+def yaml_escapes(spark, sf):
+    """Quotes, backslashes, line ends and tabs of whole pages escaped, and quotes and backslashes undone again."""
+    p = B.table(spark, sf, "pages").withColumn("e", T.escape_yaml(F.concat("html", "url", F.lit('\\"'))))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return p.select("page_id", digest(F.col("e")).alias("escaped"), digest(T.unescape_yaml(F.col("e"))).alias("undone"), digest(T.unescape_yaml(F.col("html"))).alias("plain"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '&amp;')) AS INT) AS ampersands, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS plain FROM pages")
@@ -479,14 +558,12 @@ def membership_changes(spark, sf):
     return out
 
 
-@query(f"{_V} SELECT page_id, array_to_string(list_sort(list_filter(['[[' || rel1 || ']]', '[[' || rel2 || ']]'], lambda x: CAST(regexp_extract(x, '([0-9]+)', 1) AS BIGINT) % 4 <> 0)), ',') AS related FROM v WHERE doc_id % 4 <> 0")
+@query(f"{_V}, gone AS (SELECT list('[[' || title || ']]') AS links FROM v WHERE doc_id % 4 = 0) SELECT page_id, array_to_string(list_filter(['[[' || rel1 || ']]', '[[' || rel2 || ']]'], lambda x: NOT list_contains(links, x)), ',') AS related FROM v, gone WHERE doc_id % 4 <> 0")
 def removed_pages(spark, sf):
-    """Pages taken out, and links to them."""
+    """Pages taken out, and links to them; links to pages that never were stay."""
     p = B.vault_pages(spark, sf)
     left = evolve.removed(p.select("page_id", "title", "related"), p.where("page_id % 4 = 0").select("page_id"))
-    # names that are no page stay; here all numbers that 4 divides count as gone, so those are left out as well
-    kept = F.filter("related", lambda r: F.regexp_extract(r, "([0-9]+)", 1).cast("long") % 4 != 0)
-    return left.select("page_id", F.array_join(F.array_sort(kept), ",").alias("related"))
+    return left.select("page_id", F.array_join("related", ",").alias("related"))
 
 
 _LEDGER_SQL = """events_l AS (SELECT event_type AS status, 't' || user_id AS title, 'https://www.s' || user_id || '.org/p/' || CASE WHEN event_id % 2 = 0 THEN '?utm_medium=m' ELSE '' END AS url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'https://s' || user_id || '.org/p' AS k FROM events)"""
@@ -651,12 +728,10 @@ def page_titles(spark, sf):
     return p.select("page_id", C.conventional_title(title, kind).alias("title"))
 
 
-@query("SELECT doc_id, max(l) <= 80 AS fits, min(l) > 0 AS filled FROM (SELECT doc_id, length(unnest(string_split(t, chr(10)))) AS l FROM (SELECT doc_id, 'x' AS t FROM documents)) GROUP BY 1")
+@query("SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), '(.{1,80})(?: |$)', '\\1' || chr(10), 'g'), '[ \\n]+$', ''), chr(10)) AS l FROM documents)")
 def wrapped_lines(spark, sf):
-    """Words of 80 letters at most, folded at 80: no line is longer or empty."""
-    words = F.concat(F.lit("start "), F.regexp_replace("text", r"\S{60,}", "long"))
-    lines = F.split(C.wrapped(words), "\n")
-    return B.table(spark, sf, "documents").select("doc_id", (F.array_max(F.transform(lines, F.length)) <= 80).alias("fits"), (F.array_min(F.transform(lines, F.length)) > 0).alias("filled"))
+    """Every line of whole texts folded at 80 letters."""
+    return B.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(C.wrapped(F.col("text")), "\n")).alias("n", "line"))
 
 
 @query("SELECT page_id, CASE WHEN strlen(html) < 200 THEN 'thin' ELSE 'captured' END AS status, regexp_matches(html, '(?i)fetch failed|content unavailable') OR len(string_split(trim(html, ' ' || chr(10)), chr(10))) < 5 AS partial FROM pages")

@@ -137,3 +137,50 @@ def test_stems(spark):
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit rational ration vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis formaliti formal triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt homologous homolog effective effect probate probat rate rate cease ceas controll control roll roll".split()
     assert [stemming.stem(w) for w in pairs[::2]] == pairs[1::2]
     assert one(spark, "Running DOGS, über 12", stemming.stemmed) == "run dog über 12"
+
+
+def test_table_functions_are_the_expressions(spark):
+    """Sections and cells of odd bodies by SQL, as the column expressions give them; runs as a plain walk finds them."""
+    import random
+    from itertools import groupby
+
+    from tessera.functions import udtfs
+
+    draw = random.Random(4)
+    line = lambda: draw.choice(["## Head", "### Sub *x*", "#### deep", "##", "text", "", "  ", "| a | b |", "|---|---|", "| 1 | [[P|q]] | c |", "| **Group** |", "|| [x](u) ** |", "# top"])
+    bodies = [(i, "\n".join(line() for _ in range(draw.randrange(0, 14)))) for i in range(300)] + [(300, None), (301, "")]
+    udtfs.register(spark)
+    spark.createDataFrame(bodies, "id long, body string").createOrReplaceTempView("odd_bodies")
+    table = spark.table("odd_bodies")
+    want = table.select("id", F.posexplode(T.chunks(F.col("body"))).alias("position", "c")).select("id", "position", "c.heading", "c.level", "c.text").collect()
+    got = spark.sql("SELECT id, c.* FROM odd_bodies, LATERAL sections_of(body) c").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 500
+    for index in (0, 1):
+        maps = {(r["id"], r["k"]): dict(r["m"]) for r in table.select("id", F.posexplode(T.markdown_table(F.col("body"), index)).alias("k", "m")).collect()}
+        cells = {}
+        for r in spark.sql(f"SELECT id, c.* FROM odd_bodies, LATERAL cells_of(body, {index}) c").collect():
+            cells.setdefault((r["id"], r["row"]), {})[r["header"]] = r["cell"]
+        assert cells == {k: m for k, m in maps.items() if m}
+    held = [(k, n, draw.random() < 0.6) for k in range(5) for n in range(30)]
+    spark.createDataFrame(held, "k long, n long, held boolean").repartition(3).createOrReplaceTempView("held_rows")
+    got = spark.sql("SELECT * FROM runs_of(TABLE(SELECT CAST(k AS STRING) AS key, n, held FROM held_rows) PARTITION BY key ORDER BY n)").collect()
+    plain = []
+    for k, rows in groupby(held, lambda r: r[0]):
+        runs = [list(g) for h, g in groupby(rows, lambda r: r[2]) if h]
+        plain += [(str(k), i + 1, g[0][1], len(g)) for i, g in enumerate(runs)]
+    assert sorted(map(tuple, got)) == sorted(plain)
+
+
+def test_phrases_are_counted_in_one_pass(spark):
+    from tessera.operators import retrieval
+
+    text = "aa aaa banana bandana ana"
+    phrases = ["aa", "ana", "banana", "an", "zz", "a a"]
+    got = spark.createDataFrame([(text, phrases), (None, phrases), ("x", []), ("x", None)], "t string, p array<string>").select(retrieval.phrase_counts(F.col("t"), F.col("p")).alias("n")).collect()
+    assert [r["n"] for r in got] == [[text.count(p) for p in phrases], [0] * 6, [], None]
+
+
+def test_yaml_strings(spark):
+    for text in ('a "b" \\ c', "\\n is no line end", "tab\there\r\n", ""):
+        escaped = one(spark, text, T.escape_yaml)
+        assert "\n" not in escaped and one(spark, escaped, T.unescape_yaml) == text.replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r")

@@ -127,7 +127,7 @@ def parse_number(text: Column) -> Column:
 
 
 def markdown_table(body: Column, index: int = 0, keep_empty_cells: bool = True) -> Column:
-    """The n-th table of three lines or more as an array of maps from header to cell.
+    """The n-th table of three lines or more as an array of maps from header to cell; of equal headers the last cell counts.
 
     keep_empty_cells=False drops empty cells, so later ones move left (as the compared tool does).
     """
@@ -140,14 +140,16 @@ def markdown_table(body: Column, index: int = 0, keep_empty_cells: bool = True)
         own = F.transform(F.split(inner, r"\|", -1), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1"), "[*`]", "")))
         return own if keep_empty_cells else F.filter(own, lambda c: c != "")
 
-    head = cells(lines[0])
-    rows = F.filter(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda r: ~r.rlike(r"^\s*\|\s*\*\*[^|]*\*\*\s*\|\s*(\|\s*)*$"))
+    def row(head: Column, line: Column) -> Column:
+        last = lambda h, i: F.size(head) - F.array_position(F.reverse(head), h) == i
+        entries = lambda own: F.transform(head, lambda h, i: F.struct(h.alias("h"), F.get(own, i).alias("v"), last(h, i).alias("last")))
+        return bound(cells(line), lambda own: F.map_from_entries(F.transform(F.filter(entries(own), lambda e: e["last"]), lambda e: F.struct(e["h"], e["v"]))))
 
-    def row(line: Column) -> Column:
-        own = cells(line)
-        return F.map_from_entries(F.transform(head, lambda h, i: F.struct(h, F.get(own, i))))
+    def rows(own: Column, head: Column) -> Column:
+        kept = F.filter(F.slice(own, 3, F.greatest(F.size(own) - 2, F.lit(0))), lambda r: ~r.rlike(r"^\s*\|\s*\*\*[^|]*\*\*\s*\|\s*(\|\s*)*$"))
+        return F.transform(kept, lambda line: row(head, line))
 
-    return F.transform(rows, row)
+    return bound(lines, lambda own: bound(cells(F.get(own, F.lit(0))), lambda head: rows(own, head)))
 
 
 def smart_truncate(text: Column, limit: int) -> Column:

@@ -1,6 +1,7 @@
 """Mining over pages: see-also, contradictions, duplicates, best matches, topics, entities, approximate neighbours."""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -367,37 +368,81 @@ def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, width: fl
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("distance", "target_id"))).where(F.col("place") <= k)
 
 
-#: Items that are compared with all texts at once.
-ITEMS_AT_ONCE = 1000
+#: Bytes of item texts that are looked for in one pass over the texts, and letters of an item that the automaton holds.
+ITEM_BYTES, PROBE = 16 << 20, 16
+
+
+class Finder:
+    """Which of many strings stand in a text, in one pass: an Aho-Corasick automaton over one probe of each, then a comparison at the place.
+
+    A probe is that of an item's first, middle and last PROBE letters that fewest items have, so items that begin alike are told apart.
+    """
+
+    def __init__(self, items: dict[int, str]):
+        self.items, self._machine = items, None
+
+    def _probes(self) -> dict[str, list[tuple[int, int]]]:
+        places = {k: dict.fromkeys((0, max(0, (len(x) - PROBE) // 2), max(0, len(x) - PROBE))) for k, x in self.items.items()}
+        held = Counter(self.items[k][at : at + PROBE] for k, own in places.items() for at in own)
+        out: dict[str, list[tuple[int, int]]] = {}
+        for k, own in places.items():
+            at = min(own, key=lambda i: (held[self.items[k][i : i + PROBE]], i))
+            out.setdefault(self.items[k][at : at + PROBE], []).append((k, at))
+        return out
+
+    def found(self, text: str) -> list[int]:
+        if self._machine is None:
+            import ahocorasick
+
+            self._machine = ahocorasick.Automaton()
+            for probe, own in self._probes().items():
+                self._machine.add_word(probe, (len(probe), own))
+            self._machine.make_automaton()
+        seen: set[int] = set()
+        for end, (length, own) in self._machine.iter(text) if self.items else ():
+            for k, at in own:
+                if k not in seen and text.startswith(self.items[k], end + 1 - length - at) and end + 1 - length >= at:
+                    seen.add(k)
+        return sorted(seen)
+
+    def __getstate__(self):
+        return self.items
+
+    def __setstate__(self, items):
+        self.__init__(items)
 
 
 def containment(texts: DataFrame, items: DataFrame, head: int | None = None) -> DataFrame:
-    """doc_id, item_id of items whose whole text stands in a document.
+    """doc_id, item_id of items whose whole text stands in a document. Null texts hold nothing and null items stand nowhere; an empty item stands in every text.
 
-    Up to ITEMS_AT_ONCE items are compared with every text. Of more, those with a word between two others (which the document then holds as a word, too)
-    are looked up by that word, the one that fewest items have; the others are compared in blocks.
+    Different item texts are numbered, and ITEM_BYTES of them are broadcast for one pass over the texts; more are dealt into as
+    many blocks as that needs. Texts stay where they lie, and no pair of text and item is compared that the automaton doesn't name.
     """
+    spark = texts.sparkSession
+    ship.send(spark.sparkContext)
     body = (F.col("text") if head is None else F.substring("text", 1, head)).alias("body")
-    own, named = texts.select("doc_id", body), items.select("item_id", F.col("text").alias("item")).where("item is not null")
-
-    def compared(some: DataFrame) -> DataFrame:
-        return own.join(F.broadcast(some), F.contains(F.col("body"), F.col("item"))).select("doc_id", "item_id")
-
-    if named.limit(ITEMS_AT_ONCE + 1).count() <= ITEMS_AT_ONCE:
-        return compared(named)
-    word = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}]+"), 0)
-    inner = F.array_distinct(F.slice(word("item"), 2, F.greatest(F.size(word("item")) - 2, F.lit(0))))
-    named = named.withColumn("id", F.xxhash64("item_id", "item"))
-    each = named.select("id", "item_id", "item", F.explode(inner).alias("w"))
-    used = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    anchor = materialise(each.join(used, "w").groupBy("id", "item_id", "item").agg(F.min(F.struct("n", "w"))["w"].alias("w")), "anchors")
-    held = own.select("doc_id", "body", F.explode(F.array_distinct(word("body"))).alias("w")).join(anchor.select("w").distinct(), "w", "left_semi")
-    found = held.join(anchor, "w").where(F.contains("body", F.col("item"))).select("doc_id", "item_id")
-    rest = materialise(named.join(anchor.select("id"), "id", "left_anti").select("item_id", "item", "id"), "anchorless")
-    blocks = -(-rest.count() // ITEMS_AT_ONCE)
-    for k in range(blocks):
-        found = found.unionByName(compared(rest.where(F.pmod(F.col("id"), F.lit(blocks)) == k).select("item_id", "item")))
-    return found
+    own, named = texts.select("doc_id", body).where("body is not null"), items.select("item_id", F.col("text").alias("item")).where("item is not null")
+    one = materialise(named.select("item").where("item != ''").distinct().withColumn("k", F.monotonically_increasing_id()), "item-texts")
+    blocks = max(1, -(-int(one.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // ITEM_BYTES))
+    found = None
+    for block in range(blocks):
+        held = one.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).select("k", "item").collect()  # ITEM_BYTES or so
+        sent = spark.sparkContext.broadcast(Finder({r["k"]: r["item"] for r in held}))
+        part = own.select("doc_id", F.explode(_items_in(sent, F.col("body"))).alias("k"))
+        found = part if found is None else found.unionByName(part)
+    named = materialise(named, "items")
+    met = found.join(one, "k").join(named.where("item != ''"), "item").select("doc_id", "item_id")
+    everywhere = named.where("item = ''").select("item_id")
+    return met if everywhere.isEmpty() else met.unionByName(own.select("doc_id").crossJoin(F.broadcast(everywhere.distinct())))
+
+
+def _items_in(finder, body: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([finder.value.found(t.as_py()) for t in batch], pa.list_(pa.int64()))
+
+    return run(body)
 
 
 def recurring_bigrams(pages: DataFrame, most: int = 50) -> DataFrame:

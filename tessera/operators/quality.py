@@ -257,11 +257,11 @@ def uncited_sources(pages: DataFrame, raws: DataFrame) -> DataFrame:
 
 
 def unresolved_embeds(embeds: DataFrame, resolved: DataFrame, queued: DataFrame) -> DataFrame:
-    """46: embeds (source_url, embed_url) neither resolved nor queued (url)."""
+    """45b: embeds (source_url, embed_url) neither resolved nor queued (url)."""
     left = embeds.withColumn("_u", U.canonical_url("embed_url"))
     for df in (resolved, queued):
         left = left.join(df.select(U.canonical_url("url").alias("_u")), "_u", "left_anti")
-    return _finding(left, "46", "warn", "source_url", "embed_url")
+    return _finding(left, "45b", "warn", "source_url", "embed_url")
 
 
 def dead_again(dead: DataFrame, captured: DataFrame) -> DataFrame:

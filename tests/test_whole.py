@@ -101,10 +101,28 @@ def test_containment_of_many_items(spark, monkeypatch):
     want = {(i, k) for i, t in rows for k, x in items if x and x in t}
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in mining.containment(docs, bench).collect()} == want
-    monkeypatch.setattr(mining, "ITEMS_AT_ONCE", 2)
+    monkeypatch.setattr(mining, "ITEM_BYTES", 40)
     assert {tuple(r) for r in mining.containment(docs, bench).collect()} == want and len(want) > 40
 
 
+def test_containment_of_100_000_items(spark):
+    """100,000 items, most of them without a word between two others, in one pass and without a nested loop."""
+    import random
+
+    draw = random.Random(9)
+    items = {i: "".join(draw.choice("ab c") for _ in range(draw.randrange(3, 40))) for i in range(100_000)}
+    texts = {i: "".join(draw.choice("ab c") for _ in range(draw.randrange(0, 400))) for i in range(60)} | {60: None, 61: ""}
+    for i in range(0, 40):
+        texts[i] += items[draw.randrange(100_000)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = mining.containment(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(i, k) for i, t in texts.items() if t for k, x in items.items() if x in t}
+    odd = spark.createDataFrame([(1, ""), (2, None), (3, "é"), (4, "é")], "item_id long, text string")
+    got = mining.containment(spark.createDataFrame([(1, "caf é"), (2, ""), (3, None)], "doc_id long, text string"), odd)
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (1, 3), (1, 4), (2, 1)}
+
+
 def test_duplicate_pages_by_paragraphs_and_titles(spark):
     one, two, three, four = (f"{w} paragraph of more than fifty characters, so that it counts here" for w in ("first", "second", "third", "fourth"))
     rows = [(1, "https://a.org/x?utm_source=q", "Alpha", one + "\n\n" + two), (2, "https://www.a.org/x", "Beta", ""), (3, "", "Gamma", f"{three}\n\n{one}\n\n{two}"), (4, "", "A title with sixteen", ""), (5, "", "Here is a title with sixteen letters", ""), (6, "", "Delta", f"{one}\n\n{four}")]

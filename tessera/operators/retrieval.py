@@ -125,12 +125,13 @@ def graph_signal(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: floa
     for step in range(depth):
         arrived = both.join(level, "node").join(start.select(F.col("node").alias("next")), "next", "left_anti")
         arrived = arrived.select("next", "place", "weight", (F.col("own") * decay * F.col("weight")).alias("own"))
-        arrivals = arrived if arrivals is None else arrivals.unionByName(arrived)
+        sums = arrived.select("next", "own")
+        arrivals = sums if arrivals is None else arrivals.unionByName(sums)
         if step + 1 < depth:
-            # the smallest (place, weight) of each new neighbour, then places in the order of first arrival
+            # the smallest (place, weight) of each new neighbour; places of the next level are in the order of first arrival,
+            # and being compared only they needn't be counted: where its first node stood, then the page itself
             first = arrived.join(visited, "next", "left_anti").groupBy("next").agg(F.min(F.struct("place", "weight", "own")).alias("f"))
-            place = F.row_number().over(Window.orderBy("f.place", "next"))
-            level = first.select(F.col("next").alias("node"), place.alias("place"), F.col("f.own").alias("own"))
+            level = first.select(F.col("next").alias("node"), F.struct(F.col("f.place").alias("of"), F.col("next").alias("page")).alias("place"), F.col("f.own").alias("own"))
             visited = visited.unionByName(first.select("next"))
     return arrivals.groupBy(F.col("next").alias("page_id")).agg(F.sum("own").alias("score"))
 

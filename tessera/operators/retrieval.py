@@ -202,40 +202,41 @@ def search_or_scan(index: DataFrame | None, files: DataFrame, query: str, **opti
     return fallback_scan(files, query) if index is None else hybrid(index, query, **options)
 
 
-def phrase_counts(low: Column, phrases: Column) -> Column:
+def phrase_counts(text: str | None, phrases: list[str]) -> list[int]:
     """How often each phrase stands in a text, without overlaps, in one pass over the text however many phrases there are."""
-    ship.send()
+    import ahocorasick
 
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        def counted(text: str | None, own: list[str] | None) -> list[int] | None:
-            if own is None:
-                return None
-            found, free = [0] * len(own), [0] * len(own)
-            machine = ahocorasick.Automaton()
-            for k, phrase in enumerate(own):
-                machine.add_word(phrase, k)
-            if text and len(machine):
-                machine.make_automaton()
-                for end, k in machine.iter(text):
-                    start = end - len(own[k]) + 1
-                    if start >= free[k]:
-                        found[k], free[k] = found[k] + 1, end + 1
-            return found
-
-        for text, own in batches:
-            yield pa.array([counted(t, o) for t, o in zip(text.to_pylist(), own.to_pylist(), strict=True)], pa.list_(pa.int32()))
-
-    return run(low, phrases)
+    found, free = [0] * len(phrases), [0] * len(phrases)
+    machine = ahocorasick.Automaton()
+    for k, phrase in enumerate(phrases):
+        machine.add_word(phrase, k)
+    if text and len(machine):
+        machine.make_automaton()
+        for end, k in machine.iter(text):
+            start = end - len(phrases[k]) + 1
+            if start >= free[k]:
+                found[k], free[k] = found[k] + 1, end + 1
+    return found
 
 
 def promising(pages: DataFrame, candidates: int = 200) -> DataFrame:
     """page_id and _p: the candidate phrases of a page with the highest frequency * (1 + words / 2), as (s, p), s being negative."""
-    own = pages.select("page_id", F.lower("body").alias("low"), T.candidate_phrases(F.col("body")).alias("p")).select("page_id", "p", phrase_counts(F.col("low"), F.col("p")).alias("n"))
-    scored = F.zip_with("p", "n", lambda p, n: F.struct((-(n * (1 + F.size(F.split(p, " ")) * 0.5))).alias("s"), p.alias("p")))
-    return own.select("page_id", F.slice(F.array_sort(scored), 1, candidates).alias("_p"))
+    ship.send(pages.sparkSession.sparkContext)
+
+    def best(text: str | None, phrases: list[str] | None) -> list[dict] | None:
+        if phrases is None:
+            return None
+        scored = sorted((-(n * (1 + len(p.split(" ")) * 0.5)), p) for n, p in zip(phrase_counts(text, phrases), phrases, strict=True))
+        return [{"s": s, "p": p} for s, p in scored[:candidates]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.float64()), ("p", pa.string())]))
+        for batch in batches:
+            rows = [best(t.as_py(), p.as_py()) for t, p in zip(batch.column("low"), batch.column("p"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(rows, kind)], ["page_id", "_p"])
+
+    own = pages.select("page_id", F.lower("body").alias("low"), T.candidate_phrases(F.col("body")).alias("p"))
+    return own.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, _p array<struct<s:double,p:string>>")
 
 
 def _uncovered(ordered: Column, most: int) -> Column:

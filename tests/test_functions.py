@@ -171,13 +171,13 @@ def test_table_functions_are_the_expressions(spark):
     assert sorted(map(tuple, got)) == sorted(plain)
 
 
-def test_phrases_are_counted_in_one_pass(spark):
+def test_phrases_are_counted_in_one_pass():
     from tessera.operators import retrieval
 
     text = "aa aaa banana bandana ana"
     phrases = ["aa", "ana", "banana", "an", "zz", "a a"]
-    got = spark.createDataFrame([(text, phrases), (None, phrases), ("x", []), ("x", None)], "t string, p array<string>").select(retrieval.phrase_counts(F.col("t"), F.col("p")).alias("n")).collect()
-    assert [r["n"] for r in got] == [[text.count(p) for p in phrases], [0] * 6, [], None]
+    assert retrieval.phrase_counts(text, phrases) == [text.count(p) for p in phrases]
+    assert retrieval.phrase_counts(None, phrases) == [0] * 6 and retrieval.phrase_counts("x", []) == []
 
 
 def test_yaml_strings(spark):

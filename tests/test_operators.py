@@ -171,7 +171,7 @@ def test_mining(spark, pages):
     c = mining.claims(pages)
     assert c.count() == 8
     alike = spark.createDataFrame([(1, "Great Tool Review", "u", "1,000 stars, then 1,500 stars", "x"), (2, "Great Tool Review again", "v", "900 stars", "x"), (3, "Great Tool Review", "u", "900 stars", "topic"), (4, "Other", "u", "1,400 stars spring 2022", "x"), (5, "Other", "w", "fall 2024", "x")], "page_id long, title string, url string, body string, source_type string")
-    got = rows(mining.page_conflicts(alike, mining.claims(alike)), "page_id", "subject", "lowest", "highest")
+    got = sorted(rows(mining.page_conflicts(alike, mining.claims(alike)), "page_id", "subject", "lowest", "highest"))
     assert got == [(1, "stars", 900, None), (2, "stars", None, 1500)] and rows(mining.semester_conflicts(alike), "page_id", "before") == [(5, "spring 2022")]
     dup = mining.duplicate_pages(pages.select(F.hash("title").alias("page_id"), "title", "body", "url"))
     assert dup.where("rule = 'url'").count() == 2

@@ -142,9 +142,16 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
     @F.arrow_udf("words int, half int, bag binary, feature array<string>, n array<int>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [_counted(t) for t in batch.to_pylist()]
-            kinds = {"words": pa.int32(), "half": pa.int32(), "bag": pa.binary(), "feature": pa.list_(pa.string()), "n": pa.list_(pa.int32())}
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+            rows, features, counts = [], [pa.array([], pa.string())], [pa.array([], pa.int32())]
+            for t in batch:  # one text's features are Python objects at a time
+                *own, feature, n = _counted(t.as_py())
+                rows.append(own)
+                features.append(pa.array(feature, pa.string()))
+                counts.append(pa.array(n, pa.int32()))
+            ends = pa.array(np.cumsum([len(f) for f in features]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(x)) for x in (features, counts)]
+            kinds = {"words": pa.int32(), "half": pa.int32(), "bag": pa.binary()}
+            yield pa.StructArray.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())), *lists], [*kinds, "feature", "n"])
 
     bags = materialise(labelled.select(F.monotonically_increasing_id().alias("row"), "toxic", "doc_id", counted("text").alias("c")).select("row", "toxic", "doc_id", "c.*"), "toxicity-bags")
     drawn = {k: list(_bounded((r["row"], r["words"], r["half"]) for r in bags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "bag", "row").select("row", "words", "half").toLocalIterator())) for k in (1, 0)}

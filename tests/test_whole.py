@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, mining, neighbours, retrieval
 from tessera.plans import bindings
-from tessera.plans.queries import QUERIES
+from tessera.plans.queries import ORACLES, QUERIES
 
 from .conftest import DATA
 
@@ -255,3 +255,13 @@ def test_lexical_index_is_bm25(spark):
     for q in range(0, 50, 7):
         want = retrieval.bm25(pages, list(words[q]), fields).withColumn("score", F.round("score", 9))
         assert got.get(q, []) == [(r["page_id"], round(r["score"], 6), r["matched"]) for r in retrieval.top(want, 20).collect()]
+
+
+def test_dead_marker_is_only_the_one_put_in(spark, tmp_path):
+    """Texts with a marker of their own, of letters that two take in lower case, and between spaces that aren't blanks."""
+    texts = {1: "call 4045650754", 2: "Page Not Found", 3: "call 4045650754", 4: "plain", 6: "\u0130" * 285, 9: "x" * 286, 12: "\u00a0" + "x" * 285 + "\u3000", 15: None, 18: "a\tb", 21: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = set(con.execute(ORACLES["rule_dead_marker"]).fetchall())
+    assert {tuple(r) for r in QUERIES["rule_dead_marker"](spark, str(tmp_path)).collect()} == want == {(3,), (6,), (12,), (21,)}

@@ -4,21 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ship
+from ..functions.ship import BATCH_BYTES, BATCH_ROWS
 from ..sources.scratch import materialise
 from ..sources.tables import table
 
-#: Rows in an Arrow batch. Texts may be long, so a batch holds few rows.
-BATCH_ROWS = 256
-#: Bytes in an Arrow batch, besides its last row.
-BATCH_BYTES = 4 << 20
 #: Rows that may be broadcast as bare long keys (16 bytes each); beyond it a shuffle join is used.
 BROADCAST_KEYS = 1_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once, and sends this package to the executors, once for each context."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ship.small_batches(spark)
     ship.send(spark.sparkContext)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import clips, frontmatter, stemming
 from tessera.operators import graph, mining, neighbours, retrieval
 from tessera.plans import bindings
 from tessera.plans.queries import ORACLES, QUERIES
@@ -265,3 +266,19 @@ def test_dead_marker_is_only_the_one_put_in(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = set(con.execute(ORACLES["rule_dead_marker"]).fetchall())
     assert {tuple(r) for r in QUERIES["rule_dead_marker"](spark, str(tmp_path)).collect()} == want == {(3,), (6,), (12,), (21,)}
+
+
+@pytest.mark.parametrize("make", [lambda c: frontmatter.front_matter(c), lambda c: frontmatter.legacy_header(c), lambda c: clips.folded_typography(c), lambda c: stemming.stemmed(c), lambda c: mining.paragraph_keys(F.array(c))])
+def test_python_functions_get_small_batches(spark, make):
+    """Whatever the session's own size: what a Python worker holds must not grow with the rows of its partition."""
+    import pyarrow as pa
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+    @F.arrow_udf("int")
+    def rows(batch: pa.Array) -> pa.Array:
+        return pa.array([len(batch)] * len(batch), pa.int32())
+
+    own = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("t"))
+    got = own.select(make(F.col("t")).alias("made"), rows(F.col("t")).alias("n")).agg(F.count("made"), F.max("n")).first()
+    assert got[0] == 5000 and got[1] <= 256

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import clips, frontmatter, stemming
 from tessera.operators import graph, mining, neighbours, retrieval
-from tessera.plans import bindings
+from tessera.plans import bindings, vault_queries  # noqa: F401 (registers its queries)
 from tessera.plans.queries import ORACLES, QUERIES
 
 from .conftest import DATA
@@ -16,6 +16,10 @@ def run(spark, name):
     return {tuple(r) for r in QUERIES[name](spark, str(DATA)).collect()}
 
 
+def run_in(spark, name, folder):
+    return {tuple(r) for r in QUERIES[name](spark, str(folder)).collect()}
+
+
 def knn(vectors: dict, k: int) -> set:
     """Every pair measured; ties go to the smaller id."""
     ids = sorted(vectors)
@@ -282,3 +286,17 @@ def test_python_functions_get_small_batches(spark, make):
     own = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("t"))
     got = own.select(make(F.col("t")).alias("made"), rows(F.col("t")).alias("n")).agg(F.count("made"), F.max("n")).first()
     assert got[0] == 5000 and got[1] <= 256
+
+
+def test_overlapping_words_of_every_document(spark, tmp_path):
+    """One row a document, those without long words or without text included; links as plain sets have them."""
+    import random
+
+    draw = random.Random(5)
+    own = [f"{c}{d}aaaaaaaaa" for c in "bcdefg" for d in "hijk"]
+    texts = {i: " ".join(draw.sample(own, draw.choice((0, 1, 2, 2, 3, 5, 8)))) for i in range(120)} | {200: None, 201: "", 202: "short words"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: frozenset((t or "").split()) if i < 200 else frozenset() for i, t in texts.items()}
+    alike = lambda x, y: x and y and len(x & y) >= 0.7 * min(len(x), len(y)) - 1e-9
+    want = {(i, min(j for j in held if held[j] == x) if x else i, sum(bool(j != i and alike(x, y)) for j, y in held.items())) for i, x in held.items()}
+    assert run_in(spark, "overlapping_words", tmp_path) == want and len(want) == 123

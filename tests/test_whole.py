@@ -300,3 +300,21 @@ def test_overlapping_words_of_every_document(spark, tmp_path):
     alike = lambda x, y: x and y and len(x & y) >= 0.7 * min(len(x), len(y)) - 1e-9
     want = {(i, min(j for j in held if held[j] == x) if x else i, sum(bool(j != i and alike(x, y)) for j, y in held.items())) for i, x in held.items()}
     assert run_in(spark, "overlapping_words", tmp_path) == want and len(want) == 123
+
+
+def test_page_conflicts_count_their_partners(spark):
+    """By URL, by title, and by both, each once; against every pair compared."""
+    import random
+    from itertools import combinations
+
+    draw = random.Random(9)
+    pages = [(i, draw.choice(["", "u", "v"]), " ".join(draw.sample(["alpha", "beta1", "gamma", "delta", "omega"], draw.randrange(0, 4))), draw.choice(["paper", "paper", "topic"]), f"{draw.choice([1, 8, 10, 12, 15, 100])} stars") for i in range(70)]
+    words = {i: set(t.split()) for i, _, t, _, _ in pages}
+    want = {}
+    for x, y in combinations([p for p in pages if p[3] != "topic"], 2):
+        alike = (x[1] and x[1] == y[1]) or (words[x[0]] and words[y[0]] and len(words[x[0]] & words[y[0]]) >= 0.7 * min(len(words[x[0]]), len(words[y[0]])) - 1e-9)
+        m, n = int(x[4].split()[0]), int(y[4].split()[0])
+        if alike and abs(m - n) * 100 > max(m, n, 1) * 20:
+            want[x[0]], want[y[0]] = want.get(x[0], 0) + 1, want.get(y[0], 0) + 1
+    df = spark.createDataFrame(pages, "page_id long, url string, title string, source_type string, body string")
+    assert {r["page_id"]: r["partners"] for r in mining.page_conflicts(df, mining.claims(df)).collect()} == want and len(want) > 30

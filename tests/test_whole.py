@@ -318,3 +318,16 @@ def test_page_conflicts_count_their_partners(spark):
             want[x[0]], want[y[0]] = want.get(x[0], 0) + 1, want.get(y[0], 0) + 1
     df = spark.createDataFrame(pages, "page_id long, url string, title string, source_type string, body string")
     assert {r["page_id"]: r["partners"] for r in mining.page_conflicts(df, mining.claims(df)).collect()} == want and len(want) > 30
+
+
+def test_first_pages_of_the_keyword_graph(spark):
+    """Found in batches, as the whole graph has them, however far apart they are; a graph without edges has none."""
+    kw = spark.createDataFrame([(i, f"k{i}") for i in range(40)] + [(i, f"x{j}{i % 3}") for i in (17, 23, 29, 31, 37, 38, 39) for j in range(2)], "page_id long, keyword string")
+    want = sorted({p for r in graph.cooccurrence(kw).collect() for p in (r["a"], r["b"])})
+    assert [r[0] for r in graph.first_linked(kw, 5, batch=2).orderBy("page_id").collect()] == want[:5] and len(want) >= 5
+    assert graph.first_linked(kw.where("page_id < 17"), 5, batch=2).count() == 0 and graph.first_linked(kw.limit(0), 5).count() == 0
+
+
+def test_walk_query_never_builds_the_whole_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cooccurrence", None)
+    assert QUERIES["bfs_two_hop"](spark, str(DATA)).count() > 0

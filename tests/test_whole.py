@@ -331,3 +331,14 @@ def test_first_pages_of_the_keyword_graph(spark):
 def test_walk_query_never_builds_the_whole_graph(spark, monkeypatch):
     monkeypatch.setattr(graph, "cooccurrence", None)
     assert QUERIES["bfs_two_hop"](spark, str(DATA)).count() > 0
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    """As a plain count, and without a shuffle."""
+    import collections
+
+    rows = [(1, "b a b c a b".split()), (2, ["x"]), (3, []), (4, None), (5, ["q"] * 300)]
+    own = spark.createDataFrame(rows, "page_id long, w array<string>")
+    counted = own.select("page_id", F.explode(bindings.term_counts(F.col("w"))).alias("t")).select("page_id", "t.*")
+    assert {tuple(r) for r in counted.collect()} == {(i, w, n) for i, ws in rows for w, n in collections.Counter(ws or []).items()}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()

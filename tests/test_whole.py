@@ -342,3 +342,17 @@ def test_terms_are_counted_inside_their_row(spark):
     counted = own.select("page_id", F.explode(bindings.term_counts(F.col("w"))).alias("t")).select("page_id", "t.*")
     assert {tuple(r) for r in counted.collect()} == {(i, w, n) for i, ws in rows for w, n in collections.Counter(ws or []).items()}
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_insight_links_are_the_pairs_counted(spark):
+    from tessera.operators import reflect
+
+    rows = [(i, f"{['alpha', 'beta', 'gamma', ''][i % 4]} title{'ab'[i % 2] * 4}" if i % 5 else "", ["one rule about things that last", "things that last longer about rule", ""][i % 3], f"[[E{i % 6}]] [[E{i % 6}]]" if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows + [(100, None, None, None)], "insight_id long, title string, rules string, evidence string")
+    want = {i: [0, 0, 0, 0] for i in [*range(60), 100]}
+    for r in reflect.insight_connections(df).collect():
+        for i in (r["a"], r["b"]):
+            for k, on in enumerate((True, *(s in r["signals"].split(",") for s in ("evidence", "rule", "title")))):
+                want[i][k] += on
+    got = {r["insight_id"]: [r["n_links"], r["n_evidence"], r["n_rule"], r["n_title"]] for r in reflect.insight_links(df).collect()}
+    assert got == want and want[100] == [0, 0, 0, 0] and want[1][0] > 10

@@ -6,7 +6,8 @@ Flavours differ on purpose, because files were written against each of them:
 * schema: one pair of quotes goes; a key without value is an empty list.
 * lint: all quotes go; list items must be indented; a key without value is an empty string.
 
-There is no built-in function for this, so the parser is Python over Arrow batches; give it narrow inputs.
+There is no built-in function for this, so the parser is Python over Arrow batches. Python gets the block between the marks
+alone: where it ends is found, and the body cut, by Spark's own functions, so what a worker holds does not grow with bodies.
 """
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ from . import ship
 FLAVOURS = ("index", "schema", "lint")
 _KEY = re.compile(r"(\w[\w-]*)\s*:\s*(.*)")
 _LEGACY = re.compile(r"[-*]\s*\*\*([^*:]+):?\*\*:?\s*(.*)")
+#: What Python's strip takes away.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SCHEMA = "values map<string,string>, lists map<string,array<string>>, body string, found boolean"
 
 
@@ -98,7 +101,9 @@ def front_matter(content: Column, flavour: str = "index") -> Column:
                 pa.array([r[3] for r in rows], pa.bool_()),
             ], ["values", "lists", "body", "found"])
 
-    return run(content)
+    end = F.when(content.startswith("---"), F.locate("\n---", content, 4)).otherwise(0)
+    body = F.when(end > 0, F.btrim(F.substr(content, end + 4), F.lit(_SPACES))).otherwise(F.coalesce(content, F.lit("")))
+    return run(F.when(end > 0, F.substr(content, F.lit(1), end + 3))).withField("body", body)
 
 
 def legacy_header(content: Column) -> Column:

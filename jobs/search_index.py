@@ -86,7 +86,7 @@ def index_batch(batch: DataFrame, segment: int, output: str, buckets: int, id_ty
     common.overwrite_partitions(work.withColumn("segment", F.lit(segment).cast("long")), f"{output}/pages", "segment")
     indexed = _table(spark, output, "pages", id_type).where(F.col("segment") == segment)
     texts = own.join(indexed.select("page_id", F.col("content_hash").alias("indexed")), "page_id").where("content_hash = indexed").dropDuplicates(["page_id"])
-    terms = lexical_index.postings(texts, {"body": 1.0}).withColumns({"bucket": lexical_index.bucket_of(F.col("term"), buckets), "segment": F.lit(segment).cast("long")})
+    terms = lexical_index.postings(texts, {"body": 1.0}, once=True).withColumns({"bucket": lexical_index.bucket_of(F.col("term"), buckets), "segment": F.lit(segment).cast("long")})
     # one file or a few for each bucket, whatever its size; terms in order, so that a scan can leave out what it isn't asked for
     common.overwrite_partitions(terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "term", "page_id"), f"{output}/postings", "bucket", "segment")
     read, written, terms_written = batch.count(), indexed.count(), _table(spark, output, "postings", id_type).where(F.col("segment") == segment).count()

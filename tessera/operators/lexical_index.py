@@ -20,14 +20,22 @@ def _tokens(text: Column, letters: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{letters}]+"), 0)
 
 
-def postings(pages: DataFrame, fields: dict[str, float], letters: str = T.ASCII) -> DataFrame:
-    """pages: page_id and the fields (strings or arrays of strings). One row for each page and term; pages without terms have none."""
+def postings(pages: DataFrame, fields: dict[str, float], letters: str = T.ASCII, once: bool = False) -> DataFrame:
+    """pages: page_id and the fields (strings or arrays of strings). One row for each page and term; pages without terms have none.
+
+    once: no page_id has two rows. Terms of a single field are then counted inside the row: nothing is shuffled, and a task holds one page at a time.
+    """
     kinds = dict(pages.dtypes)
 
     def weighted(field: str, weight: float) -> Column:
         text = F.array_join(field, " ") if kinds[field].startswith("array") else F.col(field)
         return F.transform(_tokens(text, letters), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
+    if once and len(fields) == 1:
+        (field, weight), = fields.items()
+        text = F.array_join(field, " ") if kinds[field].startswith("array") else F.col(field)
+        counted = pages.select("page_id", F.explode(T.term_counts(_tokens(text, letters))).alias("x"))
+        return counted.select("page_id", F.col("x.keyword").alias("term"), (F.col("x.tf") * float(weight)).alias("tf"))
     return pages.select("page_id", F.explode(F.concat(*(weighted(f, w) for f, w in fields.items()))).alias("x")).groupBy("page_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, mining, terms
+from tessera.operators import graph, mining, retrieval, terms
 
 
 def held_by(seed: int, n: int = 90, kinds: int = 25, most: int = 8) -> dict[int, set[str]]:
@@ -63,3 +63,24 @@ def test_see_also_does_not_meet_all_pages_of_a_frequent_pair(spark):
     found = graph.nearest_by_keywords(kw, pages, pages.where("page_id % 50 = 0"), 5)
     # the 200 pages of a query's rarer pairs, and six of the frequent pair's
     assert found.count() <= 400 * (200 + 6) and found.select("page_id").distinct().count() == 400
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10**6])
+def test_counted_walk_as_the_listed_edges_give_it(spark, hot):
+    kw = table_of(spark, held_by(hot, 120, 60, 6))
+    edges = graph.cooccurrence(kw).selectExpr("a AS source_id", "b AS target_id", "1.0D AS weight")
+    for seeds in ([(1, 1), (5, 2), (9, 3)], [(9, 1)], [(999, 1)]):
+        start = spark.createDataFrame(seeds, "page_id long, place int")
+        want = {r["page_id"]: round(r["score"], 9) for r in retrieval.graph_signal(edges, start).collect()}
+        assert {r["page_id"]: round(r["score"], 9) for r in graph.keyword_walk(kw, start, hot=hot).collect()} == want and (len(want) > 20 or len(seeds) == 1)
+
+
+def test_walk_lists_no_edges_of_a_frequent_pair(spark, monkeypatch):
+    """6,000 pages are all linked with each other: each is reached from the seed once, and from the 5,998 others."""
+    n = 6000
+    kw = spark.range(n).selectExpr("id AS page_id", "explode(array('a', 'b', concat('c', id % 100), concat('d', id))) AS keyword")
+    rows, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: rows.append((out := write(df, name)).count()) or out)
+    monkeypatch.setattr(graph, "cooccurrence_near", None)
+    got = graph.keyword_walk(kw, spark.createDataFrame([(0, 1)], "page_id long, place int")).groupBy("score").count().collect()
+    assert [tuple(r) for r in got] == [(0.5 + 0.25 * (n - 2), n - 1)] and max(rows) < 6 * n

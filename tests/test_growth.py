@@ -2,6 +2,7 @@
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def table_of(spark, held):
 def test_best_terms_however_few_are_sent(spark, sent):
     """Every number of pages sent, or some, or none: the rest is looked up. Terms of one score are in the words' order."""
     draw = random.Random(3)
-    texts = {i: [f"w{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randrange(0, 60))] for i in range(80)} | {80: None, 81: [], 82: ["w0"]}
+    texts = {i: [f"w{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randrange(0, 60))] for i in range(24)} | {80: None, 81: [], 82: ["w0"]}
     pages = spark.createDataFrame(list(texts.items()), "page_id long, w array<string>")
     df = Counter(w for ws in texts.values() for w in {*(ws or ())})
     want = set()
@@ -84,3 +85,24 @@ def test_walk_lists_no_edges_of_a_frequent_pair(spark, monkeypatch):
     monkeypatch.setattr(graph, "cooccurrence_near", None)
     got = graph.keyword_walk(kw, spark.createDataFrame([(0, 1)], "page_id long, place int")).groupBy("score").count().collect()
     assert [tuple(r) for r in got] == [(0.5 + 0.25 * (n - 2), n - 1)] and max(rows) < 6 * n
+
+
+def test_communities_end_at_rest(spark):
+    """No two communities would be better as one."""
+    held = held_by(11, 60, 60, 6)
+    of = {r["node"]: r["community"] for r in graph.keyword_communities(table_of(spark, held), hot=4).collect()}
+    weights = {(a, b): len(held[a] & held[b]) for a, b in combinations(held, 2) if len(held[a] & held[b]) > 1}
+    total, degree, between = 2 * sum(weights.values()), Counter(), Counter()
+    for (a, b), w in weights.items():
+        degree[of.get(a, a)] += w
+        degree[of.get(b, b)] += w
+        between[of.get(a, a), of.get(b, b)] += w
+        between[of.get(b, b), of.get(a, a)] += w
+    assert len(degree) > 3 and all(between[x, y] - degree[x] * degree[y] / total < 1e-6 for x in degree for y in degree if x != y)
+
+
+def test_rounds_without_limit_do_not_go_in_circles(spark):
+    """Pairs of nodes that would swap for ever if both moved at a time."""
+    edges = spark.range(12).selectExpr("2 * id AS a", "2 * id + 1 AS b", "1.0D AS weight")
+    found = graph.communities(edges, rounds=None, levels=None)
+    assert {tuple(r) for r in found.collect()} == {(i, i - i % 2, 2) for i in range(24)}
